@@ -2,145 +2,260 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import FeatureHasher, HashingTF, Normalizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkevidence.llm.shared import saved, text_or_empty, unit_interval
+from sparkevidence.llm.hashing import U, mix, word_hashes
+from sparkevidence.llm.shared import arrow_bytes, saved, slices, small_batches, text_or_empty, unit_interval
 
 #: Bounds of the labelled sample and of the unlabelled pool that models are fitted on; rows are taken in order of a keyed hash.
-LABELLED = 20_000
-POOL = 10_000
+LABELLED = 12_000
+POOL = 6_000
 ROUNDS = 2
-#: A view hands a pseudo-label on when its probability is this far from even.
-CONFIDENT = 0.95
-#: Share of the labelled sample kept for calibration.
-HELD_OUT = 0.25
-WORDS = 1 << 15
-TEXT, META = "__text_view", "__meta_view"
-
-
-def with_views(docs: DataFrame) -> DataFrame:
-    """Adds the two views: hashed words and character make-up of the text; source, language and layout of the page."""
-    text = text_or_empty()
-    n = F.greatest(F.length(text), F.lit(1)).cast("double")
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    lines = F.split(text, "\n")
-    share = lambda pattern: F.regexp_count(text, F.lit(pattern)) / n
-    out = docs.withColumn("__words", words)
-    out = out.withColumns(
-        {
-            "__upper": share("[A-Z]") * 4,
-            "__symbols": share(r"[^\p{L}\p{N}\s.,]") * 8,
-            "__digits": share("[0-9]") * 4,
-            "__fresh": F.when(F.size("__words") > 0, F.size(F.array_distinct("__words")) / F.size("__words")).otherwise(1.0) * 2,
-            "__source": F.coalesce(F.col("source"), F.lit("(none)")),
-            "__lang": F.coalesce(F.col("lang"), F.lit("(none)")),
-            "__chars": F.log1p(n) / 10,
-            "__lines": F.log1p(F.size(lines).cast("double")) / 5,
-            "__per_line": F.log1p(n / F.size(lines)) / 10,
-            "__same_lines": 1 - F.size(F.array_distinct(lines)) / F.size(lines),
-        }
-    )
-    out = HashingTF(inputCol="__words", outputCol="__tf", numFeatures=WORDS, binary=True).transform(out)
-    out = Normalizer(inputCol="__tf", outputCol="__unit").transform(out)
-    out = VectorAssembler(inputCols=["__unit", "__upper", "__symbols", "__digits", "__fresh"], outputCol=TEXT).transform(out)
-    out = FeatureHasher(inputCols=["__source", "__lang", "__chars", "__lines", "__per_line", "__same_lines"], outputCol=META, numFeatures=1024).transform(out)
-    return out.drop("__words", "__tf", "__unit", "__upper", "__symbols", "__digits", "__fresh", "__source", "__lang", "__chars", "__lines", "__per_line", "__same_lines")
-
-
-def _fit(rows: DataFrame, features: str, reg: float) -> LogisticRegressionModel:
-    return LogisticRegression(featuresCol=features, labelCol="label", maxIter=40, regParam=reg, standardization=False).fit(rows.select(features, "label"))
-
-
-def _logit(model: LogisticRegressionModel, rows: DataFrame, features: str, out: str) -> DataFrame:
-    kept = rows.columns
-    scored = model.copy({model.featuresCol: features, model.rawPredictionCol: "__raw", model.probabilityCol: "__p", model.predictionCol: "__pred"}).transform(rows)
-    return scored.select(*[F.col(f"`{c}`") for c in kept], F.least(F.greatest(vector_to_array("__raw")[1], F.lit(-30.0)), F.lit(30.0)).alias(out))
-
-
-def probability(logit: Column) -> Column:
-    return 1 / (1 + F.exp(-logit))
-
-
-class CoTrained:
-    """Two views' models of one label, each calibrated by Platt scaling on held-out rows; logits add up, less the prior's."""
-
-    def __init__(self, rows: DataFrame, pool: DataFrame, rounds: int) -> None:
-        counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-        yes, no = counts.get(1, 0), counts.get(0, 0)
-        self.models = None
-        self.constant = 30.0 if yes else -30.0
-        if min(yes, no) < 4:
-            return
-        train = rows.where("held > 0")
-        taught = {TEXT: train.select(TEXT, "label"), META: train.select(META, "label")}
-        sure = F.lit(CONFIDENT)
-        for step in range(rounds + 1):
-            text, meta = _fit(taught[TEXT], TEXT, 1e-4), _fit(taught[META], META, 1e-3)
-            if step == rounds:
+#: A view hands a pseudo-label on when it is this sure of it.
+CONFIDENT = 0.97
+#: Every so-manieth labelled document is kept for calibration.
+HELD_OUT = 4
+WORDS, NAMES = 1 << 15, 1 << 9
+TEXT_SIZE, META_SIZE = WORDS + 4, 2 * NAMES + 4
+_NOT_ALNUM = np.ones(256, bool)
+_NOT_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+_LINE_FEED = np.zeros(256, bool)
+_LINE_FEED[10] = True
+_UPPER, _DIGIT, _SYMBOL = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_UPPER[65:91] = True
+_DIGIT[48:58] = True
+_SYMBOL[33:127] = _NOT_ALNUM[33:127]
+_SYMBOL[[44, 46]] = False
+
+
+class Rows:
+    """Sparse rows of features: where each starts, and index and value of each entry."""
+
+    def __init__(self, at: np.ndarray, index: np.ndarray, value: np.ndarray, width: int) -> None:
+        self.at, self.index, self.value, self.width = at, index, value, width
+
+    def __len__(self) -> int:
+        return len(self.at) - 1
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        sums = np.concatenate(([0.0], np.cumsum(w[self.index] * self.value)))
+        return sums[self.at[1:]] - sums[self.at[:-1]]
+
+    def back(self, r: np.ndarray) -> np.ndarray:
+        return np.bincount(self.index, np.repeat(r, np.diff(self.at)) * self.value, self.width)
+
+    def take(self, rows: np.ndarray) -> Rows:
+        n = np.diff(self.at)[rows]
+        at = np.concatenate(([0], np.cumsum(n)))
+        pick = np.repeat(self.at[rows] - at[:-1], n) + np.arange(at[-1])
+        return Rows(at, self.index[pick], self.value[pick], self.width)
+
+    def plus(self, other: Rows) -> Rows:
+        return Rows(np.concatenate((self.at, other.at[1:] + self.at[-1])), np.concatenate((self.index, other.index)), np.concatenate((self.value, other.value)), self.width)
+
+
+def _counted(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    sums = np.concatenate(([0], np.cumsum(flags)))
+    return (sums[offsets[1:]] - sums[offsets[:-1]]).astype(float)
+
+
+def views(data: np.ndarray, offsets: np.ndarray, sources: list, langs: list) -> tuple[Rows, Rows]:
+    """The two views of some documents: hashed words and make-up of the text; source, language and layout of the page."""
+    n = len(offsets) - 1
+    size = np.maximum(np.diff(offsets), 1).astype(float)
+    words, first = word_hashes(data, offsets, _NOT_ALNUM)
+    slot = (words & U(WORDS - 1)).astype(np.int64)
+    index, value, fresh = [], [], np.ones(n)
+    for i in range(n):
+        own = np.unique(slot[first[i] : first[i + 1]])
+        if len(own):
+            fresh[i] = len(own) / min(first[i + 1] - first[i], WORDS)
+        index.append(own)
+        value.append(np.full(len(own), 1 / math.sqrt(max(len(own), 1))))
+    made = np.stack((4 * _counted(_UPPER[data], offsets) / size, 8 * _counted(_SYMBOL[data], offsets) / size, 4 * _counted(_DIGIT[data], offsets) / size, 2 * fresh), 1)
+    at = np.concatenate(([0], np.cumsum([len(x) + 4 for x in index])))
+    extra = np.arange(WORDS, TEXT_SIZE)
+    text = Rows(at, np.concatenate([y for x in index for y in (x, extra)]), np.concatenate([y for i, x in enumerate(value) for y in (x, made[i])]), TEXT_SIZE)
+    lines, first = word_hashes(data, offsets, _LINE_FEED)
+    count = np.diff(first)
+    same = np.array([1 - len(np.unique(lines[a:b])) / max(b - a, 1) if b > a else 0.0 for a, b in zip(first[:-1], first[1:])])
+    layout = np.stack((np.log1p(size) / 10, np.log1p(count) / 5, np.log1p(size / np.maximum(count, 1)) / 10, same), 1)
+    name = lambda x, start: start + hash_name(x)
+    index = np.concatenate((np.array([[name(s, 0), name(x, NAMES)] for s, x in zip(sources, langs)], np.int64), np.tile(np.arange(2 * NAMES, META_SIZE), (n, 1))), 1)
+    return text, Rows(np.arange(n + 1) * 6, index.ravel(), np.concatenate((np.ones((n, 2)), layout), 1).ravel(), META_SIZE)
+
+
+def hash_name(x: str | None) -> int:
+    import zlib
+
+    return zlib.crc32((x if x is not None else "\0none").encode()) % NAMES
+
+
+def fit(rows: Rows, label: np.ndarray, reg: float, steps: int = 60) -> np.ndarray:
+    """Logistic regression with a bias (the last weight) by L-BFGS: the mean loss plus reg / 2 times the squared weights."""
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        z = rows.dot(w[:-1]) + w[-1]
+        p = 1 / (1 + np.exp(-z))
+        r = (p - label) / len(label)
+        g = np.append(rows.back(r) + reg * w[:-1], r.sum())
+        return float(np.mean(np.logaddexp(0, z) - label * z) + reg / 2 * (w[:-1] @ w[:-1])), g
+
+    w = np.zeros(rows.width + 1)
+    value, g = loss(w)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        d, a = -g, []
+        for s, y, r in reversed(past):
+            a.append(r * (s @ d))
+            d = d - a[-1] * y
+        if past:
+            s, y, _ = past[-1]
+            d = d * (s @ y) / (y @ y)
+        for (s, y, r), x in zip(past, reversed(a)):
+            d = d + (x - r * (y @ d)) * s
+        step = 1.0 if past else 1 / max(np.linalg.norm(g), 1e-12)
+        slope = g @ d
+        while step > 1e-10:
+            after, h = loss(w + step * d)
+            if after <= value + 1e-4 * step * slope:
                 break
-            scored = saved(_logit(meta, _logit(text, pool, TEXT, "lt"), META, "lm").withColumns({"pt": probability(F.col("lt")), "pm": probability(F.col("lm"))}), "pool")
-            by = lambda p: scored.where((F.col(p) >= sure) | (F.col(p) <= 1 - sure)).withColumn("label", (F.col(p) >= 0.5).cast("int"))
-            taught = {TEXT: train.select(TEXT, "label").union(by("pm").select(TEXT, "label")), META: train.select(META, "label").union(by("pt").select(META, "label"))}
-        held = rows.where("held = 0")
-        check = _logit(meta, _logit(text, held, TEXT, "lt"), META, "lm").select("label", "lt", "lm")
-        check = saved(check, "held-out")
-        self.platt = {}
-        for name in ("lt", "lm"):
-            m = _fit(VectorAssembler(inputCols=[name], outputCol="x").transform(check), "x", 1e-2)
-            # A view that held-out rows contradict says nothing: its slope is not below 0.
-            self.platt[name] = (max(float(m.coefficients[0]), 0.0), float(m.intercept))
-        p = (yes + 1) / (yes + no + 2)
-        import math
-
-        self.prior = math.log(p / (1 - p))
-        self.models = (text, meta)
-
-    def score(self, rows: DataFrame, out: str) -> DataFrame:
-        """Adds out: the probability of label 1."""
-        if self.models is None:
-            return rows.withColumn(out, F.lit(1.0 if self.constant > 0 else 0.0))
-        scored = _logit(self.models[1], _logit(self.models[0], rows, TEXT, "__lt"), META, "__lm")
-        view = lambda n, c: F.lit(self.platt[n][0]) * F.col(c) + F.lit(self.platt[n][1])
-        return scored.withColumn(out, probability(view("lt", "__lt") + view("lm", "__lm") - F.lit(self.prior))).drop("__lt", "__lm")
-
-
-def scored(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> DataFrame:
-    """docs with __quality and __toxic, the probabilities that a document is good and that it is toxic.
-
-    Models are fitted on at most `labelled` labelled and `pool` unlabelled documents, in order of a keyed hash of doc_id; all rows of
-    docs are scored whole. Labels of an id that occur twice are joined (worst quality, toxic if any). Without labels of both kinds a
-    document counts as good and not toxic. Null texts, sources and languages are values of their own; unlabelled and null ids are
-    scored like others; empty tables give an empty result.
-    """
+            step /= 2
+        else:
+            break
+        s, y = step * d, h - g
+        done = value - after < 1e-7
+        w, value, g = w + s, after, h
+        if s @ y > 1e-12:
+            past = [*past[-9:], (s, y, 1 / (s @ y))]
+        if done:
+            break
+    return w
+
+
+def logit(rows: Rows, w: np.ndarray) -> np.ndarray:
+    return np.clip(rows.dot(w[:-1]) + w[-1], -30, 30)
+
+
+def probability(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-z))
+
+
+def platt(z: np.ndarray, label: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept that calibrate logits; a view that the held-out rows contradict says nothing, so the slope is not below 0."""
+    w = fit(Rows(np.arange(len(z) + 1), np.zeros(len(z), np.int64), z, 1), label, 1e-3)
+    if w[0] >= 0:
+        return float(w[0]), float(w[1])
+    p = (label.sum() + 1) / (len(label) + 2)
+    return 0.0, math.log(p / (1 - p))
+
+
+def cotrain(text: Rows, meta: Rows, label: np.ndarray, held: np.ndarray, pool: tuple[Rows, Rows], rounds: int = ROUNDS) -> dict | None:
+    """Models of both views: fitted, then for some rounds again with the pool rows of which the other view is sure, then each
+    calibrated by Platt scaling on the held-out rows. None where the labels are not of both kinds."""
+    if min(label.sum(), (1 - label).sum()) < 4:
+        return None
+    train = np.flatnonzero(~held)
+    base = {"text": (text.take(train), label[train], 1e-4), "meta": (meta.take(train), label[train], 1e-3)}
+    taught = dict(base)
+    for step in range(rounds + 1):
+        w = {k: fit(*x) for k, x in taught.items()}
+        if step == rounds or not len(pool[0]):
+            break
+        p = {"text": probability(logit(pool[0], w["text"])), "meta": probability(logit(pool[1], w["meta"]))}
+        for mine, rows, other in (("text", pool[0], "meta"), ("meta", pool[1], "text")):
+            sure = np.flatnonzero(np.abs(p[other] - 0.5) >= CONFIDENT - 0.5)
+            taught[mine] = (base[mine][0].plus(rows.take(sure)), np.concatenate((base[mine][1], (p[other][sure] >= 0.5).astype(float))), base[mine][2])
+    check = np.flatnonzero(held) if min(label[held].sum(), (1 - label[held]).sum()) >= 2 else train
+    prior = (label.sum() + 1) / (len(label) + 2)
+    return {"text": w["text"], "meta": w["meta"], "text_scale": platt(logit(text.take(check), w["text"]), label[check]), "meta_scale": platt(logit(meta.take(check), w["meta"]), label[check]), "prior": math.log(prior / (1 - prior))}
+
+
+def combined(text: Rows, meta: Rows, model: dict) -> np.ndarray:
+    """Probability of label 1: the views' calibrated logits add up, less the prior's, as for independent evidence."""
+    z = sum(logit(rows, model[k]) * model[f"{k}_scale"][0] + model[f"{k}_scale"][1] for k, rows in (("text", text), ("meta", meta)))
+    return probability(np.clip(z - model["prior"], -30, 30))
+
+
+def _viewed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets = arrow_bytes(batch.column(3))
+        for a, b in slices(offsets, 2 << 20):
+            part = views(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], batch.column(4)[a:b].to_pylist(), batch.column(5)[a:b].to_pylist())
+            lists = [pa.ListArray.from_arrays(x.at.astype(np.int32), pa.array(y)) for x in part for y in (x.index.astype(np.int32), x.value.astype(np.float32))]
+            yield pa.RecordBatch.from_arrays([*(c[a:b] for c in batch.columns[:3]), *lists], names=["quality", "toxic", "held", "ti", "tv", "mi", "mv"])
+
+
+def _rows(table: pa.Table, index: str, value: str, width: int) -> Rows:
+    i, v = table[index].combine_chunks(), table[value].combine_chunks()
+    return Rows(np.asarray(i.offsets).astype(np.int64), np.asarray(i.values).astype(np.int64), np.asarray(v.values).astype(float), width)
+
+
+def trained(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> dict[str, dict | None]:
+    """Models of good quality and of toxicity, from at most `labelled` labelled and `pool` unlabelled documents of docs."""
     by_hash = F.md5(F.concat(F.lit("sample|"), F.col("doc_id").cast("string")))
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    sample = known.orderBy(by_hash, "doc_id").limit(labelled)
-    rest = docs.select("doc_id").where("doc_id is not null").join(known.select("doc_id"), "doc_id", "left_anti").distinct().orderBy(by_hash, "doc_id").limit(pool)
-    chosen = sample.select("doc_id", "quality", "toxic").union(rest.select("doc_id", F.lit(None).cast("int"), F.lit(None).cast("int")))
-    chosen = saved(chosen.withColumnRenamed("doc_id", "__id"), "sample")
+    ids = docs.select("doc_id").where("doc_id is not null").distinct()
+    both = saved(ids.join(known, "doc_id", "left"), "known")
+    given = both.where("quality is not null").orderBy(by_hash, "doc_id").limit(labelled)
+    free = both.where("quality is null").orderBy(by_hash, "doc_id").limit(pool)
+    chosen = saved(given.union(free), "sample").withColumnRenamed("doc_id", "__id")
+    held = F.floor(unit_interval(F.md5(F.concat(F.lit("fold|"), F.col("__id").cast("string")))) * HELD_OUT) == 0
     rows = docs.select("doc_id", "text", "source", "lang").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
-    rows = saved(with_views(rows).select("doc_id", "quality", "toxic", TEXT, META, F.floor(unit_interval(F.md5(F.concat(F.lit("fold|"), F.col("doc_id").cast("string")))) / HELD_OUT).alias("held")), "views")
-    given, unlabelled = rows.where("quality is not null"), rows.where("quality is null")
-    out = with_views(docs)
-    if given.isEmpty():
-        return out.withColumns({"__quality": F.lit(1.0), "__toxic": F.lit(0.0)}).drop(TEXT, META)
-    for label, name in (("quality", "__quality"), ("toxic", "__toxic")):
-        model = CoTrained(given.withColumn("label", F.col(label).cast("int")), unlabelled, rounds)
-        out = model.score(out, name)
-    return out.drop(TEXT, META)
+    rows = rows.select(F.col("quality").cast("int"), F.col("toxic").cast("int"), held.alias("held"), text_or_empty().alias("text"), "source", "lang")
+    # Rows of the sample only, which has a bound: it is fitted on the driver.
+    table = rows.mapInArrow(_viewed, "quality int, toxic int, held boolean, ti array<int>, tv array<float>, mi array<int>, mv array<float>").toArrow()
+    if not table.num_rows:
+        return {"quality": None, "toxic": None}
+    text, meta = _rows(table, "ti", "tv", TEXT_SIZE), _rows(table, "mi", "mv", META_SIZE)
+    known_rows = np.flatnonzero(np.asarray(table["quality"].is_valid()))
+    rest = np.flatnonzero(~np.asarray(table["quality"].is_valid()))
+    out = {}
+    for name in ("quality", "toxic"):
+        label = np.asarray(table[name].to_pylist(), float)[known_rows] if len(known_rows) else np.zeros(0)
+        out[name] = cotrain(text.take(known_rows), meta.take(known_rows), label, np.asarray(table["held"].to_pylist(), bool)[known_rows], (text.take(rest), meta.take(rest)), rounds)
+    return out
+
+
+def _scored(models: dict[str, dict | None]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = arrow_bytes(batch.column(0))
+            for a, b in slices(offsets, 2 << 20):
+                text, meta = views(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], batch.column(1)[a:b].to_pylist(), batch.column(2)[a:b].to_pylist())
+                p = [combined(text, meta, models[k]) if models[k] else np.full(b - a, 1.0 if k == "quality" else 0.0) for k in ("quality", "toxic")]
+                yield pa.RecordBatch.from_arrays([*(c[a:b] for c in batch.columns[3:]), *(pa.array(np.round(x, 6)) for x in p)], names=[*batch.schema.names[3:], "__quality", "__toxic"])
+
+    return run
+
+
+def scored(docs: DataFrame, labels: DataFrame, carried: list[str], **options) -> DataFrame:
+    """The carried columns of docs with __quality and __toxic, the probabilities that a document is good and that it is toxic.
+
+    All rows are scored whole, by models fitted on a bounded sample (see trained). Labels of an id that occur twice are joined (worst
+    quality, toxic if any). Without labels of both kinds a document counts as good, or as not toxic. Null texts are empty, null
+    sources and languages are names of their own; null ids are scored like others; empty tables give an empty result.
+    """
+    small_batches(docs.sparkSession)
+    models = trained(docs, labels, **options)
+    rows = docs.select(text_or_empty().alias("__text"), F.col("source").alias("__source"), F.col("lang").alias("__lang"), *[F.col(f"`{c}`") for c in carried])
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[3:])
+    return rows.mapInArrow(_scored(models), f"{kinds}, __quality double, __toxic double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """(doc_id, quality, toxic, kept) for each row of docs: probabilities, and whether the document is good and not toxic."""
-    out = scored(docs.select("doc_id", "text", "source", "lang"), labels, **options)
-    return out.select("doc_id", F.round("__quality", 6).alias("quality"), F.round("__toxic", 6).alias("toxic"), ((F.col("__quality") >= 0.5) & (F.col("__toxic") < 0.5)).alias("kept"))
+    out = scored(docs, labels, ["doc_id"], **options)
+    return out.select("doc_id", F.col("__quality").alias("quality"), F.col("__toxic").alias("toxic"), ((F.col("__quality") >= 0.5) & (F.col("__toxic") < 0.5)).alias("kept"))
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the classifier rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return scored(docs, labels).where((F.col("__quality") >= 0.5) & (F.col("__toxic") < 0.5)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return scored(docs, labels, docs.columns).where("__quality >= 0.5 and __toxic < 0.5").drop("__quality", "__toxic")

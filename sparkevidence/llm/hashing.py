@@ -58,10 +58,10 @@ class Rolling:
             return (self.prefix[b] - self.prefix[a]) * self.up[a]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of each row, A-Z lower-cased, and where each row's words start (one more for the end)."""
     low = LOWER[data]
-    inside = ~SEPARATOR[low]
+    inside = ~separator[low]
     if not len(low):
         return np.zeros(0, U), np.zeros(len(offsets), np.int64)
     edge = np.zeros(len(low) + 1, bool)
