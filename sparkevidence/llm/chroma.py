@@ -128,60 +128,87 @@ def landmarks(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _MARK = pa.struct([("h", pa.int64()), ("at", pa.int32())])
 
 
-def _fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a in range(0, batch.num_rows, 256):
-            part = batch.slice(a, 256)
-            rows = []
-            for wav in part.column(1):
-                c = codes(chroma_frames(samples(wav.as_py() or b"")))
-                h, at = landmarks(c)
-                with np.errstate(over="ignore"):
-                    place = np.arange(1, len(c) + 1, dtype=U)
-                    s1 = int(np.add.reduce(mix(c.astype(U) + place * U(BASE))).view(np.int64))
-                    s2 = int(np.add.reduce(mix(c.astype(U) ^ (place * U(BASE2)))).view(np.int64))
-                rows.append((c.view(np.int32), h, at, s1, s2))
-            size = lambda i: np.concatenate(([0], np.cumsum([len(r[i]) for r in rows]))).astype(np.int32)
-            marks = pa.StructArray.from_arrays([pa.array(np.concatenate([r[1] for r in rows])), pa.array(np.concatenate([r[2] for r in rows]).astype(np.int32))], fields=list(_MARK))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.ListArray.from_arrays(size(0), pa.array(np.concatenate([r[0] for r in rows]))), pa.ListArray.from_arrays(size(1), marks), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int64())],
-                names=["doc_id", "codes", "marks", "s1", "s2"],
-            )
-
-
-def fingerprints(media: DataFrame) -> DataFrame:
-    """(doc_id, codes array<int>, marks array<struct<h,at>>, s1, s2) for each row of media (doc_id, wav). A null or broken file is
-    silence; s1 and s2 are equal for equal codes."""
+def _printed(rows: list[tuple[int | None, int, np.ndarray]], doc_type: pa.DataType) -> pa.RecordBatch:
+    """rows: (doc_id, phase, codes)."""
+    marks = [landmarks(c) for _, _, c in rows]
+    sums = []
+    with np.errstate(over="ignore"):
+        for _, _, c in rows:
+            place = np.arange(1, len(c) + 1, dtype=U)
+            sums.append((int(np.add.reduce(mix(c.astype(U) + place * U(BASE))).view(np.int64)), int(np.add.reduce(mix(c.astype(U) ^ (place * U(BASE2)))).view(np.int64))))
+    size = lambda lists: np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
+    pairs = pa.StructArray.from_arrays([pa.array(np.concatenate([h for h, _ in marks])), pa.array(np.concatenate([at for _, at in marks]).astype(np.int32))], fields=list(_MARK))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([r[0] for r in rows], doc_type), pa.array([r[1] for r in rows], pa.int32()),
+            pa.ListArray.from_arrays(size([r[2] for r in rows]), pa.array(np.concatenate([r[2] for r in rows]).view(np.int32))),
+            pa.ListArray.from_arrays(size([h for h, _ in marks]), pairs), pa.array([x for x, _ in sums], pa.int64()), pa.array([x for _, x in sums], pa.int64()),
+        ],
+        names=["doc_id", "phase", "codes", "marks", "s1", "s2"],
+    )
+
+
+def _fingerprinted(phases: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for doc_id, wav in zip(batch.column(0).to_pylist(), batch.column(1)):
+                x = samples(wav.as_py() or b"")
+                for p in range(0, HOP, HOP // phases):
+                    if p and len(x) - p < FRAME:
+                        break
+                    held.append((doc_id, p, codes(chroma_frames(x[p:]))))
+                    size += len(held[-1][2])
+                    if size > 200_000 or len(held) >= 512:
+                        yield _printed(held, pa.int64())
+                        held, size = [], 0
+            if held:
+                yield _printed(held, pa.int64())
+
+    return run
+
+
+def fingerprints(media: DataFrame, phases: int = 1) -> DataFrame:
+    """(doc_id, phase, codes array<int>, marks array<struct<h,at>>, s1, s2) for each row of media (doc_id, wav) and each phase, the
+    samples left out at the start. A null or broken file is silence; s1 and s2 are equal for equal codes."""
     small_batches(media.sparkSession)
-    return media.select("doc_id", "wav").mapInArrow(_fingerprinted, "doc_id long, codes array<int>, marks array<struct<h:long,at:int>>, s1 long, s2 long")
+    kind = "doc_id long, phase int, codes array<int>, marks array<struct<h:long,at:int>>, s1 long, s2 long"
+    return media.select("doc_id", "wav").mapInArrow(_fingerprinted(phases), kind)
 
 
-def search(prints: DataFrame, every: int = 50, error: float = 0.35) -> DataFrame:
-    """One row for each recording whose doc_id is divisible by `every`, searched among all others:
+def search(media: DataFrame, every: int = 50, error: float = 0.35) -> DataFrame:
+    """One row for each recording of media (doc_id, wav) whose doc_id is divisible by `every`, searched among all others:
     (doc_id, n_codes, class_id, n_copies, n_matches, best_id, best_offset, best_votes, best_error).
 
-    Recordings with equal codes are one class, known by its least doc_id; n_copies counts the others in it. A match is another
-    class that shares a landmark, aligned at the offset with most votes (the least on ties), at which at most `error` of the bits
-    of the overlapping codes differ; best is the match with the fewest errors (then most votes, least id). Rows with a null doc_id
-    are no queries and are not found. Empty tables give an empty result. prints is read more than once: pass a written table.
+    Recordings with equal codes are one class, known by its least doc_id; n_copies counts the others in it. One of a class's queries
+    is fingerprinted at every phase of the hop, so that a copy that starts between two frames is found too. A match is another class
+    that shares a landmark, aligned at the offset (in samples) with most votes, the least on ties, at which at most `error` of the
+    bits of the overlapping codes differ; best is the match with the fewest errors (then most votes, least id). Rows with a null
+    doc_id are no queries and are not found; rows that repeat a doc_id count as copies. Empty tables give an empty result.
     """
-    rows = prints.where("doc_id is not null").withColumn("n_codes", F.size("codes"))
-    classes = rows.groupBy("s1", "s2", "n_codes").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n"), F.max((F.pmod("doc_id", F.lit(every)) == 0).cast("int")).alias("asked"))
+    prints = saved(fingerprints(media.where("doc_id is not null")).withColumn("n_codes", F.size("codes")), "prints")
+    asking = F.pmod("doc_id", F.lit(every)) == 0
+    classes = prints.groupBy("s1", "s2", "n_codes").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n"), F.min(F.when(asking, F.col("doc_id"))).alias("asker"))
     classes = saved(classes, "classes")
-    led = rows.join(classes.select(F.col("class_id").alias("doc_id"), "s1", "s2", "asked"), ["doc_id", "s1", "s2"]).dropDuplicates(["doc_id", "s1", "s2"])
-    led = saved(led.select(F.col("doc_id").alias("r"), "codes", "marks", "asked"), "led")
+    led = prints.join(classes.select(F.col("class_id").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"]).dropDuplicates(["doc_id", "s1", "s2"])
+    led = saved(led.select(F.col("doc_id").alias("r"), "codes", "marks"), "led")
+    askers = classes.where("asker is not null").select(F.col("asker").alias("doc_id"), F.col("class_id").alias("own"))
+    queries = fingerprints(media.where(asking).join(askers.select("doc_id"), "doc_id", "left_semi"), HOP).join(askers, "doc_id")
+    queries = saved(queries.select(F.col("doc_id").alias("q"), "own", "phase", "codes", "marks"), "queries")
     all_marks = led.select("r", F.explode("marks").alias("m")).select("r", "m.h", F.col("m.at").alias("r_at"))
-    asked = led.where("asked = 1").select(F.col("r").alias("q"), F.explode("marks").alias("m")).select("q", F.col("m.h").alias("h"), F.col("m.at").alias("q_at"))
-    votes = asked.join(all_marks, "h").where("q <> r").groupBy("q", "r", (F.col("r_at") - F.col("q_at")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
+    asked = queries.select("q", "own", "phase", F.explode("marks").alias("m")).select("q", "own", "phase", F.col("m.h").alias("h"), F.col("m.at").alias("q_at"))
+    offset = (F.col("r_at") - F.col("q_at")) * HOP - F.col("phase")
+    votes = asked.join(all_marks, "h").where("own <> r").groupBy("q", "r", offset.alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy("q", "r").agg(F.max(F.struct("votes", (-F.col("offset")).alias("o"))).alias("b")).select("q", "r", F.col("b.votes").alias("votes"), (-F.col("b.o")).alias("offset"))
-    side = lambda c: led.select(F.col("r").alias(c), F.col("codes").alias(f"{c}_codes"))
-    pairs = best.join(side("q"), "q").join(side("r"), "r")
-    qa, ra = F.greatest(-F.col("offset"), F.lit(0)), F.greatest(F.col("offset"), F.lit(0))
+    best = best.withColumn("phase", F.pmod(-F.col("offset"), F.lit(HOP)).cast("int"))
+    pairs = best.join(queries.select("q", "phase", F.col("codes").alias("q_codes")), ["q", "phase"]).join(led.select("r", F.col("codes").alias("r_codes")), "r")
+    steps = ((F.col("offset") + F.col("phase")) / HOP).cast("int")
+    qa, ra = F.greatest(-steps, F.lit(0)), F.greatest(steps, F.lit(0))
     n = F.least(F.size("q_codes") - qa, F.size("r_codes") - ra)
     wrong = F.aggregate(F.zip_with(F.slice("q_codes", qa + 1, n), F.slice("r_codes", ra + 1, n), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     matched = pairs.select("q", "r", "votes", "offset", (wrong / (32 * n)).alias("error")).where(F.col("error") <= error)
     top = matched.groupBy("q").agg(F.count(F.lit(1)).alias("n_matches"), F.min(F.struct("error", (-F.col("votes")).alias("v"), "r", "offset")).alias("b"))
-    out = rows.where(F.pmod("doc_id", F.lit(every)) == 0).select("doc_id", "n_codes", "s1", "s2").join(classes.drop("asked"), ["s1", "s2", "n_codes"]).join(top, F.col("class_id") == F.col("q"), "left")
+    out = prints.where(asking).select("doc_id", "n_codes", "s1", "s2").join(classes, ["s1", "s2", "n_codes"]).join(top, F.col("asker") == F.col("q"), "left")
     return out.select(
         "doc_id", "n_codes", "class_id", (F.col("n") - 1).alias("n_copies"), F.coalesce("n_matches", F.lit(0)).alias("n_matches"),
         F.col("b.r").alias("best_id"), F.col("b.offset").alias("best_offset"), (-F.col("b.v")).alias("best_votes"), F.round("b.error", 6).alias("best_error"),

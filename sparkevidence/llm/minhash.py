@@ -155,7 +155,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, rows: int =
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text).
 
     Documents with equal shingle sets are one class, known by its smallest doc_id; only classes are banded and compared. Buckets
-    with the same members count once. Within a bucket a task emits a spanning set of confirmed links, never all pairs; a bucket of
+    with the same smallest member are one. Within a bucket a task emits a spanning set of confirmed links, never all pairs; a bucket of
     over BLOCK members is dealt out as pairs of blocks, so no task holds more than two blocks. Components follow from the links.
     Nulls: a null or wordless text has an empty set, links with nothing and is its own component; rows with a null doc_id are
     their own component too (component_id null, kept true). Rows that repeat a doc_id belong to the component of that id. Empty
@@ -171,9 +171,11 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, rows: int =
     classes = full.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("n", "s1", "s2", F.col("m.doc_id").alias("rep"), "m.bands")
     classes = saved(classes, "classes")
     pairs = classes.select("rep", F.posexplode("bands").alias("band", "key")).select("rep", "key")
-    mates = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.min("rep").alias("least")).where("g > 1")
-    once = mates.groupBy("g", "x", "least").agg(F.min("key").alias("key")).select("key", "g")
-    members = saved(pairs.join(once, "key"), "buckets")
+    mates = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.min("rep").alias("least")).where("g > 1").select("key", "least")
+    members = pairs.join(mates, "key").select("least", "rep").distinct()
+    members = saved(members, "buckets")
+    sizes = members.groupBy("least").agg(F.count(F.lit(1)).alias("g"))
+    members = members.join(sizes, "least").select(F.col("least").alias("key"), "rep", "g")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, shingles binary")
     blocks = F.ceil(F.col("g") / F.lit(BLOCK)).cast("int")

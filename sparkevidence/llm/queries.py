@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkevidence.llm import chroma, cotraining, kdtree, licenses, merge_dropout, minhash, mixing, multiset_hash, orc_tokens, suffix_dedup
-from sparkevidence.llm.shared import saved
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -13,7 +12,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFra
 
 
 def op1_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chroma.search(saved(chroma.fingerprints(chroma.recordings(_table(spark, sf_dir))), "prints"))
+    return chroma.search(chroma.recordings(_table(spark, sf_dir)))
 
 
 def op2_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
