@@ -1,10 +1,15 @@
-"""Registered queries of the engine's own operators."""
+"""All registered queries of the engine's own operators."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
 
+from sparkevidence.plans import corpus_queries, evaluation_queries, governance_queries, ingest_queries, retrieval_queries, streaming_queries  # noqa: F401
+from sparkevidence.plans.base import ORACLES, QUERIES
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+__all__ = ["ORACLES", "QUERIES", "flagship"]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions to their five best documents."""
+    return QUERIES["top_documents"](spark, sf_dir)
