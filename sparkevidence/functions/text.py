@@ -129,6 +129,9 @@ def split_sentences(text: Column) -> Column:
 
 
 def trigrams(text: Column) -> Column:
-    """Distinct character trigrams, with two spaces before and one after the lower-cased text."""
-    padded = F.concat(F.lit("  "), F.lower(text), F.lit(" "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))
+    """Distinct character trigrams, with two spaces before and one after the lower-cased text. Three shifted arrays of characters are
+    zipped, so the work is in proportion to the text."""
+    c = F.split(F.concat(F.lit("  "), F.lower(text), F.lit(" ")), "")
+    n = F.length(text) + 1
+    join = lambda x, y: F.concat(x, y)
+    return F.array_distinct(F.zip_with(F.zip_with(F.slice(c, 1, n), F.slice(c, 2, n), join), F.slice(c, 3, n), join))

@@ -1,4 +1,102 @@
-"""Queries."""
+"""Evaluation queries: cases are benchmark passages, right answers the documents that hold them."""
 
-from sparkevidence.plans.base import query  # noqa: F401
-from sparkevidence.plans.corpus import with_sql  # noqa: F401
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sparkevidence.operators import evaluation as E
+from sparkevidence.plans import corpus, retrieval_queries
+from sparkevidence.plans.base import query
+from sparkevidence.plans.retrieval_queries import _match_sql
+
+_EXPECTED = "expected AS (SELECT DISTINCT question_id, doc_id AS document_id FROM questions JOIN documents ON contains(text, question))"
+
+
+def _expected(spark, sf_dir):
+    """Documents that hold a passage: candidates share every token (an equi join), then the text is looked at."""
+    full = retrieval_queries.fulltext_score(spark, sf_dir).select("question_id", "document_id")
+    d = corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    return full.join(d, "document_id").join(corpus.questions(spark, sf_dir), "question_id").where(F.contains("text", "question")).select("question_id", "document_id").distinct()
+
+
+@query(_match_sql(f""", {_EXPECTED}, h AS (SELECT question_id, min(rank) AS rank FROM expected LEFT JOIN top_docs USING (question_id, document_id) GROUP BY 1)
+    SELECT count(*) AS questions, round(avg(coalesce((rank <= 1)::INT, 0)), 6) AS top1, round(avg(coalesce((rank <= 3)::INT, 0)), 6) AS top3, round(avg(coalesce((rank <= 5)::INT, 0)), 6) AS recall5, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr FROM h"""))
+def retrieval_metrics(spark, sf_dir):
+    return E.retrieval_metrics(_expected(spark, sf_dir), retrieval_queries.top_documents(spark, sf_dir))
+
+
+@query(_match_sql(f", {_EXPECTED} SELECT question_id, document_id, rank IS NOT NULL AS found, rank FROM expected LEFT JOIN top_docs USING (question_id, document_id)"))
+def synthetic_case_results(spark, sf_dir):
+    top = retrieval_queries.top_documents(spark, sf_dir).select("question_id", "document_id", "rank")
+    return _expected(spark, sf_dir).join(top, ["question_id", "document_id"], "left").select("question_id", "document_id", F.col("rank").isNotNull().alias("found"), "rank")
+
+
+def _cases(spark, sf_dir):
+    """A case for each labelled document: it is to be found, its neighbour by id is not, and its language is to be named."""
+    d = corpus.table(spark, sf_dir, "labels").join(corpus.table(spark, sf_dir, "documents"), "doc_id")
+    name = lambda c: F.concat(F.lit("d"), c.cast("string"))
+    return d.select(
+        F.col("doc_id").alias("case_id"), F.array(name(F.col("doc_id"))).alias("expected_documents"), F.array(name(F.col("doc_id") + 1)).alias("forbidden_documents"), F.array("lang").alias("expected_answer_terms"),
+        F.array(F.lit("toxic")).alias("forbidden_answer_terms"), F.array("source").alias("expected_supported_points"), F.lit("answer_from_materials").alias("expected_answer_mode"), F.lit(2).alias("expected_source_count_max"),
+    )
+
+
+def _predictions(spark, sf_dir, shift: int):
+    """Answers that err by rule: missing every 13th, a neighbour cited every 5th, too many sources every 7th, wrong mode every 11th."""
+    d = corpus.table(spark, sf_dir, "labels").join(corpus.table(spark, sf_dir, "documents"), "doc_id").where((F.col("doc_id") + shift) % 13 != 0)
+    name = lambda c: F.concat(F.lit("d"), c.cast("string"))
+    i = F.col("doc_id") + shift
+    docs = F.when(i % 5 == 0, F.array(name(F.col("doc_id")), name(F.col("doc_id") + 1))).otherwise(F.array(name(F.col("doc_id"))))
+    sources = F.when(i % 7 == 0, F.array(name(F.col("doc_id")), F.lit("x"), F.lit("y"))).otherwise(F.array(name(F.col("doc_id"))))
+    answer = F.concat("lang", F.lit(" "), "source", F.when(F.col("toxic") == 1, " toxic").otherwise(""))
+    mode = F.when(i % 11 == 0, "out_of_base").otherwise("answer_from_materials")
+    return d.select(F.col("doc_id").alias("case_id"), docs.alias("documents"), sources.alias("sources"), docs.alias("evidence"), answer.alias("answer"), mode.alias("answer_mode"))
+
+
+def _scores_cte(name: str, shift: int) -> str:
+    i = f"(doc_id + {shift})"
+    return f"""{name}0 AS (SELECT doc_id AS case_id, {i} % 13 <> 0 AS run, {i} % 5 = 0 AS fd, toxic = 1 AS ft, {i} % 7 = 0 AS many, {i} % 11 <> 0 AS mode FROM labels JOIN documents USING (doc_id)),
+    {name}1 AS (SELECT *, CASE WHEN run THEN round(greatest(least(0.88::DOUBLE + CASE WHEN mode THEN 0.12::DOUBLE ELSE 0 END - CASE WHEN fd THEN 0.30::DOUBLE ELSE 0 END - CASE WHEN ft THEN 0.15::DOUBLE ELSE 0 END - CASE WHEN many THEN 0.20::DOUBLE ELSE 0 END, 1), 0), 4) ELSE 0 END AS score FROM {name}0),
+    {name} AS (SELECT case_id, score, CASE WHEN run THEN list_filter([CASE WHEN fd THEN 'forbidden_document' END, CASE WHEN ft THEN 'forbidden_term' END, CASE WHEN many THEN 'too_many_sources' END, CASE WHEN NOT mode THEN 'wrong_mode' END], lambda x: x IS NOT NULL) ELSE ['not_run'] END AS issues FROM {name}1)"""
+
+
+@query(f"WITH {_scores_cte('s', 0)} SELECT case_id, score, array_to_string(issues, ',') AS issues, score >= 0.75 AND len(issues) = 0 AS passed FROM s")
+def score_cases(spark, sf_dir):
+    out = E.score_cases(_cases(spark, sf_dir), _predictions(spark, sf_dir, 0))
+    return out.select("case_id", "score", F.array_join("issues", ",").alias("issues"), "passed")
+
+
+@query(f"WITH {_scores_cte('s', 0)} SELECT count(*) AS total, count_if(score >= 0.75 AND len(issues) = 0) AS passed, count_if(list_contains(issues, 'not_run')) AS not_run, round(avg(score), 4) AS mean_score FROM s")
+def eval_summary(spark, sf_dir):
+    return E.summary(E.score_cases(_cases(spark, sf_dir), _predictions(spark, sf_dir, 0)))
+
+
+@query(f"""WITH {_scores_cte('a', 0)}, {_scores_cte('b', 3)}, j AS (SELECT a.case_id, a.score AS s0, b.score AS s1, a.issues AS i0, b.issues AS i1, a.score >= 0.75 AND len(a.issues) = 0 AS p0, b.score >= 0.75 AND len(b.issues) = 0 AS p1 FROM a JOIN b USING (case_id))
+    SELECT case_id, 'newly_failed' AS regression FROM j WHERE p0 AND NOT p1 UNION ALL SELECT case_id, 'score_drop' FROM j WHERE s0 - s1 >= 0.5 UNION ALL SELECT case_id, 'new_' || unnest(list_filter(i1, lambda x: NOT list_contains(i0, x))) FROM j""")
+def compare_runs(spark, sf_dir):
+    c = _cases(spark, sf_dir)
+    return E.compare_runs(E.score_cases(c, _predictions(spark, sf_dir, 0)), E.score_cases(c, _predictions(spark, sf_dir, 3)))
+
+
+@query(f"WITH {_scores_cte('s', 0)} SELECT unnest(issues) AS issue, count(*) AS n FROM s GROUP BY 1")
+def blocker_classification(spark, sf_dir):
+    out = E.score_cases(_cases(spark, sf_dir), _predictions(spark, sf_dir, 0))
+    return out.select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT conv_id, turn, md5(text) AS text_md5, len(text) > 0 AS non_empty, NOT regexp_matches(text, '\\{[^{}]*:[^{}]*\\}|<[a-z]+>') AS no_raw_dump, NOT regexp_matches(lower(text), 'embedding|chunk_id|debug_') AS no_internal_terms,
+    len(regexp_extract_all(text, '(?m)^[-*] ')) <= 5 AS few_items FROM conversations WHERE role = 'assistant'""")
+def answer_smoke_checks(spark, sf_dir):
+    t, x = corpus.table(spark, sf_dir, "conversations").where("role = 'assistant'"), F.col("text")
+    return t.select(
+        "conv_id", "turn", F.md5("text").alias("text_md5"), (F.length(x) > 0).alias("non_empty"), (~x.rlike(r"\{[^{}]*:[^{}]*\}|<[a-z]+>")).alias("no_raw_dump"), (~F.lower(x).rlike("embedding|chunk_id|debug_")).alias("no_internal_terms"), (F.regexp_count(x, F.lit("(?m)^[-*] ")) <= 5).alias("few_items"),
+    )
+
+
+@query("""SELECT doc_id, len(groups) AS n_groups, len(list_filter(groups, lambda g: len(list_filter(g, lambda w: contains(lower(text), w))) > 0)) = len(groups) AS satisfied
+    FROM (SELECT doc_id, text, [['the', 'und', 'de'], ['license', 'en', 'er']] AS groups FROM documents)""")
+def evidence_term_groups(spark, sf_dir):
+    """Whether each group of terms has one that the text holds."""
+    d = corpus.table(spark, sf_dir, "documents")
+    groups = F.array(F.array(F.lit("the"), F.lit("und"), F.lit("de")), F.array(F.lit("license"), F.lit("en"), F.lit("er")))
+    return d.select("doc_id", F.size(groups).alias("n_groups"), F.forall(groups, lambda g: F.exists(g, lambda w: F.contains(F.lower("text"), w))).alias("satisfied"))

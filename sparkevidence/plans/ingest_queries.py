@@ -11,7 +11,7 @@ from sparkevidence.plans.corpus import with_sql
 from sparkevidence.sources import pages as P
 
 
-@query(r"""SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, len(regexp_extract_all(html, '<h1[ >]')) AS n_h1, len(regexp_extract_all(html, '<a [^>]*href="')) AS n_links FROM pages WHERE strlen(html) <= 2000000""")
+@query(r"""SELECT page_id, trim(regexp_replace(title0, '\s+', ' ', 'g')) AS title, n_h1, n_links FROM (SELECT page_id, replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&') AS title0, len(regexp_extract_all(html, '<h1[ >]')) AS n_h1, len(regexp_extract_all(html, '<a [^>]*href="')) AS n_links FROM pages WHERE strlen(html) <= 2000000)""")
 def extract_pages(spark, sf_dir):
     """Stored pages to title, headings and links."""
     out = P.extract_pages(P.screened(corpus.table(spark, sf_dir, "pages")))

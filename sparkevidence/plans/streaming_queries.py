@@ -1,4 +1,38 @@
-"""Queries."""
+"""Streaming operators in their batch form over the events table; tests hold the streams against these."""
 
-from sparkevidence.plans.base import query  # noqa: F401
-from sparkevidence.plans.corpus import with_sql  # noqa: F401
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sparkevidence.plans import corpus
+from sparkevidence.plans.base import query
+from sparkevidence.plans.corpus import with_sql
+from sparkevidence.streaming import jobs
+
+
+def messages(events):
+    return events.select("user_id", "event_id", "ts", F.col("event_type").alias("part"))
+
+
+@query("""WITH e AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM e)
+    SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start_s, CAST(floor(epoch(max(ts) + INTERVAL 30 MINUTE)) AS BIGINT) AS end_s, count(*) AS parts, string_agg(event_type, ' ' ORDER BY ts, event_id) AS request FROM s GROUP BY user_id, k""")
+def assemble_intake(spark, sf_dir):
+    return jobs.assemble_intake(messages(corpus.table(spark, sf_dir, "events")))
+
+
+@query("SELECT CAST(floor(epoch(date_trunc('day', ts))) AS BIGINT) AS start_s, event_type AS kind, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY ALL")
+def evidence_log_monitor(spark, sf_dir):
+    e = corpus.table(spark, sf_dir, "events")
+    return jobs.monitor(e.select("ts", F.col("event_type").alias("kind"), "value"))
+
+
+@query(with_sql("docs", then="SELECT source_name, greatest((1707523200 - max(created_s)) // 86400, 0) AS age_days, greatest((1707523200 - max(created_s)) // 86400, 0) > 30 AS stale FROM docs GROUP BY 1"))
+def staleness_monitor(spark, sf_dir):
+    return jobs.staleness_monitor(spark, corpus.documents(spark, sf_dir), 1707523200)
+
+
+@query("SELECT DISTINCT user_id AS service, event_type AS url FROM events")
+def suggestion_dedupe_stream(spark, sf_dir):
+    e = corpus.table(spark, sf_dir, "events").select(F.col("user_id").alias("service"), F.col("event_type").alias("url"), "ts")
+    return jobs.distinct_suggestions(e).select("service", "url")
