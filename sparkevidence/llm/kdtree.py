@@ -70,13 +70,15 @@ def shards(docs: DataFrame, count: int = SHARDS) -> DataFrame:
             break
         wide = [F.shiftright(F.max(f"k{i}"), TIE_BITS) - F.shiftright(F.min(f"k{i}"), TIE_BITS) for i in range(len(DIMENSIONS))]
         found = {r["node"]: r for r in rows.where(F.col("node").isin(list(leaves))).groupBy("node").agg(F.sum("size").alias("size"), F.array(*wide).alias("wide")).collect()}
+        leaves = {node: r for node, r in leaves.items() if node in found}
+        if not leaves:
+            break
         extent = extent or [max(1, x) for x in found[1]["wide"]]
         goals = {}
         for node, (a, b) in leaves.items():
-            if node in found:
-                r = found[node]
-                widest = max(range(len(DIMENSIONS)), key=lambda i: r["wide"][i] / extent[i])
-                goals[node] = (widest, max(1, r["size"] * ((b - a) // 2) // (b - a)))
+            r = found[node]
+            widest = max(range(len(DIMENSIONS)), key=lambda i: r["wide"][i] / extent[i])
+            goals[node] = (widest, max(1, r["size"] * ((b - a) // 2) // (b - a)))
         split = _medians(rows, goals)
         to = {node: (2 * node, 2 * node + 1) for node in leaves}
         go = F.col("node")
