@@ -30,6 +30,8 @@ def plan_ingest(incoming: DataFrame, stored: DataFrame, key: str = "document_key
 
 def apply_ingest(stored: DataFrame, incoming: DataFrame, key: str = "document_key") -> DataFrame:
     """stored with the plan carried out: touched keys' active rows archived, the new versions active. Applying it again changes nothing."""
+    # A union that claims its children's partitioning fails once adaptive execution has merged partitions of only one of them.
+    stored.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
     plan = plan_ingest(incoming, stored, key).where("action <> 'skip'")
     touched = plan.select(F.col(key).alias("_key"))
     kept = stored.join(touched, F.col(key) == F.col("_key"), "left")

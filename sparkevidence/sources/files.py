@@ -24,7 +24,7 @@ def document_key(path: Column, root: str) -> Column:
 
 def scan_text_corpus(spark: SparkSession, root: str) -> DataFrame:
     """(document_key, title, text) of every .txt, .md and .markdown file below root; the title leads the text."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md,markdown}").text(root)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md,markdown}").text(root, wholetext=True)
     rows = raw.select(document_key(F.col("_metadata.file_path"), root.rstrip("/").rsplit("/", 1)[-1]).alias("document_key"), "value")
     title = title_of(F.col("value"), F.regexp_replace(F.regexp_extract("document_key", "([^/]+)$", 1), r"\.[a-z]+$", ""))
     return rows.select("document_key", title.alias("title"), F.concat(F.lit("# "), title, F.lit("\n\n"), "value").alias("text"))
@@ -54,7 +54,7 @@ def _flattened(values: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def scan_json_corpus(spark: SparkSession, root: str) -> DataFrame:
     """(document_key, title, text, valid): JSON files as lines "- path: value"; invalid JSON is kept raw."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root, wholetext=True)
     rows = raw.select(document_key(F.col("_metadata.file_path"), root.rstrip("/").rsplit("/", 1)[-1]).alias("document_key"), "value")
     rows = rows.withColumn("x", F.pandas_udf(_flattened, "lines array<string>, title string, valid boolean")("value"))
     text = F.when(F.col("x.valid"), F.array_join("x.lines", "\n")).otherwise(F.col("value"))
