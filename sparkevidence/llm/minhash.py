@@ -172,17 +172,17 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, rows: int =
     classes = saved(classes, "classes")
     pairs = classes.select("rep", F.posexplode("bands").alias("band", "key")).select("rep", "key")
     mates = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.min("rep").alias("least")).where("g > 1").select("key", "least")
-    members = pairs.join(mates, "key").select("least", "rep").distinct()
+    members = pairs.join(mates.hint("merge"), "key").select("least", "rep").distinct()
     members = saved(members, "buckets")
     sizes = members.groupBy("least").agg(F.count(F.lit(1)).alias("g"))
     members = members.join(sizes, "least").select(F.col("least").alias("key"), "rep", "g")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, shingles binary")
+    sets = texts.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, shingles binary")
     blocks = F.ceil(F.col("g") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     dealt = members.withColumn("m", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     dealt = dealt.select("rep", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    compared = dealt.join(sets, F.col("rep") == F.col("doc_id")).select("key", "i", "j", "doc_id", "shingles")
+    compared = dealt.join(sets.hint("merge"), F.col("rep") == F.col("doc_id")).select("key", "i", "j", "doc_id", "shingles")
     found = compared.groupBy("key", "i", "j").applyInArrow(_verified(percent), "a long, b long")
     same = member.join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     roots = components(found.union(same))
