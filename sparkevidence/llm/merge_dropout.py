@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -13,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkevidence.llm.hashing import BASE, U, mix
-from sparkevidence.llm.shared import small_batches
+from sparkevidence.llm.hashing import BASE, BASE2, U, mix
+from sparkevidence.llm.shared import arrow_bytes, slices, small_batches
 
 DROPOUT = 0.1
 SEED = 17
@@ -24,6 +23,7 @@ VARIANTS = 4
 KEPT_CHUNKS = 600_000
 _SPACE = "▁"
 _M = (1 << 64) - 1
+_NONE = 1 << 40
 
 
 def piece_model() -> str:
@@ -36,7 +36,8 @@ class DropoutEncoder:
     """Merge-type segmentation of texts by a BPE model's pieces, with each candidate merge skipped by a keyed hash.
 
     Pieces never hold a space mark after another character, nor a line feed, so a text falls into chunks (a run of spaces and what
-    follows it) that are cut independently; this is checked when the model is loaded.
+    follows it) that are cut independently; this is checked when the model is loaded. The chunks of a batch that are not known yet are
+    cut together: every chunk has an agenda of its adjacent pairs, a row of scores, and each step carries out the best merge of each.
     """
 
     def __init__(self, path: str, dropout: float, seed: int, variants: int) -> None:
@@ -46,83 +47,128 @@ class DropoutEncoder:
         n = self.sp.get_piece_size()
         usable = [i for i in range(n) if not (self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_byte(i) or self.sp.is_unused(i))]
         # Pieces are kept with plain spaces, so a space mark in a text is no piece; it goes out as bytes and comes back as itself.
-        self.ids = {self.sp.id_to_piece(i).replace(_SPACE, " "): i for i in usable}
-        self.score = {p: self.sp.get_score(i) for p, i in self.ids.items()}
-        self.bytes = [self.sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        if any(" " in p.lstrip(" ") or "\n" in p for p in self.ids):
+        ids = {self.sp.id_to_piece(i).replace(_SPACE, " "): i for i in usable}
+        if any(" " in p.lstrip(" ") or "\n" in p for p in ids):
             raise ValueError("pieces of this model cross the chunks that the encoder cuts")
+        self.bytes = [self.sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        self.base = n
+        single = sorted((ord(p), i) for p, i in ids.items() if len(p) == 1)
+        self.points, self.point_ids = (np.array(x, np.int64) for x in zip(*single))
+        merges = sorted((ids[p[:k]] * n + ids[p[k:]], i) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids)
+        self.pairs, self.merged = (np.array(x, np.int64) for x in zip(*merges))
+        # Rank of each piece by score, the best first.
+        scores = np.array([self.sp.get_score(i) for i in range(n)])
+        self.rank = np.empty(n, np.int64)
+        self.rank[np.argsort(-scores, kind="stable")] = np.arange(n)
         self.threshold = int(dropout * (1 << 32))
         self.seed, self.variants = seed, variants
         self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
         self.size = 0
         self.chunk = re.compile(" +[^ \n]*|[^ \n]+|\n")
 
-    def _key(self, chunk: str, variant: int) -> int:
-        return int.from_bytes(hashlib.blake2b(f"{self.seed}|{variant}|{chunk}".encode(), digest_size=8).digest(), "little")
-
-    def segment(self, chunk: str, variant: int) -> list[int]:
-        """Agenda of candidate merges, best score first, leftmost on ties. A skipped candidate may come up again only as part of
-        another pair."""
-        symbols: list[str] = list(chunk)
-        n = len(symbols)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda: list[tuple[float, int, int, str]] = []
-        score, threshold = self.score, self.threshold
-        key = self._key(chunk, variant) if threshold else 0
-
-        def propose(left: int, right: int) -> None:
-            piece = symbols[left] + symbols[right]
-            s = score.get(piece)
-            if s is not None:
-                if threshold:
-                    h = (key ^ (left * 0x9E3779B97F4A7C15 + right * 0xC2B2AE3D27D4EB4F)) & _M
-                    h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & _M
-                    h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & _M
-                    if (h >> 32) < threshold:
-                        return
-                heapq.heappush(agenda, (-s, left, right, piece))
-
-        for i in range(n - 1):
-            propose(i, i + 1)
-        while agenda:
-            _, left, right, piece = heapq.heappop(agenda)
-            if not symbols[left] or not symbols[right] or len(symbols[left]) + len(symbols[right]) != len(piece) or after[left] != right:
-                continue
-            symbols[left], symbols[right] = piece, ""
-            after[left] = after[right]
-            if after[left] < n:
-                before[after[left]] = left
-                propose(left, after[left])
-            if before[left] >= 0:
-                propose(before[left], left)
-        out: list[int] = []
-        for s in symbols:
-            if s:
-                i = self.ids.get(s)
-                if i is None:
-                    out.extend(self.bytes[b] for b in s.encode())
-                else:
-                    out.append(i)
+    def _candidates(self, a: np.ndarray, b: np.ndarray, keys: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merged piece and rank of each pair of symbols at two places; _NONE for pairs that no piece joins or that the hash skips."""
+        key = a * self.base + b
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        found = (self.pairs[at] == key) & (a >= 0) & (b >= 0)
+        piece = np.where(found, self.merged[at], 0)
+        if self.threshold:
+            with np.errstate(over="ignore"):
+                h = mix(keys ^ (left.astype(U) * U(BASE) + right.astype(U) * U(BASE2)))
+            found &= (h >> U(32)) >= U(self.threshold)
+        return piece, np.where(found, self.rank[piece], _NONE)
+
+    def segment(self, chunks: list[tuple[int, str]]) -> list[bytes]:
+        """Little-endian 32-bit ids of each (variant, chunk)."""
+        out: list[bytes] = [b""] * len(chunks)
+        by_size: dict[int, list[int]] = {}
+        for i, (_, c) in enumerate(chunks):
+            by_size.setdefault(max(8, 1 << (len(c) - 1).bit_length()), []).append(i)
+        for width, places in by_size.items():
+            step = max(1, (1 << 19) // width)
+            for a in range(0, len(places), step):
+                part = places[a : a + step]
+                for i, ids in zip(part, self._cut([chunks[i] for i in part], width)):
+                    out[i] = ids
         return out
 
-    def encode(self, text: str, doc_key: int) -> bytes:
-        """Little-endian 32-bit ids. The model puts a space mark before the text; an empty text has no ids."""
-        if not text:
-            return b""
-        chunks = self.chunk.findall(" " + text)
-        picks = (mix(np.arange(len(chunks), dtype=U) * U(BASE) + U(doc_key & _M)) >> U(33)) % U(self.variants)
-        out, known = [], self.known
-        for chunk, v in zip(chunks, picks.tolist()):
-            x = known[v].get(chunk)
-            if x is None:
-                x = np.array(self.segment(chunk, v), "<u4").tobytes()
-                if self.size >= KEPT_CHUNKS:
-                    self.known = known = [{} for _ in range(self.variants)]
-                    self.size = 0
-                known[v][chunk] = x
-                self.size += 1
-            out.append(x)
-        return b"".join(out)
+    def _cut(self, chunks: list[tuple[int, str]], width: int) -> list[bytes]:
+        texts = [c for _, c in chunks]
+        n, size = len(texts), np.array([len(c) for c in texts])
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.int64)
+        row = np.repeat(np.arange(n), size)
+        column = np.arange(len(points)) - np.repeat(np.cumsum(size) - size, size)
+        # The key of a chunk and variant: a rolling hash of its characters.
+        start = np.cumsum(size) - size
+        with np.errstate(over="ignore"):
+            power = np.multiply.accumulate(np.concatenate((np.ones(1, U), np.full(width - 1, BASE, U)))) if width > 1 else np.ones(1, U)
+            keys = np.add.reduceat(mix(points.astype(U) + U(1)) * power[column], start)
+            keys = mix(keys + (np.array([v for v, _ in chunks], U) + U(self.seed * self.variants & _M)) * U(BASE2))
+        at = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
+        symbols = np.full((n, width + 1), -1, np.int64)
+        symbols[row, column] = np.where(self.points[at] == points, self.point_ids[at], -1)
+        alive = np.zeros((n, width + 1), bool)
+        alive[row, column] = True
+        after = np.tile(np.arange(1, width + 2), (n, 1))
+        before = np.tile(np.arange(-1, width), (n, 1))
+        rank = np.full((n, width + 1), _NONE, np.int64)
+        piece = np.zeros((n, width + 1), np.int64)
+        inner = column + 1 < size[row]
+        r, c = row[inner], column[inner]
+        piece[r, c], rank[r, c] = self._candidates(symbols[r, c], symbols[r, c + 1], keys[r], c, c + 1)
+        live = np.arange(n)
+        while len(live):
+            j = rank[live].argmin(1)
+            go = rank[live, j] < _NONE
+            live, j = live[go], j[go]
+            if not len(live):
+                break
+            right = after[live, j]
+            symbols[live, j] = piece[live, j]
+            alive[live, right] = False
+            rank[live, right] = _NONE
+            beyond = after[live, right]
+            after[live, j] = beyond
+            has = beyond < size[live]
+            before[live[has], beyond[has]] = j[has]
+            rank[live, j] = _NONE
+            x, y, z = live[has], j[has], beyond[has]
+            piece[x, y], rank[x, y] = self._candidates(symbols[x, y], symbols[x, z], keys[x], y, z)
+            prior = before[live, j]
+            has = prior >= 0
+            x, y, z = live[has], prior[has], j[has]
+            piece[x, y], rank[x, y] = self._candidates(symbols[x, y], symbols[x, z], keys[x], y, z)
+        flat = symbols[alive]
+        counts = alive.sum(1)
+        ends = np.cumsum(counts)
+        raw = flat.astype("<u4").tobytes()
+        out = [raw[4 * (e - k) : 4 * e] for e, k in zip(ends.tolist(), counts.tolist())]
+        for i in np.flatnonzero((alive & (symbols < 0)).any(1)).tolist():  # characters that are no piece go out as bytes
+            ids: list[int] = []
+            for c in np.flatnonzero(alive[i]).tolist():
+                s = int(symbols[i, c])
+                ids += [s] if s >= 0 else [self.bytes[b] for b in texts[i][c].encode()]
+            out[i] = np.array(ids, "<u4").tobytes()
+        return out
+
+    def encode(self, texts: list[str], doc_keys: list[int]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text. The model puts a space mark before a text; an empty text has no ids."""
+        cut, missing = [], set()
+        known = self.known
+        for text, key in zip(texts, doc_keys):
+            chunks = self.chunk.findall(" " + text) if text else []
+            picks = ((mix(np.arange(len(chunks), dtype=U) * U(BASE) + U(key & _M)) >> U(33)) % U(self.variants)).tolist()
+            cut.append((picks, chunks))
+            missing.update([x for x in zip(picks, chunks) if x[1] not in known[x[0]]])
+        if self.size + len(missing) > KEPT_CHUNKS:
+            self.known = known = [{} for _ in range(self.variants)]
+            missing = {x for picks, chunks in cut for x in zip(picks, chunks)}
+            self.size = 0
+        self.size += len(missing)
+        order = list(missing)
+        for (v, c), ids in zip(order, self.segment(order)):
+            known[v][c] = ids
+        return [b"".join([known[v][c] for v, c in zip(picks, chunks)]) for picks, chunks in cut]
 
     def decode(self, ids: list[int]) -> str:
         return self.sp.decode(ids) if ids else ""
@@ -138,15 +184,16 @@ def _segmented(path: str, dropout: float, seed: int, variants: int, digest: bool
             _encoders[name] = DropoutEncoder(*name)
         encoder = _encoders[name]
         for batch in batches:
-            for a in range(0, batch.num_rows, 64):
-                part = batch.slice(a, 64)
-                raw, decoded = [], []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids = encoder.encode(text or "", hash_id(doc_id, seed))
-                    raw.append(ids)
-                    if digest:
+            _, offsets = arrow_bytes(batch.column(1))
+            for a, b in slices(offsets, 1 << 20):
+                part = batch.slice(a, b - a)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                raw = encoder.encode(texts, [hash_id(i, seed) for i in part.column(0).to_pylist()])
+                decoded = []
+                if digest:
+                    for ids, text in zip(raw, texts):
                         back = encoder.decode(np.frombuffer(ids, "<u4").tolist())
-                        decoded.append((zlib.crc32(ids), hashlib.sha256(back.encode()).hexdigest(), back == (text or "")))
+                        decoded.append((zlib.crc32(ids), hashlib.sha256(back.encode()).hexdigest(), back == text))
                 n = [len(x) // 4 for x in raw]
                 if digest:
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), *(pa.array([d[i] for d in decoded], t) for i, t in enumerate((pa.int64(), pa.string(), pa.bool_())))], names=["doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "lossless"])
