@@ -197,3 +197,15 @@ def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns = [F.col(f"`{c}`") for c in docs.columns]
     known = docs.join(flags, F.col("doc_id") == F.col("__kept")).select(*columns)
     return known.union(docs.where("doc_id is null"))
+
+
+ORACLE_SQL = """
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\x09-\\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) END) AS s FROM w),
+    x AS (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM s),
+    shared AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS i FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    links AS (SELECT a, b FROM shared WHERE 100 * i >= 80 * (na + nb - i)), ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT ways.b, reach.root FROM reach JOIN ways ON reach.node = ways.a),
+    top AS (SELECT node, min(root) AS component_id FROM reach GROUP BY 1)
+    SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN top ON node = doc_id
+"""

@@ -53,4 +53,4 @@ def op10_kd_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_chroma, op2_orc_tokens, op3_merge_dropout, op4_mixing, op5_suffix_dedup, op6_cotraining, op7_minhash, op8_licenses, op9_multiset_hash, op10_kd_tree)}
 
-ORACLES = {"op4_mixing": mixing.ORACLE_SQL}
+ORACLES = {"op4_mixing": mixing.ORACLE_SQL, "op7_minhash": minhash.ORACLE_SQL}
