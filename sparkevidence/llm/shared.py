@@ -38,7 +38,9 @@ def saved(df: DataFrame, name: str = "cut") -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker holds at once by bytes, however long the texts are."""
+    """Bounds what a Python worker holds at once by bytes, however long the texts are. Unions don't claim their children's
+    partitioning, which fails once adaptive execution has merged partitions of only one of them."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
