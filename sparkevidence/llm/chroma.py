@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from sparkevidence.llm.hashing import BASE, BASE2, U, mix
 from sparkevidence.llm.shared import saved, small_batches, text_or_empty
 
-RATE, FRAME, HOP = 8000, 256, 64
+RATE, FRAME, HOP = 8000, 128, 64
 #: Frames that a code looks at, codes between a landmark's two, codes among which one landmark is kept.
-REACH, APART, KEEP = 8, 4, 8
+REACH, APART, KEEP = 4, 1, 4
 #: Frames that are transformed at once.
 BLOCK = 1 << 14
 
@@ -81,7 +81,7 @@ def chroma_frames(x: np.ndarray) -> np.ndarray:
 
 def _filters() -> list[tuple[int, int, int, int]]:
     """(kind, first pitch class, classes, frames) of the sixteen filters: early less late, low less high, and crossed quarters."""
-    return [(i % 3, (5 * i) % (13 - h), h, w) for i in range(16) for h, w in [((4, 6, 12, 8)[i % 4], (8, 4, 6, 2)[i // 4])]]
+    return [(i % 3, (5 * i) % (13 - h), h, w) for i in range(16) for h, w in [((4, 6, 12, 8)[i % 4], (4, 2, 4, 2)[i // 4])]]
 
 
 _FILTERS = _filters()
@@ -190,23 +190,24 @@ def search(media: DataFrame, every: int = 50, error: float = 0.35) -> DataFrame:
     asking = F.pmod("doc_id", F.lit(every)) == 0
     classes = prints.groupBy("s1", "s2", "n_codes").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n"), F.min(F.when(asking, F.col("doc_id"))).alias("asker"))
     classes = saved(classes, "classes")
-    led = prints.join(classes.select(F.col("class_id").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"]).dropDuplicates(["doc_id", "s1", "s2"])
-    led = saved(led.select(F.col("doc_id").alias("r"), "codes", "marks"), "led")
+    leads = classes.select(F.col("class_id").alias("doc_id"), "s1", "s2")
+    led = lambda *columns: prints.select("doc_id", "s1", "s2", *columns).join(leads, ["doc_id", "s1", "s2"]).withColumnRenamed("doc_id", "r")
     askers = classes.where("asker is not null").select(F.col("asker").alias("doc_id"), F.col("class_id").alias("own"))
     queries = fingerprints(media.where(asking).join(askers.select("doc_id"), "doc_id", "left_semi"), HOP).join(askers, "doc_id")
     queries = saved(queries.select(F.col("doc_id").alias("q"), "own", "phase", "codes", "marks"), "queries")
-    all_marks = led.select("r", F.explode("marks").alias("m")).select("r", "m.h", F.col("m.at").alias("r_at"))
+    all_marks = led("marks").select("r", F.explode("marks").alias("m")).select("r", "m.h", F.col("m.at").alias("r_at"))
     asked = queries.select("q", "own", "phase", F.explode("marks").alias("m")).select("q", "own", "phase", F.col("m.h").alias("h"), F.col("m.at").alias("q_at"))
     offset = (F.col("r_at") - F.col("q_at")) * HOP - F.col("phase")
     votes = asked.join(all_marks, "h").where("own <> r").groupBy("q", "r", offset.alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy("q", "r").agg(F.max(F.struct("votes", (-F.col("offset")).alias("o"))).alias("b")).select("q", "r", F.col("b.votes").alias("votes"), (-F.col("b.o")).alias("offset"))
     best = best.withColumn("phase", F.pmod(-F.col("offset"), F.lit(HOP)).cast("int"))
-    pairs = best.join(queries.select("q", "phase", F.col("codes").alias("q_codes")), ["q", "phase"]).join(led.select("r", F.col("codes").alias("r_codes")), "r")
+    pairs = best.join(queries.select("q", "phase", F.col("codes").alias("q_codes")), ["q", "phase"]).join(led("codes").select("r", "s1", "s2", F.col("codes").alias("r_codes")).dropDuplicates(["r", "s1", "s2"]), "r")
     steps = ((F.col("offset") + F.col("phase")) / HOP).cast("int")
     qa, ra = F.greatest(-steps, F.lit(0)), F.greatest(steps, F.lit(0))
     n = F.least(F.size("q_codes") - qa, F.size("r_codes") - ra)
     wrong = F.aggregate(F.zip_with(F.slice("q_codes", qa + 1, n), F.slice("r_codes", ra + 1, n), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     matched = pairs.select("q", "r", "votes", "offset", (wrong / (32 * n)).alias("error")).where(F.col("error") <= error)
+    matched = matched.groupBy("q", "r").agg(F.min(F.struct("error", "votes", "offset")).alias("m")).select("q", "r", "m.votes", "m.offset", "m.error")
     top = matched.groupBy("q").agg(F.count(F.lit(1)).alias("n_matches"), F.min(F.struct("error", (-F.col("votes")).alias("v"), "r", "offset")).alias("b"))
     out = prints.where(asking).select("doc_id", "n_codes", "s1", "s2").join(classes, ["s1", "s2", "n_codes"]).join(top, F.col("asker") == F.col("q"), "left")
     return out.select(
