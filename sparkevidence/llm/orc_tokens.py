@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +17,9 @@ from sparkevidence.llm.shared import new_path, saved, small_batches
 
 END_ID = 1
 #: Words whose ids a worker keeps at hand.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 600_000
+#: Marks that a word may end in; a run of them is one piece of the splitter.
+_MARKS = b".,;:!?*#$%&|)(\"-"
 ORC_OPTIONS = {
     "orc.compress": "ZSTD",
     "orc.stripe.size": str(64 << 20),
@@ -31,34 +36,72 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordEncoder:
-    """Encodes texts with the tokenizers library, one call for the distinct words of a batch.
+def _byte_letters() -> list[str]:
+    """The characters by which a byte-level vocabulary writes bytes: printable ones as themselves, the rest from U+0100 on in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
 
-    The tokenizer's normaliser and splitter never join across white space, so a text's ids are those of its words in order. Words
-    are cut at ASCII white space, and A-Z are lower-cased as the normaliser does anyway, unless the text may hold a special token.
+
+if sys.byteorder != "little":
+    raise ImportError("ids are written as little-endian integers")
+
+
+class WordEncoder(dict):
+    """Ids of words, as 32-bit integers by UTF-8 bytes; a word is encoded when it is first asked for.
+
+    The tokenizer's normaliser and splitter never join across white space, so a text's ids are those of its words in order. Words of
+    Latin characters that are in normal form are split here by the tokenizer's own pattern and their pieces go to its BPE model;
+    any other word goes through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
+        import json
+
+        import regex
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each UTF-8 text."""
-        split = [(x if b"<|" in x else x.lower()).split() for x in texts]
-        new = {w for words in split for w in words}.difference(self.known)
-        if len(self.known) + len(new) > KEPT_WORDS:
-            self.known = {}
-            new = {w for words in split for w in words}
-        if new:
-            order = list(new)
-            for a in range(0, len(order), 20_000):
-                part = order[a : a + 20_000]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                    self.known[w] = np.array(e.ids, "<u4").tobytes()
-        known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
+        config = json.loads(self.tokenizer.to_str())
+        self.model = self.tokenizer.model
+        self.splitter = regex.compile(config["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.plain = regex.compile("[\\x21-\\x7E\u00A1-\u012F\u0131-\u024F]+")
+        self.letters = _byte_letters()
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one piece of the splitter, in lower case."""
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) >= KEPT_WORDS:
+                self.pieces.clear()
+            letters = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+            ids = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        return ids
+
+    def _word(self, word: bytes) -> bytes:
+        core = word.rstrip(_MARKS)
+        if core.isalpha():  # ASCII letters: one piece, and perhaps one of marks after it
+            text = core.decode()
+        else:
+            text = core.decode()
+            if b"<|" in word or not self.plain.fullmatch(word.decode()) or not unicodedata.is_normalized("NFC", text):
+                return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+            if not text.isalpha():
+                return b"".join([self._piece(x) for x in self.splitter.findall(word.decode().lower())])
+            text = text.lower()
+        return self._piece(text) + self._piece(word[len(core) :].decode()) if len(core) < len(word) else self._piece(text)
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        ids = self[word] = self._word(word)
+        return ids
+
+    def encode(self, text: bytes) -> bytes:
+        """A-Z are lower-cased before words are looked up, as the normaliser does anyway, unless the text may hold a special token."""
+        return b"".join(map(self.__getitem__, (text if b"<|" in text else text.lower()).split()))
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -66,21 +109,19 @@ _encoders: dict[str, WordEncoder] = {}
 
 def _encoded(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        encoder = _encoders.setdefault(path, WordEncoder(path)) if path not in _encoders else _encoders[path]
-        end = np.array([end_id], "<u4").tobytes()
+        if path not in _encoders:
+            _encoders[path] = WordEncoder(path)
+        encoder, end = _encoders[path], np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(1).cast(pa.binary())
             held, size, a = [], 0, 0
             for i in range(batch.num_rows):
-                held.append((texts[i].as_py() or "").encode())
-                size += len(held[-1])
+                text = texts[i].as_py() or b""
+                held.append(encoder.encode(text) + end)
+                size += len(text)
                 if size > 2 << 20 or i == batch.num_rows - 1:
-                    ids = [x + end for x in encoder.encode(held)]
-                    at = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(at, pa.array(np.frombuffer(b"".join(ids), "<i4")))
+                    at = np.concatenate(([0], np.cumsum([len(x) // 4 for x in held]))).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(at, pa.array(np.frombuffer(b"".join(held), "<i4")))
                     yield pa.RecordBatch.from_arrays([batch.column(0)[a : i + 1], lists], names=["doc_id", "ids"])
                     held, size, a = [], 0, i + 1
 
