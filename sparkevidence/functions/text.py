@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}_]+"
+#: Shapes of code-like terms; repeated groups are possessive, as the JVM's matcher recurses on others.
+EXACT = r"[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)++|[A-Za-z0-9]+(?:[./][A-Za-z0-9]+)++|v[0-9]+(?:\.[0-9]+)++"
 #: Words that do not count as significant terms. Fixed values.
 STOPWORDS = ("the", "of", "and", "to", "in", "is", "it", "on", "for", "that", "with", "as", "was", "are", "be", "this", "le", "la", "de", "des", "un", "une", "et", "der", "die", "das", "und", "el", "los", "las", "y")
 #: Labels that are page furniture when they make up a whole line. Fixed values.
@@ -66,8 +68,7 @@ def significant_terms(text: Column) -> Column:
 
 def exact_terms(text: Column, most: int = 12) -> Column:
     """Code-shaped terms: upper-case names, dotted or slashed paths, versions."""
-    shape = r"[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+|[A-Za-z0-9]+(?:[./][A-Za-z0-9]+)+|v[0-9]+(?:\.[0-9]+)+"
-    return F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(shape), F.lit(0))), 1, most)
+    return F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(EXACT), F.lit(0))), 1, most)
 
 
 def guess_term_type(term: Column) -> Column:

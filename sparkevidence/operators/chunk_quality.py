@@ -34,8 +34,9 @@ def useful_word_count(content: Column) -> Column:
 
 
 def has_descriptive_sentence(content: Column) -> Column:
-    """A sentence mark after at least six words."""
-    return content.rlike(r"(\p{L}+[ ,]+){5,}\p{L}+[^.!?\n]*[.!?]")
+    """A sentence mark after at least six words. Repeated groups are bounded or possessive throughout: the JVM's matcher recurses on
+    others, and a long text would overflow its stack."""
+    return content.rlike(r"(?:\p{L}++[ ,]++){5}\p{L}+[^.!?\n]*[.!?]")
 
 
 def title_only(content: Column, heading: Column) -> Column:

@@ -123,8 +123,7 @@ def canonical_collisions(spark, sf_dir):
     g AS (SELECT source, term, count(*) AS n FROM t GROUP BY ALL) SELECT source, term, n AS observations, round(least(0.52::DOUBLE + least(0.025::DOUBLE * n, 0.18) + 0.08::DOUBLE, 0.95), 4) AS confidence FROM g""")
 def glossary_candidates(spark, sf_dir):
     """Code-shaped terms of each source with a confidence from the number of observations."""
-    shape = r"[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+|[A-Za-z0-9]+(?:[./][A-Za-z0-9]+)+|v[0-9]+(?:\.[0-9]+)+"
-    t = corpus.table(spark, sf_dir, "documents").select("source", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(shape), F.lit(0)))).alias("term"))
+    t = corpus.table(spark, sf_dir, "documents").select("source", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(T.EXACT), F.lit(0)))).alias("term"))
     g = t.groupBy("source", "term").agg(F.count(F.lit(1)).alias("observations"))
     return g.withColumn("confidence", F.round(F.least(F.lit(0.52) + F.least(0.025 * F.col("observations"), F.lit(0.18)) + 0.08, F.lit(0.95)), 4))
 

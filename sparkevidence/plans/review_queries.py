@@ -183,7 +183,7 @@ def archive_plan(spark, sf_dir):
     SELECT doc_id, term, CASE WHEN NOT approved THEN 'not_approved' WHEN sensitive THEN 'sensitive' WHEN k > 1 THEN 'duplicate' ELSE 'apply' END AS action FROM r""")
 def glossary_apply_plan(spark, sf_dir):
     """Which reviewed terms are applied: approved ones, no sensitive ones, each once."""
-    t = corpus.table(spark, sf_dir, "documents").select("source", "doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+(?:[./][A-Za-z0-9]+)+"), F.lit(0)))).alias("term"))
+    t = corpus.table(spark, sf_dir, "documents").select("source", "doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+(?:[./][A-Za-z0-9]+)++"), F.lit(0)))).alias("term"))
     first = t.groupBy(F.lower("term").alias("key")).agg(F.min(F.struct("doc_id", "source", "term")).alias("f"))
     out = t.join(first, F.lower("term") == F.col("key"))
     again = (F.col("doc_id") != F.col("f.doc_id")) | (F.col("term") != F.col("f.term"))

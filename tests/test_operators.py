@@ -149,3 +149,11 @@ def test_eval_files(spark, tmp_path):
     (tmp_path / "p.json").write_text(json.dumps([{"id": "a", "final_answer": "x", "selected_documents": ["d", "d"], "documents": ["e"]}]))
     r = files.scan_predictions(spark, str(tmp_path / "p.json")).first()
     assert (r["case_id"], r["answer"], r["documents"]) == ("a", "x", ["e", "d"])
+
+
+def test_long_texts_do_not_overflow_the_matcher(spark):
+    from sparkevidence.functions import text as T
+
+    d = spark.createDataFrame([("word " * 60_000, "a.b" * 30_000)], "content string, dotted string").withColumn("heading", F.lit("h"))
+    row = chunk_quality.with_quality(d).select("descriptive", F.size(T.exact_terms(F.col("dotted"))).alias("n")).first()
+    assert not row["descriptive"] and row["n"] == 1
