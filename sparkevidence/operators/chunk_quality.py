@@ -34,9 +34,10 @@ def useful_word_count(content: Column) -> Column:
 
 
 def has_descriptive_sentence(content: Column) -> Column:
-    """A sentence mark after at least six words. Repeated groups are bounded or possessive throughout: the JVM's matcher recurses on
-    others, and a long text would overflow its stack."""
-    return content.rlike(r"(?:\p{L}++[ ,]++){5}\p{L}+[^.!?\n]*[.!?]")
+    """A sentence mark after at least six words of its line. Pieces are split off first: one pattern over all of it would look again from
+    every word of a long text without marks."""
+    pieces = F.split(content, r"(?<=[.!?\n])")
+    return F.exists(pieces, lambda p: F.substring(p, -1, 1).isin(".", "!", "?") & (F.regexp_count(p, F.lit(r"\p{L}+")) >= 6))
 
 
 def title_only(content: Column, heading: Column) -> Column:

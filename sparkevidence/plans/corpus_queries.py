@@ -148,7 +148,7 @@ def ranked_examples(spark, sf_dir):
 
 _TECH_SQL = "(" + " OR ".join(f"regexp_matches(content, '{s}')" for s in chunk_quality.TECHNICAL) + ")"
 _WIDGET_SQL = "(" + " OR ".join(f"contains(lower(content), '{w}')" for w in chunk_quality.WIDGETS) + ")"
-_QUALITY_CTE = f"""q0 AS (SELECT *, {_TECH_SQL} AS technical, len(regexp_extract_all(content, '\\p{{L}}{{3,}}')) AS useful_words, regexp_matches(content, '(\\p{{L}}+[ ,]+){{5}}\\p{{L}}+[^.!?\\n]*[.!?]') AS descriptive,
+_QUALITY_CTE = f"""q0 AS (SELECT *, {_TECH_SQL} AS technical, len(regexp_extract_all(content, '\\p{{L}}{{3,}}')) AS useful_words, len(list_filter(string_split(regexp_replace(content, '([.!?\\n])', '\\1' || chr(1), 'g'), chr(1)), lambda p: right(p, 1) IN ('.', '!', '?') AND len(regexp_extract_all(p, '\\p{{L}}+')) >= 6)) > 0 AS descriptive,
     trim(content) = trim(heading) AS title_only, len(list_filter(string_split(content, chr(10)), lambda x: starts_with(x, '#'))) * 2 > len(string_split(content, chr(10))) AS mostly_headings, {_WIDGET_SQL} AS widget,
     regexp_matches(content, '(?i)</?(div|span|script|style|nav|table|iframe)[ >/]') AS raw_html, len(regexp_extract_all(content, '[^ \\n]+')) < 8 AS very_short, len(content) > 12000 AS huge FROM chunks),
     q AS (SELECT *, useful_words < 5 AS no_useful_text, NOT technical AND (widget OR title_only OR mostly_headings OR (useful_words < 7 AND NOT descriptive)) AS low_value FROM q0)"""
