@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkevidence.llm.hashing import BASE, BASE2, U, Rolling, mix
@@ -241,11 +241,10 @@ def _context_spans(length: int, texts: DataFrame, found: DataFrame, k: int) -> D
     several = saved(several, "several")
     apart = distinct.join(several, F.col("anchor") == F.col("__anchor"), "left_semi")
     wanted = apart.groupBy(F.col("at.key").alias("__key")).agg(F.collect_list(F.struct("at.lo", "at.hi", "anchor", "h1", "h2")).alias("wanted"))
-    cut = texts.join(wanted, F.col("key") == F.col("__key")).select("text", "wanted").mapInArrow(_cut_out, "anchor long, h1 long, h2 long, bytes binary")
+    cut = texts.join(wanted.hint("merge"), F.col("key") == F.col("__key")).select("text", "wanted").mapInArrow(_cut_out, "anchor long, h1 long, h2 long, bytes binary")
+    cut = saved(cut, "cut")
     sizes = several.where(F.col("m") > MOST)
     hot = not sizes.isEmpty()
-    if hot:
-        cut = saved(cut, "cut")
     small = cut.join(sizes, F.col("anchor") == F.col("__anchor"), "left_anti") if hot else cut
     ordered = small.repartition("anchor").sortWithinPartitions("anchor", "h1", "h2")
     out = whole.unionByName(ordered.mapInArrow(_shard(length), "anchor long, h1 long, h2 long, spans array<int>"))
@@ -256,16 +255,26 @@ def _context_spans(length: int, texts: DataFrame, found: DataFrame, k: int) -> D
         large = saved(large, "large")
         again = _candidates(saved(large.mapInArrow(_anchored(length, k), _FOUND), "again"))
         inner = _context_spans(length, large, again, k)
-        spans = _placed(again, inner).groupBy("key").agg(F.flatten(F.array_sort(F.collect_list(F.array("lo", "hi")))).alias("spans"))
+        spans = _placed(again, inner).groupBy("key").agg(_united(F.array_sort(F.collect_list(F.struct("lo", "hi")))).alias("spans"))
         part = lambda i: F.conv(F.hex(F.substring("key", 8 * i + 1, 8)), 16, -10).cast("long")
         out = out.unionByName(spans.select(part(0).alias("anchor"), part(1).alias("h1"), part(2).alias("h2"), F.col("spans").cast("array<int>").alias("spans")))
     return out
 
 
+def _united(ordered: Column) -> Column:
+    """Sorted ranges as one flat array of maximal ranges, so that no level of grams hands up more ranges than a context has."""
+    last = lambda acc: F.try_element_at(acc, F.lit(-1))
+    longer = lambda acc, x: F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last(acc)["lo"].alias("lo"), F.greatest(last(acc)["hi"], x["hi"]).alias("hi"))))
+    joined = F.aggregate(ordered, F.filter(ordered, lambda x: F.lit(False)), lambda acc, x: F.when((F.size(acc) > 0) & (x["lo"] <= F.try_element_at(acc, F.lit(-1))["hi"]), longer(acc, x)).otherwise(F.concat(acc, F.array(x))))
+    return F.flatten(F.transform(joined, lambda x: F.array(x["lo"], x["hi"])))
+
+
 def _candidates(found: DataFrame) -> DataFrame:
     """The contexts whose anchor occurs more than once; only these can hold equal windows."""
     again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("anchor").alias("__anchor"))
-    return saved(found.join(again, F.col("anchor") == F.col("__anchor"), "left_semi"), "candidates")
+    # Written first, so that both sides of the join are plain exchanges and a hot anchor's rows can be split.
+    again = saved(again, "repeated-anchors")
+    return saved(found.join(again.hint("merge"), F.col("anchor") == F.col("__anchor"), "left_semi"), "candidates")
 
 
 def _placed(found: DataFrame, spans: DataFrame) -> DataFrame:
@@ -317,7 +326,7 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[D
     found = _candidates(saved(texts.mapInArrow(_anchored(length, gram), _FOUND), "anchors"))
     spans = _context_spans(length, texts, found, gram)
     ranges = _placed(found, spans).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")).withColumnRenamed("key", "__key")
-    changed = texts.join(ranges, F.col("key") == F.col("__key")).select("key", "text", "ranges")
+    changed = texts.join(ranges.hint("merge"), F.col("key") == F.col("__key")).select("key", "text", "ranges")
     changed = changed.mapInArrow(_kept, "key binary, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     return rows.select("key", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "sha256"), changed
 
