@@ -14,8 +14,8 @@ from sparkevidence.llm.hashing import U, mix, word_hashes
 from sparkevidence.llm.shared import arrow_bytes, saved, slices, small_batches, text_or_empty, unit_interval
 
 #: Bounds of the labelled sample and of the unlabelled pool that models are fitted on; rows are taken in order of a keyed hash.
-LABELLED = 12_000
-POOL = 6_000
+LABELLED = 6_000
+POOL = 3_000
 ROUNDS = 2
 #: A view hands a pseudo-label on when it is this sure of it.
 CONFIDENT = 0.97
@@ -38,7 +38,8 @@ class Rows:
     """Sparse rows of features: where each starts, and index and value of each entry."""
 
     def __init__(self, at: np.ndarray, index: np.ndarray, value: np.ndarray, width: int) -> None:
-        self.at, self.index, self.value, self.width = at, index, value, width
+        self.at, self.width = at, width
+        self.index, self.value = index.astype(np.int32, copy=False), value.astype(np.float32, copy=False)
 
     def __len__(self) -> int:
         return len(self.at) - 1
@@ -194,7 +195,7 @@ def _viewed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _rows(table: pa.Table, index: str, value: str, width: int) -> Rows:
     i, v = table[index].combine_chunks(), table[value].combine_chunks()
-    return Rows(np.asarray(i.offsets).astype(np.int64), np.asarray(i.values).astype(np.int64), np.asarray(v.values).astype(float), width)
+    return Rows(np.asarray(i.offsets).astype(np.int64), np.asarray(i.values), np.asarray(v.values), width)
 
 
 def trained(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> dict[str, dict | None]:
