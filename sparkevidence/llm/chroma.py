@@ -112,10 +112,11 @@ def codes(frames: np.ndarray) -> np.ndarray:
     return out
 
 
-def landmarks(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of thinned code pairs: of each KEEP consecutive ones the least stays, each hash at its first place."""
+def landmarks(c: np.ndarray, sounding: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of thinned code pairs: of each KEEP consecutive ones the least stays, each hash at its first place. Pairs that
+    start after the last sample are silence, alike in all short recordings, and no landmarks."""
     with np.errstate(over="ignore"):
-        h = mix(c[:-APART].astype(U) * U(BASE) + c[APART:].astype(U) * U(BASE2))
+        h = mix(c[:-APART].astype(U) * U(BASE) + c[APART:].astype(U) * U(BASE2))[: max(1, -(-sounding // HOP))]
     if len(h) > KEEP:
         view = np.lib.stride_tricks.sliding_window_view(h, KEEP)
         at = np.unique(np.argmin(view, 1) + np.arange(len(view)))
@@ -128,12 +129,12 @@ def landmarks(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _MARK = pa.struct([("h", pa.int64()), ("at", pa.int32())])
 
 
-def _printed(rows: list[tuple[int | None, int, np.ndarray]], doc_type: pa.DataType) -> pa.RecordBatch:
-    """rows: (doc_id, phase, codes)."""
-    marks = [landmarks(c) for _, _, c in rows]
+def _printed(rows: list[tuple[int | None, int, np.ndarray, int]], doc_type: pa.DataType) -> pa.RecordBatch:
+    """rows: (doc_id, phase, codes, samples)."""
+    marks = [landmarks(c, n) for _, _, c, n in rows]
     sums = []
     with np.errstate(over="ignore"):
-        for _, _, c in rows:
+        for _, _, c, _ in rows:
             place = np.arange(1, len(c) + 1, dtype=U)
             sums.append((int(np.add.reduce(mix(c.astype(U) + place * U(BASE))).view(np.int64)), int(np.add.reduce(mix(c.astype(U) ^ (place * U(BASE2)))).view(np.int64))))
     size = lambda lists: np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
@@ -157,7 +158,7 @@ def _fingerprinted(phases: int):
                 for p in range(0, HOP, HOP // phases):
                     if p and len(x) - p < FRAME:
                         break
-                    held.append((doc_id, p, codes(chroma_frames(x[p:]))))
+                    held.append((doc_id, p, codes(chroma_frames(x[p:])), len(x) - p))
                     size += len(held[-1][2])
                     if size > 200_000 or len(held) >= 512:
                         yield _printed(held, pa.int64())
