@@ -26,6 +26,10 @@ from sparkevidence.llm.shared import arrow_bytes, saved, slices, small_batches,
 
 LENGTH = 400
 GRAM = 48
+#: Words of the least passage that the pipeline's stage cuts out, the bytes that it has at least, and the grams of such windows.
+PASSAGE_WORDS = 51
+PASSAGE_BYTES = 2 * PASSAGE_WORDS - 1
+PASSAGE_GRAM = 32
 #: Contexts of one anchor that one shard takes; of more, longer grams are taken.
 MOST = 2048
 #: Bytes of text that are hashed at once, and of contexts whose suffixes are sorted at once.
@@ -315,20 +319,100 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests), pa.array(texts)], names=["key", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, text, sha256, key) of docs; key stands for the doc_id and the text's SHA-256."""
+    small_batches(docs.sparkSession)
+    rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("sha256", F.sha2(F.encode("text", "utf-8"), 256))
+    return rows.withColumn("key", F.unhex(F.md5(F.concat_ws("|", "sha256", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))))
+
+
+def _repeats(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """(key, lo, hi): ranges of the texts (key, text) that windows of `length` bytes cover which start somewhere else too."""
+    texts = texts.where(F.octet_length("text") >= length)
+    found = _candidates(saved(texts.mapInArrow(_anchored(length, gram), _FOUND), "anchors"))
+    return _placed(found, _context_spans(length, texts, found, gram))
+
+
+def _with_ranges(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """(key, text, ranges) of the texts that have a place (key, lo, hi)."""
+    ranges = places.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")).withColumnRenamed("key", "__key")
+    return texts.join(ranges.hint("merge"), F.col("key") == F.col("__key")).select("key", "text", "ranges")
+
+
+def _changed(texts: DataFrame, places: DataFrame) -> DataFrame:
+    return _with_ranges(texts, places).mapInArrow(_kept, "key binary, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+
+
 def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """Of rows (doc_id, text): one row (key, doc_id, n_bytes, sha256) per input row, and one row (key, n_removed, n_spans,
     kept_sha256, kept_text) per key that loses bytes. key stands for the doc_id and the text's SHA-256."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("sha256", F.sha2(F.encode("text", "utf-8"), 256))
-    rows = rows.withColumn("key", F.unhex(F.md5(F.concat_ws("|", "sha256", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))))
-    texts = rows.where(F.octet_length("text") >= length).select("key", "text")
-    found = _candidates(saved(texts.mapInArrow(_anchored(length, gram), _FOUND), "anchors"))
-    spans = _context_spans(length, texts, found, gram)
-    ranges = _placed(found, spans).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")).withColumnRenamed("key", "__key")
-    changed = texts.join(ranges.hint("merge"), F.col("key") == F.col("__key")).select("key", "text", "ranges")
-    changed = changed.mapInArrow(_kept, "key binary, n_removed long, n_spans long, kept_sha256 string, kept_text string")
-    return rows.select("key", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "sha256"), changed
+    rows = _keyed(docs)
+    texts = rows.select("key", "text")
+    return rows.select("key", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "sha256"), _changed(texts, _repeats(texts, length, gram))
+
+
+def word_places(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a text's bytes: where each word starts and ends, and the same without ASCII marks at its edges (a word of marks stays)."""
+    inside = np.concatenate(([False], ~((text == 32) | ((text >= 9) & (text <= 13))), [False]))
+    a, b = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+    core = np.flatnonzero((text >= 128) | ((text >= 48) & (text <= 57)) | (((text | 32) >= 97) & ((text | 32) <= 122)))
+    i, j = np.searchsorted(core, a), np.searchsorted(core, b)
+    core = np.append(core, 0)
+    return a, b, np.where(i < j, core[i], a), np.where(i < j, core[j - 1] + 1, b)
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text, ranges) to each run of PASSAGE_WORDS words in a range, if shorter than LENGTH, by two hashes, and to the bytes of
+    each range of LENGTH or more."""
+    names = ["key", "lo", "hi", "h1", "h2", "bytes"]
+    kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    for batch in batches:
+        data, offsets = arrow_bytes(batch.column(1))
+        ranges = batch.column(2)
+        at = np.asarray(ranges.offsets)
+        flat = ranges.flatten()
+        lo, hi = np.asarray(flat.field("lo")).astype(np.int64), np.asarray(flat.field("hi")).astype(np.int64)
+        for i in range(batch.num_rows):
+            key = batch.column(0)[i]
+            text = data[offsets[i] : offsets[i + 1]]
+            x, y = merged(lo[at[i] : at[i + 1]], hi[at[i] : at[i + 1]])
+            wide = y - x >= LENGTH
+            for a, b in zip(x[wide], y[wide]):
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((key.as_py(), a, b, 0, 0, text[a:b].tobytes()), kinds)], names=names)
+            begins, ends, first, last = word_places(text)
+            start, stop = np.searchsorted(first, x), np.searchsorted(last, y, "right") - (PASSAGE_WORDS - 1)
+            n = np.maximum(stop - start, 0)
+            if not n.any():
+                continue
+            run = np.repeat(np.arange(len(x)), n)
+            w = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n) + start[run]
+            a, b = first[w], last[w + PASSAGE_WORDS - 1]
+            short = b - a < LENGTH  # a longer one is found by its bytes
+            run, w, a, b = run[short], w[short], a[short], b[short]
+            size = (b - a).astype(U)
+            with np.errstate(over="ignore"):
+                h1, h2 = (mix(Rolling(text, base).span(a, b) + size * U(other)).view(np.int64) for base, other in ((BASE, BASE2), (BASE2, BASE)))
+            edges = np.maximum(begins[w], x[run]), np.minimum(ends[w + PASSAGE_WORDS - 1], y[run])
+            for c in range(0, len(w), 1 << 16):
+                part = slice(c, c + (1 << 16))
+                m = len(w[part])
+                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * m, kinds[0]), *(pa.array(v[part], t) for v, t in zip((*edges, h1, h2), kinds[1:5])), pa.nulls(m, kinds[5])], names=names)
+
+
+def passages(texts: DataFrame) -> DataFrame:
+    """(key, lo, hi): ranges of the texts (key, text) that occur anywhere else too and have PASSAGE_WORDS words or LENGTH bytes.
+
+    The suffix arrays find what repeats in windows of as many bytes as so many words have at least. Ranges that touch may repeat
+    different places, so runs of words within a range are compared as wholes, and ranges of LENGTH bytes once more by such windows.
+    """
+    parts = saved(_with_ranges(texts, _repeats(texts, PASSAGE_BYTES, PASSAGE_GRAM)).mapInArrow(_passages, "key binary, lo int, hi int, h1 long, h2 long, bytes binary"), "passages")
+    words = parts.where("bytes is null")
+    twice = saved(words.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2")), "repeated-passages")
+    words = words.join(twice.hint("merge"), (F.col("h1") == F.col("__h1")) & (F.col("h2") == F.col("__h2")), "left_semi").select("key", "lo", "hi")
+    at = F.unhex(F.lpad(F.hex("lo"), 8, "0"))
+    wide = _repeats(parts.where("bytes is not null").select(F.concat("key", at).alias("key"), F.col("bytes").alias("text")), LENGTH, GRAM)
+    start = F.conv(F.hex(F.substring("key", 17, 4)), 16, 10).cast("int")
+    return words.unionByName(wide.select(F.substring("key", 1, 16).alias("key"), (F.col("lo") + start).alias("lo"), (F.col("hi") + start).alias("hi")))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -347,9 +431,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
 
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every row with its repeated bytes cut out (a character that a cut splits goes); n_chars follows the text."""
-    _, changed = removals(docs)
-    changed = changed.select(F.col("key").alias("__key"), F.col("kept_text").alias("__new")).dropDuplicates(["__key"])
+    """Pipeline stage: every row with its repeated passages of over 50 words, or of LENGTH bytes, cut out (a character that a cut
+    splits goes); n_chars follows the text."""
+    texts = _keyed(docs).select("key", "text")
+    changed = _changed(texts, passages(texts)).select(F.col("key").alias("__key"), F.col("kept_text").alias("__new")).dropDuplicates(["__key"])
     key = F.unhex(F.md5(F.concat_ws("|", F.sha2(F.encode(text_or_empty(), "utf-8"), 256), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
     both = docs.withColumn("__k", key).join(changed, F.col("__k") == F.col("__key"), "left")
     new = {"text": F.coalesce("__new", "text")}

@@ -132,6 +132,28 @@ def test_suffix_dedup_hard_rows(docs, hard):
     assert {r["text"] for r in out.where("doc_id in (5, 6)").collect()} == {""}
 
 
+def test_stage_cuts_passages_of_over_50_words(docs, monkeypatch):
+    r = random.Random(21)
+    fresh = iter(range(10**6))
+    own = lambda n: " ".join(f"{r.choice('pqrs')}{next(fresh)}" for _ in range(n))
+    short = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(1, 3))) for _ in range(n))
+    over, under, tiny, first, second, dense = short(51), short(50), " ".join(r.choice("abcdefgh") for _ in range(51)), short(45), short(45), "".join(r.choice("abcdefgh") for _ in range(420))
+    assert len(over) < 200 and len(tiny) == 101
+    rows = [(10 + i, f'{own(30)} "{over}," {own(20)}') if i else (10, f"{own(30)} {over} {own(20)}") for i in range(3)]
+    rows += [(20 + i, f"{own(30)} {under} {own(20)}") for i in range(2)]
+    rows += [(30 + i, f"{own(3)} {tiny}") for i in range(2)]
+    rows += [(40, f"{own(5)} {first} {second} {own(5)}"), (41, f"{own(5)} {first} {own(9)}"), (42, f"{own(9)} {second} {own(5)}")]
+    rows += [(50 + i, f"{own(5)} {dense} {own(5)}") for i in range(2)]
+    text = dict(rows)
+    for most in (suffix_dedup.MOST, 2):
+        monkeypatch.setattr(suffix_dedup, "MOST", most)
+        got = {x["doc_id"]: x["text"] for x in suffix_dedup.dedup_stage(None, docs(rows), "").collect()}
+        assert len(got) == len(rows)
+        for i, passage in [(10, over), (11, over), (12, over), (30, tiny), (31, tiny), (50, dense), (51, dense)]:
+            assert passage not in got[i] and len(got[i]) >= len(text[i]) - len(passage) - 5, i
+        assert all(got[i] == text[i] for i in (20, 21, 40, 41, 42))
+
+
 def test_long_rows_are_anchored_in_pieces(monkeypatch):
     r = np.random.default_rng(2)
     data = r.integers(97, 123, 9000).astype(np.uint8)
