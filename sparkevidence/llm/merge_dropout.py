@@ -9,17 +9,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkevidence.llm.hashing import BASE, BASE2, U, mix
-from sparkevidence.llm.shared import arrow_bytes, slices, small_batches
+from sparkevidence.llm.shared import arrow_bytes, slices, small_batches, text_or_empty
 
 DROPOUT = 0.1
 SEED = 17
-#: Ways in which a chunk can be cut; each occurrence takes one by keyed hash of document and place.
-VARIANTS = 4
-#: Cut chunks that a worker keeps at hand, over all variants.
+#: Chunks that a worker keeps at hand as cut without a skip.
 KEPT_CHUNKS = 600_000
 _SPACE = "▁"
 _M = (1 << 64) - 1
@@ -33,14 +31,16 @@ def piece_model() -> str:
 
 
 class DropoutEncoder:
-    """Merge-type segmentation of texts by a BPE model's pieces, with each candidate merge skipped by a keyed hash.
+    """Merge-type segmentation of texts by a BPE model's pieces, with each candidate merge skipped by a hash that is keyed by seed,
+    document, the chunk's place in it and the pair's places in the chunk.
 
     Pieces never hold a space mark after another character, nor a line feed, so a text falls into chunks (a run of spaces and what
-    follows it) that are cut independently; this is checked when the model is loaded. The chunks of a batch that are not known yet are
-    cut together: every chunk has an agenda of its adjacent pairs, a row of scores, and each step carries out the best merge of each.
+    follows it) that are cut independently; this is checked when the model is loaded. Of each distinct chunk the cut without skips and
+    the candidates met on the way are kept: an occurrence whose hashes skip none of them is cut that way, every other one by itself.
+    Chunks are cut together: each has an agenda of its adjacent pairs, a row of scores, and each step carries out the best merge of each.
     """
 
-    def __init__(self, path: str, dropout: float, seed: int, variants: int) -> None:
+    def __init__(self, path: str, dropout: float) -> None:
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -61,49 +61,68 @@ class DropoutEncoder:
         self.rank = np.empty(n, np.int64)
         self.rank[np.argsort(-scores, kind="stable")] = np.arange(n)
         self.threshold = int(dropout * (1 << 32))
-        self.seed, self.variants = seed, variants
-        self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
-        self.size = 0
+        self._forget()
         self.chunk = re.compile(" +[^ \n]*|[^ \n]+|\n")
 
-    def _candidates(self, a: np.ndarray, b: np.ndarray, keys: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Merged piece and rank of each pair of symbols at two places; _NONE for pairs that no piece joins or that the hash skips."""
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.plain: list[bytes] = []
+        # Candidates of the known chunks, and where each chunk's start.
+        self.met, self.met_at = np.zeros(1 << 16, U), np.zeros(1, np.int64)
+
+    def _learn(self, chunks: list[str]) -> None:
+        ids, row, pair = self.segment(chunks, None)
+        self.known.update(zip(chunks, range(len(self.plain), len(self.plain) + len(chunks))))
+        self.plain += ids
+        at = self.met_at[-1] + np.cumsum(np.bincount(row, minlength=len(chunks)))
+        if at[-1] > len(self.met):
+            self.met = np.concatenate((self.met, np.zeros(max(len(self.met), at[-1] - len(self.met)), U)))
+        self.met[self.met_at[-1] : at[-1]] = pair[np.argsort(row, kind="stable")]
+        self.met_at = np.concatenate((self.met_at, at))
+
+    def _skips(self, keys: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        return (mix(keys ^ pair) >> U(32)) < U(self.threshold)
+
+    def _candidates(self, a: np.ndarray, b: np.ndarray, keys: np.ndarray | None, met: list, row: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merged piece and rank of each pair of symbols at two places; _NONE for pairs that no piece joins or that the hash skips.
+        Without keys none is skipped, and the candidates go to met."""
         key = a * self.base + b
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         found = (self.pairs[at] == key) & (a >= 0) & (b >= 0)
         piece = np.where(found, self.merged[at], 0)
         if self.threshold:
             with np.errstate(over="ignore"):
-                h = mix(keys ^ (left.astype(U) * U(BASE) + right.astype(U) * U(BASE2)))
-            found &= (h >> U(32)) >= U(self.threshold)
+                pair = left.astype(U) * U(BASE) + right.astype(U) * U(BASE2)
+            if keys is None:
+                met.append((row[found], pair[found]))
+            else:
+                found &= ~self._skips(keys[row], pair)
         return piece, np.where(found, self.rank[piece], _NONE)
 
-    def segment(self, chunks: list[tuple[int, str]]) -> list[bytes]:
-        """Little-endian 32-bit ids of each (variant, chunk)."""
+    def segment(self, chunks: list[str], keys: np.ndarray | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Little-endian 32-bit ids of each chunk with its key; without keys of each without skips, then also the chunk's number and
+        the places' hash of each candidate."""
         out: list[bytes] = [b""] * len(chunks)
+        rows, pairs = [np.zeros(0, np.int64)], [np.zeros(0, U)]
         by_size: dict[int, list[int]] = {}
-        for i, (_, c) in enumerate(chunks):
+        for i, c in enumerate(chunks):
             by_size.setdefault(max(8, 1 << (len(c) - 1).bit_length()), []).append(i)
         for width, places in by_size.items():
             step = max(1, (1 << 19) // width)
             for a in range(0, len(places), step):
-                part = places[a : a + step]
-                for i, ids in zip(part, self._cut([chunks[i] for i in part], width)):
+                part = np.array(places[a : a + step])
+                met: list[tuple[np.ndarray, np.ndarray]] = []
+                for i, ids in zip(part.tolist(), self._cut([chunks[i] for i in part.tolist()], None if keys is None else keys[part], width, met)):
                     out[i] = ids
-        return out
+                rows += [part[r] for r, _ in met]
+                pairs += [p for _, p in met]
+        return out, np.concatenate(rows), np.concatenate(pairs)
 
-    def _cut(self, chunks: list[tuple[int, str]], width: int) -> list[bytes]:
-        texts = [c for _, c in chunks]
+    def _cut(self, texts: list[str], keys: np.ndarray | None, width: int, met: list) -> list[bytes]:
         n, size = len(texts), np.array([len(c) for c in texts])
         points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.int64)
         row = np.repeat(np.arange(n), size)
         column = np.arange(len(points)) - np.repeat(np.cumsum(size) - size, size)
-        # The key of a chunk and variant: a rolling hash of its characters.
-        start = np.cumsum(size) - size
-        with np.errstate(over="ignore"):
-            power = np.multiply.accumulate(np.concatenate((np.ones(1, U), np.full(width - 1, BASE, U)))) if width > 1 else np.ones(1, U)
-            keys = np.add.reduceat(mix(points.astype(U) + U(1)) * power[column], start)
-            keys = mix(keys + (np.array([v for v, _ in chunks], U) + U(self.seed * self.variants & _M)) * U(BASE2))
         at = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
         symbols = np.full((n, width + 1), -1, np.int64)
         symbols[row, column] = np.where(self.points[at] == points, self.point_ids[at], -1)
@@ -115,7 +134,7 @@ class DropoutEncoder:
         piece = np.zeros((n, width + 1), np.int64)
         inner = column + 1 < size[row]
         r, c = row[inner], column[inner]
-        piece[r, c], rank[r, c] = self._candidates(symbols[r, c], symbols[r, c + 1], keys[r], c, c + 1)
+        piece[r, c], rank[r, c] = self._candidates(symbols[r, c], symbols[r, c + 1], keys, met, r, c, c + 1)
         live = np.arange(n)
         while len(live):
             j = rank[live].argmin(1)
@@ -133,11 +152,11 @@ class DropoutEncoder:
             before[live[has], beyond[has]] = j[has]
             rank[live, j] = _NONE
             x, y, z = live[has], j[has], beyond[has]
-            piece[x, y], rank[x, y] = self._candidates(symbols[x, y], symbols[x, z], keys[x], y, z)
+            piece[x, y], rank[x, y] = self._candidates(symbols[x, y], symbols[x, z], keys, met, x, y, z)
             prior = before[live, j]
             has = prior >= 0
             x, y, z = live[has], prior[has], j[has]
-            piece[x, y], rank[x, y] = self._candidates(symbols[x, y], symbols[x, z], keys[x], y, z)
+            piece[x, y], rank[x, y] = self._candidates(symbols[x, y], symbols[x, z], keys, met, x, y, z)
         flat = symbols[alive]
         counts = alive.sum(1)
         ends = np.cumsum(counts)
@@ -153,22 +172,34 @@ class DropoutEncoder:
 
     def encode(self, texts: list[str], doc_keys: list[int]) -> list[bytes]:
         """Little-endian 32-bit ids of each text. The model puts a space mark before a text; an empty text has no ids."""
-        cut, missing = [], set()
-        known = self.known
-        for text, key in zip(texts, doc_keys):
-            chunks = self.chunk.findall(" " + text) if text else []
-            picks = ((mix(np.arange(len(chunks), dtype=U) * U(BASE) + U(key & _M)) >> U(33)) % U(self.variants)).tolist()
-            cut.append((picks, chunks))
-            missing.update([x for x in zip(picks, chunks) if x[1] not in known[x[0]]])
-        if self.size + len(missing) > KEPT_CHUNKS:
-            self.known = known = [{} for _ in range(self.variants)]
-            missing = {x for picks, chunks in cut for x in zip(picks, chunks)}
-            self.size = 0
-        self.size += len(missing)
-        order = list(missing)
-        for (v, c), ids in zip(order, self.segment(order)):
-            known[v][c] = ids
-        return [b"".join([known[v][c] for v, c in zip(picks, chunks)]) for picks, chunks in cut]
+        cut = [self.chunk.findall(" " + text) if text else [] for text in texts]
+        chunks = [c for part in cut for c in part]
+        size = np.array([len(part) for part in cut], np.int64)
+        if not chunks:
+            return [b""] * len(texts)
+        missing = list({c for c in chunks if c not in self.known})
+        if len(self.plain) + len(missing) > KEPT_CHUNKS:
+            self._forget()
+            missing = list(set(chunks))
+        if missing:
+            self._learn(missing)
+        number = [self.known[c] for c in chunks]
+        out = [self.plain[i] for i in number]
+        if self.threshold:
+            ends = np.cumsum(size)
+            place = np.arange(len(chunks)) - np.repeat(ends - size, size)
+            with np.errstate(over="ignore"):
+                keys = mix(np.repeat(np.array([k & _M for k in doc_keys], U), size) + place.astype(U) * U(BASE))
+            for a in range(0, len(chunks), 1 << 17):
+                own = np.array(number[a : a + (1 << 17)])
+                n = self.met_at[own + 1] - self.met_at[own]
+                row = np.repeat(np.arange(len(own)), n)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + self.met_at[own][row]
+                apart = np.unique(row[self._skips(keys[a + row], self.met[at])]) + a
+                for i, ids in zip(apart.tolist(), self.segment([chunks[i] for i in apart.tolist()], keys[apart])[0]):
+                    out[i] = ids
+        edges = np.concatenate(([0], np.cumsum(size))).tolist()
+        return [b"".join(out[a:b]) for a, b in zip(edges, edges[1:])]
 
     def decode(self, ids: list[int]) -> str:
         return self.sp.decode(ids) if ids else ""
@@ -177,9 +208,11 @@ class DropoutEncoder:
 _encoders: dict[tuple, DropoutEncoder] = {}
 
 
-def _segmented(path: str, dropout: float, seed: int, variants: int, digest: bool):
+def _segmented(path: str, dropout: float, seed: int, digest: bool, check: bool = False):
+    """(doc_id, text) and perhaps the number of a row among copies to ids, or to digests of them; check: ids have to give the text back."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = (path, dropout, seed, variants)
+        name = (path, dropout)
         if name not in _encoders:
             _encoders[name] = DropoutEncoder(*name)
         encoder = _encoders[name]
@@ -188,11 +221,16 @@ def _segmented(path: str, dropout: float, seed: int, variants: int, digest: bool
             for a, b in slices(offsets, 1 << 20):
                 part = batch.slice(a, b - a)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                raw = encoder.encode(texts, [hash_id(i, seed) for i in part.column(0).to_pylist()])
+                copies = part.column(2).to_pylist() if part.num_columns > 2 else [0] * len(texts)
+                raw = encoder.encode(texts, [hash_id(i, seed, c) for i, c in zip(part.column(0).to_pylist(), copies)])
                 decoded = []
-                if digest:
+                if digest or check:
                     for ids, text in zip(raw, texts):
                         back = encoder.decode(np.frombuffer(ids, "<u4").tolist())
+                        if check:
+                            if back != text:
+                                raise ValueError("ids do not give back the text they were made from")
+                            continue
                         decoded.append((zlib.crc32(ids), hashlib.sha256(back.encode()).hexdigest(), back == text))
                 n = [len(x) // 4 for x in raw]
                 if digest:
@@ -204,18 +242,18 @@ def _segmented(path: str, dropout: float, seed: int, variants: int, digest: bool
     return run
 
 
-def hash_id(doc_id: int | None, seed: int) -> int:
-    return int(mix(np.array([((doc_id if doc_id is not None else -1) * 2 + 1 + seed * BASE) & _M], U))[0])
+def hash_id(doc_id: int | None, seed: int, copy: int = 0) -> int:
+    return int(mix(np.array([((doc_id if doc_id is not None else -1) * 2 + 1 + seed * BASE + copy * BASE2) & _M], U))[0])
 
 
-def encode(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, model: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, model: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>) for each row of docs (doc_id, text); with dropout 0 the model's own segmentation.
 
     The same seed gives the same ids in any run and partitioning. A null or empty text has no ids; a null doc_id is a key of its
     own; repeated rows give equal rows.
     """
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_segmented(model or piece_model(), dropout, seed, variants, False), "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(_segmented(model or piece_model(), dropout, seed, False), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
@@ -232,13 +270,18 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, model: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, model: str | None = None) -> DataFrame:
     """(doc_id, n_pieces, ids_crc32, decoded_sha256, lossless): digests of each text's ids and of the text decoded from them."""
     small_batches(docs.sparkSession)
     kind = "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, lossless boolean"
-    return docs.select("doc_id", "text").mapInArrow(_segmented(model or piece_model(), dropout, seed, variants, True), kind)
+    return docs.select("doc_id", "text").mapInArrow(_segmented(model or piece_model(), dropout, seed, True), kind)
 
 
 def encode_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: (doc_id, ids)."""
-    return encode(docs)
+    """Pipeline stage, the last: (doc_id, ids). Copies of a row are numbered and cut in ways of their own; all ids are decoded again
+    and a row that does not come back as its text fails the run."""
+    small_batches(docs.sparkSession)
+    rows = docs.select("doc_id", "text")
+    alike = Window.partitionBy("doc_id", F.sha2(F.encode(text_or_empty(), "utf-8"), 256)).orderBy("doc_id")
+    rows = rows.withColumn("copy", F.row_number().over(alike) - 1)
+    return rows.mapInArrow(_segmented(piece_model(), DROPOUT, SEED, False, True), "doc_id long, ids array<int>")

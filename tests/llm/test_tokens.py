@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from sparkevidence.llm import merge_dropout, orc_tokens
+from sparkevidence.llm.hashing import BASE, U, mix
 from sparkevidence.llm.shared import new_path
 
 pytest.importorskip("public_tokenizers")
@@ -71,3 +72,25 @@ def test_dropout_varies_and_decodes_losslessly(docs, hard, spark):
     assert all(r["lossless"] for r in report)
     assert next(r for r in report if r["doc_id"] == 50)["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
     assert merge_dropout.encode(docs(rows).where("false")).count() == 0
+
+
+def test_every_occurrence_skips_by_itself(docs):
+    encoder = merge_dropout.DropoutEncoder(merge_dropout.piece_model(), 0.1)
+    one = encoder.encode([" ".join(["a"] * 6000)], [5])[0]
+    plain = merge_dropout.DropoutEncoder(merge_dropout.piece_model(), 0).encode(["a"], [5])[0]
+    assert len(plain) == 4
+    assert 0.08 < len(one) / 4 / 6000 - 1 < 0.12  # one merge each: a skip makes two pieces of one
+    word = " internationally"
+    with np.errstate(over="ignore"):
+        keys = mix(U(9) + np.arange(3000, dtype=U) * U(BASE))
+    alone = encoder.segment([word] * 3000, keys)[0]
+    assert len(set(alone)) > 4
+    assert encoder.encode([(word * 3000)[1:]], [9])[0] == b"".join(alone)  # the kept cut is that of an occurrence without skips
+    assert encoder.decode(np.frombuffer(b"".join(alone), "<u4").tolist()) == (word * 3000)[1:]
+
+
+def test_stage_cuts_copies_apart(docs, spark):
+    text = "an unbelievably interesting sentence about international organisations " * 20
+    rows = merge_dropout.encode_stage(spark, docs([(1, text)] * 3 + [(2, None)]), "").collect()
+    assert len({tuple(r["ids"]) for r in rows if r["doc_id"] == 1}) == 3 and len(rows) == 4
+    assert {r["text"] for r in merge_dropout.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>")).collect()} == {text, ""}
