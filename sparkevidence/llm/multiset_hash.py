@@ -1,9 +1,9 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs (operator 9, DataFrame functions only).
 
-A paragraph hashes to a wide vector with one non-zero entry, whose place and 48-bit value both come from its hash. A fingerprint is the
-sum of its paragraphs' vectors, each entry modulo 2 ** 48. The order of paragraphs does not matter, and inserting or deleting one is
-adding or subtracting its vector. As a paragraph touches one entry, the share of entries on which two fingerprints agree tells how
-much two texts have in common.
+A paragraph hashes to a wide vector of 48-bit values, all of its entries set. A fingerprint is the sum of its paragraphs' vectors,
+each entry modulo 2 ** 48. The order of paragraphs does not matter, and inserting or deleting one is adding or subtracting its
+vector. Fingerprints tell whether two texts have the same paragraphs; how many they have in common is told by a hash of each
+paragraph, carried beside the fingerprint, at every length of texts.
 """
 
 from __future__ import annotations
@@ -25,9 +25,24 @@ def paragraphs(text: Column) -> Column:
 
 def fingerprint(text: Column) -> Column:
     """array<bigint> of WIDTH entries below 2 ** BITS; all zero for a text without paragraphs."""
-    placed = F.transform(paragraphs(text), lambda p: F.struct(F.pmod(F.xxhash64(F.lit("place"), p), F.lit(WIDTH)).alias("at"), F.xxhash64(F.lit("value"), p).bitwiseAND(F.lit(_MASK)).alias("v")))
+    two = F.transform(paragraphs(text), lambda p: F.struct(F.xxhash64(F.lit("place"), p).alias("a"), F.xxhash64(F.lit("value"), p).alias("b")))
     zero = F.array_repeat(F.lit(0).cast("long"), WIDTH)
-    return F.aggregate(placed, zero, lambda acc, p: F.transform(acc, lambda x, i: F.when(i == p["at"], (x + p["v"]).bitwiseAND(F.lit(_MASK))).otherwise(x)))
+    entry = lambda p, i: F.coalesce(F.nullif(F.xxhash64(i, p["a"], p["b"]).bitwiseAND(F.lit(_MASK)), F.lit(0).cast("long")), F.lit(1).cast("long"))
+    return F.aggregate(two, zero, lambda acc, p: F.transform(acc, lambda x, i: (x + entry(p, i)).bitwiseAND(F.lit(_MASK))))
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), with value worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def marks(text: Column) -> Column:
+    """array<bigint>: a hash of each paragraph and of how many like it come before, so that repeated ones count as often as they are there."""
+    ordered = F.array_sort(F.transform(paragraphs(text), lambda p: F.xxhash64(F.lit("mark"), p)))
+    at = lambda s, i: F.get(s, i.cast("int"))
+    begins = lambda s: F.filter(F.transform(s, lambda x, i: F.when((i > 0) & (at(s, i - 1) == x), -1).otherwise(i)), lambda i: i >= 0)
+    numbered = lambda s, b: F.flatten(F.transform(b, lambda i, j: F.transform(F.sequence(i, F.coalesce(at(b, j + 1), F.size(s)) - 1), lambda k: F.xxhash64(at(s, k), k - i))))
+    return _let(ordered, lambda s: _let(begins(s), lambda b: numbered(s, b)))
 
 
 def plus(a: Column, b: Column) -> Column:
@@ -45,10 +60,10 @@ def as_text(a: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Of entries that are set in either, the share that are equal; 1 if none is set."""
-    used = F.aggregate(F.zip_with(a, b, lambda x, y: F.when((x != 0) | (y != 0), 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    same = F.aggregate(F.zip_with(a, b, lambda x, y: F.when((x == y) & (x != 0), 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    return F.when(used == 0, 1.0).otherwise(same / F.greatest(used, F.lit(1)))
+    """Of the paragraphs of two texts, by their marks, the share that both have; 1 if there are none."""
+    same = F.size(F.array_intersect(a, b))
+    every = F.size(a) + F.size(b) - same
+    return F.when(every == 0, 1.0).otherwise(same / F.greatest(every, F.lit(1)))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -74,11 +89,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     wanted = following.select("before", F.col("k.doc_id").alias("w_id"), F.col("k.sha").alias("w_sha"))
     heads = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("sha") == F.col("w_sha"))).select("before", "doc_id", "text").dropDuplicates(["before"])
     tail = heads.select(F.col("before").alias("bucket"), F.lit(1).alias("tail"), F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("sha"), "text")
-    both = rows.select("bucket", F.lit(0).alias("tail"), "doc_id", "sha", "text").union(tail).withColumn("fp", fingerprint(F.col("text")))
+    both = rows.select("bucket", F.lit(0).alias("tail"), "doc_id", "sha", "text").union(tail).withColumn("fp", fingerprint(F.col("text"))).withColumn("marks", marks(F.col("text")))
     along = Window.partitionBy("bucket").orderBy("tail", F.col("doc_id").asc_nulls_last(), "sha")
-    both = both.select("*", F.lead("text").over(along).alias("next_text"), F.lead("fp").over(along).alias("next_fp")).where("tail = 0")
+    both = both.select("*", F.lead("text").over(along).alias("next_text"), F.lead("marks").over(along).alias("next_marks")).where("tail = 0")
     n = F.length("text")
     q = F.floor(n / 4).cast("int")
-    both = both.select("doc_id", n.cast("long").alias("n_chars"), "fp", "next_fp", F.concat(F.substring("text", F.lit(1), n - q), F.substring("next_text", F.lit(1), q)).alias("edited"))
-    both = both.select("doc_id", "n_chars", "fp", "next_fp", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), fingerprint(F.col("edited")).alias("edited_fp"))
-    return both.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
+    both = both.select("doc_id", n.cast("long").alias("n_chars"), "fp", "marks", "next_marks", F.concat(F.substring("text", F.lit(1), n - q), F.substring("next_text", F.lit(1), q)).alias("edited"))
+    both = both.select("doc_id", "n_chars", "fp", "marks", "next_marks", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), fingerprint(F.col("edited")).alias("edited_fp"), marks(F.col("edited")).alias("edited_marks"))
+    return both.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"), likeness(F.col("marks"), F.col("edited_marks")).alias("near_edited"), likeness(F.col("marks"), F.col("next_marks")).alias("near_next"))

@@ -79,6 +79,20 @@ def test_multiset_hash_is_homomorphic(spark):
     assert r["order"] and r["insert"] and r["delete"]
 
 
+def test_multiset_likeness_holds_for_long_texts(docs):
+    rows = [(k, "\n".join(f"text {k} line {j:04d}." for j in range(400))) for k in range(3)] + [(3, "a.\na.\na.\nb."), (4, "a.\nb.\nb.")]
+    got = {x["doc_id"]: x for x in multiset_hash.fingerprints(docs(rows)).collect()}
+    parts = lambda t: collections.Counter(x for x in re.split(r"\n+|(?<=[.!?])[ \t]+", t) if x)
+    share = lambda x, y: (parts(x) & parts(y)).total() / (parts(x) | parts(y)).total()
+    for k, t in rows:
+        nxt = rows[(k + 1) % len(rows)][1]
+        assert abs(got[k]["near_next"] - share(t, nxt)) < 1e-9
+        assert abs(got[k]["near_edited"] - share(t, t[: len(t) - len(t) // 4] + nxt[: len(t) // 4])) < 1e-9
+    assert got[0]["near_edited"] > 0.55 and got[0]["near_next"] == 0
+    one = multiset_hash.fingerprints(docs([(1, "one paragraph")])).first()["fingerprint"]
+    assert all(int(one[i : i + 12], 16) for i in range(0, len(one), 12)) and len(one) == 12 * multiset_hash.WIDTH
+
+
 def test_kd_tree(docs, hard):
     r = random.Random(7)
     rows = [(i, "same text" if i < 500 else "t" * r.randint(0, 300), r.choice(["en", "de", None]), "hot" if i % 3 == 0 else f"s{i % 40}") for i in range(1500)]
