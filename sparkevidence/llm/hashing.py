@@ -45,13 +45,13 @@ def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Rolling:
-    """Polynomial prefix hashes of one byte buffer: span(a, b) hashes buffer[a:b] for arrays a, b, whatever their position."""
+    """Polynomial prefix hashes of bytes, or of 64-bit codes: span(a, b) hashes data[a:b] for arrays a, b, whatever their position."""
 
     def __init__(self, data: np.ndarray, base: int = BASE) -> None:
         self.up, down = _power_tables(base, len(data) + 1)
         self.prefix = np.zeros(len(data) + 1, U)
         with np.errstate(over="ignore"):
-            np.cumsum(BYTE_CODES[data] * down[: len(data)], out=self.prefix[1:])
+            np.cumsum((BYTE_CODES[data] if data.dtype == np.uint8 else data) * down[: len(data)], out=self.prefix[1:])
 
     def span(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):

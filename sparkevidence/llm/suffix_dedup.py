@@ -1,14 +1,16 @@
 """Exact removal of repeated substrings with per-shard suffix arrays (operator 5).
 
-Every window of `length` bytes has an anchor: its least hashed gram of k bytes, the leftmost on ties. Equal windows have equal anchors
-at equal offsets, so only windows of one anchor can be equal. A run of windows that share an anchor occurrence is a context: the bytes
-from the first window's start to the last one's end. Contexts are told apart by a 128-bit hash; a context that occurs twice is
-repeated as a whole. Anchors with several different contexts are dealt to shards; each shard sorts the suffixes of its contexts by
-Larsson-Sadakane refinement, takes Kasai common prefixes and reports windows equal to a neighbour.
-
-An anchor with too many contexts for a shard (the edge of a passage in very many documents) is not cut off: its contexts get new
-anchors from longer grams, halfway to the window length each time. That is a binary search, over all its contexts at once, for the
-offsets at which windows part; it ends at whole windows, which meet by their hash.
+Strings are judged in two alphabets: windows of `length` bytes, and passages of so many words. Every window has an anchor: its least
+hashed gram of k symbols, the leftmost on ties. Equal windows have equal anchors at equal offsets, so only windows of one anchor can
+be equal. A run of windows that share an anchor occurrence is a context: the symbols from the first window's start to the last one's
+end. All windows of a context hold its anchor, so what repeats of it is one range. Copies of a context are told by a hash and stand
+in the suffix arrays once; a context that occurs twice is repeated as a whole.
+
+Contexts of an anchor with several different ones are dealt to shards of a fixed size. Each shard sorts the suffixes of its contexts by
+Larsson-Sadakane refinement, takes Kasai common prefixes and reports windows equal to a neighbour. Where an anchor has more contexts
+than one shard takes, its shards are merged: each sends its distinct windows as a sorted run of 128-bit hashes, cut by binary search
+at the bounds of key ranges; the runs of one range meet in one task, which finds by binary search what several of them hold, and
+sends it back. What is shipped grows with the contexts, and no pairs of contexts or shards are formed.
 """
 
 from __future__ import annotations
@@ -21,17 +23,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkevidence.llm.hashing import BASE, BASE2, U, Rolling, mix
-from sparkevidence.llm.shared import arrow_bytes, saved, slices, small_batches, text_or_empty
+from sparkevidence.llm.hashing import BASE, BASE2, SEPARATOR, U, Rolling, mix
+from sparkevidence.llm.shared import arrow_bytes, dropped, saved, slices, small_batches, text_or_empty
 
 LENGTH = 400
 GRAM = 48
-#: Words of the least passage that the pipeline's stage cuts out, the bytes that it has at least, and the grams of such windows.
+#: Words of the least passage that counts as repeated, and of its grams.
 PASSAGE_WORDS = 51
-PASSAGE_BYTES = 2 * PASSAGE_WORDS - 1
-PASSAGE_GRAM = 32
-#: Contexts of one anchor that one shard takes; of more, longer grams are taken.
-MOST = 2048
+PASSAGE_GRAM = 8
+#: Contexts of one anchor that one shard takes; more are spread over several shards, which are merged.
+SHARD_CONTEXTS = 2048
 #: Bytes of text that are hashed at once, and of contexts whose suffixes are sorted at once.
 CHUNK = 2 << 20
 SHARD_BYTES = 1 << 20
@@ -50,17 +51,40 @@ def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
+_CORE = np.zeros(256, bool)
+_CORE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of bytes: a code of each word without the ASCII marks at its edges (a word of marks stays), where each row's words
+    start (one more for the end), and where each word starts and ends."""
+    inside = np.concatenate((~SEPARATOR[data], [False]))
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    begins = inside & (edge | ~np.concatenate(([False], inside[:-1])))
+    ends = np.concatenate(([False], inside[:-1])) & (edge | ~inside)
+    a, b = np.flatnonzero(begins), np.flatnonzero(ends)
+    core = np.flatnonzero(_CORE[data])
+    i, j = np.searchsorted(core, a), np.searchsorted(core, b)
+    core = np.append(core, 0)
+    first, last = np.where(i < j, core[i], a), np.where(i < j, core[j - 1] + 1, b)
+    with np.errstate(over="ignore"):
+        codes = mix(Rolling(data).span(first, last) + (last - first).astype(U) * U(BASE2))
+    return codes, np.searchsorted(a, offsets), a, b
+
+
 def contexts(data: np.ndarray, offsets: np.ndarray, length: int, k: int, base: int = 0) -> tuple[np.ndarray, ...]:
-    """Of rows of bytes: row, first window's start and last window's end within the row, the anchor's hash and two of the context."""
-    none = tuple(np.zeros(0, np.int64) for _ in range(6))
+    """Of rows of symbols (bytes or codes): row, first window's start and last window's end within the row, and hashes of the anchor
+    and of the context."""
+    none = tuple(np.zeros(0, np.int64) for _ in range(5))
     if len(data) < length:
         return none
-    if len(data) > LONGEST:  # one long row: in pieces that share length - 1 bytes, so each window lies in one piece
+    if len(data) > LONGEST:  # one long row: in pieces that share length - 1 symbols, so each window lies in one piece
         parts = [contexts(data[a : a + LONGEST], np.array([0, len(data[a : a + LONGEST])]), length, k, a) for a in range(0, len(data) - length + 1, LONGEST - length + 1)]
         return tuple(np.concatenate(x) for x in zip(*parts))
-    first, second = Rolling(data), Rolling(data, BASE2)
+    symbols = Rolling(data)
     grams = np.arange(len(data) - k + 1)
-    g = mix(first.span(grams, grams + k))
+    g = mix(symbols.span(grams, grams + k))
     # 41 bits of the gram's hash, then its place: the least is the leftmost of those with the least hash.
     where = sliding_least(((g >> U(1)).view(np.int64) & ~np.int64((1 << 23) - 1)) | grams, length - k + 1) & ((1 << 23) - 1)
     starts = np.arange(len(where))
@@ -73,12 +97,11 @@ def contexts(data: np.ndarray, offsets: np.ndarray, length: int, k: int, base: i
     a = starts[new]
     b = np.concatenate((starts[np.flatnonzero(new)[1:] - 1], starts[-1:])) + length
     at = row[new]
-    anchor = mix(g[where[new]] ^ U(BASE)).view(np.int64)
+    kind = U(BASE if data.dtype == np.uint8 else BASE2)  # bytes and words never share an anchor
     with np.errstate(over="ignore"):
         # where the anchor lies in the context is part of what tells contexts apart
-        lead = mix((where[new] - a).astype(U) * U(BASE2) + (b - a).astype(U))
-        h1, h2 = mix(first.span(a, b) + lead), mix(second.span(a, b) ^ lead)
-    return at, a - offsets[at] + base, b - offsets[at] + base, anchor, h1.view(np.int64), h2.view(np.int64)
+        h1 = mix(symbols.span(a, b) + mix((where[new] - a).astype(U) * U(BASE2) + (b - a).astype(U)))
+    return at, a - offsets[at] + base, b - offsets[at] + base, mix(g[where[new]] ^ kind).view(np.int64), h1.view(np.int64)
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
@@ -94,7 +117,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     padded = np.concatenate((data, np.zeros(h, data.dtype))).astype(np.int64)
     for j in range(h):
         key = (key << shift) | padded[j : j + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     start = np.concatenate(([True], key[1:] != key[:-1]))
     group = np.maximum.accumulate(np.where(start, np.arange(n), 0))
@@ -106,7 +129,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     while len(left):
         i = order[left]
         key = rank[i] * (n + 2) + rank[np.minimum(i + h, n)] + 1
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         i, key = i[by], key[by]
         order[left] = i
         start = np.concatenate(([True], key[1:] != key[:-1]))
@@ -121,23 +144,25 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, end
     """For each suffix how far, up to most, it agrees with the one before it in order, by Kasai's rule.
 
     Within a row the prefix of the next suffix is at most one shorter, so a row's pass goes on from where the last suffix ended. All
-    rows advance together, each by its own step: seven values further, one value further, or on to the next suffix.
+    rows advance together, each by its own step: several values further, one value further, or on to the next suffix.
     """
     n = len(data)
     before = np.full(n, n, np.int64)
     before[order[1:]] = order[:-1]
-    padded = np.concatenate((data, np.full(most + 8, -1, np.int64)))
-    seven = np.zeros(len(padded) - 6, np.int64)
-    for j in range(7):
-        seven = (seven << 9) | (padded[j : j + len(seven)] & 511)
+    bits = int(data.max() + 1).bit_length()
+    many = max(1, 63 // bits)
+    padded = np.concatenate((data, np.full(most + many + 1, -1, np.int64)))
+    several = np.zeros(len(padded) - many + 1, np.int64)
+    for j in range(many):
+        several = (several << bits) | (padded[j : j + len(several)] & ((1 << bits) - 1))
     out = np.zeros(n, np.int64)
     live = starts < ends
     at, end, h = starts[live].astype(np.int64), ends[live].astype(np.int64), np.zeros(int(live.sum()), np.int64)
     while len(at):
         x, y = at + h, before[at] + h
-        far = (h + 7 <= most) & (x + 7 <= end) & (seven[x] == seven[y])
+        far = (h + many <= most) & (x + many <= end) & (several[x] == several[y])
         near = ~far & (h < most) & (x < end) & (padded[x] == padded[y])
-        h = h + np.where(far, 7, near)
+        h = h + np.where(far, many, near)
         stop = ~(far | near)
         out[at[stop]] = h[stop]
         h[stop] = np.maximum(h[stop] - 1, 0)
@@ -148,14 +173,14 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, starts: np.ndarray, end
     return out
 
 
-def repeated_windows(blobs: list[bytes], length: int) -> list[np.ndarray]:
-    """For each string the starts of windows of so many bytes that start somewhere else in these strings too."""
-    sizes = np.array([len(x) for x in blobs])
+def repeated_windows(rows: list[np.ndarray], length: int) -> list[np.ndarray]:
+    """For each row of symbols (bytes or codes) the starts of windows of so many that start somewhere else in these rows too."""
+    sizes = np.array([len(x) for x in rows])
     starts = np.concatenate(([0], np.cumsum(sizes + 1)[:-1])).astype(np.int64)
-    data = np.zeros(int(sizes.sum()) + len(blobs), np.int64)
-    for s, x in zip(starts, blobs):
-        data[s : s + len(x)] = np.frombuffer(x, np.uint8)
-        data[s : s + len(x)] += 1
+    flat = np.concatenate(rows)
+    flat = flat.astype(np.int64) if flat.dtype == np.uint8 else np.unique(flat, return_inverse=True)[1].astype(np.int64)
+    data = np.zeros(int(sizes.sum()) + len(rows), np.int64)
+    data[np.arange(len(flat)) + np.repeat(np.arange(len(rows)), sizes)] = flat + 1
     order = suffix_array(data)
     equal = common_prefixes(data, order, starts, starts + sizes, length) >= length
     in_order = equal[order]
@@ -165,53 +190,101 @@ def repeated_windows(blobs: list[bytes], length: int) -> list[np.ndarray]:
     return [np.flatnonzero(marked[s : s + max(0, z - length + 1)]) for s, z in zip(starts, sizes)]
 
 
-def runs(starts: np.ndarray, length: int) -> np.ndarray:
-    """Half-open byte ranges that windows at these sorted starts cover."""
-    if not len(starts):
-        return np.zeros((0, 2), np.int64)
-    cut = np.flatnonzero(starts[1:] - starts[:-1] > length)
-    return np.stack((starts[np.concatenate(([0], cut + 1))], starts[np.concatenate((cut, [len(starts) - 1]))] + length), 1)
+def window_keys(x: np.ndarray, length: int) -> np.ndarray:
+    """128-bit hashes of a context's windows, as 16 bytes that compare like numbers."""
+    a = np.arange(len(x) - length + 1)
+    out = np.empty((len(a), 2), ">u8")
+    out[:, 0], out[:, 1] = (mix(Rolling(x, base).span(a, a + length)) for base in (BASE, BASE2))
+    return out.view("S16").ravel()
 
 
-_FOUND = "key binary, lo int, hi int, anchor long, h1 long, h2 long"
+def found_in(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which keys a sorted table holds, by binary search."""
+    return table[np.minimum(np.searchsorted(table, keys), len(table) - 1)] == keys if len(table) else np.zeros(len(keys), bool)
 
 
-def _anchored(length: int, k: int):
-    """(key, text) to contexts."""
+def shared_keys(runs: list[np.ndarray]) -> np.ndarray:
+    """The keys that several of the sorted runs of distinct keys hold: runs are merged two by two, by binary search."""
+    twice = [np.zeros(0, "S16")]
+    while len(runs) > 1:
+        after = []
+        for x, y in zip(runs[::2], runs[1::2]):
+            both = found_in(y, x)
+            twice.append(y[both])
+            y = y[~both]
+            after.append(np.insert(x, np.searchsorted(x, y), y))
+        runs = after + runs[len(after) * 2 :]
+    return np.unique(np.concatenate(twice))
+
+
+_FOUND = "key binary, words boolean, lo int, hi int, anchor long, h1 long"
+_SOLVED = "words boolean, anchor long, shard int, h1 long, a int, b int, part int, keys binary"
+_SOLVED_KINDS = [("words", pa.bool_()), ("anchor", pa.int64()), ("shard", pa.int32()), ("h1", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("part", pa.int32()), ("keys", pa.binary())]
+
+
+def _anchored(length: int, gram: int, words: int, word_gram: int):
+    """(key, text) to contexts: of bytes, and of words if words is not 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = arrow_bytes(batch.column(1))
-            for a, b in slices(offsets, CHUNK):
-                row, lo, hi, anchor, h1, h2 = contexts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length, k)
-                if len(row):
-                    yield pa.RecordBatch.from_arrays([batch.column(0)[a:b].take(pa.array(row)), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(anchor), pa.array(h1), pa.array(h2)], names=["key", "lo", "hi", "anchor", "h1", "h2"])
+            for x, y in slices(offsets, CHUNK):
+                part, at = data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x]
+                found = [(False, contexts(part, at, length, gram))]
+                if words:
+                    codes, first, _, _ = words_of(part, at)
+                    found.append((True, contexts(codes, first, words, word_gram)))
+                for kind, (row, lo, hi, anchor, h1) in found:
+                    if len(row):
+                        yield pa.RecordBatch.from_arrays([batch.column(0)[x:y].take(pa.array(row)), pa.array(np.full(len(row), kind)), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(anchor), pa.array(h1)], names=["key", "words", "lo", "hi", "anchor", "h1"])
 
     return run
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, wanted) to the bytes of each wanted context."""
+    """(text, wanted) to the symbols of each wanted context."""
+    names = ("words", "anchor", "shard", "parts", "h1")
     for batch in batches:
         data, offsets = arrow_bytes(batch.column(0))
         wanted = batch.column(1)
-        row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(wanted.offsets)))
+        at = np.asarray(wanted.offsets)
         w = wanted.flatten()
-        lo, hi = (np.asarray(w.field(x)).astype(np.int64) + offsets[row] for x in ("lo", "hi"))
-        step = 4096
-        for a in range(0, len(row), step):
-            part = [data[x:y].tobytes() for x, y in zip(lo[a : a + step], hi[a : a + step])]
-            yield pa.RecordBatch.from_arrays([w.field(x)[a : a + step] for x in ("anchor", "h1", "h2")] + [pa.array(part, pa.binary())], names=["anchor", "h1", "h2", "bytes"])
+        lo, hi, words = (np.asarray(w.field(x)) for x in ("lo", "hi", "words"))
+        out, a = [], at[0]
+        for i in range(batch.num_rows):
+            text = data[offsets[i] : offsets[i + 1]]
+            mine = slice(at[i] - at[0], at[i + 1] - at[0])
+            codes = words_of(text, np.array([0, len(text)]))[0] if words[mine].any() else None
+            out += [(codes if k else text)[x:y].tobytes() for x, y, k in zip(lo[mine], hi[mine], words[mine])]
+            if i == batch.num_rows - 1 or len(out) >= 4096:
+                yield pa.RecordBatch.from_arrays([*(w.field(x)[a - at[0] : at[i + 1] - at[0]] for x in names), pa.array(out, pa.binary())], names=[*names, "bytes"])
+                out, a = [], at[i + 1]
+
+
+def _symbols(blob: bytes, words: bool) -> np.ndarray:
+    return np.frombuffer(blob, U if words else np.uint8)
 
 
-def _shard(length: int):
-    """Rows sorted by anchor to the ranges of each context that other contexts of its anchor repeat, a few MB at a time."""
-    names = ["anchor", "h1", "h2", "spans"]
+def _shard(length: int, words: int):
+    """Rows sorted by words, anchor and shard to the range of each context that other contexts of its shard repeat, a few MB at a
+    time; and of each shard of an anchor with several the windows, as sorted runs, one for each range of keys."""
+    sizes = {False: length, True: words}
 
     def solved(rows: list[tuple]) -> pa.RecordBatch:
-        spans = [runs(s, length).ravel().tolist() for s in repeated_windows([r[3] for r in rows], length)]
-        kept = [(r[0], r[1], r[2], s) for r, s in zip(rows, spans) if s]
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in kept], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())))], names=names)
+        out = []
+        by_shard: dict[tuple, list[np.ndarray]] = {}
+        strings = [_symbols(r[5], r[0]) for r in rows]
+        for (kind, anchor, shard, parts, h1, _), x, s in zip(rows, strings, repeated_windows(strings, sizes[rows[0][0]])):
+            if len(s):
+                out.append((kind, anchor, shard, h1, int(s[0]), int(s[-1]) + sizes[kind], None, None))
+            if parts > 1:
+                by_shard.setdefault((kind, anchor, shard, parts), []).append(window_keys(x, sizes[kind]))
+        for (kind, anchor, shard, parts), keys in by_shard.items():
+            run = np.unique(np.concatenate(keys))
+            bounds = np.array([i * (1 << 64) // parts for i in range(1, parts)], ">u8").view("S8").astype("S16")
+            cuts = [0, *np.searchsorted(run, bounds).tolist(), len(run)]
+            out += [(kind, anchor, shard, None, None, None, i, run[x:y].tobytes()) for i, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(_SOLVED_KINDS)], names=[n for n, _ in _SOLVED_KINDS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -219,15 +292,15 @@ def _shard(length: int):
         size = 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if group and group[-1][:3] == row[:3]:
+                if group and group[-1][1] == row[1] and group[-1][4] == row[4]:
                     continue  # the same context, of a row that is there twice
-                if group and group[0][0] != row[0]:
+                if group and group[0][:3] != row[:3]:
                     held += group
-                    size += sum(len(r[3]) for r in group)
-                    group = []
-                    if size >= SHARD_BYTES:
+                    size += sum(len(r[5]) for r in group)
+                    if held and (size >= SHARD_BYTES or group[0][0] != row[0]):
                         yield solved(held)
                         held, size = [], 0
+                    group = []
                 group.append(row)
         held += group
         if held:
@@ -236,63 +309,90 @@ def _shard(length: int):
     return run
 
 
-def _context_spans(length: int, texts: DataFrame, found: DataFrame, k: int) -> DataFrame:
-    """(anchor, h1, h2, spans): repeated ranges within each context (null: all of it). texts: (key, text); found: its contexts."""
-    distinct = found.groupBy("anchor", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "lo", "hi")).alias("at"))
-    distinct = saved(distinct, "contexts")
-    whole = distinct.where("n > 1").select("anchor", "h1", "h2", F.expr("cast(null as array<int>)").alias("spans"))
-    several = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1").withColumnRenamed("anchor", "__anchor")
-    several = saved(several, "several")
-    apart = distinct.join(several, F.col("anchor") == F.col("__anchor"), "left_semi")
-    wanted = apart.groupBy(F.col("at.key").alias("__key")).agg(F.collect_list(F.struct("at.lo", "at.hi", "anchor", "h1", "h2")).alias("wanted"))
-    cut = texts.join(wanted.hint("merge"), F.col("key") == F.col("__key")).select("text", "wanted").mapInArrow(_cut_out, "anchor long, h1 long, h2 long, bytes binary")
-    cut = saved(cut, "cut")
-    sizes = several.where(F.col("m") > MOST)
-    hot = not sizes.isEmpty()
-    small = cut.join(sizes, F.col("anchor") == F.col("__anchor"), "left_anti") if hot else cut
-    ordered = small.repartition("anchor").sortWithinPartitions("anchor", "h1", "h2")
-    out = whole.unionByName(ordered.mapInArrow(_shard(length), "anchor long, h1 long, h2 long, spans array<int>"))
-    if hot:
-        k = (k + length + 1) // 2 if k + 8 < length else length
-        key = F.concat(*[F.unhex(F.lpad(F.hex(c), 16, "0")) for c in ("anchor", "h1", "h2")])
-        large = cut.join(sizes, F.col("anchor") == F.col("__anchor"), "left_semi").select(key.alias("key"), F.col("bytes").alias("text")).dropDuplicates(["key"])
-        large = saved(large, "large")
-        again = _candidates(saved(large.mapInArrow(_anchored(length, k), _FOUND), "again"))
-        inner = _context_spans(length, large, again, k)
-        spans = _placed(again, inner).groupBy("key").agg(_united(F.array_sort(F.collect_list(F.struct("lo", "hi")))).alias("spans"))
-        part = lambda i: F.conv(F.hex(F.substring("key", 8 * i + 1, 8)), 16, -10).cast("long")
-        out = out.unionByName(spans.select(part(0).alias("anchor"), part(1).alias("h1"), part(2).alias("h2"), F.col("spans").cast("array<int>").alias("spans")))
-    return out
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs (words, anchor, part, shard, keys), sorted, to the keys of each run that another of its anchor and range holds too."""
+    names, kinds = ("words", "anchor", "shard", "keys"), (pa.bool_(), pa.int64(), pa.int32(), pa.binary())
+
+    def solved(group: list[tuple]) -> Iterator[pa.RecordBatch]:
+        runs = [np.frombuffer(r[4], "S16") for r in group]
+        twice = shared_keys(runs)
+        for row, run in zip(group, runs):
+            again = run[found_in(run, twice)]
+            if len(again):
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((row[0], row[1], row[3], again.tobytes()), kinds)], names=names)
+
+    group: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if group and group[0][:3] != row[:3]:
+                yield from solved(group)
+                group = []
+            group.append(row)
+    if group:
+        yield from solved(group)
 
 
-def _united(ordered: Column) -> Column:
-    """Sorted ranges as one flat array of maximal ranges, so that no level of grams hands up more ranges than a context has."""
-    last = lambda acc: F.try_element_at(acc, F.lit(-1))
-    longer = lambda acc, x: F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last(acc)["lo"].alias("lo"), F.greatest(last(acc)["hi"], x["hi"]).alias("hi"))))
-    joined = F.aggregate(ordered, F.filter(ordered, lambda x: F.lit(False)), lambda acc, x: F.when((F.size(acc) > 0) & (x["lo"] <= F.try_element_at(acc, F.lit(-1))["hi"]), longer(acc, x)).otherwise(F.concat(acc, F.array(x))))
-    return F.flatten(F.transform(joined, lambda x: F.array(x["lo"], x["hi"])))
+def _returned(length: int, words: int):
+    """Rows (words, anchor, shard, h1, bytes, keys), a shard's keys before its contexts, to the range of each context in these keys."""
+    sizes = {False: length, True: words}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, known, table = None, [], None
+        for batch in batches:
+            out = []
+            for kind, anchor, shard, h1, blob, keys in zip(*(c.to_pylist() for c in batch.columns)):
+                if own != (kind, anchor, shard):
+                    own, known, table = (kind, anchor, shard), [], None
+                if keys is not None:
+                    known.append(np.frombuffer(keys, "S16"))
+                elif known:
+                    if table is None:
+                        table = np.sort(np.concatenate(known))
+                    s = np.flatnonzero(found_in(window_keys(_symbols(blob, kind), sizes[kind]), table))
+                    if len(s):
+                        out.append((anchor, h1, int(s[0]), int(s[-1]) + sizes[kind]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["anchor", "h1", "a", "b"])
+
+    return run
+
+
+def _context_spans(length: int, words: int, texts: DataFrame, found: DataFrame) -> DataFrame:
+    """(anchor, h1, a, b): the repeated range within each context that has one. texts: (key, text); found: its contexts."""
+    distinct = found.groupBy("anchor", "h1").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "words", "lo", "hi")).alias("at"))
+    distinct = saved(distinct, "contexts")
+    whole = distinct.where("n > 1").select("anchor", "h1", F.lit(0).alias("a"), (F.col("at.hi") - F.col("at.lo")).alias("b"))
+    several = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("anchor").alias("__anchor"), F.ceil(F.col("m") / F.lit(SHARD_CONTEXTS)).cast("int").alias("parts"))
+    apart = distinct.join(saved(several, "several").hint("merge"), F.col("anchor") == F.col("__anchor"))
+    shard = F.pmod("h1", F.col("parts")).cast("int")
+    wanted = apart.groupBy(F.col("at.key").alias("__key")).agg(F.collect_list(F.struct("at.words", "at.lo", "at.hi", "anchor", shard.alias("shard"), "parts", "h1")).alias("wanted"))
+    cut = texts.join(wanted.hint("merge"), F.col("key") == F.col("__key")).select("text", "wanted").mapInArrow(_cut_out, "words boolean, anchor long, shard int, parts int, h1 long, bytes binary")
+    cut = saved(cut, "cut")
+    ordered = cut.repartition("anchor", "shard").sortWithinPartitions("words", "anchor", "shard", "h1")
+    solved = saved(ordered.mapInArrow(_shard(length, words), _SOLVED), "shards")
+    runs = solved.where("keys is not null").select("words", "anchor", "part", "shard", "keys").repartition("anchor", "part").sortWithinPartitions("words", "anchor", "part", "shard")
+    again = runs.mapInArrow(_merge, "words boolean, anchor long, shard int, keys binary")
+    again = again.select("words", "anchor", "shard", F.lit(None).cast("long").alias("h1"), F.lit(None).cast("binary").alias("bytes"), "keys")
+    asked = again.unionByName(cut.where("parts > 1").select("words", "anchor", "shard", "h1", "bytes", F.lit(None).cast("binary").alias("keys")))
+    asked = asked.repartition("anchor", "shard").sortWithinPartitions("words", "anchor", "shard", F.col("keys").isNull())
+    across = asked.mapInArrow(_returned(length, words), "anchor long, h1 long, a int, b int")
+    spans = whole.unionByName(solved.where("keys is null").select("anchor", "h1", "a", "b")).unionByName(across)
+    return spans.groupBy("anchor", "h1").agg(F.min("a").alias("a"), F.max("b").alias("b"))
 
 
 def _candidates(found: DataFrame) -> DataFrame:
-    """The contexts whose anchor occurs more than once; only these can hold equal windows."""
+    """The contexts whose anchor occurs more than once; only these can hold equal windows. found is a written table, and dropped."""
     again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("anchor").alias("__anchor"))
     # Written first, so that both sides of the join are plain exchanges and a hot anchor's rows can be split.
     again = saved(again, "repeated-anchors")
-    return saved(found.join(again.hint("merge"), F.col("anchor") == F.col("__anchor"), "left_semi"), "candidates")
-
-
-def _placed(found: DataFrame, spans: DataFrame) -> DataFrame:
-    """(key, lo, hi): repeated ranges in each text, of contexts' ranges; null spans: the whole context."""
-    r = spans.select(F.col("anchor").alias("__a"), F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.coalesce("spans", F.array()).alias("spans"), F.col("spans").isNull().alias("whole"))
-    hit = found.join(r, (F.col("anchor") == F.col("__a")) & (F.col("h1") == F.col("__h1")) & (F.col("h2") == F.col("__h2")))
-    each = F.when(F.col("whole"), F.array(F.struct(F.col("lo"), F.col("hi")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.floor(F.size("spans") / 2).cast("int") - 1), lambda i: F.struct((F.col("lo") + F.element_at("spans", (2 * i + 1).cast("int"))).alias("lo"), (F.col("lo") + F.element_at("spans", (2 * i + 2).cast("int"))).alias("hi")))
-    )
-    return hit.select("key", F.explode(each).alias("r")).select("key", "r.lo", "r.hi")
+    out = saved(found.join(again.hint("merge"), F.col("anchor") == F.col("__anchor"), "left_semi"), "candidates")
+    dropped(found, again)
+    return out
 
 
 def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal ranges of a union of ranges; touching ones are one."""
+    if not len(lo):
+        return lo, hi
     by = np.argsort(lo, kind="stable")
     lo, far = lo[by], np.maximum.accumulate(hi[by])
     new = np.concatenate(([True], lo[1:] > far[:-1]))
@@ -300,143 +400,88 @@ def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text, ranges) to what is left without the ranges of bytes, and without the ranges of bytes and of words."""
     for batch in batches:
         data, offsets = arrow_bytes(batch.column(1))
         ranges = batch.column(2)
         at = np.asarray(ranges.offsets)
-        flat = ranges.flatten()
-        lo, hi = np.asarray(flat.field("lo")).astype(np.int64), np.asarray(flat.field("hi")).astype(np.int64)
-        removed, spans, digests, texts = [], [], [], []
+        at, flat = at - at[0], ranges.flatten()
+        lo, hi, words = (np.asarray(flat.field(x)) for x in ("lo", "hi", "words"))
+        lo, hi = lo.astype(np.int64), hi.astype(np.int64)
+        out = []
         for i in range(batch.num_rows):
-            a, b = merged(lo[at[i] : at[i + 1]], hi[at[i] : at[i + 1]])
-            text = data[offsets[i] : offsets[i + 1]]
-            edges = np.concatenate(([0], np.stack((a, b), 1).ravel(), [len(text)]))
-            kept = b"".join(text[x:y].tobytes() for x, y in edges.reshape(-1, 2))
-            removed.append(int((b - a).sum()))
-            spans.append(len(a))
-            digests.append(hashlib.sha256(kept).hexdigest())
-            texts.append("".join(text[x:y].tobytes().decode("utf-8", "ignore") for x, y in edges.reshape(-1, 2)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests), pa.array(texts)], names=["key", "n_removed", "n_spans", "kept_sha256", "kept_text"])
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, text, sha256, key) of docs; key stands for the doc_id and the text's SHA-256."""
-    small_batches(docs.sparkSession)
-    rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("sha256", F.sha2(F.encode("text", "utf-8"), 256))
-    return rows.withColumn("key", F.unhex(F.md5(F.concat_ws("|", "sha256", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))))
-
-
-def _repeats(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(key, lo, hi): ranges of the texts (key, text) that windows of `length` bytes cover which start somewhere else too."""
-    texts = texts.where(F.octet_length("text") >= length)
-    found = _candidates(saved(texts.mapInArrow(_anchored(length, gram), _FOUND), "anchors"))
-    return _placed(found, _context_spans(length, texts, found, gram))
-
-
-def _with_ranges(texts: DataFrame, places: DataFrame) -> DataFrame:
-    """(key, text, ranges) of the texts that have a place (key, lo, hi)."""
-    ranges = places.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")).withColumnRenamed("key", "__key")
-    return texts.join(ranges.hint("merge"), F.col("key") == F.col("__key")).select("key", "text", "ranges")
-
-
-def _changed(texts: DataFrame, places: DataFrame) -> DataFrame:
-    return _with_ranges(texts, places).mapInArrow(_kept, "key binary, n_removed long, n_spans long, kept_sha256 string, kept_text string")
-
-
-def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+            mine = slice(at[i], at[i + 1])
+            text, kind = data[offsets[i] : offsets[i + 1]], words[mine]
+            a, b = merged(lo[mine][~kind], hi[mine][~kind])
+            kept = lambda x, y: [text[u:v].tobytes() for u, v in np.concatenate(([0], np.stack((x, y), 1).ravel(), [len(text)])).reshape(-1, 2)]  # noqa: E731, B023
+            c, d = merged(lo[mine][kind], hi[mine][kind])
+            x, y = a, b
+            if len(c):
+                _, _, begins, ends = words_of(text, np.array([0, len(text)]))
+                x, y = merged(np.concatenate((a, begins[c])), np.concatenate((b, ends[d - 1])))
+            digest = hashlib.sha256(b"".join(kept(a, b))).hexdigest()
+            out.append((int((b - a).sum()), len(a), digest, len(c), int((d - c).sum()), "".join(z.decode("utf-8", "ignore") for z in kept(x, y))))
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds))], names=["key", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_words", "kept_text"])
+
+
+def _key(sha256: Column) -> Column:
+    """128 bits that stand for a doc_id and its text's SHA-256."""
+    return F.unhex(F.md5(F.concat_ws("|", sha256, F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
+
+
+def repeated(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int = PASSAGE_WORDS, word_gram: int = PASSAGE_GRAM) -> DataFrame:
+    """(key, words, lo, hi): ranges of bytes, or of words, of the texts (key, text) that windows of `length` bytes, or passages of so
+    many words, cover which start somewhere else too. words 0: of bytes only."""
+    found = _candidates(saved(texts.mapInArrow(_anchored(length, gram, words, word_gram), _FOUND), "anchors"))
+    # Written first, so that both sides of the join are plain exchanges and a context of very many texts can be split.
+    spans = saved(_context_spans(length, words, texts, found), "spans").select(F.col("anchor").alias("__a"), F.col("h1").alias("__h1"), "a", "b")
+    hit = found.join(spans.hint("merge"), (F.col("anchor") == F.col("__a")) & (F.col("h1") == F.col("__h1")))
+    return hit.select("key", "words", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi"))
+
+
+def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int = PASSAGE_WORDS, word_gram: int = PASSAGE_GRAM) -> tuple[DataFrame, DataFrame]:
     """Of rows (doc_id, text): one row (key, doc_id, n_bytes, sha256) per input row, and one row (key, n_removed, n_spans,
-    kept_sha256, kept_text) per key that loses bytes. key stands for the doc_id and the text's SHA-256."""
-    rows = _keyed(docs)
-    texts = rows.select("key", "text")
-    return rows.select("key", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "sha256"), _changed(texts, _repeats(texts, length, gram))
-
-
-def word_places(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a text's bytes: where each word starts and ends, and the same without ASCII marks at its edges (a word of marks stays)."""
-    inside = np.concatenate(([False], ~((text == 32) | ((text >= 9) & (text <= 13))), [False]))
-    a, b = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
-    core = np.flatnonzero((text >= 128) | ((text >= 48) & (text <= 57)) | (((text | 32) >= 97) & ((text | 32) <= 122)))
-    i, j = np.searchsorted(core, a), np.searchsorted(core, b)
-    core = np.append(core, 0)
-    return a, b, np.where(i < j, core[i], a), np.where(i < j, core[j - 1] + 1, b)
-
-
-def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, text, ranges) to each run of PASSAGE_WORDS words in a range, if shorter than LENGTH, by two hashes, and to the bytes of
-    each range of LENGTH or more."""
-    names = ["key", "lo", "hi", "h1", "h2", "bytes"]
-    kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-    for batch in batches:
-        data, offsets = arrow_bytes(batch.column(1))
-        ranges = batch.column(2)
-        at = np.asarray(ranges.offsets)
-        flat = ranges.flatten()
-        lo, hi = np.asarray(flat.field("lo")).astype(np.int64), np.asarray(flat.field("hi")).astype(np.int64)
-        for i in range(batch.num_rows):
-            key = batch.column(0)[i]
-            text = data[offsets[i] : offsets[i + 1]]
-            x, y = merged(lo[at[i] : at[i + 1]], hi[at[i] : at[i + 1]])
-            wide = y - x >= LENGTH
-            for a, b in zip(x[wide], y[wide]):
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((key.as_py(), a, b, 0, 0, text[a:b].tobytes()), kinds)], names=names)
-            begins, ends, first, last = word_places(text)
-            start, stop = np.searchsorted(first, x), np.searchsorted(last, y, "right") - (PASSAGE_WORDS - 1)
-            n = np.maximum(stop - start, 0)
-            if not n.any():
-                continue
-            run = np.repeat(np.arange(len(x)), n)
-            w = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n) + start[run]
-            a, b = first[w], last[w + PASSAGE_WORDS - 1]
-            short = b - a < LENGTH  # a longer one is found by its bytes
-            run, w, a, b = run[short], w[short], a[short], b[short]
-            size = (b - a).astype(U)
-            with np.errstate(over="ignore"):
-                h1, h2 = (mix(Rolling(text, base).span(a, b) + size * U(other)).view(np.int64) for base, other in ((BASE, BASE2), (BASE2, BASE)))
-            edges = np.maximum(begins[w], x[run]), np.minimum(ends[w + PASSAGE_WORDS - 1], y[run])
-            for c in range(0, len(w), 1 << 16):
-                part = slice(c, c + (1 << 16))
-                m = len(w[part])
-                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * m, kinds[0]), *(pa.array(v[part], t) for v, t in zip((*edges, h1, h2), kinds[1:5])), pa.nulls(m, kinds[5])], names=names)
-
-
-def passages(texts: DataFrame) -> DataFrame:
-    """(key, lo, hi): ranges of the texts (key, text) that occur anywhere else too and have PASSAGE_WORDS words or LENGTH bytes.
-
-    The suffix arrays find what repeats in windows of as many bytes as so many words have at least. Ranges that touch may repeat
-    different places, so runs of words within a range are compared as wholes, and ranges of LENGTH bytes once more by such windows.
-    """
-    parts = saved(_with_ranges(texts, _repeats(texts, PASSAGE_BYTES, PASSAGE_GRAM)).mapInArrow(_passages, "key binary, lo int, hi int, h1 long, h2 long, bytes binary"), "passages")
-    words = parts.where("bytes is null")
-    twice = saved(words.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2")), "repeated-passages")
-    words = words.join(twice.hint("merge"), (F.col("h1") == F.col("__h1")) & (F.col("h2") == F.col("__h2")), "left_semi").select("key", "lo", "hi")
-    at = F.unhex(F.lpad(F.hex("lo"), 8, "0"))
-    wide = _repeats(parts.where("bytes is not null").select(F.concat("key", at).alias("key"), F.col("bytes").alias("text")), LENGTH, GRAM)
-    start = F.conv(F.hex(F.substring("key", 17, 4)), 16, 10).cast("int")
-    return words.unionByName(wide.select(F.substring("key", 1, 16).alias("key"), (F.col("lo") + start).alias("lo"), (F.col("hi") + start).alias("hi")))
+    kept_sha256, n_passages, passage_words, kept_text) per key that has a repeated range: bytes removed, maximal runs of them and the
+    digest of the rest, all by strings of `length` bytes; maximal ranges of repeated passages and their words; and the text without
+    both. key stands for the doc_id and the text's SHA-256."""
+    small_batches(docs.sparkSession)
+    rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("sha256", F.sha2(F.encode("text", "utf-8"), 256)).withColumn("key", _key(F.col("sha256")))
+    texts = rows.select("key", "text").where(F.octet_length("text") >= (min(length, 2 * words - 1) if words else length))
+    ranges = repeated(texts, length, gram, words, word_gram).groupBy("key").agg(F.collect_list(F.struct("words", "lo", "hi")).alias("ranges")).withColumnRenamed("key", "__key")
+    changed = texts.join(ranges.hint("merge"), F.col("key") == F.col("__key")).select("key", "text", "ranges")
+    changed = changed.mapInArrow(_kept, "key binary, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_words long, kept_text string")
+    return rows.select("key", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "sha256"), changed
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of docs (doc_id, text).
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int = PASSAGE_WORDS, word_gram: int = PASSAGE_GRAM) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, passage_words) for each row of docs (doc_id, text).
 
     A byte goes if a string of `length` bytes that covers it also starts anywhere else, in the same or another row; a text that
-    occurs in two rows loses all its bytes if it has `length` of them. Matches are judged on the input and never cross rows.
+    occurs in two rows loses all its bytes if it has `length` of them. n_passages counts the maximal ranges of passages of so many
+    words (white space between them and marks at their edges do not count) that stand somewhere else too, passage_words their words;
+    these are reported, not removed. Matches are judged on the input and never cross rows.
     Nulls: a null text is empty (nothing removed, the digest of no bytes); rows with a null doc_id are rows like others. Repeated
-    rows are copies of each other. Empty tables give an empty result.
+    rows are copies of each other. Texts of any length are judged whole; an empty text has nothing to lose. Other columns of docs,
+    whatever their names, are not looked at. Empty tables give an empty result.
     """
-    rows, changed = removals(docs, length, gram)
+    rows, changed = removals(docs, length, gram, words, word_gram)
     changed = changed.drop("kept_text").dropDuplicates(["key"]).withColumnRenamed("key", "__key")
     out = rows.join(changed, F.col("key") == F.col("__key"), "left")
-    none = F.lit(0).cast("long")
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"))
+    count = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return out.select("doc_id", "n_bytes", count("n_removed"), count("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), count("n_passages"), count("passage_words"))
 
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every row with its repeated passages of over 50 words, or of LENGTH bytes, cut out (a character that a cut
-    splits goes); n_chars follows the text."""
-    texts = _keyed(docs).select("key", "text")
-    changed = _changed(texts, passages(texts)).select(F.col("key").alias("__key"), F.col("kept_text").alias("__new")).dropDuplicates(["__key"])
-    key = F.unhex(F.md5(F.concat_ws("|", F.sha2(F.encode(text_or_empty(), "utf-8"), 256), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
-    both = docs.withColumn("__k", key).join(changed, F.col("__k") == F.col("__key"), "left")
+    """Pipeline stage: every row with its repeated passages of over 50 words, and repeated strings of LENGTH bytes, cut out (a
+    character that a cut splits goes); n_chars follows the text. Rows of which no word is left go.
+
+    Nulls: rows with a null or empty text stay as they are, a null doc_id is a row like others; repeated rows with 51 words lose them
+    all and go; columns and their order stay; an empty table gives an empty result.
+    """
+    changed = removals(docs)[1].select(F.col("key").alias("__key"), F.col("kept_text").alias("__new")).dropDuplicates(["__key"])
+    both = docs.withColumn("__k", _key(F.sha2(F.encode(text_or_empty(), "utf-8"), 256))).join(changed, F.col("__k") == F.col("__key"), "left")
+    both = both.where(F.col("__new").isNull() | F.col("__new").rlike(r"[^\x20\x09-\x0D]"))
     new = {"text": F.coalesce("__new", "text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("__new").isNotNull(), F.length("__new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
