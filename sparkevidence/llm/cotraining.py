@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from sparkevidence.llm.hashing import U, mix, word_hashes
 from sparkevidence.llm.shared import arrow_bytes, saved, slices, small_batches, text_or_empty, unit_interval
 
-#: Bounds of the labelled sample and of the unlabelled pool that models are fitted on; rows are taken in order of a keyed hash.
-LABELLED = 6_000
-POOL = 3_000
+#: Bound of the labelled sample that models are fitted on; rows are taken in order of a keyed hash. Pseudo-labels come from all others.
+LABELLED = 9_000
 ROUNDS = 2
-#: A view hands a pseudo-label on when it is this sure of it.
+#: A view hands a pseudo-label on when it is this sure of it; so many of either kind are needed for them to count.
 CONFIDENT = 0.97
+LEAST = 20
 #: Every so-manieth labelled document is kept for calibration.
 HELD_OUT = 4
 WORDS, NAMES = 1 << 15, 1 << 9
@@ -57,9 +57,6 @@ class Rows:
         pick = np.repeat(self.at[rows] - at[:-1], n) + np.arange(at[-1])
         return Rows(at, self.index[pick], self.value[pick], self.width)
 
-    def plus(self, other: Rows) -> Rows:
-        return Rows(np.concatenate((self.at, other.at[1:] + self.at[-1])), np.concatenate((self.index, other.index)), np.concatenate((self.value, other.value)), self.width)
-
 
 def _counted(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     sums = np.concatenate(([0], np.cumsum(flags)))
@@ -157,25 +154,73 @@ def platt(z: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return 0.0, math.log(p / (1 - p))
 
 
-def cotrain(text: Rows, meta: Rows, label: np.ndarray, held: np.ndarray, pool: tuple[Rows, Rows], rounds: int = ROUNDS) -> dict | None:
-    """Models of both views: fitted, then for some rounds again with the pool rows of which the other view is sure, then each
-    calibrated by Platt scaling on the held-out rows. None where the labels are not of both kinds."""
-    if min(label.sum(), (1 - label).sum()) < 4:
+def odds(counts: np.ndarray, size: int) -> np.ndarray | None:
+    """Log odds of label 1 by feature, smoothed, from counts (feature or -1, documents of label 0, of label 1); -1 has all documents.
+    None for features that are no names, and where too few documents have either label."""
+    total = counts[counts[:, 0] == -1][:, 1:].sum(0)
+    if total.min() < LEAST:
         return None
-    train = np.flatnonzero(~held)
-    base = {"text": (text.take(train), label[train], 1e-4), "meta": (meta.take(train), label[train], 1e-3)}
-    taught = dict(base)
-    for step in range(rounds + 1):
-        w = {k: fit(*x) for k, x in taught.items()}
-        if step == rounds or not len(pool[0]):
-            break
-        p = {"text": probability(logit(pool[0], w["text"])), "meta": probability(logit(pool[1], w["meta"]))}
-        for mine, rows, other in (("text", pool[0], "meta"), ("meta", pool[1], "text")):
-            sure = np.flatnonzero(np.abs(p[other] - 0.5) >= CONFIDENT - 0.5)
-            taught[mine] = (base[mine][0].plus(rows.take(sure)), np.concatenate((base[mine][1], (p[other][sure] >= 0.5).astype(float))), base[mine][2])
-    check = np.flatnonzero(held) if min(label[held].sum(), (1 - label[held]).sum()) >= 2 else train
-    prior = (label.sum() + 1) / (len(label) + 2)
-    return {"text": w["text"], "meta": w["meta"], "text_scale": platt(logit(text.take(check), w["text"]), label[check]), "meta_scale": platt(logit(meta.take(check), w["meta"]), label[check]), "prior": math.log(prior / (1 - prior))}
+    n = np.zeros((size, 2))
+    own = counts[counts[:, 0] >= 0]
+    n[own[:, 0]] = own[:, 1:]
+    p = (n + 0.5) / (total + 1)
+    out = np.log(p[:, 1] / (1 - p[:, 1])) - np.log(p[:, 0] / (1 - p[:, 0]))
+    out[n.sum(1) == 0] = 0
+    return out
+
+
+def taught(rows: Rows, label: np.ndarray, reg: float, lesson: np.ndarray | None) -> np.ndarray:
+    """A view's model. What the pseudo-labels say of each feature (lesson) is one more feature of the labelled rows, so how far it is
+    to be trusted is fitted too; it then melts into the weights."""
+    if lesson is None:
+        return fit(rows, label, reg)
+    told = rows.dot(lesson)
+    scale = max(float(told.std()), 1e-9)
+    n = len(rows)
+    at = rows.at + np.arange(n + 1)
+    index, value = np.empty(at[-1], np.int32), np.empty(at[-1], np.float32)
+    old = np.ones(at[-1], bool)
+    old[at[1:] - 1] = False
+    index[old], value[old] = rows.index, rows.value
+    index[~old], value[~old] = rows.width, told / scale
+    w = fit(Rows(at, index, value, rows.width + 1), label, reg)
+    return np.append(w[:-2] + lesson * (w[-2] / scale), w[-1])
+
+
+class Pupil:
+    """The two views' models of one label. Rows that are held out calibrate the views at the end (Platt scaling)."""
+
+    REG = {"text": 1e-4, "meta": 1e-3}
+
+    def __init__(self, text: Rows, meta: Rows, label: np.ndarray, held: np.ndarray) -> None:
+        train = np.flatnonzero(~held)
+        self.label, self.held, self.views = label, held, {"text": text, "meta": meta}
+        self.base = {k: (x.take(train), label[train], self.REG[k]) for k, x in self.views.items()}
+        self.w = {k: taught(*x, None) for k, x in self.base.items()}
+
+    def learn(self, counts: dict[str, np.ndarray]) -> None:
+        self.w = {k: taught(*x, odds(counts[k], x[0].width)) for k, x in self.base.items()}
+
+    def model(self) -> dict:
+        own = self.label[self.held]
+        check = np.flatnonzero(self.held) if min(own.sum(), (1 - own).sum()) >= 2 else np.flatnonzero(~self.held)
+        prior = (self.label.sum() + 1) / (len(self.label) + 2)
+        scale = {f"{k}_scale": platt(logit(x.take(check), self.w[k]), self.label[check]) for k, x in self.views.items()}
+        return dict(self.w) | scale | {"prior": math.log(prior / (1 - prior))}
+
+
+def lessons(text: Rows, meta: Rows, w: dict[str, np.ndarray]) -> Iterator[tuple[str, np.ndarray]]:
+    """(view, counts) of some documents for each view: how many of which the other view is sure have a feature, by pseudo-label."""
+    p = {"text": probability(logit(text, w["text"])), "meta": probability(logit(meta, w["meta"]))}
+    for mine, rows, names, other in (("text", text, WORDS, "meta"), ("meta", meta, 2 * NAMES, "text")):
+        sure = np.abs(p[other] - 0.5) >= CONFIDENT - 0.5
+        out = np.zeros((names + 1, 2), np.int64)
+        row = np.repeat(np.arange(len(rows)), np.diff(rows.at))
+        for kind in (0, 1):
+            said = sure & ((p[other] >= 0.5) == bool(kind))
+            out[:names, kind] = np.bincount(rows.index[said[row] & (rows.index < names)], minlength=names)
+            out[names, kind] = said.sum()
+        yield mine, out
 
 
 def combined(text: Rows, meta: Rows, model: dict) -> np.ndarray:
@@ -190,7 +235,7 @@ def _viewed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in slices(offsets, 2 << 20):
             part = views(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], batch.column(4)[a:b].to_pylist(), batch.column(5)[a:b].to_pylist())
             lists = [pa.ListArray.from_arrays(x.at.astype(np.int32), pa.array(y)) for x in part for y in (x.index.astype(np.int32), x.value.astype(np.float32))]
-            yield pa.RecordBatch.from_arrays([*(c[a:b] for c in batch.columns[:3]), *lists], names=["quality", "toxic", "held", "ti", "tv", "mi", "mv"])
+            yield pa.RecordBatch.from_arrays([*(c[a:b] for c in batch.columns[:3]), *lists, batch.column(6)[a:b]], names=["quality", "toxic", "held", "ti", "tv", "mi", "mv", "id"])
 
 
 def _rows(table: pa.Table, index: str, value: str, width: int) -> Rows:
@@ -198,30 +243,62 @@ def _rows(table: pa.Table, index: str, value: str, width: int) -> Rows:
     return Rows(np.asarray(i.offsets).astype(np.int64), np.asarray(i.values), np.asarray(v.values), width)
 
 
-def trained(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> dict[str, dict | None]:
-    """Models of good quality and of toxicity, from at most `labelled` labelled and `pool` unlabelled documents of docs."""
+def _taught_by(models: dict[str, dict[str, np.ndarray]]):
+    """(text, source, lang) to the counts of pseudo-labels by target, view and feature, summed up in each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, str], np.ndarray] = {}
+        for batch in batches:
+            data, offsets = arrow_bytes(batch.column(0))
+            for a, b in slices(offsets, 2 << 20):
+                text, meta = views(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], batch.column(1)[a:b].to_pylist(), batch.column(2)[a:b].to_pylist())
+                for target, w in models.items():
+                    for view, counts in lessons(text, meta, w):
+                        sums[target, view] = sums.get((target, view), 0) + counts
+        for (target, view), counts in sums.items():
+            at = np.flatnonzero(counts.sum(1))
+            n = len(at)
+            at_or_all = np.where(at == len(counts) - 1, -1, at)
+            yield pa.RecordBatch.from_arrays([pa.array([target] * n, pa.string()), pa.array([view] * n, pa.string()), pa.array(at_or_all, pa.int64()), pa.array(counts[at, 0]), pa.array(counts[at, 1])], names=["target", "view", "index", "n0", "n1"])
+
+    return run
+
+
+def trained(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS) -> dict[str, dict | None]:
+    """Models of good quality and of toxicity.
+
+    The views are fitted on at most `labelled` labelled documents. In each round both views judge all other rows of docs, and what
+    each is sure of goes to the other as counts of features by pseudo-label: whole numbers, summed in the tasks, of which the driver
+    sees one row for each feature. Repeats of a labelled id are one example (its least text).
+    """
     by_hash = F.md5(F.concat(F.lit("sample|"), F.col("doc_id").cast("string")))
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    ids = docs.select("doc_id").where("doc_id is not null").distinct()
-    both = saved(ids.join(known, "doc_id", "left"), "known")
-    given = both.where("quality is not null").orderBy(by_hash, "doc_id").limit(labelled)
-    free = both.where("quality is null").orderBy(by_hash, "doc_id").limit(pool)
-    chosen = saved(given.union(free), "sample").withColumnRenamed("doc_id", "__id")
+    given = known.join(docs.select("doc_id").where("doc_id is not null"), "doc_id", "left_semi").orderBy(by_hash, "doc_id").limit(labelled)
+    chosen = saved(given, "sample").withColumnRenamed("doc_id", "__id")
     held = F.floor(unit_interval(F.md5(F.concat(F.lit("fold|"), F.col("__id").cast("string")))) * HELD_OUT) == 0
     rows = docs.select("doc_id", "text", "source", "lang").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
-    rows = rows.select(F.col("quality").cast("int"), F.col("toxic").cast("int"), held.alias("held"), text_or_empty().alias("text"), "source", "lang")
-    # Rows of the sample only, which has a bound: it is fitted on the driver.
-    table = rows.mapInArrow(_viewed, "quality int, toxic int, held boolean, ti array<int>, tv array<float>, mi array<int>, mv array<float>").toArrow()
+    rows = rows.groupBy("__id", "quality", "toxic").agg(F.min(F.struct(text_or_empty().alias("text"), "source", "lang")).alias("d"))
+    rows = rows.select(F.col("quality").cast("int"), F.col("toxic").cast("int"), held.alias("held"), "d.text", "d.source", "d.lang", "__id")
+    # The sample has a bound: it is fitted on the driver.
+    table = rows.mapInArrow(_viewed, "quality int, toxic int, held boolean, ti array<int>, tv array<float>, mi array<int>, mv array<float>, id long").toArrow()
+    out: dict[str, dict | None] = {"quality": None, "toxic": None}
     if not table.num_rows:
-        return {"quality": None, "toxic": None}
+        return out
+    table = table.sort_by("id")
     text, meta = _rows(table, "ti", "tv", TEXT_SIZE), _rows(table, "mi", "mv", META_SIZE)
-    known_rows = np.flatnonzero(np.asarray(table["quality"].is_valid()))
-    rest = np.flatnonzero(~np.asarray(table["quality"].is_valid()))
-    out = {}
-    for name in ("quality", "toxic"):
-        label = np.asarray(table[name].to_pylist(), float)[known_rows] if len(known_rows) else np.zeros(0)
-        out[name] = cotrain(text.take(known_rows), meta.take(known_rows), label, np.asarray(table["held"].to_pylist(), bool)[known_rows], (text.take(rest), meta.take(rest)), rounds)
-    return out
+    pupils = {}
+    for name in out:
+        label = np.asarray(table[name].to_pylist(), float)
+        if min(label.sum(), (1 - label).sum()) >= 4:
+            pupils[name] = Pupil(text, meta, label, np.asarray(table["held"].to_pylist(), bool))
+    rest = docs.join(F.broadcast(chosen.select("__id")), F.col("doc_id") == F.col("__id"), "left_anti").select(text_or_empty().alias("text"), "source", "lang")
+    for _ in range(rounds if pupils else 0):
+        sums = rest.mapInArrow(_taught_by({k: x.w for k, x in pupils.items()}), "target string, view string, index long, n0 long, n1 long")
+        sums = sums.groupBy("target", "view", "index").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+        target, view, counts = np.asarray(sums["target"].to_pylist()), np.asarray(sums["view"].to_pylist()), np.stack([sums[c].to_numpy() for c in ("index", "n0", "n1")], 1)
+        for name, pupil in pupils.items():
+            pupil.learn({k: counts[(target == name) & (view == k)] for k in pupil.views})
+    return out | {k: x.model() for k, x in pupils.items()}
 
 
 def _scored(models: dict[str, dict | None]):
@@ -239,7 +316,7 @@ def _scored(models: dict[str, dict | None]):
 def scored(docs: DataFrame, labels: DataFrame, carried: list[str], **options) -> DataFrame:
     """The carried columns of docs with __quality and __toxic, the probabilities that a document is good and that it is toxic.
 
-    All rows are scored whole, by models fitted on a bounded sample (see trained). Labels of an id that occur twice are joined (worst
+    All rows are scored whole, by models fitted on a bounded labelled sample and taught by all other rows (see trained). Labels of an id that occur twice are joined (worst
     quality, toxic if any). Without labels of both kinds a document counts as good, or as not toxic. Null texts are empty, null
     sources and languages are names of their own; null ids are scored like others; empty tables give an empty result.
     """
@@ -251,12 +328,14 @@ def scored(docs: DataFrame, labels: DataFrame, carried: list[str], **options) ->
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """(doc_id, quality, toxic, kept) for each row of docs: probabilities, and whether the document is good and not toxic."""
+    """(doc_id, quality, toxic, kept) for each row of docs: probabilities, and whether the document is good and not toxic. Nulls, empty
+    texts, repeats and empty tables as in scored; other columns of docs are not looked at."""
     out = scored(docs, labels, ["doc_id"], **options)
     return out.select("doc_id", F.col("__quality").alias("quality"), F.col("__toxic").alias("toxic"), ((F.col("__quality") >= 0.5) & (F.col("__toxic") < 0.5)).alias("kept"))
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the classifier rejects go."""
+    """Pipeline stage: documents that the classifier rejects go. Nulls, empty texts, repeats and empty tables as in scored; without
+    labels of both kinds all stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return scored(docs, labels, docs.columns).where("__quality >= 0.5 and __toxic < 0.5").drop("__quality", "__toxic")
