@@ -25,10 +25,14 @@ SECRETS = (
 
 
 def normalize_text(text: Column) -> Column:
-    """One kind of line end and space; runs of spaces and of blank lines shortened."""
-    out = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), " ", " ")
-    out = F.regexp_replace(F.regexp_replace(out, "[ \t]+", " "), " ?\n ?", "\n")
-    return F.btrim(F.regexp_replace(out, "\n{3,}", "\n\n"), F.lit(" \n"))
+    """One kind of line end and space; runs of spaces and of blank lines shortened, but not inside code fences."""
+
+    def prose(part: Column) -> Column:
+        out = F.regexp_replace(F.regexp_replace(F.regexp_replace(part, "\u00a0", " "), "[ \t]+", " "), " ?\n ?", "\n")
+        return F.regexp_replace(out, "\n{3,}", "\n\n")
+
+    parts = F.split(F.regexp_replace(text, "\r\n?", "\n"), "```")
+    return F.btrim(F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 0, prose(x)).otherwise(x)), "```"), F.lit(" \n"))
 
 
 def drop_boilerplate_lines(text: Column) -> Column:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkevidence.sources.cuts import cut
+
 
 def latest_versions(docs: DataFrame, key: str = "document_key") -> DataFrame:
     """Each key's highest version: (key, version, document_id, status). A grouped maximum, which combines before its shuffle."""
@@ -81,12 +83,15 @@ def duplicates(df: DataFrame, key: str) -> DataFrame:
 
 
 def link_frontier(links: DataFrame, starts: DataFrame, depth: int, most: int) -> DataFrame:
-    """(source, url, depth): breadth-first over links (source, url, target) from starts (source, url), to a depth and a number of pages a
-    source. One join for each level; pages already seen are taken out by an anti join."""
-    seen = level = starts.select("source", "url", F.lit(0).alias("depth")).dropDuplicates(["source", "url"])
+    """(source, url, depth): breadth-first over links (url, target), or (source, url, target), from starts (source, url), to a depth and
+    a number of pages a source. One join for each level; pages already seen are taken out by an anti join. Each level is written, so
+    that none is worked out again for the next."""
+    on = ["source", "url"] if "source" in links.columns else ["url"]
+    level = cut(starts.select("source", "url", F.lit(0).alias("depth")).dropDuplicates(["source", "url"]))
+    seen = level
     for d in range(1, depth + 1):
-        step = level.join(links, ["source", "url"]).select("source", F.col("target").alias("url")).distinct()
-        level = step.join(seen, ["source", "url"], "left_anti").withColumn("depth", F.lit(d))
+        step = level.join(links, on).select("source", F.col("target").alias("url")).distinct()
+        level = cut(step.join(seen, ["source", "url"], "left_anti").withColumn("depth", F.lit(d)))
         seen = seen.unionByName(level)
     rank = F.row_number().over(Window.partitionBy("source").orderBy("depth", "url"))
     return seen.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")

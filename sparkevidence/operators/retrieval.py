@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkevidence.functions import text as T
+from sparkevidence.sources.cuts import cut
 
 #: Bounds of one block of vectors and of queries in exact search.
 VECTOR_BLOCK, QUERY_BLOCK = 4096, 1024
@@ -20,17 +21,40 @@ def roots(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.explode(F.array_distinct(F.transform(T.significant_terms(F.col(text)), T.root))).alias("root"))
 
 
+#: Weight of a stem that the corpus does not have. Fixed value.
+UNSEEN = 0.82
+#: Rows of asked stems up to which they are sent to every task; larger sets meet the documents' stems by a shuffle.
+SENT_ROOTS = 200_000
+
+
+def small(df: DataFrame, most: int = SENT_ROOTS) -> DataFrame:
+    """df to be broadcast if it has at most so many rows, which is counted; else df as it is."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def document_matches(question_roots: DataFrame, document_roots: DataFrame, weights: DataFrame, question: str = "question_id", document: str = "document_id") -> DataFrame:
-    """(question, document, matched, score): the weighted share of a question's stems that a document has.
+    """(question, document, matched, score): the weighted share of a question's stems, common ones included, that a document has.
 
-    weights (root, weight, frequency_class) leaves out common stems, which would pair every question with every document; the join
-    runs over an inverted index of the rest.
+    weights: (root, weight), UNSEEN where a stem has none. The stems of the questions, a stated set, go to where documents' stems are
+    exploded, so no stem is a shuffle key, and hits of a document are summed up there before they are shuffled by pair.
     """
-    w = weights.where("frequency_class <> 'common'").select("root", "weight")
-    asked = question_roots.join(w, "root")
+    asked = cut(question_roots.join(weights.select("root", "weight"), "root", "left").select(question, "root", F.coalesce("weight", F.lit(UNSEEN)).alias("weight")), "asked")
     total = asked.groupBy(question).agg(F.sum("weight").alias("total"))
-    hits = asked.join(document_roots, "root").groupBy(question, document).agg(F.count(F.lit(1)).alias("matched"), F.sum("weight").alias("got"))
-    return hits.join(total, question).select(question, document, "matched", F.round(F.col("got") / F.col("total"), 6).alias("score"))
+    hits = document_roots.join(small(asked), "root").groupBy(question, document).agg(F.count(F.lit(1)).alias("matched"), F.sum("weight").alias("got"))
+    return hits.join(small(total), question).select(question, document, "matched", F.round(F.col("got") / F.col("total"), 6).alias("score"))
+
+
+def holds_all(questions: DataFrame, documents: DataFrame, question: str = "question_id") -> DataFrame:
+    """(question, document columns, k): documents whose tokens hold every token of a question. questions: (question, tokens); documents
+    have tokens and other columns.
+
+    A question meets documents by its longest token only, and what meets is tested for the others; frequent short words pair nothing.
+    """
+    asked = questions.where(F.size("tokens") > 0).select(question, F.array_distinct("tokens").alias("asked"))
+    longest = F.element_at(F.array_sort(F.transform("asked", lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), 1)["t"]
+    rows = documents.withColumn("_token", F.explode(F.array_distinct("tokens")))
+    hits = rows.join(small(asked.withColumn("_token", longest)), "_token").where(F.size(F.array_except("asked", "tokens")) == 0)
+    return hits.select(question, *[c for c in documents.columns if c != "tokens"], F.size("asked").alias("k"))
 
 
 def top_per(df: DataFrame, by: str, score: str, tie: str, most: int, least: float = 0.0) -> DataFrame:
@@ -72,7 +96,8 @@ def _block_scores(key: tuple, rows: pd.DataFrame, queries: pd.DataFrame, most: i
 
 def cosine_topk(vectors: DataFrame, queries: DataFrame, most: int, n_vectors: int, n_queries: int) -> DataFrame:
     """(query_id, vec_id, score, rank): exact search of unit vectors (id, v) by blocks of both sides, each block one matrix product;
-    a block gives only its own best, which are ranked once more."""
+    a block gives only its own best, which are ranked once more. For stated query sets of some thousand: every block of vectors is read
+    once for each block of queries; ann_topk is for larger ones."""
     vb, qb = max(1, -(-n_vectors // VECTOR_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
     left = vectors.select("vec_id", F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(vb)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("j"))
     right = queries.select("query_id", F.col("v").cast("array<double>").alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(vb - 1).cast("long"))).alias("i"), F.pmod(F.xxhash64("query_id"), F.lit(qb)).cast("int").alias("j"))

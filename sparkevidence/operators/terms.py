@@ -11,21 +11,37 @@ from sparkevidence.functions import text as T
 ROLES = {"platform": 0.72, "exact": 1.24, "config": 1.24, "symptom": 1.08, "source": 0.96}
 
 
+#: Shapes that a term has before it is lower-cased, by rank. Fixed values.
+RAW_SHAPES = ((2, "config", r"^[A-Z][A-Z0-9]*(_[A-Z0-9]+)++$"), (1, "acronym", r"^[A-Z]{2,6}$"))
+
+
 def term_occurrences(chunks: DataFrame) -> DataFrame:
-    """One row for each distinct term of a chunk: (term, document_id, chunk_index, course)."""
-    return chunks.select(F.explode(T.significant_terms(F.col("content"))).alias("term"), "document_id", "chunk_index", "course")
+    """One row for each distinct term of a chunk: (term, document_id, chunk_index, course, shape); shape is the rank of the term's
+    shape as it is written there, 0 for a plain word."""
+    raw = F.regexp_extract_all("content", F.lit(T.TOKEN), F.lit(0))
+    rows = chunks.select("document_id", "chunk_index", "course", T.significant_terms(F.col("content")).alias("terms"), *[F.transform(F.filter(raw, lambda t: t.rlike(s)), F.lower).alias(f"raw{k}") for k, _, s in RAW_SHAPES])  # noqa: B023
+    shape = F.lit(0)
+    for k, _, _ in reversed(RAW_SHAPES):
+        shape = F.when(F.array_contains(F.col(f"raw{k}"), F.col("term")), k).otherwise(shape)
+    return rows.select("document_id", "chunk_index", "course", *[f"raw{k}" for k, _, _ in RAW_SHAPES], F.explode("terms").alias("term")).select("term", "document_id", "chunk_index", "course", shape.alias("shape"))
 
 
-def term_statistics(chunks: DataFrame) -> DataFrame:
-    """(term, document_frequency, chunk_frequency, course_frequency, term_type).
+def term_statistics(chunks: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(term, document_frequency, chunk_frequency, course_frequency, term_type); with roots (root) only of terms with these stems.
 
     Occurrences are distinct by chunk already, so documents and courses are counted from (term, document) rows: two plain grouped
     counts instead of an expansion by each distinct count, and both combine before their shuffles.
     """
-    per_document = term_occurrences(chunks).groupBy("term", "document_id", "course").agg(F.count(F.lit(1)).alias("n"))
-    per_course = per_document.groupBy("term", "course").agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("c"))
-    out = per_course.groupBy("term").agg(F.sum("d").alias("document_frequency"), F.sum("c").alias("chunk_frequency"), F.count_if(F.coalesce("course", F.lit("")) != "").alias("course_frequency"))
-    return out.withColumn("term_type", T.guess_term_type(F.col("term")))
+    rows = term_occurrences(chunks)
+    if roots is not None:
+        rows = rows.join(roots.select(F.col("root").alias("_root")), T.root(F.col("term")) == F.col("_root"), "left_semi")
+    per_document = rows.groupBy("term", "document_id", "course").agg(F.count(F.lit(1)).alias("n"), F.max("shape").alias("shape"))
+    per_course = per_document.groupBy("term", "course").agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("c"), F.max("shape").alias("shape"))
+    out = per_course.groupBy("term").agg(F.sum("d").alias("document_frequency"), F.sum("c").alias("chunk_frequency"), F.count_if(F.coalesce("course", F.lit("")) != "").alias("course_frequency"), F.max("shape").alias("shape"))
+    kind = T.guess_term_type(F.col("term"))
+    for k, name, _ in reversed(RAW_SHAPES):
+        kind = F.when(F.col("shape") == k, name).otherwise(kind)
+    return out.withColumn("term_type", kind).drop("shape")
 
 
 def merge_by_root(stats: DataFrame) -> DataFrame:

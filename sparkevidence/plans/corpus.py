@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LINES_PER_SECTION = 8
+#: Neighbouring ids that share a key if their source is the same.
+IDS_PER_KEY = 80
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,9 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Versioned documents: 25 keys a source, versions by doc_id, every 17th a draft, the highest other version active."""
+    """Versioned documents: a few neighbouring ids of a source share a key, so keys grow with the table; versions by doc_id, every 17th a
+    draft, the highest other version active."""
     d = table(spark, sf_dir, "documents")
-    key = F.concat(F.col("source"), F.lit("/"), (F.col("doc_id") % 25).cast("string"))
+    key = F.concat(F.col("source"), F.lit("/"), F.floor(F.col("doc_id") / IDS_PER_KEY).cast("string"))
     rows = d.select(
         F.col("doc_id").alias("document_id"), key.alias("document_key"), F.col("source").alias("source_name"), F.col("lang").alias("course"),
         F.element_at(F.split("text", "\n"), 1).alias("title"), "text", (F.lit(1704067200) + F.col("doc_id") * 60).alias("created_s"),
@@ -31,9 +34,12 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One chunk for each run of LINES_PER_SECTION lines: (document_id, chunk_index, heading, content, course, source_name)."""
+def chunks(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """One chunk for each run of LINES_PER_SECTION lines: (document_id, chunk_index, heading, content, course, source_name). of: the
+    document_id of those that are wanted; others are not cut at all."""
     d = table(spark, sf_dir, "documents")
+    if of is not None:
+        d = d.join(of, d["doc_id"] == of["document_id"], "left_semi")
     all_lines = F.split("text", "\n")
     starts = F.sequence(F.lit(0), F.floor((F.size(all_lines) - 1) / LINES_PER_SECTION).cast("int"))
     rows = d.select(F.col("doc_id").alias("document_id"), F.col("lang").alias("course"), F.col("source").alias("source_name"), all_lines.alias("ls"), F.explode(starts).alias("chunk_index"))
@@ -46,9 +52,9 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
-    "docs": """docs0 AS (SELECT doc_id AS document_id, source || '/' || (doc_id % 25) AS document_key, source AS source_name, lang AS course,
+    "docs": f"""docs0 AS (SELECT doc_id AS document_id, source || '/' || (doc_id // {IDS_PER_KEY}) AS document_key, source AS source_name, lang AS course,
         split_part(text, chr(10), 1) AS title, text, 1704067200 + doc_id * 60 AS created_s,
-        row_number() OVER (PARTITION BY source || '/' || (doc_id % 25) ORDER BY doc_id) AS version FROM documents),
+        row_number() OVER (PARTITION BY source || '/' || (doc_id // {IDS_PER_KEY}) ORDER BY doc_id) AS version FROM documents),
     docs AS (SELECT *, CASE WHEN document_id % 17 = 0 THEN 'draft' WHEN version = max(CASE WHEN document_id % 17 <> 0 THEN version END) OVER (PARTITION BY document_key)
         THEN 'active' ELSE 'archived' END AS status FROM docs0)""",
     "lines": """lines AS (SELECT doc_id AS document_id, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents)""",

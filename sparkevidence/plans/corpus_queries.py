@@ -16,7 +16,8 @@ _BOILER = _Q(T.BOILERPLATE)
 _STOP = _Q(T.STOPWORDS)
 _TOKENS = f"regexp_extract_all(lower(content), '{T.TOKEN}')"
 _SIGNIFICANT = f"list_distinct(list_filter({_TOKENS}, lambda t: len(t) > 1 AND t NOT IN ({_STOP}) AND NOT regexp_matches(t, '^[0-9]+$')))"
-_NORMAL = """trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(160), ' ', 'g'), '[ \\t]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))"""
+_PROSE = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, chr(160), ' ', 'g'), '[ \\t]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g')"
+_NORMAL = f"""trim(array_to_string(list_transform(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '```'), lambda x, i: CASE WHEN i % 2 = 1 THEN {_PROSE} ELSE x END), '```'), ' ' || chr(10))"""
 
 
 @query(f"""SELECT doc_id, {_NORMAL} AS normal, len(list_filter(string_split(text, chr(10)), lambda x: lower(trim(x)) IN ({_BOILER}))) AS boilerplate_lines,
@@ -79,10 +80,14 @@ def number_chunks(spark, sf_dir):
     return c.select("document_id", "chunk_index", "heading", T.count_tokens(F.col("content")).alias("n_tokens"), F.md5("content").alias("content_md5"), part.alias("part_index"))
 
 
-_TERMS_CTE = f"terms AS (SELECT document_id, chunk_index, course, source_name, unnest({_SIGNIFICANT}) AS term FROM chunks)"
+_RAW = f"regexp_extract_all(content, '{T.TOKEN}')"
+_SHAPED = ", ".join(f"list_transform(list_filter({_RAW}, lambda t: regexp_matches(t, '{s.replace('++', '+')}')), lambda t: lower(t)) AS raw{k}" for k, _, s in terms.RAW_SHAPES)
+_TERMS_CTE = f"""terms0 AS (SELECT document_id, chunk_index, course, source_name, {_SHAPED}, unnest({_SIGNIFICANT}) AS term FROM chunks),
+    terms AS (SELECT document_id, chunk_index, course, source_name, term, CASE {" ".join(f"WHEN list_contains(raw{k}, term) THEN {k}" for k, _, _ in terms.RAW_SHAPES)} ELSE 0 END AS shape FROM terms0)"""
 _TYPE_SQL = r"""CASE WHEN regexp_matches(term, '^https?://') THEN 'url' WHEN regexp_matches(term, '^[A-Z][A-Z0-9]*(_[A-Z0-9]+)+$') THEN 'config' WHEN regexp_matches(term, '^/[a-z0-9/_-]+$') THEN 'path'
     WHEN regexp_matches(term, '^[0-9]+([.][0-9]+)*$') THEN 'number' WHEN regexp_matches(term, '^[a-z0-9]+[.][a-z0-9.]+$') THEN 'file' WHEN regexp_matches(term, '^[A-Z]{2,6}$') THEN 'acronym' ELSE 'term' END"""
-_STATS_CTE = f"""stats AS (SELECT term, count(DISTINCT document_id) AS document_frequency, count(*) AS chunk_frequency, count(DISTINCT nullif(course, '')) AS course_frequency, {_TYPE_SQL} AS term_type FROM terms GROUP BY term)"""
+_STATS_CTE = f"""stats AS (SELECT term, count(DISTINCT document_id) AS document_frequency, count(*) AS chunk_frequency, count(DISTINCT nullif(course, '')) AS course_frequency,
+    CASE {" ".join(f"WHEN max(shape) = {k} THEN '{n}'" for k, n, _ in terms.RAW_SHAPES)} ELSE {_TYPE_SQL} END AS term_type FROM terms GROUP BY term)"""
 _ROOT_SQL = "CASE WHEN len(term) >= 8 THEN substring(term, 1, 7) WHEN len(term) >= 6 THEN substring(term, 1, 5) ELSE term END"
 
 
@@ -111,10 +116,10 @@ _WEIGHTS_CTE = """totals AS (SELECT (SELECT count(*) FROM documents) AS n, (SELE
         round(least(CASE frequency_class WHEN 'common' THEN 0.24 WHEN 'course_common' THEN 0.38 WHEN 'medium' THEN 0.72 WHEN 'specific' THEN 1.05 ELSE 1.28 END::DOUBLE + CASE WHEN term_type <> 'term' THEN 0.16::DOUBLE ELSE 0 END, 1.6), 6) AS weight FROM classed)"""
 
 
-def weighted_terms(spark, sf_dir):
+def weighted_terms(spark, sf_dir, roots=None):
     c = corpus.chunks(spark, sf_dir)
     totals = corpus.table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n")).crossJoin(c.agg(F.count(F.lit(1)).alias("m")))
-    stats = terms.term_statistics(c).crossJoin(F.broadcast(totals))  # one row
+    stats = terms.term_statistics(c, roots).crossJoin(F.broadcast(totals))  # one row
     return terms.with_weights(stats, F.col("n"), F.col("m")).drop("n", "m")
 
 

@@ -31,33 +31,41 @@ def synthetic_case_results(spark, sf_dir):
     return _expected(spark, sf_dir).join(top, ["question_id", "document_id"], "left").select("question_id", "document_id", F.col("rank").isNotNull().alias("found"), "rank")
 
 
+def _name(i):
+    """A document's name in cases: digits in reverse, so that neighbours share no beginning."""
+    return F.concat(F.lit("d"), F.reverse(i.cast("string")))
+
+
 def _cases(spark, sf_dir):
     """A case for each labelled document: it is to be found, its neighbour by id is not, and its language is to be named."""
     d = corpus.table(spark, sf_dir, "labels").join(corpus.table(spark, sf_dir, "documents"), "doc_id")
-    name = lambda c: F.concat(F.lit("d"), c.cast("string"))
     return d.select(
-        F.col("doc_id").alias("case_id"), F.array(name(F.col("doc_id"))).alias("expected_documents"), F.array(name(F.col("doc_id") + 1)).alias("forbidden_documents"), F.array("lang").alias("expected_answer_terms"),
+        F.col("doc_id").alias("case_id"), F.array(_name(F.col("doc_id"))).alias("expected_documents"), F.array(_name(F.col("doc_id") + 1)).alias("forbidden_documents"), F.array("lang").alias("expected_answer_terms"),
         F.array(F.lit("toxic")).alias("forbidden_answer_terms"), F.array("source").alias("expected_supported_points"), F.lit("answer_from_materials").alias("expected_answer_mode"), F.lit(2).alias("expected_source_count_max"),
+        F.lit(True).alias("requires_sources"), F.lit(True).alias("must_not_use_discarded_candidates"),
     )
 
 
 def _predictions(spark, sf_dir, shift: int):
-    """Answers that err by rule: missing every 13th, a neighbour cited every 5th, too many sources every 7th, wrong mode every 11th."""
+    """Answers that err by rule: missing every 13th, a neighbour cited every 5th, too many sources every 7th, wrong mode every 11th, and
+    one discarded candidate that some sources name."""
     d = corpus.table(spark, sf_dir, "labels").join(corpus.table(spark, sf_dir, "documents"), "doc_id").where((F.col("doc_id") + shift) % 13 != 0)
-    name = lambda c: F.concat(F.lit("d"), c.cast("string"))
-    i = F.col("doc_id") + shift
-    docs = F.when(i % 5 == 0, F.array(name(F.col("doc_id")), name(F.col("doc_id") + 1))).otherwise(F.array(name(F.col("doc_id"))))
-    sources = F.when(i % 7 == 0, F.array(name(F.col("doc_id")), F.lit("x"), F.lit("y"))).otherwise(F.array(name(F.col("doc_id"))))
+    i, own = F.col("doc_id") + shift, _name(F.col("doc_id"))
+    docs = F.when(i % 5 == 0, F.array(own, _name(F.col("doc_id") + 1))).otherwise(F.array(own))
+    sources = F.when(i % 7 == 0, F.array(own, F.lit("q"), F.lit("y"))).otherwise(F.array(own))
     answer = F.concat("lang", F.lit(" "), "source", F.when(F.col("toxic") == 1, " toxic").otherwise(""))
     mode = F.when(i % 11 == 0, "out_of_base").otherwise("answer_from_materials")
-    return d.select(F.col("doc_id").alias("case_id"), docs.alias("documents"), sources.alias("sources"), docs.alias("evidence"), answer.alias("answer"), mode.alias("answer_mode"))
+    return d.select(F.col("doc_id").alias("case_id"), docs.alias("documents"), sources.alias("sources"), F.array(F.concat(own, F.lit(" "), "source")).alias("evidence"), answer.alias("answer"), mode.alias("answer_mode"), F.array(F.lit("q")).alias("discarded"))
 
 
 def _scores_cte(name: str, shift: int) -> str:
     i = f"(doc_id + {shift})"
-    return f"""{name}0 AS (SELECT doc_id AS case_id, {i} % 13 <> 0 AS run, {i} % 5 = 0 AS fd, toxic = 1 AS ft, {i} % 7 = 0 AS many, {i} % 11 <> 0 AS mode FROM labels JOIN documents USING (doc_id)),
-    {name}1 AS (SELECT *, CASE WHEN run THEN round(greatest(least(0.88::DOUBLE + CASE WHEN mode THEN 0.12::DOUBLE ELSE 0 END - CASE WHEN fd THEN 0.30::DOUBLE ELSE 0 END - CASE WHEN ft THEN 0.15::DOUBLE ELSE 0 END - CASE WHEN many THEN 0.20::DOUBLE ELSE 0 END, 1), 0), 4) ELSE 0 END AS score FROM {name}0),
-    {name} AS (SELECT case_id, score, CASE WHEN run THEN list_filter([CASE WHEN fd THEN 'forbidden_document' END, CASE WHEN ft THEN 'forbidden_term' END, CASE WHEN many THEN 'too_many_sources' END, CASE WHEN NOT mode THEN 'wrong_mode' END], lambda x: x IS NOT NULL) ELSE ['not_run'] END AS issues FROM {name}1)"""
+    w, p = E.SHARES, E.PENALTIES
+    issue = ("NOT run", "case_not_run"), ("NOT mode", "answer_mode_mismatch"), ("fd", "forbidden_document_used"), ("ft", "forbidden_answer_term_used"), ("many", "source_count_above_limit"), ("NOT run", "missing_required_sources"), ("run AND NOT mode", "sources_present_for_missing_data"), ("many", "discarded_candidate_used"), ("NOT run", "expected_document_missing")
+    return f"""{name}0 AS (SELECT doc_id AS case_id, {i} % 13 <> 0 AS run, {i} % 13 <> 0 AND {i} % 5 = 0 AS fd, {i} % 13 <> 0 AND toxic = 1 AS ft, {i} % 13 <> 0 AND {i} % 7 = 0 AS many, {i} % 13 <> 0 AND {i} % 11 <> 0 AS mode FROM labels JOIN documents USING (doc_id)),
+    {name}1 AS (SELECT *, {w["documents"]}::DOUBLE * CASE WHEN fd THEN 0.5 ELSE 1 END + {w["sources"]}::DOUBLE * CASE WHEN many THEN 1 / 3.0::DOUBLE ELSE 1 END + {w["evidence"]}::DOUBLE * (2 / 3.0::DOUBLE) + {w["terms"]}::DOUBLE * CASE WHEN ft THEN 0 ELSE 1 END + {w["grounding"]}::DOUBLE
+        + {w["mode"]}::DOUBLE * CASE WHEN mode THEN 1 ELSE 0 END - CASE WHEN fd OR ft THEN {p["leak"]}::DOUBLE ELSE 0 END - CASE WHEN many THEN {p["many_sources"]}::DOUBLE + {p["discarded_used"]}::DOUBLE ELSE 0 END - CASE WHEN NOT mode THEN {p["sources_without_need"]}::DOUBLE ELSE 0 END AS total FROM {name}0),
+    {name} AS (SELECT case_id, run, fd, many, mode, CASE WHEN run THEN round(greatest(least(total, 1), 0), 4) ELSE 0 END AS score, list_filter([{", ".join(f"CASE WHEN {c} THEN '{n}' END" for c, n in issue)}], lambda x: x IS NOT NULL) AS issues FROM {name}1)"""
 
 
 @query(f"WITH {_scores_cte('s', 0)} SELECT case_id, score, array_to_string(issues, ',') AS issues, score >= 0.75 AND len(issues) = 0 AS passed FROM s")
@@ -66,16 +74,19 @@ def score_cases(spark, sf_dir):
     return out.select("case_id", "score", F.array_join("issues", ",").alias("issues"), "passed")
 
 
-@query(f"WITH {_scores_cte('s', 0)} SELECT count(*) AS total, count_if(score >= 0.75 AND len(issues) = 0) AS passed, count_if(list_contains(issues, 'not_run')) AS not_run, round(avg(score), 4) AS mean_score FROM s")
+@query(f"WITH {_scores_cte('s', 0)} SELECT count(*) AS total, count_if(score >= 0.75 AND len(issues) = 0) AS passed, count_if(run AND NOT (score >= 0.75 AND len(issues) = 0)) AS failed, count_if(NOT run) AS not_run, round(avg(score), 4) AS mean_score FROM s")
 def eval_summary(spark, sf_dir):
     return E.summary(E.score_cases(_cases(spark, sf_dir), _predictions(spark, sf_dir, 0)))
 
 
-@query(f"""WITH {_scores_cte('a', 0)}, {_scores_cte('b', 3)}, j AS (SELECT a.case_id, a.score AS s0, b.score AS s1, a.issues AS i0, b.issues AS i1, a.score >= 0.75 AND len(a.issues) = 0 AS p0, b.score >= 0.75 AND len(b.issues) = 0 AS p1 FROM a JOIN b USING (case_id))
-    SELECT case_id, 'newly_failed' AS regression FROM j WHERE p0 AND NOT p1 UNION ALL SELECT case_id, 'score_drop' FROM j WHERE s0 - s1 >= 0.5 UNION ALL SELECT case_id, 'new_' || unnest(list_filter(i1, lambda x: NOT list_contains(i0, x))) FROM j""")
+@query(f"""WITH {_scores_cte('a', 0)}, {_scores_cte('b', 3)}, j AS (SELECT b.*, a.run AS run0, a.score AS s0 FROM b LEFT JOIN (SELECT * FROM a WHERE case_id % 4 <> 0) a USING (case_id))
+    SELECT case_id, 'expected_document_missing' AS regression FROM j WHERE run0 AND NOT run UNION ALL SELECT case_id, 'forbidden_document_present' FROM j WHERE fd UNION ALL SELECT case_id, 'source_count_above_limit' FROM j WHERE many UNION ALL SELECT case_id, 'answer_mode_mismatch' FROM j WHERE NOT mode
+    UNION ALL SELECT case_id, 'sources_for_missing_data' FROM j WHERE run AND NOT mode UNION ALL SELECT case_id, 'discarded_candidate_used' FROM j WHERE many UNION ALL SELECT case_id, 'score_drop' FROM j WHERE coalesce(s0, 0) - score >= 0.5""")
 def compare_runs(spark, sf_dir):
+    """A later run against an earlier one that lacks every fourth case."""
     c = _cases(spark, sf_dir)
-    return E.compare_runs(E.score_cases(c, _predictions(spark, sf_dir, 0)), E.score_cases(c, _predictions(spark, sf_dir, 3)))
+    before = E.score_cases(c.where("case_id % 4 <> 0"), _predictions(spark, sf_dir, 0))
+    return E.compare_runs(before, E.score_cases(c, _predictions(spark, sf_dir, 3)))
 
 
 @query(f"WITH {_scores_cte('s', 0)} SELECT unnest(issues) AS issue, count(*) AS n FROM s GROUP BY 1")

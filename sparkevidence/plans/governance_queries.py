@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkevidence.functions import text as T
+from sparkevidence.operators import health
 from sparkevidence.plans import corpus
 from sparkevidence.plans.base import query
 from sparkevidence.plans.corpus import with_sql
@@ -22,17 +23,19 @@ def source_index_status(spark, sf_dir):
     )
 
 
-_HEALTH = """h0 AS (SELECT source_name, count_if(status = 'active') AS active, max(CASE WHEN status = 'active' THEN created_s END) AS latest_s, CASE source_name WHEN 'src1' THEN 20 WHEN 'src2' THEN 60 ELSE 30 END AS threshold FROM docs GROUP BY 1),
-    h AS (SELECT source_name, active, threshold, greatest((1707523200 - latest_s) // 86400, 0) AS age_days, CASE WHEN active = 0 THEN 'inactive' WHEN latest_s IS NULL THEN 'unknown' WHEN greatest((1707523200 - latest_s) // 86400, 0) > threshold THEN 'stale' ELSE 'healthy' END AS health FROM h0)"""
+_HEALTH = """h0 AS (SELECT source_name, count(*) AS total, count_if(text = '') AS empty, count_if(len(text) < 200) AS short, count_if(status = 'active') AS active, max(CASE WHEN status = 'active' THEN created_s END) AS latest_s, CASE source_name WHEN 'src1' THEN 20 WHEN 'src2' THEN 60 ELSE 30 END AS threshold FROM docs GROUP BY 1),
+    h AS (SELECT source_name, active, threshold, CASE WHEN latest_s IS NOT NULL THEN greatest((1707523200 - latest_s) // 86400, 0) END AS age_days, CASE WHEN total = 0 OR threshold IS NULL THEN 'unknown' WHEN active = 0 THEN 'inactive' WHEN empty > 0 THEN 'failed' WHEN short * 4 > total THEN 'warning' WHEN greatest((1707523200 - latest_s) // 86400, 0) > threshold THEN 'stale' ELSE 'healthy' END AS health FROM h0)"""
 
 
 def _health(spark, sf_dir):
-    """Elapsed whole days since the latest active document against a threshold of the source (20, 60) or 30."""
-    d = corpus.documents(spark, sf_dir).groupBy("source_name").agg(F.count_if(F.col("status") == "active").alias("active"), F.max(F.when(F.col("status") == "active", F.col("created_s"))).alias("latest_s"))
-    d = d.withColumn("threshold", F.when(F.col("source_name") == "src1", 20).when(F.col("source_name") == "src2", 60).otherwise(30))
-    d = d.withColumn("age_days", F.greatest(F.floor((F.lit(_NOW) - F.col("latest_s")) / 86400), F.lit(0)))
-    health = F.when(F.col("active") == 0, "inactive").when(F.col("latest_s").isNull(), "unknown").when(F.col("age_days") > F.col("threshold"), "stale").otherwise("healthy")
-    return d.select("source_name", "active", "threshold", "age_days", health.alias("health"))
+    """Each source's state by its documents, quality and age against its threshold, from a table of thresholds."""
+    d = corpus.documents(spark, sf_dir)
+    status = d.groupBy("source_name").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "active").alias("active"), F.max(F.when(F.col("status") == "active", F.col("created_s"))).alias("latest_s"),
+        F.when(F.count_if(F.col("text") == "") > 0, "FAIL").when(F.count_if(F.length("text") < 200) * 4 > F.count(F.lit(1)), "WARN").otherwise("PASS").alias("quality"),
+    )
+    policy = spark.createDataFrame([("src1", 20), ("src2", 60)], "source_name string, days int")
+    return health.source_health(status, policy, _NOW).select("source_name", "active", "threshold", "age_days", "health")
 
 
 @query(with_sql("docs", then=f", {_HEALTH} SELECT * FROM h"))

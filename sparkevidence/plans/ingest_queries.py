@@ -61,9 +61,10 @@ def _stored(spark, sf_dir):
 
 def _incoming(spark, sf_dir):
     """Every key's latest text; every third key with a changed signature."""
-    d = corpus.documents(spark, sf_dir).groupBy("document_key").agg(F.max(F.struct("version", "document_id", "text")).alias("m"))
+    d = corpus.documents(spark, sf_dir).withColumn("content_hash", F.sha2("text", 256))
+    d = d.groupBy("document_key").agg(F.max(F.struct("version", "document_id", "content_hash")).alias("m"))
     signature = F.when(F.col("m.document_id") % 3 == 0, "p2").otherwise("p1")
-    return d.select("document_key", F.sha2("m.text", 256).alias("content_hash"), signature.alias("signature"))
+    return d.select("document_key", "m.content_hash", signature.alias("signature"))
 
 
 _INGEST = """stored AS (SELECT document_key, version, status, sha256(text) AS content_hash, 'p1' AS signature FROM docs WHERE document_id % 5 <> 0),
@@ -150,9 +151,10 @@ def constraint_violations(spark, sf_dir):
     ])
 
 
-@query(with_sql("docs", then="SELECT document_key, count(*) AS n FROM docs WHERE status <> 'draft' GROUP BY document_key HAVING count(*) > 1"))
+@query(with_sql("docs", then="SELECT title, count(*) AS n FROM docs WHERE status = 'active' GROUP BY title HAVING count(*) > 1"))
 def duplicate_active_keys(spark, sf_dir):
-    return lifecycle.duplicates(corpus.documents(spark, sf_dir).where("status <> 'draft'"), "document_key")
+    """Keys that several active rows share; here of rows that are stored under their title."""
+    return lifecycle.duplicates(corpus.documents(spark, sf_dir).where("status = 'active'"), "title")
 
 
 @query(with_sql("chunks", then="SELECT document_id, count(*) AS chunks FROM chunks GROUP BY document_id"))
@@ -181,5 +183,4 @@ def link_frontier(spark, sf_dir):
     n = d.agg(F.count(F.lit(1)).alias("n"))
     pairs = d.select(F.col("doc_id").alias("url")).crossJoin(F.broadcast(n)).select("url", F.explode(F.array((F.col("url") * 7 + 3) % F.col("n"), (F.col("url") * 3 + 1) % F.col("n"))).alias("target"))
     starts = d.where("doc_id % 50 = 0").select("source", F.col("doc_id").alias("url"))
-    links = starts.select("source").distinct().join(pairs)
-    return lifecycle.link_frontier(links, starts, 3, 100)
+    return lifecycle.link_frontier(pairs, starts, 3, 100)

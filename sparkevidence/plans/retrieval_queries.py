@@ -11,6 +11,7 @@ from sparkevidence.plans import corpus
 from sparkevidence.plans.base import query
 from sparkevidence.plans.corpus import with_sql
 from sparkevidence.plans.corpus_queries import _SIGNIFICANT, _STATS_CTE, _STOP, _TERMS_CTE, _WEIGHTS_CTE, weighted_terms
+from sparkevidence.sources.cuts import cut
 
 _CUT = "CASE WHEN len(t) >= 8 THEN substring(t, 1, 7) WHEN len(t) >= 6 THEN substring(t, 1, 5) ELSE t END"
 
@@ -19,9 +20,9 @@ def _roots_sql(column: str) -> str:
     return f"list_distinct(list_transform({_SIGNIFICANT.replace('content', column)}, lambda t: {_CUT}))"
 
 
-_MATCH_CTE = f"""root_weights AS (SELECT {_CUT.replace("(t", "(term").replace("ELSE t ", "ELSE term ")} AS root, max(weight) AS weight, min(CASE frequency_class WHEN 'common' THEN 0 ELSE 1 END) AS usable FROM weights GROUP BY 1),
+_MATCH_CTE = f"""root_weights AS (SELECT {_CUT.replace("(t", "(term").replace("ELSE t ", "ELSE term ")} AS root, max(weight) AS weight FROM weights GROUP BY 1),
     qr AS (SELECT question_id, unnest({_roots_sql("question")}) AS root FROM questions), dr AS (SELECT doc_id AS document_id, unnest({_roots_sql("text")}) AS root FROM documents),
-    asked AS (SELECT qr.*, weight FROM qr JOIN root_weights USING (root) WHERE usable = 1), total AS (SELECT question_id, sum(weight) AS total FROM asked GROUP BY 1),
+    asked AS (SELECT qr.*, coalesce(weight, {R.UNSEEN}) AS weight FROM qr LEFT JOIN root_weights USING (root)), total AS (SELECT question_id, sum(weight) AS total FROM asked GROUP BY 1),
     matches AS (SELECT question_id, document_id, count(*) AS matched, round(sum(weight) / any_value(total), 6) AS score FROM asked JOIN dr USING (root) JOIN total USING (question_id) GROUP BY 1, 2),
     top_docs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, document_id) AS rank FROM matches WHERE score >= 0.12) WHERE rank <= 5)"""
 
@@ -31,15 +32,16 @@ def _match_sql(then: str) -> str:
 
 
 def _matches(spark, sf_dir):
-    w = weighted_terms(spark, sf_dir).withColumn("root", T.root(F.col("term")))
-    w = w.groupBy("root").agg(F.max("weight").alias("weight"), F.when(F.max((F.col("frequency_class") == "common").cast("int")) == 1, "common").otherwise("other").alias("frequency_class"))
+    asked = R.roots(corpus.questions(spark, sf_dir), "question_id", "question")
+    w = weighted_terms(spark, sf_dir, R.small(cut(asked.select("root").distinct(), "roots"))).groupBy(T.root(F.col("term")).alias("root")).agg(F.max("weight").alias("weight"))
     d = corpus.table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "document_id")
-    return R.document_matches(R.roots(corpus.questions(spark, sf_dir), "question_id", "question"), R.roots(d, "document_id", "text"), w)
+    return R.document_matches(asked, R.roots(d, "document_id", "text"), w)
 
 
-@query(_match_sql("SELECT * FROM matches"))
+@query(_match_sql("SELECT question_id, document_id, matched, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, document_id) AS rank FROM matches) WHERE rank <= 50"))
 def weighted_match_ratio(spark, sf_dir):
-    return _matches(spark, sf_dir)
+    """The 50 documents of each question with the greatest weighted share of its stems (a top-k report)."""
+    return R.top_per(_matches(spark, sf_dir), "question_id", "score", "document_id", 50)
 
 
 @query(_match_sql("SELECT * FROM top_docs"))
@@ -55,10 +57,10 @@ _CHUNK_CTE = f"""cr AS (SELECT document_id, chunk_index, content, {_roots_sql("c
 
 
 def _scored_chunks(spark, sf_dir):
-    top = top_documents(spark, sf_dir).select("question_id", "document_id", F.col("score").alias("document_score"))
-    cut = lambda c: F.array_distinct(F.transform(T.significant_terms(F.col(c)), T.root))
-    q = corpus.questions(spark, sf_dir).withColumn("q_roots", cut("question"))
-    c = corpus.chunks(spark, sf_dir).join(top, "document_id").withColumn("roots", cut("content")).join(q, "question_id")
+    top = cut(top_documents(spark, sf_dir).select("question_id", "document_id", F.col("score").alias("document_score")), "routed")
+    stems = lambda c: F.array_distinct(F.transform(T.significant_terms(F.col(c)), T.root))
+    q = corpus.questions(spark, sf_dir).withColumn("q_roots", stems("question"))
+    c = corpus.chunks(spark, sf_dir, R.small(top.select("document_id").distinct())).join(top, "document_id").withColumn("roots", stems("content")).join(q, "question_id")
     overlap = F.round(F.size(F.array_intersect("roots", "q_roots")) / F.greatest(F.size("q_roots"), F.lit(1)), 6)
     c = c.withColumn("overlap", overlap)
     discarded = F.when(F.col("overlap") == 0, "no shared terms").when(F.col("overlap") < 0.18, "below minimum score").when(F.length("content") < 20, "too short")
@@ -143,11 +145,9 @@ _TOK = f"regexp_extract_all(lower(text), '{T.TOKEN}')"
     qn AS (SELECT question_id, count(*) AS k FROM qt GROUP BY 1) SELECT question_id, document_id, round(any_value(k) / (1 + ln(1 + any_value(n))), 6) AS score FROM qt JOIN dt USING (token) JOIN qn USING (question_id) GROUP BY 1, 2 HAVING count(*) = any_value(k)"""))
 def fulltext_score(spark, sf_dir):
     """Documents that hold every token of a question; more tokens and shorter documents score higher."""
-    d = corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), T.tokens(F.col("text")).alias("t"))
-    d = d.select("document_id", F.size("t").alias("n"), F.explode(F.array_distinct("t")).alias("token"))
-    q = corpus.questions(spark, sf_dir).select("question_id", F.array_distinct(T.tokens(F.col("question"))).alias("t")).select("question_id", F.size("t").alias("k"), F.explode("t").alias("token"))
-    hits = q.join(d, "token").groupBy("question_id", "document_id").agg(F.count(F.lit(1)).alias("c"), F.first("k").alias("k"), F.first("n").alias("n")).where("c = k")
-    return hits.select("question_id", "document_id", F.round(F.col("k") / (1 + F.ln(1 + F.col("n"))), 6).alias("score"))
+    d = corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), T.tokens(F.col("text")).alias("tokens")).withColumn("n", F.size("tokens"))
+    q = corpus.questions(spark, sf_dir).select("question_id", T.tokens(F.col("question")).alias("tokens"))
+    return R.holds_all(q, d).select("question_id", "document_id", F.round(F.col("k") / (1 + F.ln(1 + F.col("n"))), 6).alias("score"))
 
 
 @query(f"""WITH r AS (SELECT doc_id, unnest(list_transform({_SIGNIFICANT.replace("content", "text")}, lambda t: {_CUT})) AS root FROM documents),
@@ -250,7 +250,7 @@ def merge_candidates(spark, sf_dir):
     full = fulltext_score(spark, sf_dir).select("question_id", "document_id", F.lit(1.0).alias("fulltext"), F.lit(None).cast("double").alias("lexical"))
     qr = R.roots(q, "question_id", "question")
     total = qr.groupBy("question_id").agg(F.count(F.lit(1)).alias("k"))
-    lexical = qr.join(R.roots(d, "document_id", "text"), "root").groupBy("question_id", "document_id").agg(F.count(F.lit(1)).alias("c")).join(total, "question_id")
+    lexical = R.roots(d, "document_id", "text").join(R.small(qr), "root").groupBy("question_id", "document_id").agg(F.count(F.lit(1)).alias("c")).join(total, "question_id")
     lexical = lexical.select("question_id", "document_id", F.lit(None).cast("double").alias("fulltext"), F.round(F.col("c") / F.col("k"), 6).alias("lexical")).where("lexical >= 0.3")
     both = full.unionByName(lexical).groupBy("question_id", "document_id").agg(F.max("fulltext").alias("fulltext"), F.max("lexical").alias("lexical"))
     return both.withColumn("best", F.greatest(F.coalesce("fulltext", F.lit(0.0)), F.coalesce("lexical", F.lit(0.0))))

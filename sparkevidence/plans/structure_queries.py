@@ -89,8 +89,7 @@ def rerank(spark, sf_dir):
     l AS (SELECT question_id, label, min(r) AS first_rank, count(*) AS documents FROM t GROUP BY 1, 2) SELECT question_id, label, documents, k FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY first_rank) AS k FROM l) WHERE k <= 3"""))
 def source_labels(spark, sf_dir):
     """Labels of a question's sources: each once, three at most, in order of their best document."""
-    n = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "document_id"))
-    t = retrieval_queries.weighted_match_ratio(spark, sf_dir).withColumn("r", n).where("r <= 5")
+    t = retrieval_queries.weighted_match_ratio(spark, sf_dir).withColumnRenamed("rank", "r").where("r <= 5")
     d = corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.concat_ws(" - ", "source", "lang").alias("label"))
     labels = t.join(d, "document_id").groupBy("question_id", "label").agg(F.min("r").alias("first_rank"), F.count(F.lit(1)).alias("documents"))
     return labels.withColumn("k", F.row_number().over(Window.partitionBy("question_id").orderBy("first_rank"))).where("k <= 3").select("question_id", "label", "documents", "k")

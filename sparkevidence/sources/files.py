@@ -17,25 +17,34 @@ EVAL_CASE = T.StructType(
 )
 
 
-def document_key(path: Column, root: str) -> Column:
-    """A file's path below root, as the stable key."""
-    return F.regexp_replace(path, "^.*" + root.rstrip("/").replace(".", "\\.") + "/", "")
+def document_key(spark: SparkSession, path: Column, root: str) -> Column:
+    """A file's path below root, as the stable key. path: its address, with escapes, as Spark's readers give it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    full = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(at).toUri().getPath().rstrip("/")
+    plain = F.url_decode(F.replace(F.regexp_replace(path, "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", ""), F.lit("+"), F.lit("%2B")))
+    return F.substring(plain, F.lit(len(full) + 2), F.length(plain))
 
 
 def scan_text_corpus(spark: SparkSession, root: str) -> DataFrame:
     """(document_key, title, text) of every .txt, .md and .markdown file below root; the title leads the text."""
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md,markdown}").text(root, wholetext=True)
-    rows = raw.select(document_key(F.col("_metadata.file_path"), root.rstrip("/").rsplit("/", 1)[-1]).alias("document_key"), "value")
+    rows = raw.select(document_key(spark, F.col("_metadata.file_path"), root).alias("document_key"), "value")
     title = title_of(F.col("value"), F.regexp_replace(F.regexp_extract("document_key", "([^/]+)$", 1), r"\.[a-z]+$", ""))
     return rows.select("document_key", title.alias("title"), F.concat(F.lit("# "), title, F.lit("\n\n"), "value").alias("text"))
 
 
-def _flat(x: object, path: str) -> list[str]:
-    if isinstance(x, dict):
-        return [y for k, v in x.items() for y in _flat(v, f"{path}.{k}" if path else str(k))]
-    if isinstance(x, list):
-        return [y for i, v in enumerate(x) for y in _flat(v, f"{path}[{i}]")]
-    return [f"- {path}: {x}"]
+def _flat(x: object) -> list[str]:
+    """Leaves with their paths, in order, without recursion."""
+    out, todo = [], [("", x)]
+    while todo:
+        path, value = todo.pop()
+        if isinstance(value, dict):
+            todo += [(f"{path}.{k}" if path else str(k), v) for k, v in reversed(value.items())]
+        elif isinstance(value, list):
+            todo += [(f"{path}[{i}]", v) for i, v in reversed(list(enumerate(value)))]
+        else:
+            out.append(f"- {path}: {value}")
+    return out
 
 
 def _flattened(values: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -44,18 +53,18 @@ def _flattened(values: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for v in batch:
             try:
                 x = json.loads(v)
-            except (TypeError, ValueError):
+            except (TypeError, ValueError, RecursionError):  # the last: nested deeper than the parser goes
                 rows.append(([], None, False))
                 continue
             title = next((str(x[k]) for k in ("title", "name", "filename") if isinstance(x, dict) and x.get(k)), None)
-            rows.append((_flat(x, ""), title, True))
+            rows.append((_flat(x), title, True))
         yield pd.DataFrame(rows, columns=["lines", "title", "valid"])
 
 
 def scan_json_corpus(spark: SparkSession, root: str) -> DataFrame:
     """(document_key, title, text, valid): JSON files as lines "- path: value"; invalid JSON is kept raw."""
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root, wholetext=True)
-    rows = raw.select(document_key(F.col("_metadata.file_path"), root.rstrip("/").rsplit("/", 1)[-1]).alias("document_key"), "value")
+    rows = raw.select(document_key(spark, F.col("_metadata.file_path"), root).alias("document_key"), "value")
     rows = rows.withColumn("x", F.pandas_udf(_flattened, "lines array<string>, title string, valid boolean")("value"))
     text = F.when(F.col("x.valid"), F.array_join("x.lines", "\n")).otherwise(F.col("value"))
     return rows.select("document_key", clean_heading(F.coalesce("x.title", "document_key")).alias("title"), text.alias("text"), "x.valid")

@@ -38,17 +38,43 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     q.awaitTermination()
 
 
+#: Parts of a stored table by hash of the key; a micro-batch reads and writes those that its keys fall into.
+PARTS = 64
+_STORED = "document_key string, version int, status string, content_hash string, signature string"
+
+
+def _part(key: str = "document_key") -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")
+
+
+def stored_versions(spark: SparkSession, target: str, before: int | None = None, parts: list[int] | None = None) -> DataFrame:
+    """What ingest_stream has stored in target: of each part its last generation, or the last one before a batch's number."""
+    rows = spark.read.schema(f"{_STORED}, part int, g int").parquet(target)
+    if parts is not None:
+        rows = rows.where(F.col("part").isin(parts))
+    if before is not None:
+        rows = rows.where(F.col("g") < before)
+    last = rows.groupBy("part").agg(F.max("g").alias("g"))
+    return rows.join(F.broadcast(last), ["part", "g"], "left_semi").drop("part", "g")  # one row a part
+
+
 def ingest_stream(pages: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Pages (document_key, content_hash, signature) arrive; each micro-batch is planned against the stored versions and the outcome
-    is written as a new generation, numbered by batch. A batch that runs twice writes the same generation again."""
+    """Pages (document_key, content_hash, signature) arrive; each micro-batch is planned against the stored versions of the parts that
+    its keys fall into, and these parts are written as a new generation, numbered by batch. A batch that runs twice writes the same
+    generation again; parts without pages are neither read nor written."""
     from sparkevidence.operators.lifecycle import apply_ingest
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        last = f"{target}/g={number - 1}"
-        empty = spark.createDataFrame([], "document_key string, version int, status string, content_hash string, signature string")
-        stored = spark.read.schema(empty.schema).parquet(last) if number else empty
-        apply_ingest(stored, batch.dropDuplicates(["document_key"])).write.mode("overwrite").parquet(f"{target}/g={number}")
+        incoming = batch.dropDuplicates(["document_key"]).persist()
+        parts = [r[0] for r in incoming.select(_part()).distinct().collect()]  # PARTS at most
+        if parts:
+            at = spark._jvm.org.apache.hadoop.fs.Path(target)
+            known = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+            stored = stored_versions(spark, target, number, parts) if known else spark.createDataFrame([], _STORED)
+            out = apply_ingest(stored, incoming).withColumns({"part": _part(), "g": F.lit(number)})
+            out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "g").parquet(target)
+        incoming.unpersist()
 
     return pages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

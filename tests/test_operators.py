@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkevidence.operators import chunk_quality, evaluation, lifecycle, retrieval, terms
+from sparkevidence.operators import chunk_quality, evaluation, health, lifecycle, retrieval, terms
 from sparkevidence.sources import files, pages
 
 
@@ -97,10 +97,64 @@ def test_score_cases(spark):
     cases = spark.createDataFrame([("a", ["d1"], ["d9"], ["cache"], ["secret"], ["stores"], "answer", 1), ("b", ["d1"], [], [], [], [], "answer", 1)], fields)
     p = spark.createDataFrame([("a", ["d1", "d9"], ["d1"], ["d1"], "the cache stores", "answer")], "case_id string, documents array<string>, sources array<string>, evidence array<string>, answer string, answer_mode string")
     got = {r["case_id"]: r for r in evaluation.score_cases(cases, p).collect()}
-    assert got["a"]["score"] == 0.7 and got["a"]["issues"] == ["forbidden_document"] and not got["a"]["passed"]
-    assert got["b"]["issues"] == ["not_run"] and got["b"]["score"] == 0
+    assert got["a"]["score"] == 0.49 and got["a"]["issues"] == ["forbidden_document_used"] and not got["a"]["passed"]
+    assert got["b"]["issues"] == ["case_not_run", "answer_mode_mismatch", "expected_document_missing"]
     s = evaluation.summary(evaluation.score_cases(cases, p)).first()
-    assert (s["total"], s["passed"], s["not_run"]) == (2, 0, 1)
+    assert (s["total"], s["passed"], s["failed"], s["not_run"]) == (2, 0, 1, 1)
+
+
+def test_every_penalty_of_a_case(spark):
+    """Faults one at a time against a right answer, whose parts are all full."""
+    fields = "case_id string, expected_documents array<string>, forbidden_documents array<string>, expected_answer_terms array<string>, forbidden_answer_terms array<string>, expected_supported_points array<string>, expected_answer_mode string, expected_source_count_max int, requires_sources boolean, must_not_use_discarded_candidates boolean"
+    kind = "case_id string, documents array<string>, sources array<string>, evidence array<string>, answer string, answer_mode string, discarded array<string>"
+    right = (["guide"], ["guide"], ["guide cache flush"], "cache flush", "answer_from_materials", ["draft"])
+    rows = {
+        "right": right, "leak": (["guide", "bad"], *right[1:]), "term": (*right[:3], "cache flush secret", *right[4:]), "many": (right[0], ["guide", "guide two", "guide three"], *right[2:]), "none": (right[0], [], *right[2:]),
+        "needless": (*right[:4], "out_of_base", right[5]), "discarded": (*right[:3], "cache flush draft", *right[4:]),
+    }
+    cases = spark.createDataFrame([(k, ["guide"], ["bad"], ["cache"], ["secret"], ["flush"], "answer_from_materials", 2, True, True) for k in rows], fields)
+    got = {r["case_id"]: (r["score"], r["issues"]) for r in evaluation.score_cases(cases, spark.createDataFrame([(k, *v) for k, v in rows.items()], kind)).collect()}
+    assert got == {
+        "right": (1.0, []), "leak": (0.61, ["forbidden_document_used"]), "term": (0.54, ["forbidden_answer_term_used"]), "many": (0.7433, ["source_count_above_limit"]), "none": (0.69, ["missing_required_sources"]),
+        "needless": (0.68, ["answer_mode_mismatch", "sources_present_for_missing_data"]), "discarded": (0.75, ["discarded_candidate_used"]),
+    }
+
+
+def test_terms_match_by_words_and_roots(spark):
+    rows = [("Cache", "the cache", True), ("configuring", "it configures", True), ("alpha beta gamma", "alpha and gammas", True), ("alpha beta gamma", "alpha only", False), ("", "x", False), ("zip", "zap", False)]
+    d = spark.createDataFrame([(a, b) for a, b, _ in rows], "a string, b string")
+    assert [r[0] for r in d.select(evaluation.term_matches(F.col("a"), F.col("b"))).collect()] == [w for *_, w in rows]
+
+
+def test_runs_are_compared_from_the_later_one(spark):
+    kind = "case_id string, score double, expected_found boolean, forbidden_document boolean, count_ok boolean, mode_ok boolean, needless_sources boolean, discarded_used boolean"
+    ok = (True, False, True, True, False, False)
+    before = spark.createDataFrame([("a", 1.0, *ok), ("gone", 1.0, *ok)], kind)
+    after = spark.createDataFrame([("a", 0.4, False, False, True, True, False, False), ("new", 0.9, True, True, False, False, True, True)], kind)
+    got = sorted((r["case_id"], r["regression"]) for r in evaluation.compare_runs(before, after).collect())
+    assert got == [("a", "expected_document_missing"), ("a", "score_drop"), *(("new", x) for x in ("answer_mode_mismatch", "discarded_candidate_used", "forbidden_document_present", "source_count_above_limit", "sources_for_missing_data"))]
+
+
+def test_term_types_are_those_of_the_written_form(spark):
+    d = spark.createDataFrame([(1, 0, "en", "The API reads MAX_SIZE and maximum"), (2, 0, "en", "an api is small")], "document_id long, chunk_index int, course string, content string")
+    got = {r["term"]: r["term_type"] for r in terms.term_statistics(d).collect()}
+    assert (got["api"], got["max_size"], got["maximum"], got["small"]) == ("acronym", "config", "term", "term")
+    some = terms.term_statistics(d, spark.createDataFrame([("api",)], "root string")).collect()
+    assert [(r["term"], r["document_frequency"]) for r in some] == [("api", 2)]
+
+
+def test_states_of_sources_in_order(spark):
+    day = 86400
+    rows = [("a", 0, 0, None, "FAIL"), ("b", 3, 0, 0, "FAIL"), ("c", 3, 1, 0, "FAIL"), ("d", 3, 1, 0, "WARN"), ("e", 3, 1, 0, "PASS"), ("f", 3, 1, 95 * day, "PASS"), ("g", 3, 1, None, "PASS"), ("h", 3, 1, 95 * day, "PASS")]
+    d = spark.createDataFrame(rows, "source_name string, total long, active long, latest_s long, quality string")
+    got = {r["source_name"]: r["health"] for r in health.source_health(d, spark.createDataFrame([("h", 2)], "source_name string, days int"), 100 * day).collect()}
+    assert got == dict(zip("abcdefgh", ["unknown", "inactive", "failed", "warning", "stale", "healthy", "unknown", "stale"]))
+
+
+def test_questions_meet_documents_that_hold_all_their_tokens(spark):
+    q = spark.createDataFrame([(1, ["the", "cache"]), (2, ["the"]), (3, [])], "question_id long, tokens array<string>")
+    d = spark.createDataFrame([(1, ["the", "big", "cache"]), (2, ["cache"]), (3, ["the"])], "document_id long, tokens array<string>")
+    assert sorted((r["question_id"], r["document_id"]) for r in retrieval.holds_all(q, d).collect()) == [(1, 1), (2, 1), (2, 3)]
 
 
 PAGE = """<html><head><title> A &amp; B </title><link rel="canonical" href="https://x.org/a"></head><body><nav><a href="/n">menu</a></nav><h1>Top</h1><p>Some <b>bold</b>
@@ -132,6 +186,16 @@ def test_file_sources_and_sinks(spark, tmp_path):
     assert got["sub/b.md"]["title"] == "Second file" and got["sub/b.md"]["text"].startswith("# Second file\n\n## Second") and got["a.txt"]["title"] == "a"
     got = {r["document_key"]: r for r in files.scan_json_corpus(spark, str(root)).collect()}
     assert got["c.json"]["text"] == "- title: T\n- x[0]: 1\n- x[1].y: 2" and got["c.json"]["title"] == "T" and not got["d.json"]["valid"] and got["d.json"]["text"] == "{broken"
+    inner = root / "x" / "corpus" / "a b+c"
+    inner.mkdir(parents=True)
+    (inner / "n.md").write_text("text")
+    (root / "n.md").write_text("other text")
+    keys = {r["document_key"] for r in files.scan_text_corpus(spark, f"{root}/").collect()}
+    assert {"x/corpus/a b+c/n.md", "n.md", "a.txt", "sub/b.md"} == keys
+    (root / "deep.json").write_text('{"a": ' * 5000 + "1" + "}" * 5000)
+    (root / "mid.json").write_text('{"a": ' * 400 + "1" + "}" * 400)
+    got = {r["document_key"]: r for r in files.scan_json_corpus(spark, str(root)).collect()}
+    assert got["mid.json"]["text"] == "- " + ".".join(["a"] * 400) + ": 1" and len(got) == 4
     rows = spark.createDataFrame([("w", "s", 1), ("w", "t", 2)], "workspace_id string, source_name string, v int")
     files.write_versioned(rows, str(tmp_path / "v"))
     files.write_versioned(rows.where("v = 2").withColumn("v", F.lit(9)), str(tmp_path / "v"))

@@ -38,5 +38,10 @@ def test_ingest_stream(spark, tmp_path):
     run()
     spark.createDataFrame([("a", "h2", "p"), ("b", "h1", "p")], kind).coalesce(1).write.mode("append").parquet(path)
     run()
-    got = sorted((r["document_key"], r["version"], r["status"]) for r in spark.read.parquet(str(tmp_path / "t/g=1")).collect())
+    got = sorted((r["document_key"], r["version"], r["status"]) for r in jobs.stored_versions(spark, str(tmp_path / "t")).collect())
     assert got == [("a", 1, "archived"), ("a", 2, "active"), ("b", 1, "active")]
+    spark.createDataFrame([("c", "h1", "p")], kind).coalesce(1).write.mode("append").parquet(path)
+    run()
+    parts = {r["part"] for r in spark.read.parquet(str(tmp_path / "t")).where("g = 2").select("part").distinct().collect()}
+    assert len(parts) == 1  # the others are neither read nor written
+    assert len(jobs.stored_versions(spark, str(tmp_path / "t")).collect()) == 4

@@ -14,6 +14,11 @@ def test_normalize_and_title(spark):
     assert one(spark, "Home\nText\n Next ", T.drop_boilerplate_lines(F.col("x"))) == ("Text",)
 
 
+def test_code_keeps_its_spaces(spark):
+    d = spark.createDataFrame([("a  b\r\n```\nif x:\n    y  = 1\n```\nc   d\n\n\n\ne\u00a0 f",)], "t string")
+    assert d.select(T.normalize_text(F.col("t"))).first()[0] == "a b\n```\nif x:\n    y  = 1\n```\nc d\n\ne f"
+
+
 def test_terms(spark):
     x = "The API_KEY of app/config.yaml v1.2 and Ärger 42 ärger"
     assert one(spark, x, T.significant_terms(F.col("x"))) == (["api_key", "app", "config", "yaml", "v1", "ärger"],)
