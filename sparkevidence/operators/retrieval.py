@@ -32,13 +32,18 @@ def small(df: DataFrame, most: int = SENT_ROOTS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def weighted(question_roots: DataFrame, weights: DataFrame, question: str = "question_id") -> DataFrame:
+    """(question, root, weight) of all stems of the questions."""
+    return question_roots.join(weights.select("root", "weight"), "root", "left").select(question, "root", F.coalesce("weight", F.lit(UNSEEN)).alias("weight"))
+
+
 def document_matches(question_roots: DataFrame, document_roots: DataFrame, weights: DataFrame, question: str = "question_id", document: str = "document_id") -> DataFrame:
     """(question, document, matched, score): the weighted share of a question's stems, common ones included, that a document has.
 
     weights: (root, weight), UNSEEN where a stem has none. The stems of the questions, a stated set, go to where documents' stems are
     exploded, so no stem is a shuffle key, and hits of a document are summed up there before they are shuffled by pair.
     """
-    asked = cut(question_roots.join(weights.select("root", "weight"), "root", "left").select(question, "root", F.coalesce("weight", F.lit(UNSEEN)).alias("weight")), "asked")
+    asked = cut(weighted(question_roots, weights, question), "asked")
     total = asked.groupBy(question).agg(F.sum("weight").alias("total"))
     hits = document_roots.join(small(asked), "root").groupBy(question, document).agg(F.count(F.lit(1)).alias("matched"), F.sum("weight").alias("got"))
     return hits.join(small(total), question).select(question, document, "matched", F.round(F.col("got") / F.col("total"), 6).alias("score"))

@@ -31,9 +31,20 @@ def _match_sql(then: str) -> str:
     return with_sql("chunks", "questions", then=f", {_TERMS_CTE}, {_STATS_CTE}, {_WEIGHTS_CTE}, {_MATCH_CTE} {then}")
 
 
+def _root_weights(spark, sf_dir, asked):
+    roots = R.small(cut(asked.select("root").distinct(), "roots"))
+    return weighted_terms(spark, sf_dir, roots).groupBy(T.root(F.col("term")).alias("root")).agg(F.max("weight").alias("weight"))
+
+
+def asked_weights(spark, sf_dir):
+    """(question_id, root, weight) of all questions."""
+    asked = R.roots(corpus.questions(spark, sf_dir), "question_id", "question")
+    return cut(R.weighted(asked, _root_weights(spark, sf_dir, asked)), "asked")
+
+
 def _matches(spark, sf_dir):
     asked = R.roots(corpus.questions(spark, sf_dir), "question_id", "question")
-    w = weighted_terms(spark, sf_dir, R.small(cut(asked.select("root").distinct(), "roots"))).groupBy(T.root(F.col("term")).alias("root")).agg(F.max("weight").alias("weight"))
+    w = _root_weights(spark, sf_dir, asked)
     d = corpus.table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "document_id")
     return R.document_matches(asked, R.roots(d, "document_id", "text"), w)
 
@@ -67,12 +78,6 @@ def _scored_chunks(spark, sf_dir):
     return c.withColumn("discarded", discarded)
 
 
-@query(_match_sql(f", {_CHUNK_CTE} SELECT question_id, document_id, chunk_index, overlap, discarded FROM evidence"))
-def discard_evidence(spark, sf_dir):
-    """Every chunk of the routed documents with the first reason that rules it out."""
-    return _scored_chunks(spark, sf_dir).select("question_id", "document_id", "chunk_index", "overlap", "discarded")
-
-
 def _ranked_chunks(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -95,23 +100,8 @@ def hybrid_score(spark, sf_dir):
     return c.select("question_id", "document_id", "chunk_index", "trigram", F.round(R.hybrid(F.col("document_score"), F.col("overlap"), F.col("trigram")), 4).alias("hybrid"))
 
 
-_DECISION = "CASE WHEN overlap >= 0.58 THEN 'accepted' WHEN overlap >= 0.35 THEN 'partial' ELSE 'discarded' END"
-
-
-@query(_match_sql(f", {_CHUNK_CTE} SELECT question_id, document_id, chunk_index, {_DECISION} AS decision FROM ranked WHERE rank <= 8"))
-def decide_evidence(spark, sf_dir):
-    decision = F.when(F.col("overlap") >= 0.58, "accepted").when(F.col("overlap") >= 0.35, "partial").otherwise("discarded")
-    return _ranked_chunks(spark, sf_dir).where("rank <= 8").select("question_id", "document_id", "chunk_index", decision.alias("decision"))
 
 
-@query(_match_sql(f""", {_CHUNK_CTE}, d AS (SELECT question_id, {_DECISION} AS decision FROM ranked WHERE rank <= 8), c AS (SELECT question_id, count_if(decision = 'accepted') AS accepted, count_if(decision = 'partial') AS partial FROM questions LEFT JOIN d USING (question_id) GROUP BY 1)
-    SELECT question_id, accepted, partial, CASE WHEN accepted = 0 AND partial = 0 THEN 'out_of_base' WHEN accepted < 1 THEN 'partial_answer' ELSE 'answer_from_materials' END AS answer_mode FROM c"""))
-def answer_mode(spark, sf_dir):
-    d = decide_evidence(spark, sf_dir)
-    c = corpus.questions(spark, sf_dir).select("question_id").join(d, "question_id", "left").groupBy("question_id").agg(F.count_if(F.col("decision") == "accepted").alias("accepted"), F.count_if(F.col("decision") == "partial").alias("partial"))
-    mode = F.when((F.col("accepted") == 0) & (F.col("partial") == 0), "out_of_base").when(F.col("accepted") < 1, "partial_answer").otherwise("answer_from_materials")
-    return c.withColumn("answer_mode", mode)
-
 
 @query()
 def near_duplicate_evidence(spark, sf_dir):
@@ -225,18 +215,6 @@ def verify_claims(spark, sf_dir):
     return R.verify_claims(claims, t.where("role = 'user'").select("conv_id", F.col("text").alias("span")), "conv_id")
 
 
-@query(f"""SELECT conv_id, turn, md5(text) AS text_md5, len({_TOK}) <= 3 AND len(list_filter({_TOK}, lambda t: t NOT IN ('hi', 'hello', 'hey', 'thanks', 'bye'))) = 0 AS social,
-    CASE WHEN regexp_matches(lower(text), 'error|fail|exception|broken') THEN 'debug' WHEN regexp_matches(lower(text), 'install|setup|configure') THEN 'setup' WHEN regexp_matches(lower(text), 'compare|versus| vs ') THEN 'compare'
-    WHEN regexp_matches(lower(text), 'what is|define|meaning') THEN 'definition' ELSE 'general' END AS task_type, regexp_matches(lower(text), 'latest|current|today|newest|202[0-9]') AS fresh, len({_SIGNIFICANT.replace("content", "text")}) AS objects FROM conversations WHERE role = 'user'""")
-def analyze_questions(spark, sf_dir):
-    """User turns: social or not, task by the first marker set that fits, need for fresh sources, number of object terms."""
-    q = corpus.table(spark, sf_dir, "conversations").where("role = 'user'")
-    low, t = F.lower("text"), T.tokens(F.col("text"))
-    task = F.when(low.rlike("error|fail|exception|broken"), "debug").when(low.rlike("install|setup|configure"), "setup").when(low.rlike("compare|versus| vs "), "compare").when(low.rlike("what is|define|meaning"), "definition").otherwise("general")
-    social = (F.size(t) <= 3) & F.forall(t, lambda x: x.isin("hi", "hello", "hey", "thanks", "bye"))
-    return q.select("conv_id", "turn", F.md5("text").alias("text_md5"), social.alias("social"), task.alias("task_type"), low.rlike("latest|current|today|newest|202[0-9]").alias("fresh"), F.size(T.significant_terms(F.col("text"))).alias("objects"))
-
-
 _MERGE = with_sql("questions", then=f""", dt AS (SELECT doc_id, list_distinct({_TOK}) AS t, {_roots_sql("text")} AS r FROM documents), qt AS (SELECT question_id, list_distinct({_TOK.replace("text", "question")}) AS t, {_roots_sql("question")} AS r FROM questions),
     f AS (SELECT question_id, doc_id, 1.0::DOUBLE AS fulltext FROM qt, dt WHERE len(list_intersect(qt.t, dt.t)) = len(qt.t)), x AS (SELECT question_id, doc_id, round(len(list_intersect(qt.r, dt.r)) / greatest(len(qt.r), 1), 6) AS lexical FROM qt, dt WHERE len(list_intersect(qt.r, dt.r)) > 0)
     SELECT question_id, doc_id AS document_id, fulltext, lexical, greatest(coalesce(fulltext, 0), coalesce(lexical, 0)) AS best FROM f FULL JOIN x USING (question_id, doc_id) WHERE coalesce(lexical, 1) >= 0.3""")

@@ -11,7 +11,7 @@ from sparkevidence.plans import corpus, ingest_queries, retrieval_queries
 from sparkevidence.plans.base import query
 from sparkevidence.plans.corpus import with_sql
 from sparkevidence.plans.ingest_queries import _SNAPSHOTS
-from sparkevidence.plans.retrieval_queries import _CHUNK_CTE, _DECISION, _MENTION_CTE, _match_sql
+from sparkevidence.plans.retrieval_queries import _CHUNK_CTE, _MENTION_CTE, _match_sql
 
 #: Host and path parts that rule out a page as official documentation. Fixed values.
 FORBIDDEN = ("forum", "blog", "community", "reddit", "medium", "news")
@@ -69,22 +69,6 @@ def noise_terms(spark, sf_dir):
     return d.select("doc_id", x.rlike(r"[\x{FFFD}]|Ã.|â€").alias("broken"), x.rlike("[A-Za-z0-9_-]{32,}").alias("random_token"), (F.regexp_count(x, F.lit(r"[^\p{L}\p{N}\s]")) * 4 > F.length(x)).alias("noise"))
 
 
-@query(with_sql("questions", then=f""", t AS (SELECT question_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(question), '{T.TOKEN}'), lambda t: len(t) > 1 AND t NOT IN ({", ".join("'" + s + "'" for s in T.STOPWORDS)}) AND NOT regexp_matches(t, '^[0-9]+$')))) AS term FROM questions)
-    SELECT question_id, term AS text, CASE WHEN len(term) >= 8 THEN 'object' WHEN len(term) >= 5 THEN 'constraint' ELSE 'action' END AS role, CASE WHEN len(term) >= 8 THEN 1.0 WHEN len(term) >= 5 THEN 0.7 ELSE 0.4 END::DOUBLE AS importance FROM t"""))
-def explode_facets(spark, sf_dir):
-    """One row for each facet of a question."""
-    t = corpus.questions(spark, sf_dir).select("question_id", F.explode(T.significant_terms(F.col("question"))).alias("text"))
-    n = F.length("text")
-    return t.select("question_id", "text", F.when(n >= 8, "object").when(n >= 5, "constraint").otherwise("action").alias("role"), F.when(n >= 8, 1.0).when(n >= 5, 0.7).otherwise(0.4).alias("importance"))
-
-
-@query(_match_sql("SELECT question_id, document_id, rank FROM top_docs JOIN questions USING (question_id) WHERE rank <= CASE WHEN len(question) > 120 THEN 3 ELSE 1 END"))
-def trusted_documents(spark, sf_dir):
-    """Three documents for long questions, one for others."""
-    q = corpus.questions(spark, sf_dir)
-    return retrieval_queries.top_documents(spark, sf_dir).join(q, "question_id").where(F.col("rank") <= F.when(F.length("question") > 120, 3).otherwise(1)).select("question_id", "document_id", "rank")
-
-
 @query(_match_sql(f""", {_CHUNK_CTE}, pool AS (SELECT *, round(overlap * 0.7::DOUBLE + document_score * 0.3::DOUBLE, 4) AS rescored FROM ranked WHERE rank <= 16)
     SELECT question_id, document_id, chunk_index, rescored, k FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rescored DESC, document_id, chunk_index) AS k FROM pool) WHERE k <= 4"""))
 def over_fetch_rerank(spark, sf_dir):
@@ -93,16 +77,6 @@ def over_fetch_rerank(spark, sf_dir):
     return pool.withColumn("k", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("rescored"), "document_id", "chunk_index"))).where("k <= 4").select("question_id", "document_id", "chunk_index", "rescored", "k")
 
 
-@query(_match_sql(f""", {_CHUNK_CTE}, d AS (SELECT *, {_DECISION} AS decision FROM ranked WHERE rank <= 8), n AS (SELECT *, row_number() OVER (PARTITION BY question_id, decision ORDER BY rank) AS k, count_if(decision = 'accepted') OVER (PARTITION BY question_id) AS accepted FROM d)
-    SELECT question_id, document_id, chunk_index, decision FROM n WHERE (decision = 'accepted' AND k <= 5) OR (accepted = 0 AND decision = 'partial' AND k <= 2)""".replace("count_if(decision = 'accepted') OVER", "sum(CASE WHEN decision = 'accepted' THEN 1 ELSE 0 END) OVER")))
-def pack_evidence(spark, sf_dir):
-    """Five accepted chunks at most; the two best partial ones where none is accepted."""
-    decision = F.when(F.col("overlap") >= 0.58, "accepted").when(F.col("overlap") >= 0.35, "partial").otherwise("discarded")
-    d = retrieval_queries._ranked_chunks(spark, sf_dir).where("rank <= 8").withColumn("decision", decision)
-    d = d.withColumn("k", F.row_number().over(Window.partitionBy("question_id", "decision").orderBy("rank"))).withColumn("accepted", F.count_if(F.col("decision") == "accepted").over(Window.partitionBy("question_id")))
-    return d.where("(decision = 'accepted' and k <= 5) or (accepted = 0 and decision = 'partial' and k <= 2)").select("question_id", "document_id", "chunk_index", "decision")
-
-
 @query(with_sql("docs", then="SELECT document_id, title FROM (SELECT *, row_number() OVER (PARTITION BY lower(title) ORDER BY document_id) AS r FROM docs) WHERE r = 1"))
 def keep_first_dedupe(spark, sf_dir):
     """The first document of each title, either case; a grouped minimum, no window over frequent titles."""

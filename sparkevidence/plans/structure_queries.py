@@ -77,14 +77,6 @@ def route_documents(spark, sf_dir):
     return j.select("question_id", "document_id", score.alias("route_score"), F.array_join(names, ",").alias("penalties"))
 
 
-@query(_match_sql(f""", {_CHUNK_CTE} SELECT question_id, document_id, chunk_index, round(overlap + CASE WHEN overlap >= 0.5 THEN 0.16::DOUBLE ELSE 0 END + CASE WHEN chunk_index = 0 THEN 0.10::DOUBLE ELSE 0 END + CASE WHEN contains(lower(content), lower(question)) THEN 0.20::DOUBLE ELSE 0 END
-    + CASE WHEN overlap < 0.2 THEN -0.18::DOUBLE ELSE 0 END + CASE WHEN len(content) < 120 THEN -0.10::DOUBLE ELSE 0 END, 4) AS reranked FROM ranked WHERE rank <= 8"""))
-def rerank(spark, sf_dir):
-    c = retrieval_queries._ranked_chunks(spark, sf_dir).where("rank <= 8")
-    flags = {"object": F.col("overlap") >= 0.5, "heading": F.col("chunk_index") == 0, "exact": F.contains(F.lower("content"), F.lower("question")), "weak": F.col("overlap") < 0.2, "short": F.length("content") < 120}
-    return c.select("question_id", "document_id", "chunk_index", routing.rerank_score(F.col("overlap"), flags).alias("reranked"))
-
-
 @query(_match_sql(""", n AS (SELECT question_id, document_id, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, document_id) AS r FROM matches), t AS (SELECT question_id, document_id, r, source || ' - ' || lang AS label FROM n JOIN documents ON doc_id = document_id WHERE r <= 5),
     l AS (SELECT question_id, label, min(r) AS first_rank, count(*) AS documents FROM t GROUP BY 1, 2) SELECT question_id, label, documents, k FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY first_rank) AS k FROM l) WHERE k <= 3"""))
 def source_labels(spark, sf_dir):
