@@ -11,10 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkevidence.llm.shared import bucket_count, saved, text_or_empty
+from sparkevidence.llm.shared import bucket_count, saved, text_or_empty, unit_interval
 
 WIDTH = 32
 BITS = 48
+#: Most ranges of doc_id, a power of two; their bounds are one array.
+RANGES = 1 << 13
 _MASK = (1 << BITS) - 1
 
 
@@ -70,17 +72,24 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row of docs (doc_id, text).
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many of the next row's text, in ascending
-    order of doc_id; after the last comes the first. Rows are put into ranges of doc_id of some thousand rows each, and the first
-    row of the next range is added to each range, so no task orders more than its range.
-    Nulls: a null text is empty; a null doc_id comes last. Rows that repeat a doc_id follow in order of their text's SHA-256. A
-    single row is its own next. Empty tables give an empty result.
+    order of doc_id; after the last comes the first. Rows are put into ranges of doc_id between quantiles, of some thousand rows each
+    (at most RANGES of them), and the first row of the next range is added to each range, so no task orders more than its range.
+    Nulls: a null text is empty; null doc_ids come last, in order and ranges of their text's SHA-256. Rows that repeat a doc_id follow
+    in order of their text's SHA-256. A single row is its own next. Long texts are fingerprinted whole; other columns of docs are not
+    looked at. Empty tables give an empty result.
     """
     rows = docs.select("doc_id", text_or_empty().alias("text"))
-    span = rows.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    lo, hi = float(span["lo"] or 0), float(span["hi"] or 0)
-    buckets = bucket_count(span["n"])
-    place = F.floor((F.col("doc_id").cast("double") - F.lit(lo)) / F.lit(max(hi - lo, 1.0)) * F.lit(float(buckets)))
-    rows = rows.withColumn("bucket", F.coalesce(place, F.lit(buckets + 1)).cast("long")).withColumn("sha", F.sha2(F.encode("text", "utf-8"), 256))
+    rows = rows.withColumn("sha", F.sha2(F.encode("text", "utf-8"), 256))
+    n = rows.count()
+    steps = min(RANGES, 1 << (bucket_count(n) - 1).bit_length())
+    # Bounds that leave about as many rows in each range, however ids are spread; a binary search finds a row's range.
+    at = F.array(*[F.lit(i / steps) for i in range(1, steps)])
+    bounds = saved(rows.agg(F.coalesce(F.percentile_approx("doc_id", at, 4 * steps), F.array().cast("array<bigint>")).alias("bounds")), "bounds")
+    widths = F.array(*[F.lit(steps >> i) for i in range(1, steps.bit_length())])
+    beyond = lambda lo, w: F.coalesce(F.get("bounds", lo + w - 1) < F.col("doc_id"), F.lit(False))
+    place = F.aggregate(widths, F.lit(0), lambda lo, w: F.when(beyond(lo, w), lo + w).otherwise(lo))
+    unnamed = F.lit(steps) + F.floor(unit_interval(F.col("sha")) * steps)
+    rows = rows.crossJoin(F.broadcast(bounds)).withColumn("bucket", F.when(F.col("doc_id").isNull(), unnamed).otherwise(place).cast("long")).drop("bounds")
     key = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "sha")
     firsts = saved(rows.groupBy("bucket").agg(F.min(key).alias("k")), "firsts")
     order = Window.orderBy("bucket")
