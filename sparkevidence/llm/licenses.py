@@ -42,13 +42,41 @@ def pieces(notice: str, edits: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+class Notice:
+    """One notice's pattern: places with up to `edits` edits that don't overlap, from left to right."""
+
+    def __init__(self, text: str, label: str, edits: int) -> None:
+        import regex
+
+        self.label, self.edits, self.length = label, edits, len(text)
+        pattern = f"(?:{regex.escape(text)}){{e<={edits}}}"
+        self.any, self.best = regex.compile(pattern), regex.compile(pattern, regex.BESTMATCH)
+        # A better match that overlaps the first one ends within so many characters of its start.
+        self.reach = 2 * (len(text) + edits)
+
+    def _nearest(self, text: str, lo: int, hi: int) -> list[tuple[int, int, int]]:
+        """The best match of a stretch, and those that fit before it, which a search for the best passes over."""
+        m = self.best.search(text, lo, hi)
+        return [*self._nearest(text, lo, m.start()), (m.start(), m.end(), sum(m.fuzzy_counts))] if m and m.end() > m.start() else []
+
+    def places(self, text: str, lo: int, hi: int) -> list[tuple[int, int, int]]:
+        """(start, end, edits) in text[lo:hi], in time in proportion to its length: the first match shows where to look for the best."""
+        out: list[tuple[int, int, int]] = []
+        while m := self.any.search(text, lo, hi):
+            found = self._nearest(text, m.start(), min(hi, m.start() + self.reach))
+            if not found:
+                break
+            out += found
+            lo = found[-1][1]
+        return out
+
+
 class Scanner:
     def __init__(self, phrases: dict[str, str], notices: dict[str, tuple[str, int]]) -> None:
         import ahocorasick
-        import regex
 
         self.phrases = [(p.split(" "), label) for p, label in phrases.items()]
-        self.fuzzy = [(regex.compile(f"(?:{regex.escape(p)}){{e<={e}}}", regex.BESTMATCH), label, e, len(p)) for p, (label, e) in notices.items()]
+        self.fuzzy = [Notice(p, label, e) for p, (label, e) in notices.items()]
         seeds: dict[str, list[tuple[int, int, int]]] = {}
         for i, (p, (_, e)) in enumerate(notices.items()):
             for at, piece in pieces(p, e):
@@ -77,19 +105,19 @@ class Scanner:
         places: dict[int, list[tuple[int, int]]] = {}
         for end, uses in self.seeds.iter(text):
             for i, at, n in uses:
-                _, _, edits, length = self.fuzzy[i]
-                a = max(0, end + 1 - n - at - edits)
-                places.setdefault(i, []).append((a, min(len(text), a + length + 3 * edits)))
+                notice = self.fuzzy[i]
+                a = max(0, end + 1 - n - at - notice.edits)
+                places.setdefault(i, []).append((a, min(len(text), a + notice.length + 3 * notice.edits)))
         out = []
         for i, found in places.items():
-            pattern, label, _, _ = self.fuzzy[i]
+            notice = self.fuzzy[i]
             found.sort()
             lo, hi = found[0]
             for a, b in [*found[1:], (len(text) + 1, 0)]:
                 if a <= hi:
                     hi = max(hi, b)
                     continue
-                out += [(m.start(), m.end(), label, sum(m.fuzzy_counts)) for m in pattern.finditer(text, lo, hi)]
+                out += [(x, y, notice.label, e) for x, y, e in notice.places(text, lo, hi)]
                 lo, hi = a, b
         return sorted(out)
 
@@ -125,7 +153,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
     A-Z are lower-cased; words are runs of letters a-z, digits and characters beyond ASCII. spans are character ranges in the
     words joined by single spaces. score is 1 with a base phrase, else one less the best notice's edits per character, else 0.
     Nulls: a null text is empty (no words, no labels, score 0), a null doc_id stays. Repeated rows give equal rows; texts of any
-    length are scanned whole; an empty table gives an empty result.
+    length are scanned whole; an empty table gives an empty result; other columns of docs are not looked at.
     """
     small_batches(docs.sparkSession)
     kind = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<start:int,end:int,label:string,edits:int>>"
