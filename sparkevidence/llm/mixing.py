@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkevidence.llm.shared import WORD, bucket_count, saved, text_or_empty, unit_interval, with_prefix
@@ -41,11 +41,26 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
     Each source's documents are shuffled by a keyed hash. A copy's virtual finish time is the words that its source has sent up to
     it, divided by the source's target; copies of a source follow each other in up to epochs passes. All copies are put in order
     of finish time (then hash and doc_id) and taken while their sizes fit the total budget, the sum of all sizes.
-    Nulls: no text counts 0 words, a null source is a source of its own, a null doc_id is a row like any other. Rows that are
-    equal in all three columns are interchangeable. Empty documents take nothing. An empty table gives an empty result.
+    Nulls: no text counts 0 words, a null source is a source of its own, a null doc_id is a row like any other. The hash is of
+    doc_id, text and source, so rows without or with the same id are shuffled by themselves. Rows that are equal in all three columns
+    are interchangeable. Empty documents take nothing, documents of any length are taken whole. Other columns of docs, whatever their
+    names, are not looked at. An empty table gives an empty result.
     """
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = saved(docs.select("doc_id", "source", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"), key.alias("h")), "mix")
+    rows = saved(docs.select("doc_id", "source", _words().alias("size"), _shuffled(seed).alias("h")), "mix")
+    return _mixed(rows, weights, epochs).select("doc_id", "size", "source", "source_size", "target", "taken")
+
+
+def _words() -> Column:
+    return F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long")
+
+
+def _shuffled(seed: str) -> Column:
+    source = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("none"))
+    return F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.encode(text_or_empty(), "utf-8")), source))
+
+
+def _mixed(rows: DataFrame, weights: tuple[int, ...], epochs: int) -> DataFrame:
+    """mix() of written rows (doc_id, source, size, h), with h."""
     buckets = bucket_count(rows.count())
     targets = source_targets(rows, weights, epochs)
     order = [F.col("h"), F.col("doc_id"), F.col("size")]
@@ -66,24 +81,30 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
         edge = copies.where(F.col("slot") == last["slot"]).withColumn("used", F.sum("size").over(within)).where(F.col("used") <= room)
         taken = copies.where(F.col("slot") < last["slot"]).select("doc_id", "source", "h", "size").union(edge.select("doc_id", "source", "h", "size"))
     # Rows equal in every column stand for each other, so their copies are dealt evenly.
-    same = sent.groupBy("doc_id", "source", "h", "size", "source_size", "target").agg(F.count(F.lit(1)).alias("rows"))
-    got = taken.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("copies")).select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), "copies")
-    both = same.join(got, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")), "left")
+    same = sent.groupBy("h", "doc_id", "source", "size", "source_size", "target").agg(F.count(F.lit(1)).alias("rows"))
+    got = taken.groupBy(F.col("h").alias("k")).agg(F.count(F.lit(1)).alias("copies"))
+    both = same.join(got, F.col("h") == F.col("k"), "left")
     each = both.withColumn("copies", F.coalesce("copies", F.lit(0))).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     share = F.floor(F.col("copies") / F.col("rows")) + F.when(F.col("i") <= F.col("copies") % F.col("rows"), 1).otherwise(0)
-    return each.select("doc_id", "size", "source", "source_size", "target", (share * F.col("size")).alias("taken"))
+    return each.select("doc_id", "size", "source", "source_size", "target", (share * F.col("size")).alias("taken"), "h", share.cast("int").alias("copies"))
 
 
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document as many times as the mix takes it."""
-    out = mix(docs).where("taken > 0").select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), (F.col("taken") / F.col("size")).cast("int").alias("__n"))
-    # Rows equal in id, source and size share their copies: numbered alike on both sides.
-    same = Window.partitionBy("__d", "__s", "__z")
-    out = out.withColumn("__i", F.row_number().over(same.orderBy(F.desc("__n"))))
-    left = docs.withColumn("__z0", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long"))
-    left = left.withColumn("__i0", F.row_number().over(Window.partitionBy("doc_id", "source", "__z0").orderBy(F.xxhash64("text"))))
-    on = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__z0") == F.col("__z")) & (F.col("__i0") == F.col("__i"))
-    return left.join(out, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Pipeline stage: each document as many times as the mix takes it, whole; n copies are n equal rows.
+
+    Nulls, ties, repeated and empty rows as in mix: a document without words is taken by no mix and goes. Columns and their order stay;
+    an empty table gives an empty result.
+    """
+    rows = saved(docs.select("doc_id", "source", _words().alias("size"), _shuffled(SEED).alias("h")), "mix")
+    out = _mixed(rows, WEIGHTS, EPOCHS).where("copies > 0")
+    # Rows that are equal in id, text and source share their copies.
+    out = out.groupBy(F.col("h").alias("__h")).agg(F.sum(F.col("copies").cast("long")).alias("__n"))
+    alike = Window.partitionBy("__h")
+    both = docs.withColumn("__k", _shuffled(SEED)).join(out.hint("merge"), F.col("__k") == F.col("__h"))
+    both = both.select("*", F.row_number().over(alike.orderBy("__h")).alias("__i"), F.count(F.lit(1)).over(alike).alias("__rows"))
+    own = F.floor(F.col("__n") / F.col("__rows")) + F.when(F.col("__i") <= F.col("__n") % F.col("__rows"), 1).otherwise(0)
+    both = both.withColumn("__copies", own.cast("int")).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return both.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE_CORE = """
@@ -102,7 +123,8 @@ ORACLE_CORE = """
     got AS (SELECT doc_id, sum(size) AS taken FROM queued WHERE used <= (SELECT sum(size) FROM sized) GROUP BY doc_id)
 """
 ORACLE_SQL = f"""
-    WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+')) AS size, md5('mix-1|' || doc_id) AS h FROM documents),
+    WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+')) AS size,
+                 md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, '')) || '|' || coalesce('s' || source, 'none')) AS h FROM documents),
     {ORACLE_CORE}
     SELECT s.doc_id, CAST(s.size AS BIGINT) AS size, s.source_size, s.target, CAST(coalesce(g.taken, 0) AS BIGINT) AS taken
     FROM sent s LEFT JOIN got g ON g.doc_id = s.doc_id
