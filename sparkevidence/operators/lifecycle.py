@@ -78,6 +78,11 @@ def violations(rules: list[tuple[str, str, DataFrame, Column]]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def hydrated(rows: DataFrame, documents: DataFrame, on: str) -> DataFrame:
+    """rows with the documents' columns; lost tells where there is no such document (any more)."""
+    return rows.join(documents.withColumn("_there", F.lit(True)), on, "left").withColumn("lost", F.col("_there").isNull()).drop("_there")
+
+
 def duplicates(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 

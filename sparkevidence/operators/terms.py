@@ -44,6 +44,22 @@ def term_statistics(chunks: DataFrame, roots: DataFrame | None = None) -> DataFr
     return out.withColumn("term_type", kind).drop("shape")
 
 
+def corpus_statistics(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(term, document_frequency, chunk_frequency): documents (text) and chunks (content) that hold a term, counted apart."""
+    count = lambda df, c, name: df.select(F.explode(T.significant_terms(F.col(c))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias(name))
+    both = count(documents, "text", "document_frequency").join(count(chunks, "content", "chunk_frequency"), "term", "full_outer")
+    zero = F.lit(0).cast("long")
+    return both.select("term", F.coalesce("document_frequency", zero).alias("document_frequency"), F.coalesce("chunk_frequency", zero).alias("chunk_frequency"))
+
+
+def with_examples(stats: DataFrame, chunks: DataFrame, most: int = 3) -> DataFrame:
+    """stats with examples, the latest documents (by id) of each term; terms without chunks stay."""
+    rows = term_occurrences(chunks).select("term", "document_id").distinct()
+    rank = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("document_id")))
+    top = rows.withColumn("r", rank).where(F.col("r") <= most).groupBy("term").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "document_id"))), lambda x: x["document_id"].cast("string")).alias("examples"))
+    return stats.join(top, "term", "left")
+
+
 def merge_by_root(stats: DataFrame) -> DataFrame:
     """Statistics by stem: the shortest term (first on ties), the greatest counts, the first type other than "term"."""
     rows = stats.withColumn("root", T.root(F.col("term")))
