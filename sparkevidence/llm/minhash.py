@@ -20,8 +20,8 @@ from sparkevidence.llm.shared import arrow_bytes, components, saved, slices, sma
 
 #: A pair with similarity 0.8 shares no band with probability (1 - 0.8 ** 6) ** 40 = 6e-6.
 ROWS, BANDS = 6, 40
-#: Members of a bucket that one task compares; larger buckets are dealt out as pairs of blocks.
-BLOCK = 4096
+#: Members of a bucket that one task compares, and shingles that they have; larger buckets are dealt out as pairs of blocks.
+BLOCK, BLOCK_SHINGLES = 4096, 1 << 20
 _SEEDS = mix(np.arange(1, 4097, dtype=U) * U(BASE2))
 
 
@@ -156,7 +156,8 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, rows: int =
 
     Documents with equal shingle sets are one class, known by its smallest doc_id; only classes are banded and compared. Buckets
     with the same smallest member are one. Within a bucket a task emits a spanning set of confirmed links, never all pairs; a bucket of
-    over BLOCK members is dealt out as pairs of blocks, so no task holds more than two blocks. Components follow from the links.
+    over BLOCK members or BLOCK_SHINGLES shingles is dealt out as pairs of blocks, so no task holds more than two blocks (or two sets
+    that are larger). Components follow from the links. Other columns of docs, whatever their names, are not looked at.
     Nulls: a null or wordless text has an empty set, links with nothing and is its own component; rows with a null doc_id are
     their own component too (component_id null, kept true). Rows that repeat a doc_id belong to the component of that id. Empty
     tables give an empty result.
@@ -170,17 +171,15 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, rows: int =
     member = full.select("doc_id", "n", "s1", "s2").distinct()
     classes = full.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("n", "s1", "s2", F.col("m.doc_id").alias("rep"), "m.bands")
     classes = saved(classes, "classes")
-    pairs = classes.select("rep", F.posexplode("bands").alias("band", "key")).select("rep", "key")
+    pairs = classes.select("rep", "n", F.posexplode("bands").alias("band", "key")).select("rep", "n", "key")
     mates = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.min("rep").alias("least")).where("g > 1").select("key", "least")
-    members = pairs.join(mates.hint("merge"), "key").select("least", "rep").distinct()
+    members = pairs.join(mates.hint("merge"), "key").select("least", "rep", "n").distinct()
     members = saved(members, "buckets")
-    sizes = members.groupBy("least").agg(F.count(F.lit(1)).alias("g"))
-    members = members.join(sizes, "least").select(F.col("least").alias("key"), "rep", "g")
+    sizes = members.groupBy("least").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    members = members.join(sizes, "least").select(F.col("least").alias("key"), "rep", "blocks")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = texts.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, shingles binary")
-    blocks = F.ceil(F.col("g") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    dealt = members.withColumn("m", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    dealt = members.withColumnRenamed("blocks", "m").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("m")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     dealt = dealt.select("rep", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     compared = dealt.join(sets.hint("merge"), F.col("rep") == F.col("doc_id")).select("key", "i", "j", "doc_id", "shingles")
     found = compared.groupBy("key", "i", "j").applyInArrow(_verified(percent), "a long, b long")
@@ -192,7 +191,11 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, rows: int =
 
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each near-duplicate component stays (five-word shingles); rows with a null doc_id stay."""
+    """Pipeline stage: one document of each near-duplicate component stays (five-word shingles).
+
+    Rows with a null doc_id and wordless rows are no one's copies and stay; rows that repeat a kept doc_id stay. Columns and their
+    order stay; an empty table gives an empty result.
+    """
     flags = near_duplicates(docs, k=5).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
     columns = [F.col(f"`{c}`") for c in docs.columns]
     known = docs.join(flags, F.col("doc_id") == F.col("__kept")).select(*columns)
