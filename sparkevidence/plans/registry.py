@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkevidence.plans import catalog_queries, corpus_queries, evaluation_queries, evidence_queries, governance_queries, ingest_queries, retrieval_queries, review_queries, streaming_queries, structure_queries  # noqa: F401
+from sparkevidence.plans import answer_queries, catalog_queries, corpus_queries, evaluation_queries, evidence_queries, governance_queries, ingest_queries, retrieval_queries, review_queries, streaming_queries, structure_queries  # noqa: F401
 from sparkevidence.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

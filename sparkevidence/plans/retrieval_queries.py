@@ -115,19 +115,6 @@ def evidence_per_document(spark, sf_dir):
     return top_chunks(spark, sf_dir).groupBy("question_id", "document_id").agg(F.count(F.lit(1)).alias("chunks"), F.min("rank").alias("first_rank"))
 
 
-@query(_match_sql(f""", {_CHUNK_CTE}, s AS (SELECT question_id, document_id, chunk_index, unnest(list_filter(string_split_regex(regexp_replace(content, '([.!?])[ \\n]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: len(x) > 0)) AS sentence FROM ranked WHERE rank <= 3),
-    t AS (SELECT s.question_id, sentence, len(list_intersect({_roots_sql("sentence")}, ql.roots)) AS shared FROM s JOIN ql USING (question_id)),
-    u AS (SELECT question_id, sentence, max(shared) AS shared FROM t GROUP BY 1, 2) SELECT question_id, sentence, shared, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY shared DESC, sentence) AS rank FROM u) WHERE rank <= 5"""))
-def extractive_sentences(spark, sf_dir):
-    """The five sentences of the best chunks that share most stems with the question."""
-    from pyspark.sql import Window
-
-    c = _ranked_chunks(spark, sf_dir).where("rank <= 3").select("question_id", "q_roots", F.explode(T.split_sentences(F.col("content"))).alias("sentence"))
-    shared = F.size(F.array_intersect(F.array_distinct(F.transform(T.significant_terms(F.col("sentence")), T.root)), F.col("q_roots")))
-    u = c.withColumn("shared", shared).groupBy("question_id", "sentence").agg(F.max("shared").alias("shared"))
-    return u.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("shared"), "sentence"))).where("rank <= 5")
-
-
 _TOK = f"regexp_extract_all(lower(text), '{T.TOKEN}')"
 
 

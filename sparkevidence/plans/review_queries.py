@@ -170,11 +170,3 @@ def pending_suggestions(spark, sf_dir):
     """The 50 newest suggestions whose host has no other, a top-k report."""
     p = corpus.table(spark, sf_dir, "pages").groupBy(T.url_domain(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("page_id"))
     return p.where("n = 1").select("page_id", "host").orderBy(F.desc("page_id")).limit(50)
-
-
-@query("""WITH a AS (SELECT conv_id, count_if(role = 'user') AS asked, count_if(role = 'assistant') AS answered, count_if(role = 'assistant' AND len(text) < 20) AS weak FROM conversations GROUP BY 1)
-    SELECT conv_id, asked, answered, CASE WHEN answered = 0 THEN 'unanswered' WHEN weak > 0 THEN 'partial' ELSE 'answered' END AS status, answered > 0 AND weak = 0 AS show_sources FROM a""")
-def final_status(spark, sf_dir):
-    a = corpus.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("asked"), F.count_if(F.col("role") == "assistant").alias("answered"), F.count_if((F.col("role") == "assistant") & (F.length("text") < 20)).alias("weak"))
-    status = F.when(F.col("answered") == 0, "unanswered").when(F.col("weak") > 0, "partial").otherwise("answered")
-    return a.select("conv_id", "asked", "answered", status.alias("status"), ((F.col("answered") > 0) & (F.col("weak") == 0)).alias("show_sources"))

@@ -94,16 +94,6 @@ def active_inventory_fingerprint(spark, sf_dir):
     return corpus.documents(spark, sf_dir).groupBy("source_name", "status").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("digest"))
 
 
-@query(r"""WITH s AS (SELECT page_id, lower(url) AS u FROM pages), e AS (SELECT page_id, unnest([1, 2, 3]) AS step FROM s), t AS (SELECT page_id, step, CASE WHEN step = 1 THEN 'pending' WHEN step = 2 AND page_id % 4 = 0 THEN 'failed' WHEN step = 2 THEN 'preview_ready' WHEN page_id % 4 = 0 THEN NULL WHEN page_id % 3 = 0 THEN 'rejected' ELSE 'activated' END AS status FROM e)
-    SELECT page_id, arg_max(status, step) FILTER (WHERE status IS NOT NULL) AS status, count(status) AS steps FROM t GROUP BY page_id""")
-def suggestion_transitions(spark, sf_dir):
-    """Each suggestion's last state after its events."""
-    p = corpus.table(spark, sf_dir, "pages").select("page_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("step"))
-    i, s = F.col("page_id"), F.col("step")
-    status = F.when(s == 1, "pending").when((s == 2) & (i % 4 == 0), "failed").when(s == 2, "preview_ready").when(i % 4 == 0, None).when(i % 3 == 0, "rejected").otherwise("activated")
-    return p.withColumn("status", status).where("status is not null").groupBy("page_id").agg(F.max_by("status", "step").alias("status"), F.count(F.lit(1)).alias("steps"))
-
-
 @query(with_sql("docs", then="""SELECT a.document_key AS key, b.document_key AS successor, (CASE WHEN a.title = b.title THEN 2 ELSE 0 END + CASE WHEN split_part(a.document_key, '/', 2) = split_part(b.document_key, '/', 2) THEN 1 ELSE 0 END) AS signals
     FROM (SELECT DISTINCT document_key, title FROM docs WHERE status = 'archived') a JOIN (SELECT DISTINCT document_key, title FROM docs WHERE status = 'active') b ON a.title = b.title AND a.document_key <> b.document_key"""))
 def successor_candidates(spark, sf_dir):
