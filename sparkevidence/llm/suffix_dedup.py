@@ -73,6 +73,24 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return codes, np.searchsorted(a, offsets), a, b
 
 
+def joined(anchor: np.ndarray, row: np.ndarray, place: np.ndarray, first: np.ndarray, reach: int) -> np.ndarray:
+    """The last of each run of contexts that can be one, as all their windows hold the last one's anchor: contexts with equal grams
+    that follow each other, as in text that repeats itself. first: each context's first window; reach: how far in a window its gram may
+    start."""
+    n = len(anchor)
+    chained = (anchor[1:] == anchor[:-1]) & (row[1:] == row[:-1])
+    last = np.ones(n, bool)
+    starts = np.flatnonzero(chained & ~np.concatenate(([False], chained[:-1])))
+    stops = np.flatnonzero(chained & ~np.concatenate((chained[1:], [False]))) + 1
+    for i, end in zip(starts.tolist(), stops.tolist()):
+        last[i : end + 1] = False
+        while i <= end:
+            j = i + int(np.searchsorted(place[i : end + 1], first[i] + reach, "right")) - 1
+            last[j] = True
+            i = j + 1
+    return np.flatnonzero(last)
+
+
 def contexts(data: np.ndarray, offsets: np.ndarray, length: int, k: int, base: int = 0) -> tuple[np.ndarray, ...]:
     """Of rows of symbols (bytes or codes): row, first window's start and last window's end within the row, and hashes of the anchor
     and of the context."""
@@ -93,9 +111,10 @@ def contexts(data: np.ndarray, offsets: np.ndarray, length: int, k: int, base: i
     starts, where, row = starts[inside], where[inside], row[inside]
     if not len(starts):
         return none
-    new = np.concatenate(([True], (where[1:] != where[:-1]) | (row[1:] != row[:-1])))
-    a = starts[new]
-    b = np.concatenate((starts[np.flatnonzero(new)[1:] - 1], starts[-1:])) + length
+    new = np.flatnonzero(np.concatenate(([True], (where[1:] != where[:-1]) | (row[1:] != row[:-1]))))
+    a, b = starts[new], np.concatenate((starts[new[1:] - 1], starts[-1:])) + length
+    last = joined(g[where[new]], row[new], where[new], a, length - k)
+    a, b, new = a[np.concatenate(([0], last[:-1] + 1))], b[last], new[last]
     at = row[new]
     kind = U(BASE if data.dtype == np.uint8 else BASE2)  # bytes and words never share an anchor
     with np.errstate(over="ignore"):

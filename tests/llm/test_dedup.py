@@ -127,7 +127,7 @@ def removal_rows(seed, n):
 
 def test_suffix_dedup_against_brute_force(docs, monkeypatch):
     rows = removal_rows(3, 90)
-    rows += [(100, rows[5][1]), (101, "ab" * 200), (102, "z" * 150)]
+    rows += [(100, rows[5][1]), (101, "ab" * 200), (102, "z" * 150), (103, "zz abc " * 40 + rows[7][1]), (104, rows[8][1] + " abc zz" * 30), (105, "z" * 59), (106, "q " + "z" * 61)]
     want = brute_removal([t for _, t in rows], 60)
     for most in (suffix_dedup.SHARD_CONTEXTS, 3):  # anchors of one shard, and anchors whose shards are merged
         monkeypatch.setattr(suffix_dedup, "SHARD_CONTEXTS", most)
