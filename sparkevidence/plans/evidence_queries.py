@@ -9,6 +9,7 @@ from sparkevidence.functions import text as T
 from sparkevidence.operators import evidence as V
 from sparkevidence.operators import questions as Q
 from sparkevidence.operators import retrieval as R
+from sparkevidence.operators import routing
 from sparkevidence.plans import corpus, retrieval_queries
 from sparkevidence.plans.base import query
 from sparkevidence.plans.corpus import with_sql
@@ -232,3 +233,50 @@ def trusted_documents(spark, sf_dir):
     rows = retrieval_queries.top_documents(spark, sf_dir).join(Q.analyze(q).select("question_id", "task_type"), "question_id").join(named, "question_id", "left")
     most = F.when(F.col("task_type").isin("compare", "source_check"), 3).when(F.col("named"), 5).otherwise(1)
     return rows.where(F.col("rank") <= most).select("question_id", "document_id", "rank")
+
+
+_FACET_SQL = "list_concat(list_concat(list_transform(exact, lambda t: {'root': CUT, 'importance': 1.0::DOUBLE}), list_transform(objects, lambda t: {'root': CUT, 'importance': 0.9::DOUBLE})), list_transform(list_filter([action], lambda x: x <> ''), lambda t: {'root': CUT, 'importance': 1.0::DOUBLE}))".replace("CUT", _CUT)
+_SHARE = lambda a, b: f"len(list_intersect({a}, {b})) / greatest(len({a}), 1)"
+_G = lambda k: f"least(g_{k}, {routing.SIGNALS[k][1]})"
+_HITS = "(greatest(g_anchor, g_object, g_action, g_constraint) > 0 OR asked_hits > 0)"
+_HOLDS = (
+    "g_platform > 0 AND g_specific < 0.3 AND asked_hits = 0", "wrong", "NOT wrong AND has_expected AND len(types) = 0 AND asked_hits = 0 AND topic_hits = 0", "task_type <> 'compare' AND list_has_any(not_about_roots, list_concat(list_concat(o_roots, c_roots), y_roots))", f"g_common > 0 AND NOT {_HITS}",
+    f"greatest(g_course, g_domain, g_platform) > 0 AND NOT {_HITS} AND g_symptom = 0", "len(anchors) > 0 AND g_anchor = 0", "len(o_roots) > 0 AND g_object = 0", "g_object > 0 AND len(o_roots) >= 3 AND g_object < 0.4", "len(a_roots) > 0 AND g_action = 0 AND asked_hits = 0",
+    "len(c_roots) > 0 AND g_constraint = 0 AND task_type IN ('debug', 'setup')", "g_platform = 0 AND g_specific = 0 AND vector < 0.68",
+)
+_PENALTY_NAMES = ", ".join("CASE WHEN " + c + " THEN '" + n + "' END" for c, (n, _) in zip(_HOLDS, routing.PENALTIES) if n)
+_MEAN = "CASE WHEN (g_object > 0)::INT + (g_action > 0)::INT + (g_symptom > 0)::INT = 0 THEN 0 ELSE least((g_object + g_action + g_symptom) / ((g_object > 0)::INT + (g_action > 0)::INT + (g_symptom > 0)::INT), 1) END"
+_ROUTE_CTE = f"""{_EVIDENCE_CTE}, qx AS (SELECT question_id, qa.* EXCLUDE (question_id), list_transform(platform, lambda t: {_CUT}) AS platform_roots, {_FACET_SQL} AS facets, {_STEMS("keys")} AS keyword_roots, {_roots_sql("a.question")} AS needle_roots, {_STEMS("list_filter([coalesce(platform[1], a.exact[1], '')], lambda x: x <> '')")} AS domain_roots,
+        CASE WHEN coalesce(platform[1], a.exact[1], '') <> '' THEN 0.72 ELSE 0 END::DOUBLE AS domain_confidence FROM (SELECT * EXCLUDE (exact, question) FROM qa) qa JOIN (SELECT question_id, question, platform, exact, objects, action, keys FROM a) a USING (question_id)),
+    dx AS (SELECT doc_id AS document_id, {_roots_sql("text")} AS roots, {_roots_sql("split_part(text, chr(10), 1)")} AS title_roots, list_transform(string_split(text, chr(10))[1:30], lambda l: {_roots_sql("l")}) AS topics, CASE WHEN lang = 'en' THEN ['lesson_material'] WHEN lang = 'de' THEN ['student_case'] ELSE []::VARCHAR[] END AS types,
+        CASE WHEN lang = 'fr' THEN ['debug', 'explain'] ELSE ['setup'] END AS task_types, CASE WHEN doc_id % 10 = 0 THEN {_roots_sql("split_part(text, chr(10), 2)")} ELSE []::VARCHAR[] END AS not_about_roots, least(1.0::DOUBLE, n_chars / 1000.0::DOUBLE) AS quality, doc_id FROM documents),
+    r0 AS (SELECT t.score AS vector, dx.*, qx.*, [title_roots] AS asked, [lang_word] AS course_roots FROM top_docs t JOIN dx USING (document_id) JOIN qx USING (question_id), (SELECT 'englis' AS lang_word)),
+    r1 AS (SELECT *, ({_SHARE("o_roots", "roots")})::DOUBLE AS g_object, ({_SHARE("a_roots", "roots")})::DOUBLE AS g_action, ({_SHARE("y_roots", "roots")})::DOUBLE AS g_symptom, least(len(list_filter(asked, lambda x: list_has_any(x, needle_roots))), 6) AS asked_hits, least(len(list_filter(topics, lambda x: list_has_any(x, needle_roots))), 6) AS topic_hits,
+        list_filter(expected, lambda x: x <> 'unknown') AS ex FROM r0),
+    r2 AS (SELECT *, len(ex) > 0 AS has_expected, vector AS g_vector, len(list_intersect(platform_roots, roots))::DOUBLE AS g_platform, (len(list_filter(commons, lambda x: list_contains(roots, x.root))) > 0)::INT::DOUBLE AS g_common, coalesce(list_sum(list_transform(list_filter(facets, lambda x: list_contains(roots, x.root)), lambda x: x.importance)), 0)::DOUBLE AS g_specific,
+        ({_SQL_PARTS["anchor"].replace("text_roots", "roots")})::DOUBLE AS g_anchor, ({_SHARE("c_roots", "roots")})::DOUBLE AS g_constraint, CASE WHEN len(ex) > 0 AND len(list_intersect(ex, types)) > 0 THEN least(1.0::DOUBLE, len(list_intersect(ex, types)) / greatest(len(ex), 1) + 0.15::DOUBLE) ELSE 0 END::DOUBLE AS g_content_type,
+        0::DOUBLE AS g_course, CASE WHEN list_has_any(domain_roots, roots) THEN greatest(0.25, least(1.0, domain_confidence)) ELSE 0 END::DOUBLE AS g_domain, (CASE WHEN asked_hits > 0 THEN 1.0 ELSE {_MEAN} END)::DOUBLE AS g_action_object, asked_hits * 0.20::DOUBLE AS g_question, topic_hits * 0.10::DOUBLE AS g_topic,
+        CASE WHEN task_type <> 'general' AND list_contains(task_types, task_type) THEN 0.12 ELSE 0 END::DOUBLE AS g_task, ({_SHARE("keyword_roots", "roots")})::DOUBLE AS g_keyword, greatest(least(quality, 1.0::DOUBLE), 0) AS g_quality FROM r1),
+    r3 AS (SELECT *, has_expected AND len(types) > 0 AND g_content_type = 0 AS wrong FROM r2)"""
+
+
+@query(_match_sql(f", {_ROUTE_CTE} SELECT question_id, document_id, round(({' + '.join(f'{_G(k)} * {w}::DOUBLE' for k, (w, _) in routing.SIGNALS.items())}) {' '.join(f'* CASE WHEN {c} THEN {f}::DOUBLE ELSE 1 END' for c, (_, f) in zip(_HOLDS, routing.PENALTIES))} + {routing.EVEN}::DOUBLE, 4) AS route_score, array_to_string(list_filter([{_PENALTY_NAMES}], lambda x: x IS NOT NULL), ',') AS penalties, round(least({' + '.join(f'g_{k} * {w}::DOUBLE' for k, w in routing.ANSWERABLE.items())}, 1) + {routing.EVEN}::DOUBLE, 4) AS answerability FROM r3"))
+def route_documents(spark, sf_dir):
+    """Routed documents with their weighted signals, named penalties and how far they can answer."""
+    stems = lambda c: _stems(T.significant_terms(c))
+    q = corpus.questions(spark, sf_dir)
+    a = Q.analyze(q)
+    own = lambda c, w: F.transform(c, lambda t: F.struct(T.root(t).alias("root"), F.lit(w).alias("importance")))
+    more = a.select(
+        "question_id", F.transform("platform", T.root).alias("platform_roots"), F.concat(own("exact", 1.0), own("objects", 0.9), own(F.filter(F.array("action"), lambda x: x != ""), 1.0)).alias("facets"), _stems(Q.keywords(F.col("question"))).alias("keyword_roots"), stems(F.col("question")).alias("needle_roots"),
+        _stems(F.filter(F.array("domain"), lambda x: x != "")).alias("domain_roots"), "domain_confidence", F.array(F.lit("englis")).alias("course_roots"), F.lit(0.0).alias("course_confidence"),
+    )
+    none = F.array().cast("array<string>")
+    top = cut(retrieval_queries.top_documents(spark, sf_dir).select("question_id", "document_id", F.col("score").alias("vector")), "routed")
+    d = corpus.table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "document_id").join(R.small(top.select("document_id").distinct()), "document_id", "left_semi")
+    d = d.select(
+        "document_id", stems(F.col("text")).alias("roots"), stems(F.substring_index("text", "\n", 1)).alias("title_roots"), F.transform(F.slice(F.split("text", "\n"), 1, 30), stems).alias("topics"), F.when(F.col("lang") == "en", F.array(F.lit("lesson_material"))).when(F.col("lang") == "de", F.array(F.lit("student_case"))).otherwise(none).alias("types"),
+        F.when(F.col("lang") == "fr", F.array(F.lit("debug"), F.lit("explain"))).otherwise(F.array(F.lit("setup"))).alias("task_types"), F.when(F.col("document_id") % 10 == 0, stems(F.coalesce(F.get(F.split("text", "\n"), F.lit(1)), F.lit("")))).otherwise(none).alias("not_about_roots"), F.least(F.lit(1.0), F.col("n_chars") / 1000).alias("quality"),
+    ).withColumn("asked", F.array("title_roots"))
+    rows = top.join(d, "document_id").join(_asked(spark, sf_dir).join(more, "question_id"), "question_id")
+    return routing.route(rows).select("question_id", "document_id", "route_score", F.array_join("penalties", ",").alias("penalties"), "answerability")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkevidence.functions import text as T
-from sparkevidence.operators import chunking, routing
+from sparkevidence.operators import chunking
 from sparkevidence.plans import corpus, retrieval_queries
 from sparkevidence.plans.base import query
 from sparkevidence.plans.corpus import with_sql
@@ -51,30 +51,6 @@ def build_cards(spark, sf_dir):
     return chunking.card(d, chunking.split_sections(d)).select("document_id", "summary", "n_sections", F.size("topics").cast("long").alias("n_topics"), "quality")
 
 
-_ROUTE_SQL = " + ".join(f"{k}_s * {w}::DOUBLE" for k, w in routing.ROUTE_WEIGHTS.items())
-_PENALTY_SQL = " ".join(f"* CASE WHEN {n} THEN {f}::DOUBLE ELSE 1 END" for n, f in routing.ROUTE_PENALTIES)
-
-
-@query(_match_sql(f""", j AS (SELECT t.question_id, t.document_id, t.score, t.matched, d.lang, d.n_chars, len(list_intersect({_roots_sql("split_part(text, chr(10), 1)")}, {_roots_sql("question")})) AS in_title, len({_roots_sql("question")}) AS k
-    FROM top_docs t JOIN documents d ON d.doc_id = t.document_id JOIN questions USING (question_id)),
-    s AS (SELECT *, score AS object_s, least(matched / 3.0::DOUBLE, 1) AS anchor_s, CASE WHEN matched >= 2 THEN 1 ELSE 0 END AS action_s, round(in_title / greatest(k, 1), 6) AS title_s, CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS course_s, round(matched / greatest(k, 1), 6) AS keyword_s,
-    CASE WHEN n_chars > 500 THEN 1 ELSE 0 END AS quality_s, score < 0.15 AS common_only, matched < 2 AS missing_object, matched < 3 AS missing_anchor, in_title = 0 AS missing_action FROM j)
-    SELECT question_id, document_id, round(({_ROUTE_SQL}) {_PENALTY_SQL}, 4) AS route_score, array_to_string(list_filter([{", ".join(f"CASE WHEN {n} THEN '{n}' END" for n, _ in routing.ROUTE_PENALTIES)}], lambda x: x IS NOT NULL), ',') AS penalties FROM s"""))
-def route_documents(spark, sf_dir):
-    """Routed documents with their weighted signals and named penalties."""
-    top = retrieval_queries.top_documents(spark, sf_dir)
-    cut = lambda c: F.array_distinct(F.transform(T.significant_terms(c), T.root))
-    d = corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "lang", "n_chars", cut(F.element_at(F.split("text", "\n"), 1)).alias("t"))
-    q = corpus.questions(spark, sf_dir).select("question_id", cut(F.col("question")).alias("q"))
-    j = top.join(d, "document_id").join(q, "question_id").withColumns({"in_title": F.size(F.array_intersect("t", "q")), "k": F.size("q")})
-    flag = lambda c: F.when(c, 1).otherwise(0)
-    signals = {
-        "object": F.col("score"), "anchor": F.least(F.col("matched") / 3.0, F.lit(1)), "action": flag(F.col("matched") >= 2), "title": F.round(F.col("in_title") / F.greatest("k", F.lit(1)), 6),
-        "course": flag(F.col("lang") == "en"), "keyword": F.round(F.col("matched") / F.greatest("k", F.lit(1)), 6), "quality": flag(F.col("n_chars") > 500),
-    }
-    penalties = {"common_only": F.col("score") < 0.15, "missing_object": F.col("matched") < 2, "missing_anchor": F.col("matched") < 3, "missing_action": F.col("in_title") == 0}
-    score, names = routing.route_score(signals, penalties)
-    return j.select("question_id", "document_id", score.alias("route_score"), F.array_join(names, ",").alias("penalties"))
 
 
 @query(_match_sql(""", n AS (SELECT question_id, document_id, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, document_id) AS r FROM matches), t AS (SELECT question_id, document_id, r, source || ' - ' || lang AS label FROM n JOIN documents ON doc_id = document_id WHERE r <= 5),
