@@ -89,3 +89,45 @@ def discover_candidates(asked: DataFrame, known: DataFrame, results: DataFrame,
     wanted = unknown_services(asked, known).groupBy("name").agg(F.count(F.lit(1)).alias("questions"))
     good = results.where(screened).withColumn("_score", score).groupBy("name").agg(F.max(F.struct("_score", (-F.col("page_id")).alias("p"), "url")).alias("b"))
     return wanted.join(good, "name", "left").select("name", "questions", (-F.col("b.p")).alias("page_id"), "b.url")
+
+
+def verify_snapshot(snapshot: DataFrame, scopes: DataFrame, key: str = "document_key") -> DataFrame:
+    """(key, reasons) of a discovered snapshot (key, content_hash): keys outside the scopes (prefix, the part before the first slash), keys
+    that occur twice, hashes of a wrong size, keys that look like secrets."""
+    count = snapshot.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.max((F.length("content_hash") != 64).cast("int")).alias("_bad"))
+    rows = count.withColumn("prefix", F.substring_index(key, "/", 1)).join(scopes.select("prefix", F.lit(True).alias("_in")).distinct(), "prefix", "left")
+    why = reasons((F.col("_in").isNull(), "outside_scope"), (F.col("_n") > 1, "duplicate_key"), (F.coalesce("_bad", F.lit(1)) == 1, "bad_hash"), (T.contains_secret(F.col(key)), "secret_in_key"))
+    return rows.select(key, why.alias("reasons"))
+
+
+def archive_plan(missing: DataFrame, decisions: DataFrame, backup: DataFrame, active: DataFrame, key: str = "document_key") -> DataFrame:
+    """missing (key, content_hash) with reasons and ready: the owner has decided for archiving (key, decision, successor), the backup (key,
+    content_hash) holds the row as it is, and a named successor is active."""
+    d = decisions.select(key, "decision", "successor")
+    b = backup.select(key, F.col("content_hash").alias("_saved"))
+    live = active.select(F.col(key).alias("successor"), F.lit(True).alias("_live")).distinct()
+    rows = missing.join(d, key, "left").join(b, key, "left").join(live, "successor", "left")
+    why = reasons((F.coalesce("decision", F.lit("")) != "archive", "not_decided"), (F.col("_saved").isNull(), "no_backup"), (F.col("_saved") != F.col("content_hash"), "backup_out_of_date"), (F.col("successor").isNotNull() & F.col("_live").isNull(), "successor_not_active"))
+    return rows.select(key, "successor", why.alias("reasons"), (F.size(why) == 0).alias("ready"))
+
+
+def glossary_plan(reviewed: DataFrame, existing: DataFrame, item: str = "item") -> DataFrame:
+    """(item, term, action) of reviewed items (item, term, decision, edited): approved and edited ones are applied, unless their term is
+    sensitive, in the glossary already (term), or that of an earlier item."""
+    rows = reviewed.withColumn("_t", F.when(F.col("decision") == "edited", F.col("edited")).otherwise(F.col("term")))
+    taken = rows.where(F.col("decision").isin("approved", "edited")).groupBy(F.lower("_t").alias("_k")).agg(F.min(item).alias("_first"))
+    known = existing.select(F.lower("term").alias("_k"), F.lit(True).alias("_known")).distinct()
+    rows = rows.withColumn("_k", F.lower("_t")).join(taken, "_k", "left").join(known, "_k", "left")
+    action = (
+        F.when(~F.col("decision").isin("approved", "edited"), "not_approved").when(T.contains_secret(F.col("_t")) | F.col("_t").rlike("[0-9]{4,}"), "sensitive").when(F.col("_known"), "known").when(F.col(item) > F.col("_first"), "duplicate").otherwise("apply")
+    )
+    return rows.select(item, F.col("_t").alias("term"), action.alias("action"))
+
+
+def preview_states(candidates: DataFrame, pages: DataFrame, connected: DataFrame, least: int = 3) -> DataFrame:
+    """(domain, pages, short, state) of candidates (domain): already_connected, failed without pages, needs_review with fewer than `least`
+    or where a third of them says little, else ready. pages: (domain, chars); connected: (domain)."""
+    counts = pages.groupBy("domain").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("chars") < 500).alias("short"))
+    rows = candidates.select("domain").distinct().join(counts, "domain", "left").na.fill(0, ["pages", "short"]).join(connected.select("domain", F.lit(True).alias("_on")).distinct(), "domain", "left")
+    state = F.when(F.col("_on"), "already_connected").when(F.col("pages") == 0, "failed").when((F.col("pages") < least) | (F.col("short") * 3 > F.col("pages")), "needs_review").otherwise("ready")
+    return rows.select("domain", "pages", "short", state.alias("state"))

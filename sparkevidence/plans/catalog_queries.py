@@ -298,3 +298,48 @@ def discover_candidates(spark, sf_dir):
     low = F.lower("url")
     score = F.when(F.contains(low, F.lit("/en/")), 3).otherwise(0) - F.when(F.contains(low, F.lit("?")), 2).otherwise(0)
     return V.discover_candidates(p.select("name"), p.where("page_id % 4 = 0").select("name"), p.select("name", "page_id", "url"), low.startswith("https://"), score)
+
+
+@query(f"""WITH {_SNAPSHOTS}, twice AS (SELECT * FROM new UNION ALL SELECT * FROM new WHERE ends_with(document_key, '3')), g AS (SELECT document_key, count(*) AS n, max((length(content_hash) <> 64)::INT) AS bad FROM twice GROUP BY 1)
+    SELECT document_key, array_to_string({_WHY(("split_part(document_key, '/', 1) IN ('src7', 'src8')", "outside_scope"), ("n > 1", "duplicate_key"), ("bad = 1", "bad_hash"))}, ',') AS reasons FROM g""")
+def verify_snapshot(spark, sf_dir):
+    """A snapshot (here with some keys twice) against the scope of all sources but two."""
+    _, new = ingest_queries._snapshots(spark, sf_dir)
+    scopes = corpus.table(spark, sf_dir, "documents").where("source not in ('src7', 'src8')").select(F.col("source").alias("prefix")).distinct()
+    out = V.verify_snapshot(new.unionByName(new.where(F.col("document_key").endswith("3"))), scopes)
+    return out.withColumn("reasons", F.array_join("reasons", ","))
+
+
+_AR = [("coalesce(decision, '') <> 'archive'", "not_decided"), ("saved IS NULL", "no_backup"), ("saved <> content_hash", "backup_out_of_date"), ("successor IS NOT NULL AND live IS NULL", "successor_not_active")]
+
+
+@query(f"""WITH {_SNAPSHOTS}, m AS (SELECT old.*, split_part(document_key, '/', 2)::BIGINT AS i, split_part(document_key, '/', 1) AS s FROM old ANTI JOIN new USING (document_key)), d AS (SELECT *, CASE WHEN i % 5 = 0 THEN 'keep' ELSE 'archive' END AS decision, CASE WHEN i % 4 = 0 THEN s || '/' || (i + 20) END AS successor,
+    CASE WHEN i % 9 = 0 THEN NULL WHEN i % 8 = 0 THEN 'older' ELSE content_hash END AS saved FROM m), j AS (SELECT d.*, n.document_key AS live FROM d LEFT JOIN new n ON n.document_key = d.successor) SELECT document_key, successor, array_to_string({_WHY(*_AR)}, ',') AS reasons, len({_WHY(*_AR)}) = 0 AS ready FROM j""")
+def archive_plan(spark, sf_dir):
+    """Missing keys and what stands against archiving them, by the owner's decisions, the backup and what is active."""
+    old, new = ingest_queries._snapshots(spark, sf_dir)
+    missing = old.join(new.select("document_key"), "document_key", "left_anti")
+    i, s = F.substring_index("document_key", "/", -1).cast("long"), F.substring_index("document_key", "/", 1)
+    decisions = missing.select("document_key", F.when(i % 5 == 0, "keep").otherwise("archive").alias("decision"), F.when(i % 4 == 0, F.concat(s, F.lit("/"), (i + 20).cast("string"))).alias("successor"))
+    backup = missing.where(i % 9 != 0).select("document_key", F.when(i % 8 == 0, "older").otherwise(F.col("content_hash")).alias("content_hash"))
+    out = V.archive_plan(missing, decisions, backup, new)
+    return out.withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query("""WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9]+(?:[./][A-Za-z0-9]+)+'))) AS term FROM documents), r AS (SELECT doc_id || ':' || term AS item, term, CASE doc_id % 4 WHEN 0 THEN 'rejected' WHEN 1 THEN 'edited' ELSE 'approved' END AS decision, CASE WHEN doc_id % 4 = 1 THEN term || '_x' ELSE term END AS t FROM t),
+    k AS (SELECT DISTINCT lower(term) AS k FROM t WHERE doc_id % 6 = 0), f AS (SELECT lower(t) AS k, min(item) AS first FROM r WHERE decision <> 'rejected' GROUP BY 1)
+    SELECT item, t AS term, CASE WHEN decision = 'rejected' THEN 'not_approved' WHEN SECRET OR regexp_matches(t, '[0-9]{4,}') THEN 'sensitive' WHEN k.k IS NOT NULL THEN 'known' WHEN item > first THEN 'duplicate' ELSE 'apply' END AS action FROM r LEFT JOIN k ON k.k = lower(t) LEFT JOIN f ON f.k = lower(t)""".replace("SECRET", "(" + " OR ".join(f"regexp_matches(t, '{s}')" for s, _ in T.SECRETS) + ")"))
+def glossary_apply_plan(spark, sf_dir):
+    """Reviewed terms (here: dotted ones) and which are applied; terms of every sixth document are known already."""
+    i = F.col("doc_id")
+    t = corpus.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+(?:[./][A-Za-z0-9]+)++"), F.lit(0)))).alias("term"))
+    reviewed = t.select(F.concat_ws(":", i.cast("string"), "term").alias("item"), "term", F.when(i % 4 == 0, "rejected").when(i % 4 == 1, "edited").otherwise("approved").alias("decision"), F.concat("term", F.lit("_x")).alias("edited"))
+    return V.glossary_plan(reviewed, t.where(i % 6 == 0).select("term"))
+
+
+@query(f"""WITH p AS (SELECT page_id, regexp_replace({_HOST}, '^(www|m)[.]', '') AS domain, len(html) AS chars FROM pages), c AS (SELECT DISTINCT domain FROM p), n AS (SELECT domain, count(*) AS pages, count_if(chars < 500) AS short FROM p WHERE page_id % 5 <> 0 GROUP BY 1), o AS (SELECT DISTINCT domain FROM p WHERE page_id % 40 = 0)
+    SELECT c.domain, coalesce(pages, 0) AS pages, coalesce(short, 0) AS short, CASE WHEN o.domain IS NOT NULL THEN 'already_connected' WHEN coalesce(pages, 0) = 0 THEN 'failed' WHEN pages < 3 OR short * 3 > pages THEN 'needs_review' ELSE 'ready' END AS state FROM c LEFT JOIN n ON n.domain = c.domain LEFT JOIN o ON o.domain = c.domain""")
+def preview_queue(spark, sf_dir):
+    """Candidates' previews; every fifth page could not be read, domains of every fortieth are connected."""
+    p = corpus.table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(T.url_domain(F.col("url")), "^(www|m)[.]", "").alias("domain"), F.length("html").alias("chars"))
+    return V.preview_states(p, p.where("page_id % 5 <> 0"), p.where("page_id % 40 = 0"))

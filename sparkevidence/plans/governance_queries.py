@@ -82,12 +82,6 @@ def activation_gate(spark, sf_dir):
     return d.select("*", F.when(F.size(reasons) > 0, "FAIL").otherwise("PASS").alias("gate"), F.array_join(reasons, ",").alias("reasons"))
 
 
-@query(r"""SELECT host, count(*) AS pages, CASE WHEN host = '' THEN 'failed' WHEN count(*) >= 3 THEN 'ready' ELSE 'needs_review' END AS preview FROM (SELECT lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)) AS host FROM pages) GROUP BY host""")
-def preview_queue(spark, sf_dir):
-    p = corpus.table(spark, sf_dir, "pages").groupBy(T.url_domain(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("pages"))
-    return p.withColumn("preview", F.when(F.col("host") == "", "failed").when(F.col("pages") >= 3, "ready").otherwise("needs_review"))
-
-
 @query(r"""SELECT conv_id, count(*) AS answers, count_if(regexp_matches(text, '\{[^{}]*:[^{}]*\}')) AS raw_dumps, count_if(len(regexp_extract_all(text, '(?m)^[-*] ')) > 5) AS long_lists, count_if(len(text) < 20) AS fallbacks FROM conversations WHERE role = 'assistant' GROUP BY 1""")
 def evidence_log_warnings(spark, sf_dir):
     t, x = corpus.table(spark, sf_dir, "conversations").where("role = 'assistant'"), F.col("text")

@@ -126,13 +126,6 @@ def source_scope(spark, sf_dir):
     return s.withColumn("scope", F.when(F.col("sources") == 1, "ok").when(F.col("sources") > 1, "several_sources").otherwise("none"))
 
 
-@query(f"""WITH {_SNAPSHOTS} SELECT document_key, array_to_string(list_filter([CASE WHEN NOT regexp_matches(document_key, '^src[0-9]+/') THEN 'outside_scope' END, CASE WHEN length(content_hash) <> 64 THEN 'bad_hash' END, CASE WHEN ends_with(document_key, '13') THEN 'reserved' END], lambda x: x IS NOT NULL), ',') AS violations FROM new""")
-def verify_snapshot(spark, sf_dir):
-    _, new = ingest_queries._snapshots(spark, sf_dir)
-    v = F.array_compact(F.array(F.when(~F.col("document_key").rlike("^src[0-9]+/"), "outside_scope"), F.when(F.length("content_hash") != 64, "bad_hash"), F.when(F.col("document_key").endswith("13"), "reserved")))
-    return new.select("document_key", F.array_join(v, ",").alias("violations"))
-
-
 @query(f"""WITH {_SNAPSHOTS}, c AS (SELECT document_key, CASE WHEN old.content_hash IS NULL THEN 'added' WHEN new.content_hash IS NULL THEN 'missing' WHEN old.content_hash = new.content_hash THEN 'unchanged' ELSE 'changed' END AS class FROM old FULL JOIN new USING (document_key))
     SELECT split_part(document_key, '/', 1) AS source, count(*) AS n_keys, count_if(class = 'missing') AS missing, count_if(class = 'changed') AS changed, CASE WHEN count_if(class = 'missing') * 4 > count(*) THEN 'blocked' WHEN count_if(class = 'missing') > 0 THEN 'needs_review' ELSE 'ready' END AS readiness FROM c GROUP BY 1""")
 def reprocessing_plan(spark, sf_dir):
@@ -141,30 +134,6 @@ def reprocessing_plan(spark, sf_dir):
     return c.withColumn("readiness", F.when(F.col("missing") * 4 > F.col("n_keys"), "blocked").when(F.col("missing") > 0, "needs_review").otherwise("ready"))
 
 
-@query(f"""WITH {_SNAPSHOTS}, m AS (SELECT old.document_key, old.content_hash FROM old ANTI JOIN new USING (document_key)), b AS (SELECT document_key FROM old WHERE NOT ends_with(document_key, '7'))
-    SELECT m.document_key, b.document_key IS NOT NULL AS in_backup, EXISTS (SELECT 1 FROM new WHERE new.content_hash = m.content_hash) AS has_successor, CASE WHEN b.document_key IS NULL THEN 'no_backup' ELSE 'archive' END AS decision FROM m LEFT JOIN b USING (document_key)""")
-def archive_plan(spark, sf_dir):
-    """Missing keys with the guards of their archiving: a backup row, and whether the same content lives on elsewhere."""
-    old, new = ingest_queries._snapshots(spark, sf_dir)
-    missing = old.join(new.select("document_key"), "document_key", "left_anti")
-    backup = old.where(~F.col("document_key").endswith("7")).select("document_key", F.lit(True).alias("in_backup"))
-    lives = new.select("content_hash", F.lit(True).alias("has_successor")).distinct()
-    out = missing.join(backup, "document_key", "left").join(lives, "content_hash", "left").na.fill(False, ["in_backup", "has_successor"])
-    return out.select("document_key", "in_backup", "has_successor", F.when(~F.col("in_backup"), "no_backup").otherwise("archive").alias("decision"))
-
-
-@query(r"""WITH t AS (SELECT source, doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9]+(?:[./][A-Za-z0-9]+)+'))) AS term FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY lower(term) ORDER BY doc_id, source) AS k, doc_id % 3 = 0 AS approved, regexp_matches(term, '[0-9]{4,}') AS sensitive FROM t)
-    SELECT doc_id, term, CASE WHEN NOT approved THEN 'not_approved' WHEN sensitive THEN 'sensitive' WHEN k > 1 THEN 'duplicate' ELSE 'apply' END AS action FROM r""")
-def glossary_apply_plan(spark, sf_dir):
-    """Which reviewed terms are applied: approved ones, no sensitive ones, each once."""
-    t = corpus.table(spark, sf_dir, "documents").select("source", "doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+(?:[./][A-Za-z0-9]+)++"), F.lit(0)))).alias("term"))
-    first = t.groupBy(F.lower("term").alias("key")).agg(F.min(F.struct("doc_id", "source", "term")).alias("f"))
-    out = t.join(first, F.lower("term") == F.col("key"))
-    again = (F.col("doc_id") != F.col("f.doc_id")) | (F.col("term") != F.col("f.term"))
-    action = F.when(F.col("doc_id") % 3 != 0, "not_approved").when(F.col("term").rlike("[0-9]{4,}"), "sensitive").when(again, "duplicate").otherwise("apply")
-    return out.select("doc_id", "term", action.alias("action"))
-
-
 @query(f"""WITH p AS (SELECT page_id, {_HOST} AS host FROM pages), n AS (SELECT host, count(*) AS n FROM p GROUP BY 1) SELECT page_id, host FROM p JOIN n USING (host) WHERE n = 1 ORDER BY page_id DESC LIMIT 50""")
 def pending_suggestions(spark, sf_dir):
     """The 50 newest suggestions whose host has no other, a top-k report."""
