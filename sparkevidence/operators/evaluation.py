@@ -114,9 +114,21 @@ def compare_runs(before: DataFrame, after: DataFrame, drop: float = 0.5) -> Data
     return both.select("case_id", F.explode(F.array_compact(F.array(*[F.when(c, n) for c, n in found]))).alias("regression"))
 
 
-def retrieval_metrics(expected: DataFrame, ranked: DataFrame) -> DataFrame:
-    """One row of top-1 and top-3 accuracy, recall at 5 and mean reciprocal rank. expected (question_id, document_id) may have several
-    right documents a question; ranked has (question_id, document_id, rank)."""
-    hits = expected.join(ranked, ["question_id", "document_id"], "left").groupBy("question_id").agg(F.min("rank").alias("rank"))
+def retrieval_metrics(expected: DataFrame, ranked: DataFrame, packed: DataFrame, modes: DataFrame, forbidden: DataFrame, questions: DataFrame, key: str = "question_id") -> DataFrame:
+    """One row over all questions (key, expected_mode): top-1 and top-3 accuracy, recall at 5 and mean reciprocal rank of questions with
+    right documents, precision of the packs, share of packs with a forbidden document, accuracy of modes and mean size of packs.
+
+    expected and forbidden: (key, document_id), several a question; ranked: (key, document_id, rank); packed: (key, document_id), a row a
+    chunk; modes: (key, answer_mode).
+    """
     share = lambda c: F.round(F.avg(F.coalesce(c.cast("double"), F.lit(0.0))), 6)
-    return hits.agg(F.count(F.lit(1)).alias("questions"), share(F.col("rank") <= 1).alias("top1"), share(F.col("rank") <= 3).alias("top3"), share(F.col("rank") <= 5).alias("recall5"), share(1 / F.col("rank")).alias("mrr"))
+    hits = expected.join(ranked, [key, "document_id"], "left").groupBy(key).agg(F.min("rank").alias("rank"), F.lit(True).alias("_wanted"))
+    right, wrong = (x.select(key, "document_id", F.lit(1).alias(n)).distinct() for x, n in ((expected, "_right"), (forbidden, "_wrong")))
+    packs = packed.join(right, [key, "document_id"], "left").join(wrong, [key, "document_id"], "left").groupBy(key).agg(F.count(F.lit(1)).alias("_size"), F.count("_right").alias("_good"), F.count("_wrong").alias("_bad"))
+    rows = questions.join(hits, key, "left").join(packs, key, "left").join(modes.select(key, "answer_mode"), key, "left")
+    of_wanted = lambda c: F.when(F.col("_wanted"), F.coalesce(c.cast("double"), F.lit(0.0)))
+    mean = lambda c: F.round(F.avg(c), 6)
+    return rows.agg(
+        F.count(F.lit(1)).alias("questions"), F.count("_wanted").alias("with_documents"), mean(of_wanted(F.col("rank") <= 1)).alias("top1"), mean(of_wanted(F.col("rank") <= 3)).alias("top3"), mean(of_wanted(F.col("rank") <= 5)).alias("recall5"), mean(of_wanted(1 / F.col("rank"))).alias("mrr"),
+        mean(F.when(F.col("_wanted") & (F.col("_size") > 0), F.col("_good") / F.col("_size"))).alias("evidence_precision"), share(F.col("_bad") > 0).alias("forbidden_leakage"), share(F.col("answer_mode") == F.col("expected_mode")).alias("mode_accuracy"), share(F.col("_size")).alias("mean_pack_size"),
+    )

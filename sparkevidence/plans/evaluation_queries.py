@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkevidence.operators import evaluation as E
-from sparkevidence.plans import corpus, retrieval_queries
+from sparkevidence.operators import evidence as V
+from sparkevidence.plans import corpus, evidence_queries, retrieval_queries
 from sparkevidence.plans.base import query
+from sparkevidence.plans.evidence_queries import _MODE_CTE
 from sparkevidence.plans.retrieval_queries import _match_sql
+from sparkevidence.sources.cuts import cut
 
 _EXPECTED = "expected AS (SELECT DISTINCT question_id, doc_id AS document_id FROM questions JOIN documents ON contains(text, question))"
 
@@ -19,12 +22,6 @@ def _expected(spark, sf_dir):
     return full.join(d, "document_id").join(corpus.questions(spark, sf_dir), "question_id").where(F.contains("text", "question")).select("question_id", "document_id").distinct()
 
 
-@query(_match_sql(f""", {_EXPECTED}, h AS (SELECT question_id, min(rank) AS rank FROM expected LEFT JOIN top_docs USING (question_id, document_id) GROUP BY 1)
-    SELECT count(*) AS questions, round(avg(coalesce((rank <= 1)::INT, 0)), 6) AS top1, round(avg(coalesce((rank <= 3)::INT, 0)), 6) AS top3, round(avg(coalesce((rank <= 5)::INT, 0)), 6) AS recall5, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr FROM h"""))
-def retrieval_metrics(spark, sf_dir):
-    return E.retrieval_metrics(_expected(spark, sf_dir), retrieval_queries.top_documents(spark, sf_dir))
-
-
 @query(_match_sql(f", {_EXPECTED} SELECT question_id, document_id, rank IS NOT NULL AS found, rank FROM expected LEFT JOIN top_docs USING (question_id, document_id)"))
 def synthetic_case_results(spark, sf_dir):
     top = retrieval_queries.top_documents(spark, sf_dir).select("question_id", "document_id", "rank")
@@ -111,3 +108,20 @@ def evidence_term_groups(spark, sf_dir):
     d = corpus.table(spark, sf_dir, "documents")
     groups = F.array(F.array(F.lit("the"), F.lit("und"), F.lit("de")), F.array(F.lit("license"), F.lit("en"), F.lit("er")))
     return d.select("doc_id", F.size(groups).alias("n_groups"), F.forall(groups, lambda g: F.exists(g, lambda w: F.contains(F.lower("text"), w))).alias("satisfied"))
+
+
+@query(_match_sql(f""", {_MODE_CTE}, {_EXPECTED}, h AS (SELECT e.question_id, min(rank) AS rank FROM expected e LEFT JOIN top_docs t ON t.question_id = e.question_id AND t.document_id = e.document_id GROUP BY 1),
+    pk AS (SELECT p.question_id, count(*) AS size, count(e.document_id) AS good, count_if(p.document_id % 100 = 99) AS bad FROM packed p LEFT JOIN expected e ON e.question_id = p.question_id AND e.document_id = p.document_id GROUP BY 1),
+    r AS (SELECT q.question_id, h.question_id IS NOT NULL AS wanted, rank, size, good, bad, answer_mode = CASE WHEN h.question_id IS NULL THEN 'out_of_base' ELSE 'answer_from_materials' END AS mode_ok FROM questions q LEFT JOIN h ON h.question_id = q.question_id LEFT JOIN pk ON pk.question_id = q.question_id LEFT JOIN modes m ON m.question_id = q.question_id)
+    SELECT count(*) AS questions, count_if(wanted) AS with_documents, round(avg(CASE WHEN wanted THEN coalesce((rank <= 1)::INT, 0) END), 6) AS top1, round(avg(CASE WHEN wanted THEN coalesce((rank <= 3)::INT, 0) END), 6) AS top3, round(avg(CASE WHEN wanted THEN coalesce((rank <= 5)::INT, 0) END), 6) AS recall5, round(avg(CASE WHEN wanted THEN coalesce(1.0::DOUBLE / rank, 0) END), 6) AS mrr,
+    round(avg(CASE WHEN wanted AND size > 0 THEN good / size END), 6) AS evidence_precision, round(avg(coalesce((bad > 0)::INT, 0)), 6) AS forbidden_leakage, round(avg(coalesce(mode_ok::INT, 0)), 6) AS mode_accuracy, round(avg(coalesce(size, 0)), 6) AS mean_pack_size FROM r"""))
+def retrieval_metrics(spark, sf_dir):
+    """Passages as questions: the documents that hold one are right, every hundredth is forbidden, and passages of none are out of base."""
+    expected = cut(_expected(spark, sf_dir), "expected")
+    packed = evidence_queries._packed(spark, sf_dir)
+    modes = V.answer_modes(evidence_queries._asked(spark, sf_dir), packed)
+    packed = packed.select("question_id", "id.document_id")
+    forbidden = packed.where("document_id % 100 = 99").distinct()
+    wanted = expected.select("question_id", F.lit(True).alias("w")).distinct()
+    questions = corpus.questions(spark, sf_dir).select("question_id").join(wanted, "question_id", "left").select("question_id", F.when(F.col("w"), "answer_from_materials").otherwise("out_of_base").alias("expected_mode"))
+    return E.retrieval_metrics(expected, retrieval_queries.top_documents(spark, sf_dir).select("question_id", "document_id", "rank"), packed, modes, forbidden, questions)
