@@ -20,8 +20,9 @@ from sparkevidence.llm.shared import saved, small_batches, text_or_empty
 RATE, FRAME, HOP = 8000, 128, 64
 #: Frames that a code looks at, codes between a landmark's two, codes among which one landmark is kept.
 REACH, APART, KEEP = 4, 1, 4
-#: Frames that are transformed at once.
-BLOCK = 1 << 14
+#: Frames that are transformed, and samples that are fingerprinted at once (or one longer recording).
+BLOCK = 1 << 13
+SAMPLES = 1 << 20
 
 
 def _le32(n: Column) -> Column:
@@ -36,21 +37,35 @@ def as_wav(data: Column, rate: int = RATE) -> Column:
     return F.concat(*head, data)
 
 
-def samples(wav: bytes) -> np.ndarray:
-    """Mono samples in [-1, 1] of a PCM WAV file (8 or 16 bits); none if it is not one."""
+def samples(wav: bytes, rate: int = RATE) -> np.ndarray:
+    """Mono samples in [-1, 1] of a PCM WAV file (8, 16, 24 or 32 bits), brought to `rate` by linear interpolation; none if it is not
+    one."""
+    none = np.zeros(0, np.float32)
     if len(wav) < 44 or wav[:4] != b"RIFF" or wav[8:12] != b"WAVE":
-        return np.zeros(0, np.float32)
-    at, channels, bits = 12, 1, 8
+        return none
+    at, channels, bits, own = 12, 1, 8, rate
     while at + 8 <= len(wav):
         name, size = wav[at : at + 4], int.from_bytes(wav[at + 4 : at + 8], "little")
         if name == b"fmt ":
-            channels, bits = int.from_bytes(wav[at + 10 : at + 12], "little"), int.from_bytes(wav[at + 22 : at + 24], "little")
+            kind, channels = int.from_bytes(wav[at + 8 : at + 10], "little"), int.from_bytes(wav[at + 10 : at + 12], "little")
+            own, bits = int.from_bytes(wav[at + 12 : at + 16], "little"), int.from_bytes(wav[at + 22 : at + 24], "little")
+            if kind not in (1, 0xFFFE) or bits not in (8, 16, 24, 32) or not channels or not own:
+                return none
         if name == b"data":
-            body = wav[at + 8 : at + 8 + size]
-            x = np.frombuffer(body, np.uint8).astype(np.float32) / 128 - 1 if bits == 8 else np.frombuffer(body[: len(body) // 2 * 2], "<i2").astype(np.float32) / 32768
-            return x[: len(x) // channels * channels].reshape(-1, channels).mean(1) if channels > 1 else x
+            width = bits // 8
+            body = np.frombuffer(wav, np.uint8, min(size, len(wav) - at - 8) // (width * channels) * width * channels, at + 8)
+            if bits == 8:
+                x = body.astype(np.float32) / 128 - 1
+            else:
+                wide = np.zeros((len(body) // width, 4), np.uint8)
+                wide[:, 4 - width :] = body.reshape(-1, width)
+                x = (wide.view("<i4").ravel() / float(1 << 31)).astype(np.float32)
+            x = x.reshape(-1, channels).mean(1) if channels > 1 else x
+            if own != rate and len(x):
+                x = np.interp(np.arange(int(len(x) * rate / own)) * (own / rate), np.arange(len(x)), x).astype(np.float32)
+            return x
         at += 8 + size + size % 2
-    return np.zeros(0, np.float32)
+    return none
 
 
 def _pitch_classes(rate: int) -> np.ndarray:
@@ -63,20 +78,27 @@ def _pitch_classes(rate: int) -> np.ndarray:
 
 _WINDOW = np.hanning(FRAME).astype(np.float32)
 _CLASSES = _pitch_classes(RATE)
-
-
-def chroma_frames(x: np.ndarray) -> np.ndarray:
-    """Unit vectors of energy by pitch class; short recordings are followed by silence up to one landmark."""
-    least = FRAME + HOP * (REACH + APART - 1)
-    if len(x) < least:
-        x = np.concatenate((x, np.zeros(least - len(x), np.float32)))
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
-    parts = []
-    for a in range(0, len(frames), BLOCK):
-        s = np.fft.rfft(frames[a : a + BLOCK] * _WINDOW, axis=1)
-        parts.append((s.real**2 + s.imag**2).astype(np.float32) @ _CLASSES)
-    c = np.sqrt(np.concatenate(parts))
-    return c / np.maximum(np.sqrt((c * c).sum(1, keepdims=True)), 1e-6)
+#: A frame's unit vector is kept in whole parts, so that sums over any stretch of frames are exact.
+SCALE = 1 << 16
+_LEAST = FRAME + HOP * (REACH + APART - 1)
+
+
+def chroma_frames(recordings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of energy by pitch class (12 rows, a column for each frame) of all recordings, one after the other, and where each
+    one's frames start (one more for the end); short recordings are followed by silence up to one landmark."""
+    full = [np.concatenate((x, np.zeros(_LEAST - len(x), np.float32))) if len(x) < _LEAST else x for x in recordings]
+    size = np.array([len(x) for x in full])
+    many = (size - FRAME) // HOP + 1
+    first = np.concatenate(([0], np.cumsum(many)))
+    starts = np.repeat(np.cumsum(size) - size - HOP * first[:-1], many) + HOP * np.arange(first[-1])
+    view = np.lib.stride_tricks.sliding_window_view(np.concatenate(full), FRAME)
+    out = np.empty((12, first[-1]), np.int64)
+    for a in range(0, len(starts), BLOCK):
+        s = np.fft.rfft(view[starts[a : a + BLOCK]] * _WINDOW, axis=1)
+        c = np.sqrt((s.real**2 + s.imag**2) @ _CLASSES)
+        c /= np.maximum(np.sqrt((c * c).sum(1, keepdims=True)), 1e-6)
+        out[:, a : a + BLOCK] = np.rint(c.T * SCALE)
+    return out, first
 
 
 def _filters() -> list[tuple[int, int, int, int]]:
@@ -89,13 +111,12 @@ _FILTERS = _filters()
 
 def codes(frames: np.ndarray) -> np.ndarray:
     """One 32-bit integer for each run of REACH frames."""
-    image = np.zeros((len(frames) + 1, 13), np.float64)
-    image[1:, 1:] = frames.cumsum(0, dtype=np.float64).cumsum(1)
-    n = len(frames) - REACH + 1
-    t = np.arange(n)
+    image = np.zeros((13, frames.shape[1] + 1), np.int64)
+    image[1:, 1:] = frames.cumsum(0).cumsum(1)
+    n = frames.shape[1] - REACH + 1
 
     def box(a: int, b: int, lo: int, hi: int) -> np.ndarray:
-        return image[t + b, hi] - image[t + a, hi] - image[t + b, lo] + image[t + a, lo]
+        return image[hi, b : b + n] - image[hi, a : a + n] - image[lo, b : b + n] + image[lo, a : a + n]
 
     out = np.zeros(n, np.uint32)
     for kind, lo, h, w in _FILTERS:
@@ -106,44 +127,58 @@ def codes(frames: np.ndarray) -> np.ndarray:
             v = box(0, w, lo, m) - box(0, w, m, lo + h)
         else:
             v = box(0, half, lo, m) + box(half, w, m, lo + h) - box(0, half, m, lo + h) - box(half, w, lo, m)
-        v = v / (h * w)
-        level = (v > -0.02).astype(np.uint32) + (v > 0) + (v > 0.02)
+        edge = SCALE * h * w // 50
+        level = (v > -edge).astype(np.uint32) + (v > 0) + (v > edge)
         out = (out << np.uint32(2)) | (level ^ (level >> np.uint32(1)))  # neighbours differ in one bit
     return out
 
 
-def landmarks(c: np.ndarray, sounding: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of thinned code pairs: of each KEEP consecutive ones the least stays, each hash at its first place. Pairs that
-    start after the last sample are silence, alike in all short recordings, and no landmarks."""
+def landmarks(c: np.ndarray, first: np.ndarray, sounding: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, hash and place of thinned code pairs of some recordings, whose codes start at first: of each KEEP consecutive pairs the
+    least stays, each hash at its first place. Pairs that start after the last sample are silence, alike in all short recordings, and
+    no landmarks."""
+    size = np.diff(first)
+    many = np.minimum(size - APART, np.maximum(1, -(-sounding // HOP)))
+    at = np.concatenate(([0], np.cumsum(many)))
+    row = np.repeat(np.arange(len(many)), many)
+    place = np.arange(at[-1]) - at[row]
+    i = first[row] + place
     with np.errstate(over="ignore"):
-        h = mix(c[:-APART].astype(U) * U(BASE) + c[APART:].astype(U) * U(BASE2))[: max(1, -(-sounding // HOP))]
-    if len(h) > KEEP:
-        view = np.lib.stride_tricks.sliding_window_view(h, KEEP)
-        at = np.unique(np.argmin(view, 1) + np.arange(len(view)))
-    else:
-        at = np.array([int(np.argmin(h))])
-    hashes, first = np.unique(h[at], return_index=True)
-    return hashes.view(np.int64), at[first]
+        h = mix(c[i].astype(U) * U(BASE) + c[i + APART].astype(U) * U(BASE2))
+    # Each window of KEEP pairs, shorter at the end of a recording with fewer.
+    padded = np.concatenate((h, np.full(KEEP - 1, ~U(0), U)))
+    view = np.lib.stride_tricks.sliding_window_view(padded, KEEP)
+    inside = place[:, None] + np.arange(KEEP) < many[row][:, None]
+    least = np.where(inside, view, ~U(0)).argmin(1) + np.arange(len(h))
+    whole = (place + KEEP <= many[row]) | ((place == 0) & (many[row] < KEEP))
+    kept = np.unique(least[whole])
+    row, h, place = row[kept], h[kept], place[kept]
+    order = np.lexsort((place, h, row))
+    row, h, place = row[order], h[order], place[order]
+    new = np.concatenate(([True], (row[1:] != row[:-1]) | (h[1:] != h[:-1]))) if len(h) else np.zeros(0, bool)
+    return row[new], h[new].view(np.int64), place[new]
 
 
 _MARK = pa.struct([("h", pa.int64()), ("at", pa.int32())])
 
 
-def _printed(rows: list[tuple[int | None, int, np.ndarray, int]], doc_type: pa.DataType) -> pa.RecordBatch:
-    """rows: (doc_id, phase, codes, samples)."""
-    marks = [landmarks(c, n) for _, _, c, n in rows]
-    sums = []
+def _printed(rows: list[tuple[int | None, int, np.ndarray]]) -> pa.RecordBatch:
+    """rows: (doc_id, phase, samples)."""
+    frames, first = chroma_frames([x for _, _, x in rows])
+    every = codes(frames)
+    size = np.diff(first) - REACH + 1
+    at = np.concatenate(([0], np.cumsum(size)))
+    row = np.repeat(np.arange(len(rows)), size)
+    c = every[np.arange(at[-1]) - at[row] + first[row]]
+    place = (np.arange(at[-1]) - at[row] + 1).astype(U)
     with np.errstate(over="ignore"):
-        for _, _, c, _ in rows:
-            place = np.arange(1, len(c) + 1, dtype=U)
-            sums.append((int(np.add.reduce(mix(c.astype(U) + place * U(BASE))).view(np.int64)), int(np.add.reduce(mix(c.astype(U) ^ (place * U(BASE2)))).view(np.int64))))
-    size = lambda lists: np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
-    pairs = pa.StructArray.from_arrays([pa.array(np.concatenate([h for h, _ in marks])), pa.array(np.concatenate([at for _, at in marks]).astype(np.int32))], fields=list(_MARK))
+        s1, s2 = (np.add.reduceat(x, at[:-1]).view(np.int64) for x in (mix(c.astype(U) + place * U(BASE)), mix(c.astype(U) ^ (place * U(BASE2)))))
+    own, h, where = landmarks(c, at, np.array([len(x) for _, _, x in rows]))
+    pairs = pa.StructArray.from_arrays([pa.array(h), pa.array(where.astype(np.int32))], fields=list(_MARK))
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([r[0] for r in rows], doc_type), pa.array([r[1] for r in rows], pa.int32()),
-            pa.ListArray.from_arrays(size([r[2] for r in rows]), pa.array(np.concatenate([r[2] for r in rows]).view(np.int32))),
-            pa.ListArray.from_arrays(size([h for h, _ in marks]), pairs), pa.array([x for x, _ in sums], pa.int64()), pa.array([x for _, x in sums], pa.int64()),
+            pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.ListArray.from_arrays(at.astype(np.int32), pa.array(c.view(np.int32))),
+            pa.ListArray.from_arrays(np.searchsorted(own, np.arange(len(rows) + 1)).astype(np.int32), pairs), pa.array(s1), pa.array(s2),
         ],
         names=["doc_id", "phase", "codes", "marks", "s1", "s2"],
     )
@@ -158,34 +193,43 @@ def _fingerprinted(phases: int):
                 for p in range(0, HOP, HOP // phases):
                     if p and len(x) - p < FRAME:
                         break
-                    held.append((doc_id, p, codes(chroma_frames(x[p:])), len(x) - p))
-                    size += len(held[-1][2])
-                    if size > 200_000 or len(held) >= 512:
-                        yield _printed(held, pa.int64())
+                    held.append((doc_id, p, x[p:]))
+                    size += max(len(x) - p, _LEAST)
+                    if size > SAMPLES:
+                        yield _printed(held)
                         held, size = [], 0
             if held:
-                yield _printed(held, pa.int64())
+                yield _printed(held)
 
     return run
 
 
 def fingerprints(media: DataFrame, phases: int = 1) -> DataFrame:
     """(doc_id, phase, codes array<int>, marks array<struct<h,at>>, s1, s2) for each row of media (doc_id, wav) and each phase, the
-    samples left out at the start. A null or broken file is silence; s1 and s2 are equal for equal codes."""
+    samples left out at the start. Files of other sample rates are brought to RATE. A null, empty or broken file, or one that is not
+    PCM, is silence of one landmark; a null doc_id stays; repeated rows give equal rows, an empty table an empty result; other columns
+    of media are not looked at. s1 and s2 are equal for equal codes."""
     small_batches(media.sparkSession)
     kind = "doc_id long, phase int, codes array<int>, marks array<struct<h:long,at:int>>, s1 long, s2 long"
     return media.select("doc_id", "wav").mapInArrow(_fingerprinted(phases), kind)
 
 
-def search(media: DataFrame, every: int = 50, error: float = 0.35) -> DataFrame:
+#: A match has landmarks in common for at least one in so many codes of the overlap (there is one to every two or three).
+FEWEST = 25
+
+
+def search(media: DataFrame, every: int = 50, error: float = 0.25) -> DataFrame:
     """One row for each recording of media (doc_id, wav) whose doc_id is divisible by `every`, searched among all others:
     (doc_id, n_codes, class_id, n_copies, n_matches, best_id, best_offset, best_votes, best_error).
 
     Recordings with equal codes are one class, known by its least doc_id; n_copies counts the others in it. One of a class's queries
     is fingerprinted at every phase of the hop, so that a copy that starts between two frames is found too. A match is another class
-    that shares a landmark, aligned at the offset (in samples) with most votes, the least on ties, at which at most `error` of the
-    bits of the overlapping codes differ; best is the match with the fewest errors (then most votes, least id). Rows with a null
-    doc_id are no queries and are not found; rows that repeat a doc_id count as copies. Empty tables give an empty result.
+    that shares landmarks, one to FEWEST codes of the overlap at least and one in any case, aligned at the offset (in samples) with most
+    votes, the least on ties, at which at most `error` of the
+    bits of the overlapping codes differ (recordings that have nothing in common differ in about 0.34 of theirs, in 0.29 at their best
+    offset); best is the match with the fewest errors (then most votes, least id). Rows with a null doc_id are no queries and are not
+    found; rows that repeat a doc_id count as copies, as do all null, empty or broken files among themselves. Recordings of any length
+    are searched whole. Empty tables give an empty result.
     """
     prints = saved(fingerprints(media.where("doc_id is not null")).withColumn("n_codes", F.size("codes")), "prints")
     asking = F.pmod("doc_id", F.lit(every)) == 0
@@ -194,12 +238,15 @@ def search(media: DataFrame, every: int = 50, error: float = 0.35) -> DataFrame:
     leads = classes.select(F.col("class_id").alias("doc_id"), "s1", "s2")
     led = lambda *columns: prints.select("doc_id", "s1", "s2", *columns).join(leads, ["doc_id", "s1", "s2"]).withColumnRenamed("doc_id", "r")
     askers = classes.where("asker is not null").select(F.col("asker").alias("doc_id"), F.col("class_id").alias("own"))
-    queries = fingerprints(media.where(asking).join(askers.select("doc_id"), "doc_id", "left_semi"), HOP).join(askers, "doc_id")
+    # A query takes HOP times as long as another recording, so queries are dealt out by number and not by bytes.
+    asked = media.where(asking).join(askers.select("doc_id"), "doc_id", "left_semi").repartition(int(media.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    queries = fingerprints(asked, HOP).join(askers, "doc_id")
     queries = saved(queries.select(F.col("doc_id").alias("q"), "own", "phase", "codes", "marks"), "queries")
-    all_marks = led("marks").select("r", F.explode("marks").alias("m")).select("r", "m.h", F.col("m.at").alias("r_at"))
-    asked = queries.select("q", "own", "phase", F.explode("marks").alias("m")).select("q", "own", "phase", F.col("m.h").alias("h"), F.col("m.at").alias("q_at"))
-    offset = (F.col("r_at") - F.col("q_at")) * HOP - F.col("phase")
-    votes = asked.join(all_marks, "h").where("own <> r").groupBy("q", "r", offset.alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
+    all_marks = led("marks", "n_codes").select("r", "n_codes", F.explode("marks").alias("m")).select("r", F.col("n_codes").alias("r_n"), "m.h", F.col("m.at").alias("r_at"))
+    asked = queries.select("q", "own", "phase", F.size("codes").alias("q_n"), F.explode("marks").alias("m")).select("q", "own", "phase", "q_n", F.col("m.h").alias("h"), F.col("m.at").alias("q_at"))
+    step = F.col("r_at") - F.col("q_at")
+    overlap = F.least("q_n", F.col("r_n") - step) - F.greatest(-step, F.lit(0))
+    votes = asked.join(all_marks, "h").where("own <> r").groupBy("q", "r", (step * HOP - F.col("phase")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"), F.first(overlap).alias("n")).where(F.col("votes") * FEWEST >= F.col("n"))
     best = votes.groupBy("q", "r").agg(F.max(F.struct("votes", (-F.col("offset")).alias("o"))).alias("b")).select("q", "r", F.col("b.votes").alias("votes"), (-F.col("b.o")).alias("offset"))
     best = best.withColumn("phase", F.pmod(-F.col("offset"), F.lit(HOP)).cast("int"))
     pairs = best.join(queries.select("q", "phase", F.col("codes").alias("q_codes")), ["q", "phase"]).join(led("codes").select("r", "s1", "s2", F.col("codes").alias("r_codes")).dropDuplicates(["r", "s1", "s2"]), "r")
