@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -19,6 +20,8 @@ DROPOUT = 0.1
 SEED = 17
 #: Chunks that a worker keeps at hand as cut without a skip.
 KEPT_CHUNKS = 600_000
+#: Characters from which a chunk has an agenda of its own, a heap, whose time is nearly in proportion to its length.
+LONG_CHUNK = 512
 _SPACE = "▁"
 _M = (1 << 64) - 1
 _NONE = 1 << 40
@@ -30,6 +33,13 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _mixed(x: int) -> int:
+    """hashing.mix of one number."""
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _M
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _M
+    return x ^ (x >> 31)
+
+
 class DropoutEncoder:
     """Merge-type segmentation of texts by a BPE model's pieces, with each candidate merge skipped by a hash that is keyed by seed,
     document, the chunk's place in it and the pair's places in the chunk.
@@ -38,6 +48,7 @@ class DropoutEncoder:
     follows it) that are cut independently; this is checked when the model is loaded. Of each distinct chunk the cut without skips and
     the candidates met on the way are kept: an occurrence whose hashes skip none of them is cut that way, every other one by itself.
     Chunks are cut together: each has an agenda of its adjacent pairs, a row of scores, and each step carries out the best merge of each.
+    Long chunks are cut one by one, with a heap as agenda.
     """
 
     def __init__(self, path: str, dropout: float) -> None:
@@ -61,6 +72,7 @@ class DropoutEncoder:
         self.rank = np.empty(n, np.int64)
         self.rank[np.argsort(-scores, kind="stable")] = np.arange(n)
         self.threshold = int(dropout * (1 << 32))
+        self.pair_of: dict[int, int] = {}
         self._forget()
         self.chunk = re.compile(" +[^ \n]*|[^ \n]+|\n")
 
@@ -108,6 +120,12 @@ class DropoutEncoder:
         for i, c in enumerate(chunks):
             by_size.setdefault(max(8, 1 << (len(c) - 1).bit_length()), []).append(i)
         for width, places in by_size.items():
+            if width > LONG_CHUNK:
+                for i in places:
+                    out[i], seen = self._cut_long(chunks[i], None if keys is None else int(keys[i]))
+                    rows.append(np.full(len(seen), i, np.int64))
+                    pairs.append(seen)
+                continue
             step = max(1, (1 << 19) // width)
             for a in range(0, len(places), step):
                 part = np.array(places[a : a + step])
@@ -170,6 +188,48 @@ class DropoutEncoder:
             out[i] = np.array(ids, "<u4").tobytes()
         return out
 
+    def _cut_long(self, text: str, key: int | None) -> tuple[bytes, np.ndarray]:
+        """Ids of one chunk, and without a key the places' hash of each candidate."""
+        if not self.pair_of:
+            self.pair_of = dict(zip(self.pairs.tolist(), self.merged.tolist()))
+        n = len(text)
+        points = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+        at = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
+        symbols = np.where(self.points[at] == points, self.point_ids[at], -1).tolist()
+        after, before, seen = list(range(1, n + 1)), list(range(-1, n - 1)), []
+        agenda: list[tuple[int, int, int, int, int]] = []
+
+        def offer(left: int, right: int) -> None:
+            piece = self.pair_of.get(symbols[left] * self.base + symbols[right]) if symbols[left] >= 0 <= symbols[right] else None
+            if piece is None:
+                return
+            if self.threshold:
+                pair = (left * BASE + right * BASE2) & _M
+                if key is None:
+                    seen.append(pair)
+                elif _mixed(key ^ pair) >> 32 < self.threshold:
+                    return
+            heapq.heappush(agenda, (int(self.rank[piece]), left, right, symbols[left], symbols[right]))
+
+        for i in range(n - 1):
+            offer(i, i + 1)
+        while agenda:
+            _, left, right, a, b = heapq.heappop(agenda)
+            if after[left] != right or symbols[left] != a or symbols[right] != b:
+                continue  # one of the two has been merged with another since
+            symbols[left] = self.pair_of[a * self.base + b]
+            symbols[right], after[right], after[left] = -2, -1, after[right]
+            if after[left] < n:
+                before[after[left]] = left
+                offer(left, after[left])
+            if before[left] >= 0:
+                offer(before[left], left)
+        ids: list[int] = []
+        for c, s in zip(text, symbols):
+            if s != -2:
+                ids += [s] if s >= 0 else [self.bytes[x] for x in c.encode()]
+        return np.array(ids, "<u4").tobytes(), np.array(seen, U)
+
     def encode(self, texts: list[str], doc_keys: list[int]) -> list[bytes]:
         """Little-endian 32-bit ids of each text. The model puts a space mark before a text; an empty text has no ids."""
         cut = [self.chunk.findall(" " + text) if text else [] for text in texts]
@@ -250,14 +310,16 @@ def encode(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, model: s
     """(doc_id, ids array<int>) for each row of docs (doc_id, text); with dropout 0 the model's own segmentation.
 
     The same seed gives the same ids in any run and partitioning. A null or empty text has no ids; a null doc_id is a key of its
-    own; repeated rows give equal rows.
+    own; repeated rows give equal rows; texts of any length are encoded whole; an empty table gives an empty result. Other columns of
+    docs, whatever their names, are not looked at.
     """
     small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_segmented(model or piece_model(), dropout, seed, False), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
-    """(doc_id, text) of rows (doc_id, ids)."""
+    """(doc_id, text) of rows (doc_id, ids). Null or no ids give an empty text; null ids of documents and repeated rows stay; an empty
+    table gives an empty result."""
     path = model or piece_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +333,8 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, model: str | None = None) -> DataFrame:
-    """(doc_id, n_pieces, ids_crc32, decoded_sha256, lossless): digests of each text's ids and of the text decoded from them."""
+    """(doc_id, n_pieces, ids_crc32, decoded_sha256, lossless): digests of each text's ids and of the text decoded from them. Nulls,
+    empty and long texts, repeats, other columns and empty tables as in encode; a null text comes back as an empty one."""
     small_batches(docs.sparkSession)
     kind = "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, lossless boolean"
     return docs.select("doc_id", "text").mapInArrow(_segmented(model or piece_model(), dropout, seed, True), kind)
@@ -279,7 +342,8 @@ def round_trip(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, mode
 
 def encode_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage, the last: (doc_id, ids). Copies of a row are numbered and cut in ways of their own; all ids are decoded again
-    and a row that does not come back as its text fails the run."""
+    and a row that does not come back as its text fails the run. Nulls, empty and long texts, other columns and empty tables as in
+    encode."""
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text")
     alike = Window.partitionBy("doc_id", F.sha2(F.encode(text_or_empty(), "utf-8"), 256)).orderBy("doc_id")
