@@ -174,7 +174,11 @@ def token_report(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tokenized(docs: DataFrame) -> DataFrame:
-    """Writes the tokens of docs to the shared folder and reports on the files read back. A null text has only the end id."""
+    """Writes the tokens of docs (doc_id, text) to the shared folder and reports on the files read back.
+
+    A null or empty text has only the end id; a null doc_id comes first; rows that repeat a doc_id are rows of their own; texts of any
+    length are encoded whole; other columns of docs are not looked at; an empty table gives an empty result.
+    """
     path = new_path(docs.sparkSession, "tokens")
     write_tokens(docs, path)
     return token_report(docs.sparkSession, path)

@@ -3,9 +3,11 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from sparkevidence.llm import merge_dropout, orc_tokens
-from sparkevidence.llm.hashing import BASE, U, mix
+from sparkevidence.llm.hashing import BASE, BASE2, U, mix
 from sparkevidence.llm.shared import new_path
 
 pytest.importorskip("public_tokenizers")
@@ -25,6 +27,42 @@ def test_word_ids_are_those_of_the_whole_text():
     assert [np.frombuffer(encoder.encode((t or "").encode()), "<u4").tolist() for t in TEXTS] == [reference_ids(t)[:-1] for t in TEXTS]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("aZ09'’.,!?<|>_-éÉßİıÅ\u0301\u030a\u200d漢か😀 \t\n\x1c\x85\xa0")), max_size=40))
+def test_any_text_has_the_ids_of_the_whole_text(text):
+    global _encoder
+    _encoder = globals().get("_encoder") or orc_tokens.WordEncoder(orc_tokens.word_tokenizer())
+    assert np.frombuffer(_encoder.encode(text.encode()), "<u4").tolist() == _encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_stripes_and_bloom_filters(spark, tmp_path, monkeypatch):
+    """A file of several stripes is read by several tasks, and a read for ids that no stripe has reads no row."""
+    from pyarrow import orc
+    from pyspark.sql import functions as F
+
+    monkeypatch.setitem(orc_tokens.ORC_OPTIONS, "orc.stripe.size", str(1 << 16))
+    rows = spark.range(0, 40000, 2).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.sha1(F.concat(F.col("id").cast("string"), F.lit(str(i)))) for i in range(3)]).alias("text"))
+    orc_tokens.write_tokens(rows.coalesce(1), str(tmp_path / "t"))
+    files = list((tmp_path / "t").glob("*.orc"))
+    assert max(orc.ORCFile(str(f)).nstripes for f in files) > 1
+    raw = b"".join(f.read_bytes() for f in files)
+    assert orc.ORCFile(str(files[0])).compression == "ZSTD" and len(raw) > 0
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(max(f.stat().st_size for f in files) // 2))
+    try:
+        assert orc_tokens.read_tokens(spark, str(tmp_path / "t")).rdd.getNumPartitions() > len(files)
+        assert orc_tokens.read_tokens(spark, str(tmp_path / "t")).count() == 20000
+        for ids, scanned in (([1001], 0), ([1002], 1)):  # an odd id lies within a stripe's least and greatest, only its filter says no
+            df = orc_tokens.read_tokens(spark, str(tmp_path / "t"), doc_ids=ids)
+            assert df.count() == scanned
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_tokens_take_hard_rows(docs, hard):
+    got = orc_tokens.tokenized(docs(hard)).collect()
+    assert sorted(r["n_tokens"] for r in got) == sorted(len(reference_ids(h[1])) for h in hard)
+
+
 def test_report_from_files(docs):
     rows = list(enumerate(TEXTS, 10)) + [(10, TEXTS[0]), (None, "first of all")]
     got = orc_tokens.tokenized(docs(rows)).orderBy("start").collect()
@@ -94,3 +132,55 @@ def test_stage_cuts_copies_apart(docs, spark):
     rows = merge_dropout.encode_stage(spark, docs([(1, text)] * 3 + [(2, None)]), "").collect()
     assert len({tuple(r["ids"]) for r in rows if r["doc_id"] == 1}) == 3 and len(rows) == 4
     assert {r["text"] for r in merge_dropout.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>")).collect()} == {text, ""}
+
+
+def naive_cut(encoder, chunk, key):
+    """Merges one by one over a plain list: the best rank first, the leftmost on ties; a skipped pair is looked at again when its
+    symbols change."""
+    sp, n = encoder.sp, encoder.base
+    ids = {sp.id_to_piece(i).replace("▁", " "): i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
+    rank = {i: k for k, i in enumerate(sorted(range(n), key=lambda i: (-sp.get_score(i), i)))}
+    parts = [(i, c) for i, c in enumerate(chunk)]
+    while True:
+        best = None
+        for k in range(len(parts) - 1):
+            (a, x), (b, y) = parts[k], parts[k + 1]
+            skipped = int(mix(np.array([key ^ ((a * BASE + b * BASE2) & ((1 << 64) - 1))], U))[0]) >> 32 < encoder.threshold
+            if x in ids and y in ids and x + y in ids and not skipped and (best is None or rank[ids[x + y]] < best[0]):
+                best = (rank[ids[x + y]], k)
+        if best is None:
+            return [j for _, x in parts for j in ([ids[x]] if x in ids else [encoder.bytes[b] for b in x.encode()])]
+        k = best[1]
+        parts[k : k + 2] = [(parts[k][0], parts[k][1] + parts[k + 1][1])]
+
+
+def test_dropout_against_naive_merges(monkeypatch):
+    import random
+
+    r = random.Random(2)
+    for dropout in (0.1, 0.5):
+        encoder = merge_dropout.DropoutEncoder(merge_dropout.piece_model(), dropout)
+        chunks = [" internationally", "  unbelievable", "naïve漢字", "a", " aaaaaaaaaaaa", "x" * 40] + ["".join(r.choice("etaoinshr é") for _ in range(r.randint(1, 30))).replace("  ", " ") for _ in range(40)]
+        chunks = [c.replace(" ", "") or "q" for c in chunks] + chunks[:2]
+        keys = np.array([r.getrandbits(64) for _ in chunks], U)
+        got = encoder.segment(chunks, keys)[0]
+        for c, k, g in zip(chunks, keys.tolist(), got):
+            assert np.frombuffer(g, "<u4").tolist() == naive_cut(encoder, c, k), c
+        # Long chunks have an agenda of their own, with the same cuts and the same candidates.
+        both = [encoder._cut_long(c, k)[0] for c, k in zip(chunks, keys.tolist())]
+        assert both == got
+        plain, row, pair = encoder.segment(chunks, None)
+        for i, c in enumerate(chunks):
+            ids, seen = encoder._cut_long(c, None)
+            assert ids == plain[i] and sorted(seen.tolist()) == sorted(pair[row == i].tolist())
+
+
+def test_a_very_long_chunk_takes_time_in_proportion():
+    import time
+
+    encoder = merge_dropout.DropoutEncoder(merge_dropout.piece_model(), 0.1)
+    text = "thequickbrownfoxjumpsoverthelazydog" * 6000
+    began = time.time()
+    ids = encoder.encode([text], [3])[0]
+    assert time.time() - began < 30
+    assert encoder.decode(np.frombuffer(ids, "<u4").tolist()) == text
