@@ -45,6 +45,12 @@ def clean_heading(value: Column, most: int = 160) -> Column:
     return F.rtrim(F.substring(F.btrim(F.regexp_replace(F.regexp_replace(value, "^[#*>\\- ]+", ""), "[ \t]+", " ")), 1, most))
 
 
+def is_generic_heading(value: Column) -> Column:
+    """A heading that names no subject: empty, a number, a part of a book, or a filler word."""
+    h = F.lower(clean_heading(value))
+    return h.rlike("^(page|section|chapter|part|lesson)? ?[0-9.]*$") | h.isin("introduction", "overview", "other", "unknown", "none", "untitled")
+
+
 def title_of(text: Column, otherwise: Column) -> Column:
     """The first line that says anything."""
     first = F.filter(F.transform(F.split(text, "\n"), lambda x: clean_heading(x)), lambda x: F.length(x) >= 3)
@@ -119,6 +125,16 @@ def normalize_url(url: Column) -> Column:
     return F.concat(F.lower(F.regexp_extract(bare, "^([a-zA-Z]+://[^/]*)", 1)), F.regexp_replace(bare, "^[a-zA-Z]+://[^/]*", ""))
 
 
+def url_filename(url: Column) -> Column:
+    """The last part of an address's path."""
+    return F.regexp_extract(F.regexp_replace(F.regexp_replace(url, "[?#].*$", ""), "/+$", ""), "([^/]+)$", 1)
+
+
+def title_from_url(url: Column) -> Column:
+    """The same without its ending, words apart."""
+    return F.regexp_replace(F.regexp_replace(url_filename(url), "[.][a-z]+$", ""), "[-_]+", " ")
+
+
 def url_domain(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, "^[a-zA-Z]+://([^/?#:]+)", 1))
 

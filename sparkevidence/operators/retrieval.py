@@ -110,6 +110,11 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, most: int, n_vectors: in
     return top_per(best, "query_id", "score", "vec_id", most, -2.0)
 
 
+def top_by_vector(cards: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    """(query_id, vec_id, score, rank): the nearest cards or sections (vec_id, v), between 1 and 100 of them whatever is asked for."""
+    return cosine_topk(cards, queries, max(1, min(most, 100)), cards.count(), queries.count())
+
+
 def ann_topk(vectors: DataFrame, queries: DataFrame, most: int, tables: int = 12, width: float = 0.35, seed: int = 11) -> DataFrame:
     """Approximate search: random-projection buckets of several tables give candidates, exact products rank them."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH

@@ -8,6 +8,7 @@ from sparkevidence.functions import text as T
 from sparkevidence.operators import catalog as C
 from sparkevidence.operators import lifecycle
 from sparkevidence.operators import questions as Q
+from sparkevidence.operators import retrieval as R
 from sparkevidence.operators import reviews as V
 from sparkevidence.operators import terms
 from sparkevidence.plans import corpus, governance_queries, ingest_queries, retrieval_queries
@@ -343,3 +344,29 @@ def preview_queue(spark, sf_dir):
     """Candidates' previews; every fifth page could not be read, domains of every fortieth are connected."""
     p = corpus.table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(T.url_domain(F.col("url")), "^(www|m)[.]", "").alias("domain"), F.length("html").alias("chars"))
     return V.preview_states(p, p.where("page_id % 5 <> 0"), p.where("page_id % 40 = 0"))
+
+
+@query(f"""SELECT page_id, regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '([^/]+)$', 1) AS filename, {_ID("regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)")} AS service_id,
+    regexp_replace(regexp_replace(regexp_extract(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '([^/]+)$', 1), '[.][a-z]+$', ''), '[-_]+', ' ', 'g') AS title FROM pages""")
+def url_names(spark, sf_dir):
+    """File names, service ids and titles that addresses give."""
+    p = corpus.table(spark, sf_dir, "pages")
+    return p.select("page_id", T.url_filename(F.col("url")).alias("filename"), T.normalize_service_id(F.regexp_extract("url", "^[a-zA-Z]+://([^/?#:]+)", 1)).alias("service_id"), T.title_from_url(F.col("url")).alias("title"))
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT e.vec_id, e.embedding FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE d.lang = 'en'), p AS (SELECT query_id, vec_id, round(list_dot_product(q.embedding::DOUBLE[], s.embedding::DOUBLE[]), 6) AS score FROM q, s WHERE vec_id <> query_id)
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 8""")
+def top_cards(spark, sf_dir):
+    """The eight nearest cards of one course for each query vector, exactly."""
+    v = corpus.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    d = corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.lit("all").alias("workspace_id"), F.col("lang").alias("course"))
+    cards = v.join(C.scope(d, "all", "en").select("vec_id"), "vec_id", "left_semi")
+    return R.top_by_vector(cards, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "v"), 8)
+
+
+@query(with_sql("lines", then="""SELECT document_id, count(*) AS lines, count_if(regexp_matches(lower(h), '^(page|section|chapter|part|lesson)? ?[0-9.]*$') OR lower(h) IN ('introduction', 'overview', 'other', 'unknown', 'none', 'untitled')) AS generic, max(length(h)) AS longest
+    FROM (SELECT *, rtrim(substring(trim(regexp_replace(regexp_replace(line, '^[#*>\\- ]+', ''), '[ \\t]+', ' ', 'g')), 1, 160)) AS h FROM lines) GROUP BY 1"""))
+def generic_headings(spark, sf_dir):
+    """How many of a document's lines would say nothing as headings."""
+    rows = corpus.lines(spark, sf_dir)
+    return rows.groupBy("document_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if(T.is_generic_heading(F.col("line"))).alias("generic"), F.max(F.length(T.clean_heading(F.col("line")))).alias("longest"))
