@@ -18,8 +18,10 @@ RAW_SHAPES = ((2, "config", r"^[A-Z][A-Z0-9]*(_[A-Z0-9]+)++$"), (1, "acronym", r
 def term_occurrences(chunks: DataFrame) -> DataFrame:
     """One row for each distinct term of a chunk: (term, document_id, chunk_index, course, shape); shape is the rank of the term's
     shape as it is written there, 0 for a plain word."""
-    raw = F.regexp_extract_all("content", F.lit(T.TOKEN), F.lit(0))
-    rows = chunks.select("document_id", "chunk_index", "course", T.significant_terms(F.col("content")).alias("terms"), *[F.transform(F.filter(raw, lambda t: t.rlike(s)), F.lower).alias(f"raw{k}") for k, _, s in RAW_SHAPES])  # noqa: B023
+    # Whole tokens of a shape are looked for in the text itself: they are few, so no pattern has to be tried on every token.
+    whole = lambda s: r"(?<![\p{L}\p{N}_])(?:" + s.strip("^$") + r")(?![\p{L}\p{N}_])"
+    found = [F.transform(F.regexp_extract_all("content", F.lit(whole(s)), F.lit(0)), F.lower).alias(f"raw{k}") for k, _, s in RAW_SHAPES]
+    rows = chunks.select("document_id", "chunk_index", "course", T.significant_terms(F.col("content")).alias("terms"), *found)
     shape = F.lit(0)
     for k, _, _ in reversed(RAW_SHAPES):
         shape = F.when(F.array_contains(F.col(f"raw{k}"), F.col("term")), k).otherwise(shape)
