@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkevidence.llm import chroma, cotraining, kdtree, licenses, merge_dropout, minhash, mixing, multiset_hash, orc_tokens, ppm, suffix_dedup, whitening
+from sparkevidence.llm import chroma, cotraining, kdtree, licenses, merge_dropout, minhash, mixing, multiset_hash, orc_tokens, ppm, spelling, suffix_dedup, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -59,6 +59,10 @@ def op12_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(_table(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_chroma, op2_orc_tokens, op3_merge_dropout, op4_mixing, op5_suffix_dedup, op6_cotraining, op7_minhash, op8_licenses, op9_multiset_hash, op10_kd_tree, op11_whitening, op12_ppm)}
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_chroma, op2_orc_tokens, op3_merge_dropout, op4_mixing, op5_suffix_dedup, op6_cotraining, op7_minhash, op8_licenses, op9_multiset_hash, op10_kd_tree, op11_whitening, op12_ppm, op13_spelling)}
 
 ORACLES = {"op4_mixing": mixing.ORACLE_SQL, "op7_minhash": minhash.ORACLE_SQL}
