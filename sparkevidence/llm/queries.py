@@ -65,4 +65,4 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_chroma, op2_orc_tokens, op3_merge_dropout, op4_mixing, op5_suffix_dedup, op6_cotraining, op7_minhash, op8_licenses, op9_multiset_hash, op10_kd_tree, op11_whitening, op12_ppm, op13_spelling)}
 
-ORACLES = {"op4_mixing": mixing.ORACLE_SQL, "op7_minhash": minhash.ORACLE_SQL}
+ORACLES = {"op4_mixing": mixing.ORACLE_SQL, "op7_minhash": minhash.ORACLE_SQL, "op13_spelling": spelling.ORACLE_SQL}

@@ -263,3 +263,19 @@ def variants(docs: DataFrame, least: int = LEAST, times: int = TIMES, filter_byt
     out = told.join(roots.hint("merge"), "word", "left")
     dropped(words)
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+
+
+ORACLE_SQL = """
+    WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{C0}-\\x{FF}]+')) AS r FROM documents),
+    low AS (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS n FROM runs GROUP BY 1, 2),
+    b AS (SELECT r, n, flatten(list_transform(string_split(concat(doc_id, ':', r), ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)] ELSE [192 + (ord(x) >> 6), 128 + (ord(x) & 63)] END)) AS bytes FROM low),
+    h AS (SELECT r, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, bytes::BIGINT[]), lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, y: xor(a >> 1, 3988292384 * (a & 1))))) AS h FROM b),
+    w AS (SELECT CASE WHEN h % 97 = 0 THEN left(r, (h % length(r))::INT) || substr(r, (h % length(r))::INT + 2) ELSE r END AS word, CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3),
+    cut AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS short FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+    pairs AS (SELECT cut.word AS a, cut.n AS an, w.word AS b, w.n AS bn FROM cut JOIN w ON cut.short = w.word UNION SELECT w.word, w.n, cut.word, cut.n FROM cut JOIN w ON cut.short = w.word
+        UNION SELECT x.word, x.n, y.word, y.n FROM cut x JOIN cut y ON x.short = y.short AND x.i = y.i AND x.word <> y.word),
+    best AS (SELECT a, count(*) AS n_near, first(b ORDER BY bn DESC, b) AS b, max(bn) AS bn FROM pairs GROUP BY 1),
+    forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN bn >= 2 * n THEN b END AS form, CASE WHEN bn >= 2 * n THEN bn END AS form_n FROM w LEFT JOIN best ON word = a),
+    walk AS (SELECT word, word AS at, form AS next FROM forms UNION ALL SELECT walk.word, walk.next, forms.form FROM walk JOIN forms ON forms.word = walk.next)
+    SELECT forms.word, form, walk.at AS root, n, n_near, form_n FROM forms JOIN walk ON walk.word = forms.word AND walk.next IS NULL
+"""
