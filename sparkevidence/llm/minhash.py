@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkevidence.llm.hashing import BASE, BASE2, U, mix, shingle_hashes, word_hashes
-from sparkevidence.llm.shared import arrow_bytes, components, saved, slices, small_batches
+from sparkevidence.llm.shared import arrow_bytes, components, saved, slices, small_batches, unused
 
 #: A pair with similarity 0.8 shares no band with probability (1 - 0.8 ** 6) ** 40 = 6e-6.
 ROWS, BANDS = 6, 40
@@ -191,15 +191,19 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, rows: int =
 
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each near-duplicate component stays (five-word shingles).
+    """Pipeline stage: one row of each near-duplicate component stays (five-word shingles), that of the smallest doc_id (nulls last).
 
-    Rows with a null doc_id and wordless rows are no one's copies and stay; rows that repeat a kept doc_id stay. Columns and their
-    order stay; an empty table gives an empty result.
+    Every row is a document of its own, whatever its doc_id: of rows with equal texts one stays, also where their doc_ids are equal or
+    null, and different texts of one doc_id stay unless something else is like them. Rows are numbered in a written table, which the
+    search and its result share. Null, empty and wordless texts are no one's copies and stay. Columns and their order stay, whatever
+    their names; an empty table gives an empty result.
     """
-    flags = near_duplicates(docs, k=5).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    known = docs.join(flags, F.col("doc_id") == F.col("__kept")).select(*columns)
-    return known.union(docs.where("doc_id is null"))
+    row = unused("__row", docs)
+    rows = saved(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), k=5).select(F.col("doc_id").alias("__r"), "component_id")
+    ids = rows.select(F.col(row).alias("__r"), F.col("doc_id").isNull().alias("unnamed"), "doc_id")
+    kept = groups.join(ids, "__r").groupBy("component_id").agg(F.min(F.struct("unnamed", "doc_id", "__r")).alias("m")).select(F.col("m.__r").alias(row))
+    return rows.join(kept.hint("merge"), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE_SQL = """

@@ -60,6 +60,14 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """name, or name with underscores before it, such that df has no such column (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def bucket_count(rows: int) -> int:
     """Buckets of some thousand rows, so that no ordered step holds more than one bucket in a task."""
     return max(16, -(-rows // ROWS_PER_BUCKET))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkevidence.llm.hashing import BASE, BASE2, SEPARATOR, U, Rolling, mix
-from sparkevidence.llm.shared import arrow_bytes, dropped, saved, slices, small_batches, text_or_empty
+from sparkevidence.llm.shared import arrow_bytes, dropped, saved, slices, small_batches, text_or_empty, unused
 
 LENGTH = 400
 GRAM = 48
@@ -493,15 +493,16 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int =
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every row with its repeated passages of over 50 words, and repeated strings of LENGTH bytes, cut out (a
-    character that a cut splits goes); n_chars follows the text. Rows of which no word is left go.
+    character that a cut splits goes); n_chars follows the text. A row of which no word would be left stays whole: all it says stands
+    in other rows too, which lose it, so it is the place where that stays.
 
-    Nulls: rows with a null or empty text stay as they are, a null doc_id is a row like others; repeated rows with 51 words lose them
-    all and go; columns and their order stay; an empty table gives an empty result.
+    Nulls: rows with a null or empty text stay as they are, a null doc_id is a row like others; of repeated rows none is lost; columns
+    and their order stay; an empty table gives an empty result.
     """
-    changed = removals(docs)[1].select(F.col("key").alias("__key"), F.col("kept_text").alias("__new")).dropDuplicates(["__key"])
-    both = docs.withColumn("__k", _key(F.sha2(F.encode(text_or_empty(), "utf-8"), 256))).join(changed, F.col("__k") == F.col("__key"), "left")
-    both = both.where(F.col("__new").isNull() | F.col("__new").rlike(r"[^\x20\x09-\x0D]"))
-    new = {"text": F.coalesce("__new", "text")}
+    left, own, of = (unused(x, docs) for x in ("__new", "__k", "__key"))
+    changed = removals(docs)[1].where(F.col("kept_text").rlike(r"[^\x20\x09-\x0D]")).select(F.col("key").alias(of), F.col("kept_text").alias(left)).dropDuplicates([of])
+    both = docs.withColumn(own, _key(F.sha2(F.encode(text_or_empty(), "utf-8"), 256))).join(changed, F.col(own) == F.col(of), "left")
+    new = {"text": F.coalesce(left, "text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("__new").isNotNull(), F.length("__new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        new["n_chars"] = F.when(F.col(left).isNotNull(), F.length(left).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return both.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])

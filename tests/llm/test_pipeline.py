@@ -56,3 +56,21 @@ def test_stages_take_empty_and_hard_tables(docs, spark, hard, tmp_path):
             seen = stage(spark, seen, str(tmp_path))
             assert seen.columns == rows.columns
         assert corpus_pipeline.STAGES[-1][1](spark, seen, str(tmp_path)).columns == ["doc_id", "ids"]
+
+
+def test_every_text_leaves_a_copy(docs, spark, tmp_path):
+    """Repeated rows, rows without id and texts that are parts of others: neither deduplication stage loses a text wholly."""
+    r = random.Random(4)
+    text = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8))) for _ in range(n))
+    a, b, c, part, more = text(75), text(80), text(70), text(60), text(200)
+    rows = [(1, a), (1, a), (None, b), (None, b), (2, c), (None, c), (3, part), (4, f"{more} {part}"), (5, text(90)), (5, text(90)), (6, ""), (6, ""), (7, None)]
+    stages = dict(corpus_pipeline.STAGES)
+    d = docs(rows).withColumnRenamed("size", "__row").withColumnRenamed("key", "__new")
+    first = stages["near_duplicates"](spark, d, "")
+    assert first.columns == d.columns
+    one = [(x["doc_id"], x["text"]) for x in first.collect()]
+    assert sorted(one, key=str) == sorted([(1, a), (None, b), (2, c), *rows[6:]], key=str)
+    for seen in (first, d):  # the second stage alone meets copies, and keeps them
+        left = [x["text"] for x in stages["repeated_substrings"](spark, seen, "").collect()]
+        assert {a, b, c, part} <= set(left) and len(left) == seen.count()
+        assert not any(t and part in t and t != part for t in left)
