@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkevidence.llm.shared import dropped, saved, small_batches, text_or_empty
@@ -203,10 +203,10 @@ def _scored(order: int):
             for a in range(0, len(c), 1 << 20):
                 total += float(values[_find(codes, c[a : a + (1 << 20)])].sum())
             parts.append(END)
-            found = [base[w] for w in parts]
+            found = [(n, *base[w]) for w, n in Counter(parts).items()]
             tokens.append(len(parts))
-            known.append(sum(k for _, k in found))
-            base_score.append(float(np.sum([v for v, _ in found])))
+            known.append(sum(n for n, _, k in found if k))
+            base_score.append(sum(n * v for n, v, _ in found))
             score.append(total)
         long = partial(pa.array, type=pa.int64())
         return pa.table({"doc_id": docs["doc_id"], "held_out": pc.invert(docs["learn"]), "n_tokens": long(tokens), "n_known": long(known), "base_score": pa.array(base_score, pa.float64()), "score": pa.array(score, pa.float64())})
@@ -232,13 +232,15 @@ def score(docs: DataFrame, order: int = ORDER, block: int = BLOCK, trie_rows: in
     small_batches(spark)
     learn = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 != 1).alias("learn")
     rows = docs.select("doc_id", learn, text_or_empty().alias("text"))
-    rows = saved(rows.mapInArrow(_blocks(block), "block long, doc_id long, learn boolean, text string"), "blocks")
+    rows = saved(rows.mapInArrow(_blocks(block), "block long, doc_id long, learn boolean, text string"), "blocks", "zstd")
     asked = saved(rows.mapInArrow(_asked(order), "block long, code long, word binary, n long"), "asked")
-    # Words: counts over all training documents, and the smoothed probability of each.
-    counts = saved(asked.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    size = counts.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    # Words: counts over all training documents, and the smoothed probability of each. A word has a row for each block.
+    by = Window.partitionBy("word")
+    known = asked.where("word is not null").select("block", "word", F.sum("n").over(by).alias("n"), (F.row_number().over(by.orderBy("block")) == 1).alias("first"))
+    known = saved(known, "words")
+    size = known.where("first and n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     share = F.log10((F.col("n") + 0.5) / (size["n"] + 0.5 * (size["v"] + 1)))
-    by_word = asked.where("word is not null").select("block", "word").join(counts.hint("merge"), "word").select("block", F.lit(None).cast("long").alias("code"), "word", "n", share.alias("value"))
+    by_word = known.select("block", F.lit(None).cast("long").alias("code"), "word", "n", share.alias("value"))
     # Codes: counts of all contexts, then the probability of each symbol that any document has in one.
     trie = saved(asked.where("code is not null").groupBy("code").agg(F.sum("n").alias("n")), "trie")
     short = trie.groupBy(F.col("code").bitwiseAND(0xFFFF).alias("code")).agg(F.sum("n").alias("n")).toPandas()

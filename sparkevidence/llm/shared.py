@@ -31,11 +31,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str = "cut") -> DataFrame:
+def saved(df: DataFrame, name: str = "cut", compression: str = "snappy") -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: later jobs neither recompute it nor depend on lost executors."""
     path = new_path(df.sparkSession, name)
     schema = df.schema
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = df.sparkSession.read.schema(schema).parquet(path)
     out.written_to = path
     return out
