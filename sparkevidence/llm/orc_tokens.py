@@ -20,6 +20,8 @@ END_ID = 1
 KEPT_WORDS = 600_000
 #: Marks that a word may end in; a run of them is one piece of the splitter.
 _MARKS = b".,;:!?*#$%&|)(\"-"
+#: Rows that a file holds about.
+FILE_ROWS = 1 << 15
 ORC_OPTIONS = {
     "orc.compress": "ZSTD",
     "orc.stripe.size": str(64 << 20),
@@ -111,7 +113,7 @@ def _encoded(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _encoders:
             _encoders[path] = WordEncoder(path)
-        encoder, end = _encoders[path], np.array([end_id], "<u4").tobytes()
+        encoder, end, done = _encoders[path], np.array([end_id], "<u4").tobytes(), 0
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             held, size, a = [], 0, 0
@@ -122,23 +124,29 @@ def _encoded(path: str, end_id: int):
                 if size > 2 << 20 or i == batch.num_rows - 1:
                     at = np.concatenate(([0], np.cumsum([len(x) // 4 for x in held]))).astype(np.int32)
                     lists = pa.ListArray.from_arrays(at, pa.array(np.frombuffer(b"".join(held), "<i4")))
-                    yield pa.RecordBatch.from_arrays([batch.column(0)[a : i + 1], lists], names=["doc_id", "ids"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[a : i + 1], pa.array(np.arange(done, done + len(held))), lists], names=["doc_id", "place", "ids"])
+                    done += len(held)
                     held, size, a = [], 0, i + 1
 
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> None:
-    """Writes rows (doc_id, ids) of docs (doc_id, text) as ORC, files and rows in ascending doc_id order (nulls first)."""
-    small_batches(docs.sparkSession)
-    spread = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    encoded = spread.mapInArrow(_encoded(tokenizer or word_tokenizer(), end_id), "doc_id long, ids array<int>")
+def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, file_rows: int = FILE_ROWS) -> None:
+    """Writes rows (doc_id, place, ids) of docs (doc_id, text) as ORC, files and rows in ascending doc_id order (nulls first), rows of
+    one doc_id in order of a hash of their texts; place counts a file's rows. The number of files grows with the table (about
+    file_rows rows each; small ones are merged while spark.sql.shuffle.partitions are enough), and rows that repeat a doc_id may lie in several files."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    usual, files = int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // file_rows)
+    order = ["doc_id", F.xxhash64("text")]
+    spread = docs.select("doc_id", "text").repartitionByRange(*([files] if files > usual else []), *order).sortWithinPartitions(*order)
+    encoded = spread.mapInArrow(_encoded(tokenizer or word_tokenizer(), end_id), "doc_id long, place long, ids array<int>")
     encoded.write.options(**ORC_OPTIONS).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None, least: int | None = None, most: int | None = None) -> DataFrame:
     """Rows of written tokens; ids or a range of ids are pushed down to ORC's file, stripe and row-group statistics and Bloom filters."""
-    out = spark.read.schema("doc_id long, ids array<int>").orc(path)
+    out = spark.read.schema("doc_id long, place long, ids array<int>").orc(path)
     if doc_ids is not None:
         out = out.where(F.col("doc_id").isin(doc_ids))
     if least is not None:
@@ -148,27 +156,28 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(1)
+        ids = batch.column(2)
         at = np.asarray(ids.offsets).astype(np.int64)
         raw = memoryview(np.ascontiguousarray(np.asarray(ids.values), "<i4").view(np.uint8))
         crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1], at[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "file", "n_tokens", "ids_crc32"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(1), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "file", "place", "n_tokens", "ids_crc32"])
 
 
 def token_report(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each row of written tokens, from the files.
 
-    start counts the ids of all rows before, in ascending doc_id order: totals of whole files are summed first, then rows within a
-    file. Files hold disjoint ascending ranges of doc_id, so neither step gathers more than a file's rows or one row per file.
-    Rows that repeat a doc_id follow each other (fewer tokens first). An empty table gives an empty result.
+    start counts the ids of all rows before in the files: totals of whole files are summed first, then rows within a file, in the order
+    in which they lie there. Files hold ascending ranges of doc_id, numbered in that order, so neither step gathers more than a file's rows
+    or one row per file. An empty table gives an empty result.
     """
     small_batches(spark)
-    rows = read_tokens(spark, path).select("doc_id", "ids", F.col("_metadata.file_path").alias("file"))
-    rows = saved(rows.mapInArrow(_checked, "doc_id long, file string, n_tokens long, ids_crc32 long"), "token-rows")
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"), F.min(F.struct("doc_id", "file")).alias("least"), F.max("doc_id").alias("most"))
-    before = F.coalesce(F.sum("total").over(Window.orderBy(F.col("least.doc_id").asc_nulls_first(), F.col("most").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = read_tokens(spark, path).select("doc_id", "place", "ids", F.col("_metadata.file_path").alias("file"))
+    rows = saved(rows.mapInArrow(_checked, "doc_id long, file string, place long, n_tokens long, ids_crc32 long"), "token-rows")
+    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
+    part = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
+    before = F.coalesce(F.sum("total").over(Window.orderBy(part, "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = files.select("file", before.alias("before"))
-    within = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("file").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("before") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))
     return rows.join(offsets, "file").select("doc_id", start.alias("start"), "n_tokens", "ids_crc32")
 

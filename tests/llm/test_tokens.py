@@ -1,3 +1,4 @@
+import os
 import hashlib
 import zlib
 
@@ -76,6 +77,25 @@ def test_report_from_files(docs):
     assert orc_tokens.tokenized(docs(rows).where("false")).count() == 0
 
 
+def test_start_is_the_place_in_the_files(spark, docs):
+    """Rows of one id with texts of many lengths, over several files: each row's ids are found at its start."""
+    from pyarrow import orc
+
+    rows = [(7, "word " * n) for n in (98, 18, 59, 7, 27, 35, 35)] + [(i, f"row {i}") for i in range(20)]
+    path = new_path(spark, "t")
+    orc_tokens.write_tokens(docs(rows), path, file_rows=3)
+    folder = path.removeprefix("file:")
+    files = sorted(x for x in os.listdir(folder) if x.endswith(".orc"))
+    read = [r for f in files for r in orc.ORCFile(f"{folder}/{f}").read().to_pylist()]
+    flat = [t for r in read for t in r["ids"]]
+    assert [r["doc_id"] for r in read] == sorted(r[0] for r in rows) and len({f for f in files}) > 7
+    got = orc_tokens.token_report(spark, path).orderBy("start").collect()
+    assert [(x["doc_id"], x["n_tokens"]) for x in got] == [(r["doc_id"], len(r["ids"])) for r in read]
+    for x in got:
+        ids = np.array(flat[x["start"] : x["start"] + x["n_tokens"]], "<u4")
+        assert ids[-1] == 1 and (ids[:-1] != 1).all() and zlib.crc32(ids.tobytes()) == x["ids_crc32"]
+
+
 def test_reads_are_pruned(spark, docs):
     path = new_path(spark, "t")
     orc_tokens.write_tokens(docs([(i, f"text {i}") for i in range(50)]), path)
