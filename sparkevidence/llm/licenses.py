@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkevidence.llm.shared import small_batches, text_or_empty
@@ -19,19 +19,57 @@ from sparkevidence.llm.shared import small_batches, text_or_empty
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrase to label. Fixed values.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Short notices of the fuzzy search: text to (label, edits allowed). Fixed values.
+#: The short notices that are looked for unless a caller names another table: text to (label, edits allowed). Fixed values.
 NOTICES = {
     "gnu general public license": ("gpl", 2),
+    "gnu gpl version 2": ("gpl", 1),
+    "gnu gpl version 3": ("gpl", 1),
+    "this program is free software you can redistribute it and or modify it": ("gpl", 4),
     "gnu lesser general public license": ("lgpl", 2),
+    "gnu library general public license": ("lgpl", 2),
+    "gnu affero general public license": ("agpl", 2),
+    "gnu free documentation license": ("gfdl", 2),
     "apache license version 2.0": ("apache", 2),
     "licensed under the apache license": ("apache", 2),
     "permission is hereby granted free of charge": ("mit", 4),
     "released under the mit license": ("mit", 2),
+    "licensed under the mit license": ("mit", 2),
+    "permission to use copy modify and or distribute this software for any purpose": ("isc", 4),
+    "released under the isc license": ("isc", 2),
     "redistribution and use in source and binary forms": ("bsd", 4),
+    "released under the bsd license": ("bsd", 2),
+    "neither the name of the copyright holder nor the names of its contributors": ("bsd", 4),
     "mozilla public license": ("mpl", 2),
+    "eclipse public license": ("epl", 2),
+    "common development and distribution license": ("cddl", 3),
+    "common public license version 1.0": ("cpl", 2),
+    "european union public licence": ("eupl", 2),
+    "boost software license": ("boost", 2),
+    "academic free license": ("afl", 2),
+    "open software license": ("osl", 2),
+    "artistic license 2.0": ("artistic", 1),
+    "python software foundation license": ("psf", 2),
+    "sil open font license": ("ofl", 2),
+    "server side public license": ("sspl", 2),
+    "business source license": ("busl", 2),
+    "microsoft public license": ("ms-pl", 2),
+    "this is free and unencumbered software released into the public domain": ("unlicense", 4),
+    "dedicated to the public domain": ("public-domain", 2),
+    "creative commons zero": ("cc0", 2),
+    "cc0 1.0 universal": ("cc0", 1),
     "creative commons attribution": ("cc-by", 2),
+    "creative commons attribution sharealike": ("cc-by-sa", 3),
+    "creative commons attribution share alike": ("cc-by-sa", 3),
+    "creative commons attribution noncommercial": ("cc-by-nc", 3),
+    "creative commons attribution non commercial": ("cc-by-nc", 3),
+    "creative commons attribution noderivatives": ("cc-by-nd", 3),
+    "open database license": ("odbl", 2),
+    "community data license agreement": ("cdla", 3),
+    "this software is provided as is without warranty of any kind": ("no-warranty", 4),
     "all rights reserved": ("proprietary", 1),
 }
+#: A table of notices is a rule table: it goes to every task, so it is refused above so many rows.
+MOST_NOTICES = 10_000
 _SEPARATORS = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -129,7 +167,7 @@ def normal(text: str) -> list[str]:
 
 def _scanned(phrases: dict[str, str], notices: dict[str, tuple[str, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(phrases, {" ".join(normal(p)): x for p, x in notices.items()})
+        scanner = Scanner(phrases, notices)
         for batch in batches:
             ids, rows = batch.column(0), []
             for text in batch.column(1).to_pylist():
@@ -147,14 +185,26 @@ def _scanned(phrases: dict[str, str], notices: dict[str, tuple[str, int]]):
     return run
 
 
-def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str, tuple[str, int]] = NOTICES) -> DataFrame:
+def notice_table(spark: SparkSession, notices: dict[str, tuple[str, int]] = NOTICES) -> DataFrame:
+    """The table (text, label, edits) of short notices."""
+    return spark.createDataFrame([(text, *rest) for text, rest in notices.items()], "text string, label string, edits int")
+
+
+def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans) for each row of docs (doc_id, text).
 
-    A-Z are lower-cased; words are runs of letters a-z, digits and characters beyond ASCII. spans are character ranges in the
-    words joined by single spaces. score is 1 with a base phrase, else one less the best notice's edits per character, else 0.
+    notices: a table (text, label, edits); rows that lack one of them, or a word, are no notices, of rows with one text the one with most
+    edits counts. A-Z are lower-cased; words are runs of letters a-z, digits and characters beyond ASCII. spans are character ranges in
+    the words joined by single spaces, with their label and edits. score is 1 with a base phrase, else one less the best notice's edits
+    per character, else 0.
     Nulls: a null text is empty (no words, no labels, score 0), a null doc_id stays. Repeated rows give equal rows; texts of any
     length are scanned whole; an empty table gives an empty result; other columns of docs are not looked at.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = (notice_table(spark) if notices is None else notices).select("text", "label", "edits").dropna().orderBy("edits", "label", "text").limit(MOST_NOTICES + 1).collect()
+    if len(rows) > MOST_NOTICES:
+        raise ValueError(f"more than {MOST_NOTICES} notices")
+    wanted = {" ".join(words): (r["label"], r["edits"]) for r in rows if (words := normal(r["text"]))}
     kind = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<start:int,end:int,label:string,edits:int>>"
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(_scanned(phrases, notices), kind)
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(_scanned(phrases, wanted), kind)

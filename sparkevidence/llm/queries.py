@@ -40,7 +40,7 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(_table(spark, sf_dir)).drop("spans")
+    return licenses.scan(_table(spark, sf_dir))
 
 
 def op9_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:

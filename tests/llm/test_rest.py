@@ -406,3 +406,11 @@ def test_cotraining_against_a_plain_loop(docs, spark, monkeypatch):
         p[target] = 1 / (1 + np.exp(-np.clip(z - np.log(prior / (1 - prior)), -30, 30)))
     assert max(abs(got[i]["quality"] - p["quality"][i]) for i in got) < 1e-3
     assert max(abs(got[i]["toxic"] - p["toxic"][i]) for i in got) < 1e-3
+
+
+def test_notices_come_from_a_table(docs, spark):
+    table = spark.createDataFrame([("Example Public Licence, 1.1", "epl-1", 2), ("example public licence 1.1", "epl-1", 1), (None, "x", 1), ("no label", None, 1), ("...", "y", 1)], "text string, label string, edits int")
+    got = {r["doc_id"]: r for r in licenses.scan(docs([(1, "under the exampel Public licence 1.1 here"), (2, "mozilla public license")]), notices=table).collect()}
+    assert got[1]["labels"] == "epl-1" and [s.asDict() for s in got[1]["spans"]] == [{"start": 10, "end": 36, "label": "epl-1", "edits": 2}] and got[2]["labels"] == ""
+    usual = {r["doc_id"]: r["labels"] for r in licenses.scan(docs([(1, "GNU Affero General Public Licence v3"), (2, "Creative Commons Attribution-ShareAlike 4.0"), (3, "Boost Software Licence"), (4, "nothing of the kind")])).collect()}
+    assert "agpl" in usual[1] and "cc-by-sa" in usual[2] and usual[3] == "boost" and usual[4] == ""
