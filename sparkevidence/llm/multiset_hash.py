@@ -1,9 +1,9 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs (operator 9, DataFrame functions only).
 
-A paragraph hashes to a wide vector of 48-bit values, all of its entries set. A fingerprint is the sum of its paragraphs' vectors,
-each entry modulo 2 ** 48. The order of paragraphs does not matter, and inserting or deleting one is adding or subtracting its
-vector. Fingerprints tell whether two texts have the same paragraphs; how many they have in common is told by a hash of each
-paragraph, carried beside the fingerprint, at every length of texts.
+A paragraph hashes to a wide vector: WIDTH values of 48 bits, all of them set, and SKETCH small ones, of which one is 1 or -1. A
+fingerprint is the sum of its paragraphs' vectors, wide entries modulo 2 ** 48, small ones modulo 2 ** 32. The order of paragraphs does
+not matter, and inserting or deleting one is adding or subtracting its vector. The wide entries tell whether two texts have the same
+paragraphs; the small ones are a linear sketch, whose inner products estimate how many paragraphs texts have in common.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from sparkevidence.llm.shared import bucket_count, saved, text_or_empty, unit_in
 
 WIDTH = 32
 BITS = 48
+#: Small entries. An estimated likeness is off by about one over the square root of their number.
+SKETCH = 256
 #: Most ranges of doc_id, a power of two; their bounds are one array.
 RANGES = 1 << 13
 _MASK = (1 << BITS) - 1
@@ -25,7 +27,7 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.split(text, r"\n+|(?<=[.!?])[ \t]+"), lambda x: x != "")
 
 
-def fingerprint(text: Column) -> Column:
+def _wide(text: Column) -> Column:
     """array<bigint> of WIDTH entries below 2 ** BITS; all zero for a text without paragraphs."""
     two = F.transform(paragraphs(text), lambda p: F.struct(F.xxhash64(F.lit("place"), p).alias("a"), F.xxhash64(F.lit("value"), p).alias("b")))
     zero = F.array_repeat(F.lit(0).cast("long"), WIDTH)
@@ -33,39 +35,59 @@ def fingerprint(text: Column) -> Column:
     return F.aggregate(two, zero, lambda acc, p: F.transform(acc, lambda x, i: (x + entry(p, i)).bitwiseAND(F.lit(_MASK))))
 
 
-def _let(value: Column, then) -> Column:
-    """then(value), with value worked out once however often it is used."""
-    return F.element_at(F.transform(F.array(value), then), 1)
+def _entries(codes: Column) -> Column:
+    """Sums of codes (place * 2 ** 33 + value, each value between -2 ** 32 and 2 ** 32), place by place, in order; zeros are left out."""
+    long = lambda x: F.lit(x).cast("long")
+    value = lambda c, at: c - F.shiftleft(at, 33)
+    at = lambda c: F.shiftright(c + F.lit(1 << 32), 33)
+    put = lambda s: F.when(s["v"] == 0, s["out"]).otherwise(F.concat(s["out"], F.array(F.shiftleft(s["at"], 33) + s["v"])))
+    state = lambda out, place, v: F.struct(out.alias("out"), place.alias("at"), v.alias("v"))
+    start = state(F.array().cast("array<bigint>"), long(-1), long(0))
+    step = lambda s, c: F.when(at(c) == s["at"], state(s["out"], s["at"], s["v"] + value(c, at(c)))).otherwise(state(put(s), at(c), value(c, at(c))))
+    return F.aggregate(F.array_sort(codes), start, step, put)
+
+
+def _sketch(text: Column) -> Column:
+    """array<bigint>: the small entries that are not zero, as place * 2 ** 33 + value."""
+    hashed = F.transform(paragraphs(text), lambda p: F.xxhash64(F.lit("mark"), p))
+    return _entries(F.transform(hashed, lambda h: F.shiftleft(F.pmod(h, F.lit(SKETCH)).cast("long"), 33) + F.when(h > 0, 1).otherwise(-1)))
+
+
+def fingerprint(text: Column) -> Column:
+    """struct<wide: array<bigint>, small: array<bigint>>: the WIDTH wide entries, and the small entries that are not zero."""
+    return F.struct(_wide(text).alias("wide"), _sketch(text).alias("small"))
 
 
-def marks(text: Column) -> Column:
-    """array<bigint>: a hash of each paragraph and of how many like it come before, so that repeated ones count as often as they are there."""
-    ordered = F.array_sort(F.transform(paragraphs(text), lambda p: F.xxhash64(F.lit("mark"), p)))
-    at = lambda s, i: F.get(s, i.cast("int"))
-    begins = lambda s: F.filter(F.transform(s, lambda x, i: F.when((i > 0) & (at(s, i - 1) == x), -1).otherwise(i)), lambda i: i >= 0)
-    numbered = lambda s, b: F.flatten(F.transform(b, lambda i, j: F.transform(F.sequence(i, F.coalesce(at(b, j + 1), F.size(s)) - 1), lambda k: F.xxhash64(at(s, k), k - i))))
-    return _let(ordered, lambda s: _let(begins(s), lambda b: numbered(s, b)))
+def _negated(small: Column) -> Column:
+    """The same places with their values negated."""
+    return F.transform(small, lambda c: F.shiftleft(F.shiftright(c + F.lit(1 << 32), 33), 34) - c)
 
 
 def plus(a: Column, b: Column) -> Column:
     """The fingerprint of both texts' paragraphs together."""
-    return F.zip_with(a, b, lambda x, y: (x + y).bitwiseAND(F.lit(_MASK)))
+    wide = F.zip_with(a["wide"], b["wide"], lambda x, y: (x + y).bitwiseAND(F.lit(_MASK)))
+    return F.struct(wide.alias("wide"), _entries(F.concat(a["small"], b["small"])).alias("small"))
 
 
 def minus(a: Column, b: Column) -> Column:
     """The fingerprint of a's paragraphs after those of b are deleted."""
-    return F.zip_with(a, b, lambda x, y: (x - y + F.lit(1 << BITS)).bitwiseAND(F.lit(_MASK)))
+    wide = F.zip_with(a["wide"], b["wide"], lambda x, y: (x - y + F.lit(1 << BITS)).bitwiseAND(F.lit(_MASK)))
+    return F.struct(wide.alias("wide"), _entries(F.concat(a["small"], _negated(b["small"]))).alias("small"))
 
 
 def as_text(a: Column) -> Column:
-    return F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x)), BITS // 4, "0")), "")
+    """Hexadecimal digits: 12 for each wide entry, then, after a hyphen, 16 for each small entry with its place."""
+    digits = lambda x, n: F.lpad(F.lower(F.hex(x)), n, "0")
+    return F.concat(F.array_join(F.transform(a["wide"], lambda x: digits(x, BITS // 4)), ""), F.lit("-"), F.array_join(F.transform(a["small"], lambda x: digits(x, 16)), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Of the paragraphs of two texts, by their marks, the share that both have; 1 if there are none."""
-    same = F.size(F.array_intersect(a, b))
-    every = F.size(a) + F.size(b) - same
-    return F.when(every == 0, 1.0).otherwise(same / F.greatest(every, F.lit(1)))
+    """Of two fingerprints, between 0 and 1: their sketches' inner product by the sum of their squares without it (Tanimoto), an estimate
+    of the common paragraphs' share of all where none is repeated; 1 for equal fingerprints."""
+    square = lambda small: F.aggregate(small, F.lit(0.0), lambda s, c: s + F.pow((c - F.shiftleft(F.shiftright(c + F.lit(1 << 32), 33), 33)).cast("double"), 2))
+    every = square(a["small"]) + square(b["small"])
+    apart = square(_entries(F.concat(a["small"], _negated(b["small"]))))
+    return F.when(a["wide"] == b["wide"], 1.0).when(every == 0, 0.0).otherwise(F.greatest((every - apart) / (every + apart), F.lit(0.0)))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -98,11 +120,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     wanted = following.select("before", F.col("k.doc_id").alias("w_id"), F.col("k.sha").alias("w_sha"))
     heads = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("sha") == F.col("w_sha"))).select("before", "doc_id", "text").dropDuplicates(["before"])
     tail = heads.select(F.col("before").alias("bucket"), F.lit(1).alias("tail"), F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("sha"), "text")
-    both = rows.select("bucket", F.lit(0).alias("tail"), "doc_id", "sha", "text").union(tail).withColumn("fp", fingerprint(F.col("text"))).withColumn("marks", marks(F.col("text")))
+    both = rows.select("bucket", F.lit(0).alias("tail"), "doc_id", "sha", "text").union(tail).withColumn("fp", fingerprint(F.col("text")))
     along = Window.partitionBy("bucket").orderBy("tail", F.col("doc_id").asc_nulls_last(), "sha")
-    both = both.select("*", F.lead("text").over(along).alias("next_text"), F.lead("marks").over(along).alias("next_marks")).where("tail = 0")
+    both = both.select("*", F.lead("text").over(along).alias("next_text"), F.lead("fp").over(along).alias("next_fp")).where("tail = 0")
     n = F.length("text")
     q = F.floor(n / 4).cast("int")
-    both = both.select("doc_id", n.cast("long").alias("n_chars"), "fp", "marks", "next_marks", F.concat(F.substring("text", F.lit(1), n - q), F.substring("next_text", F.lit(1), q)).alias("edited"))
-    both = both.select("doc_id", "n_chars", "fp", "marks", "next_marks", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), fingerprint(F.col("edited")).alias("edited_fp"), marks(F.col("edited")).alias("edited_marks"))
-    return both.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"), likeness(F.col("marks"), F.col("edited_marks")).alias("near_edited"), likeness(F.col("marks"), F.col("next_marks")).alias("near_next"))
+    both = both.select("doc_id", n.cast("long").alias("n_chars"), "fp", "next_fp", F.concat(F.substring("text", F.lit(1), n - q), F.substring("next_text", F.lit(1), q)).alias("edited"))
+    both = both.select("doc_id", "n_chars", "fp", "next_fp", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), fingerprint(F.col("edited")).alias("edited_fp"))
+    return both.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
