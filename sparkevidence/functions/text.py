@@ -156,3 +156,9 @@ def trigrams(text: Column) -> Column:
     n = F.length(text) + 1
     join = lambda x, y: F.concat(x, y)
     return F.array_distinct(F.zip_with(F.zip_with(F.slice(c, 1, n), F.slice(c, 2, n), join), F.slice(c, 3, n), join))
+
+
+def word_trigrams(text: Column) -> Column:
+    """Distinct trigrams of the lower-cased words, each with two spaces before and one after it."""
+    padded = F.transform(F.array_distinct(tokens(text)), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+    return F.array_distinct(F.flatten(F.transform(padded, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, F.lit(3))))))
