@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkevidence.functions import urls
 from sparkevidence.operators import lifecycle
 from sparkevidence.plans import corpus
 from sparkevidence.plans.base import query
@@ -184,3 +185,26 @@ def link_frontier(spark, sf_dir):
     pairs = d.select(F.col("doc_id").alias("url")).crossJoin(F.broadcast(n)).select("url", F.explode(F.array((F.col("url") * 7 + 3) % F.col("n"), (F.col("url") * 3 + 1) % F.col("n"))).alias("target"))
     starts = d.where("doc_id % 50 = 0").select("source", F.col("doc_id").alias("url"))
     return lifecycle.link_frontier(pairs, starts, 3, 100)
+
+
+_HREF = """SELECT page_id, url, unnest(range(len(h))) AS link_no, unnest(h) AS href FROM (SELECT page_id, url, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS h FROM pages WHERE strlen(html) <= 2000000)"""
+#: On the given pages all references start at the root of their host.
+_TARGETS = f"""targets AS (SELECT page_id, link_no, href, regexp_extract(url, '^(https?://[^/?#]+)', 1) || href AS target FROM ({_HREF}))"""
+
+
+@query(f"WITH {_TARGETS} SELECT * FROM targets")
+def page_links(spark, sf_dir):
+    """Every link of every stored page, resolved against the page."""
+    return P.page_links(P.extract_pages(P.screened(corpus.table(spark, sf_dir, "pages"))))
+
+
+@query(f"""WITH {_TARGETS}, page AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS source, regexp_replace(url, '#.*$', '') AS url FROM pages),
+    starts AS (SELECT DISTINCT source, url, 0 AS depth FROM page), next AS (SELECT DISTINCT source, target AS url, 1 AS depth FROM targets JOIN page USING (page_id)),
+    seen AS (SELECT * FROM starts UNION ALL SELECT * FROM next WHERE (source, url) NOT IN (SELECT (source, url) FROM starts))
+    SELECT source, url, depth FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY depth, url) AS r FROM seen) WHERE r <= 100""")
+def page_frontier(spark, sf_dir):
+    """The pages of each host and what their links lead to, breadth first, at most 100 addresses a host (the crawl limit)."""
+    pages = P.extract_pages(P.screened(corpus.table(spark, sf_dir, "pages")))
+    at = pages.select("page_id", F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("source"), urls.without_fragment(F.col("url")).alias("url"))
+    links = P.page_links(pages).select("page_id", "target").join(at, "page_id").select("source", "url", "target").distinct()
+    return lifecycle.link_frontier(links, at.select("source", "url"), 2, 100)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkevidence.functions import urls
+
 #: Elements whose text is not content. Fixed values.
 SKIPPED = {"nav", "script", "style", "noscript", "svg", "form", "button", "footer", "header", "aside", "iframe"}
 BLOCKS = {"p", "li", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "blockquote", "dt", "dd"}
@@ -104,3 +106,11 @@ def url_allowed(url: Column, domains: Column) -> Column:
     on = F.exists(domains, lambda d: (host == d) | host.endswith(F.concat(F.lit("."), d)))
     private = F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(x) for x in PRIVATE]))
     return url.rlike("^https?://") & on & ~private & ~path.rlike(BINARY)
+
+
+def page_links(extracted: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, link_no, href, target): each link of extracted pages in order, resolved against its page; references that lead to no page,
+    and addresses that are not http or https, are left out. target has no fragment."""
+    links = extracted.select(key, "url", F.posexplode("links").alias("link_no", "href")).where(~F.col("href").rlike(urls.NO_PAGE))
+    target = urls.without_fragment(urls.resolved(F.col("url"), F.col("href")))
+    return links.select(key, "link_no", "href", target.alias("target")).where(F.col("target").rlike("^https?://"))
