@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkevidence.functions import text as T
-from sparkevidence.operators import chunk_quality, terms
+from sparkevidence.operators import chunk_quality, markup, terms
 from sparkevidence.plans import corpus
 from sparkevidence.plans.base import query
 from sparkevidence.plans.corpus import with_sql
@@ -155,8 +155,9 @@ _TECH_SQL = "(" + " OR ".join(f"regexp_matches(content, '{s}')" for s in chunk_q
 _WIDGET_SQL = "(" + " OR ".join(f"contains(lower(content), '{w}')" for w in chunk_quality.WIDGETS) + ")"
 _QUALITY_CTE = f"""q0 AS (SELECT *, {_TECH_SQL} AS technical, len(regexp_extract_all(content, '\\p{{L}}{{3,}}')) AS useful_words, len(list_filter(string_split(regexp_replace(content, '([.!?\\n])', '\\1' || chr(1), 'g'), chr(1)), lambda p: right(p, 1) IN ('.', '!', '?') AND len(regexp_extract_all(p, '\\p{{L}}+')) >= 6)) > 0 AS descriptive,
     trim(content) = trim(heading) AS title_only, len(list_filter(string_split(content, chr(10)), lambda x: starts_with(x, '#'))) * 2 > len(string_split(content, chr(10))) AS mostly_headings, {_WIDGET_SQL} AS widget,
-    regexp_matches(content, '(?i)</?(div|span|script|style|nav|table|iframe)[ >/]') AS raw_html, len(regexp_extract_all(content, '[^ \\n]+')) < 8 AS very_short, len(content) > 12000 AS huge FROM chunks),
+    regexp_matches(content, '{markup.SIGNAL}') AS raw_html, len(regexp_extract_all(content, '[^ \\n]+')) < 8 AS very_short, len(content) > 12000 AS huge FROM chunks),
     q AS (SELECT *, useful_words < 5 AS no_useful_text, NOT technical AND (widget OR title_only OR mostly_headings OR (useful_words < 7 AND NOT descriptive)) AS low_value FROM q0)"""
+_NOISE = "regexp_matches(content, '(?i)\\bprevious\\b[^\\n]+\\bnext\\b') OR " + " OR ".join(f"contains(lower(content), '{m}')" for m in chunk_quality.NAVIGATION)
 _QUALITY_COLUMNS = "document_id, chunk_index, technical, useful_words, descriptive, title_only, mostly_headings, widget, raw_html, low_value, very_short, no_useful_text, huge"
 
 
@@ -185,3 +186,29 @@ def normalize_urls(spark, sf_dir):
     p = corpus.table(spark, sf_dir, "pages")
     bare = F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "/+$", "")
     return p.select("page_id", bare.alias("bare"), T.url_domain(F.col("url")).alias("domain"), T.normalize_url(F.col("url")).alias("normal_url"))
+
+
+_ADDRESSED = "CASE WHEN document_id % 29 = 7 THEN NULL ELSE 'https://' || source_name || '.example/' || document_key END AS source_url"
+_KINDS = ("raw_html", "nav_footer", "generator", "empty", "very_short", "title_only", "no_useful_text", "huge", "code")
+_FAILS = {k: f"{k} > 0" for k in ("raw_html", "empty", "missing_url", "labels_without_url", "duplicate_active_keys")}
+_WARNS = {"title_only": "title_only_share > 0.15", "very_short": "very_short_share > 0.25", "no_useful_text": "no_useful_text_share > 0.15", "archived": "archived_ratio > 3", "nav_footer": "nav_footer > 0", "generator": "generator > 0", "huge": "huge > 0", "no_code": "technical_source AND code = 0"}
+_named = lambda tests: "concat_ws(',', " + ", ".join(f"CASE WHEN {t} THEN '{k}' END" for k, t in tests.items()) + ")"
+
+
+@query(with_sql("docs", "chunks", then=f""", {_QUALITY_CTE}, d AS (SELECT *, {_ADDRESSED} FROM docs),
+    qq AS (SELECT q.*, {_NOISE} AS nav_footer, {" OR ".join(f"contains(lower(content), '{g}')" for g in chunk_quality.GENERATORS)} AS generator, trim(content) = '' AS empty, contains(content, '```') AS code FROM q WHERE document_id IN (SELECT document_id FROM docs WHERE status = 'active')),
+    a AS (SELECT source_name, count(*) FILTER (WHERE status = 'active') AS active_documents, count(*) FILTER (WHERE status = 'archived') AS archived_documents, count(*) FILTER (WHERE status = 'active' AND source_url IS NULL) AS missing_url,
+        count(*) FILTER (WHERE status = 'active' AND source_url IS NULL AND trim(title) <> '') AS labels_without_url, coalesce(bool_or(status = 'active' AND ({" OR ".join(f"contains(lower(title), '{w}')" for w in chunk_quality.TECHNICAL_WORDS)})), false) AS titled FROM d GROUP BY 1),
+    k AS (SELECT source_name, count(*) FILTER (WHERE n > 1) AS duplicate_active_keys FROM (SELECT source_name, document_key, count(*) AS n FROM d WHERE status = 'active' GROUP BY 1, 2) GROUP BY 1),
+    c AS (SELECT source_name, count(*) AS chunks, {", ".join(f"count(*) FILTER (WHERE {x}) AS {x}" for x in _KINDS)}, bool_or(technical) AS shown FROM qq GROUP BY 1),
+    f AS (SELECT source_name, document_id, chunk_index, unnest(list_filter([{", ".join(f"CASE WHEN {x} THEN '{x}' END" for x in _KINDS[:8])}], lambda x: x IS NOT NULL)) AS kind FROM qq),
+    s AS (SELECT source_name, string_agg(x, '; ' ORDER BY x) AS samples FROM (SELECT source_name, kind || ' ' || lpad(document_id::VARCHAR, 12, '0') || '#' || lpad(chunk_index::VARCHAR, 6, '0') AS x, row_number() OVER (PARTITION BY source_name, kind ORDER BY document_id, chunk_index) AS r FROM f) WHERE r <= 10 GROUP BY 1),
+    m AS (SELECT a.*, coalesce(duplicate_active_keys, 0) AS duplicate_active_keys, {", ".join(f"coalesce({x}, 0) AS {x}" for x in ("chunks", *_KINDS))}, titled OR coalesce(shown, false) AS technical_source, coalesce(samples, '') AS samples,
+        {", ".join(f"round(coalesce({x} / chunks, 0), 4) AS {x}_share" for x in ("very_short", "title_only", "no_useful_text"))}, round(coalesce(archived_documents / nullif(active_documents, 0), 0), 4) AS archived_ratio FROM a LEFT JOIN k USING (source_name) LEFT JOIN c USING (source_name) LEFT JOIN s USING (source_name)),
+    v AS (SELECT * EXCLUDE (titled), {_named(_FAILS)} AS failures, {_named(_WARNS)} AS warnings FROM m)
+    SELECT *, CASE WHEN failures <> '' THEN 'FAIL' WHEN warnings <> '' THEN 'WARN' ELSE 'PASS' END AS verdict FROM v"""))
+def validate_sources(spark, sf_dir):
+    """The 20 metrics, failures, warnings, samples and verdict of each source."""
+    d = corpus.documents(spark, sf_dir)
+    url = F.when(F.col("document_id") % 29 != 7, F.concat(F.lit("https://"), "source_name", F.lit(".example/"), "document_key"))
+    return chunk_quality.validation(d.withColumn("source_url", url), corpus.chunks(spark, sf_dir))
