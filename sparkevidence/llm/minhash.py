@@ -22,6 +22,8 @@ from sparkevidence.llm.shared import arrow_bytes, components, saved, slices, sma
 ROWS, BANDS = 6, 40
 #: Members of a bucket that one task compares, and shingles that they have; larger buckets are dealt out as pairs of blocks.
 BLOCK, BLOCK_SHINGLES = 4096, 1 << 20
+#: Bytes of text that are hashed at once (or one longer text); working arrays take some fifty times as much.
+SLICE = 1 << 20
 _SEEDS = mix(np.arange(1, 4097, dtype=U) * U(BASE2))
 
 
@@ -59,7 +61,7 @@ def _described(k: int, rows: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = arrow_bytes(batch.column(1))
-            for a, b in slices(offsets, 4 << 20):
+            for a, b in slices(offsets, SLICE):
                 words, at = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 n, s1, s2, keys = [], [], [], []
                 for i in range(b - a):
@@ -79,7 +81,7 @@ def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = arrow_bytes(batch.column(1))
-            for a, b in slices(offsets, 4 << 20):
+            for a, b in slices(offsets, SLICE):
                 words, at = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 sets = [shingle_hashes(words[at[i] : at[i + 1]], k).tobytes() for i in range(b - a)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(sets, pa.binary())], names=["doc_id", "shingles"])

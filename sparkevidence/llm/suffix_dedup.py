@@ -34,7 +34,7 @@ PASSAGE_GRAM = 8
 #: Contexts of one anchor that one shard takes; more are spread over several shards, which are merged.
 SHARD_CONTEXTS = 2048
 #: Bytes of text that are hashed at once, and of contexts whose suffixes are sorted at once.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 SHARD_BYTES = 1 << 20
 LONGEST = 4 << 20
 _GAP = np.iinfo(np.int64).max
