@@ -72,8 +72,9 @@ def root(token: Column) -> Column:
 
 
 def significant_terms(text: Column) -> Column:
-    """Distinct tokens in order of first use, without stopwords, digits and single characters."""
-    return F.array_distinct(F.filter(tokens(text), lambda t: (F.length(t) > 1) & ~t.isin(*STOPWORDS) & ~t.rlike("^[0-9]+$")))
+    """Distinct tokens in order of first use, without stopwords, digits and single characters. Only tokens that begin below the letters
+    are looked at for digits."""
+    return F.filter(F.array_distinct(tokens(text)), lambda t: (F.length(t) > 1) & ((t > ":") | ~t.rlike("^[0-9]+$")) & ~t.isin(*STOPWORDS))
 
 
 def exact_terms(text: Column, most: int = 12) -> Column:

@@ -22,10 +22,17 @@ def term_occurrences(chunks: DataFrame) -> DataFrame:
     whole = lambda s: r"(?<![\p{L}\p{N}_])(?:" + s.strip("^$") + r")(?![\p{L}\p{N}_])"
     found = [F.transform(F.regexp_extract_all("content", F.lit(whole(s)), F.lit(0)), F.lower).alias(f"raw{k}") for k, _, s in RAW_SHAPES]
     rows = chunks.select("document_id", "chunk_index", "course", T.significant_terms(F.col("content")).alias("terms"), *found)
-    shape = F.lit(0)
-    for k, _, _ in reversed(RAW_SHAPES):
-        shape = F.when(F.array_contains(F.col(f"raw{k}"), F.col("term")), k).otherwise(shape)
-    return rows.select("document_id", "chunk_index", "course", *[f"raw{k}" for k, _, _ in RAW_SHAPES], F.explode("terms").alias("term")).select("term", "document_id", "chunk_index", "course", shape.alias("shape"))
+
+    def shape(term: Column) -> Column:
+        out = F.lit(0)
+        for k, _, _ in reversed(RAW_SHAPES):
+            out = F.when(F.array_contains(F.col(f"raw{k}"), term), k).otherwise(out)
+        return out
+
+    # The shape is told inside the array, and only where a chunk has a shaped token at all, so the arrays of these go no further.
+    plain = F.size(F.concat(*[F.col(f"raw{k}") for k, _, _ in RAW_SHAPES])) == 0
+    told = F.when(plain, F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(0).alias("shape")))).otherwise(F.transform("terms", lambda t: F.struct(t.alias("term"), shape(t).alias("shape"))))
+    return rows.select("document_id", "chunk_index", "course", F.explode(told).alias("t")).select("t.term", "document_id", "chunk_index", "course", "t.shape")
 
 
 def term_statistics(chunks: DataFrame, roots: DataFrame | None = None) -> DataFrame:
