@@ -218,19 +218,9 @@ def fingerprints(media: DataFrame, phases: int = 1) -> DataFrame:
 FEWEST = 25
 
 
-def search(media: DataFrame, every: int = 50, error: float = 0.25) -> DataFrame:
-    """One row for each recording of media (doc_id, wav) whose doc_id is divisible by `every`, searched among all others:
-    (doc_id, n_codes, class_id, n_copies, n_matches, best_id, best_offset, best_votes, best_error).
-
-    Recordings with equal codes are one class, known by its least doc_id; n_copies counts the others in it. One of a class's queries
-    is fingerprinted at every phase of the hop, so that a copy that starts between two frames is found too. A match is another class
-    that shares landmarks, one to FEWEST codes of the overlap at least and one in any case, aligned at the offset (in samples) with most
-    votes, the least on ties, at which at most `error` of the
-    bits of the overlapping codes differ (recordings that have nothing in common differ in about 0.34 of theirs, in 0.29 at their best
-    offset); best is the match with the fewest errors (then most votes, least id). Rows with a null doc_id are no queries and are not
-    found; rows that repeat a doc_id count as copies, as do all null, empty or broken files among themselves. Recordings of any length
-    are searched whole. Empty tables give an empty result.
-    """
+def _searched(media: DataFrame, every: int, error: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fingerprints, classes and matches (q, r, votes, offset, error) of the queries among all classes but their own: of each pair the
+    offset with the fewest errors among all that have landmarks enough."""
     prints = saved(fingerprints(media.where("doc_id is not null")).withColumn("n_codes", F.size("codes")), "prints")
     asking = F.pmod("doc_id", F.lit(every)) == 0
     classes = prints.groupBy("s1", "s2", "n_codes").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n"), F.min(F.when(asking, F.col("doc_id"))).alias("asker"))
@@ -246,16 +236,38 @@ def search(media: DataFrame, every: int = 50, error: float = 0.25) -> DataFrame:
     asked = queries.select("q", "own", "phase", F.size("codes").alias("q_n"), F.explode("marks").alias("m")).select("q", "own", "phase", "q_n", F.col("m.h").alias("h"), F.col("m.at").alias("q_at"))
     step = F.col("r_at") - F.col("q_at")
     overlap = F.least("q_n", F.col("r_n") - step) - F.greatest(-step, F.lit(0))
-    votes = asked.join(all_marks, "h").where("own <> r").groupBy("q", "r", (step * HOP - F.col("phase")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"), F.first(overlap).alias("n")).where(F.col("votes") * FEWEST >= F.col("n"))
-    best = votes.groupBy("q", "r").agg(F.max(F.struct("votes", (-F.col("offset")).alias("o"))).alias("b")).select("q", "r", F.col("b.votes").alias("votes"), (-F.col("b.o")).alias("offset"))
-    best = best.withColumn("phase", F.pmod(-F.col("offset"), F.lit(HOP)).cast("int"))
-    pairs = best.join(queries.select("q", "phase", F.col("codes").alias("q_codes")), ["q", "phase"]).join(led("codes").select("r", "s1", "s2", F.col("codes").alias("r_codes")).dropDuplicates(["r", "s1", "s2"]), "r")
+    votes = asked.join(all_marks, "h").where("own <> r").groupBy("q", "r", (step * HOP - F.col("phase")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"), F.first(overlap).alias("n"))
+    aligned = votes.where(F.col("votes") * FEWEST >= F.col("n")).select("q", "r", "votes", "offset", F.pmod(-F.col("offset"), F.lit(HOP)).cast("int").alias("phase"))
+    pairs = aligned.join(queries.select("q", "phase", F.col("codes").alias("q_codes")), ["q", "phase"]).join(led("codes").select("r", "s1", "s2", F.col("codes").alias("r_codes")).dropDuplicates(["r", "s1", "s2"]), "r")
     steps = ((F.col("offset") + F.col("phase")) / HOP).cast("int")
     qa, ra = F.greatest(-steps, F.lit(0)), F.greatest(steps, F.lit(0))
     n = F.least(F.size("q_codes") - qa, F.size("r_codes") - ra)
     wrong = F.aggregate(F.zip_with(F.slice("q_codes", qa + 1, n), F.slice("r_codes", ra + 1, n), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     matched = pairs.select("q", "r", "votes", "offset", (wrong / (32 * n)).alias("error")).where(F.col("error") <= error)
-    matched = matched.groupBy("q", "r").agg(F.min(F.struct("error", "votes", "offset")).alias("m")).select("q", "r", "m.votes", "m.offset", "m.error")
+    matched = matched.groupBy("q", "r").agg(F.min(F.struct("error", (-F.col("votes")).alias("v"), "offset")).alias("m"))
+    return prints, classes, matched.select("q", "r", (-F.col("m.v")).alias("votes"), "m.offset", "m.error")
+
+
+def matches(media: DataFrame, every: int = 50, error: float = 0.25) -> DataFrame:
+    """(query, match, votes, offset, error): all matches of one query of each class, as search counts them; match is a class."""
+    return _searched(media, every, error)[2].withColumnsRenamed({"q": "query", "r": "match"})
+
+
+def search(media: DataFrame, every: int = 50, error: float = 0.25) -> DataFrame:
+    """One row for each recording of media (doc_id, wav) whose doc_id is divisible by `every`, searched among all others:
+    (doc_id, n_codes, class_id, n_copies, n_matches, best_id, best_offset, best_votes, best_error).
+
+    Recordings with equal codes are one class, known by its least doc_id; n_copies counts the others in it. One of a class's queries
+    is fingerprinted at every phase of the hop, so that a copy that starts between two frames is found too. A match is another class
+    that, aligned at some offset (in samples), shares landmarks, one to FEWEST codes of the overlap at least and one in any case, and
+    differs in at most `error` of the bits of the overlapping codes. Every offset with so many landmarks is measured, so an alignment
+    counts whatever other passages the two share (recordings that have nothing in common differ in about 0.34 of the bits, in 0.29 at their best
+    offset). best is the match with the fewest errors (then most votes, least id). Rows with a null doc_id are no queries and are not
+    found; rows that repeat a doc_id count as copies, as do all null, empty or broken files among themselves. Recordings of any length
+    are searched whole. Empty tables give an empty result.
+    """
+    prints, classes, matched = _searched(media, every, error)
+    asking = F.pmod("doc_id", F.lit(every)) == 0
     top = matched.groupBy("q").agg(F.count(F.lit(1)).alias("n_matches"), F.min(F.struct("error", (-F.col("votes")).alias("v"), "r", "offset")).alias("b"))
     out = prints.where(asking).select("doc_id", "n_codes", "s1", "s2").join(classes, ["s1", "s2", "n_codes"]).join(top, F.col("asker") == F.col("q"), "left")
     return out.select(
