@@ -467,7 +467,7 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("sha256", F.sha2(F.encode("text", "utf-8"), 256)).withColumn("key", _key(F.col("sha256")))
     texts = rows.select("key", "text").where(F.octet_length("text") >= (min(length, 2 * words - 1) if words else length))
-    ranges = repeated(texts, length, gram, words, word_gram).groupBy("key").agg(F.collect_list(F.struct("words", "lo", "hi")).alias("ranges")).withColumnRenamed("key", "__key")
+    ranges = repeated(texts, length, gram, words, word_gram).groupBy("key").agg(F.collect_set(F.struct("words", "lo", "hi")).alias("ranges")).withColumnRenamed("key", "__key")
     changed = texts.join(ranges.hint("merge"), F.col("key") == F.col("__key")).select("key", "text", "ranges")
     changed = changed.mapInArrow(_kept, "key binary, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_words long, kept_text string")
     return rows.select("key", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "sha256"), changed
