@@ -53,19 +53,22 @@ def merge_catalogs(parts: list[DataFrame], key: str = "service_id") -> DataFrame
     return rows.groupBy(key).agg(*[first(c) for c in columns], F.countDistinct("_part").alias("catalogs"))
 
 
-def _phrases(rows: DataFrame, key: str, text: str, phrases: DataFrame, longest: int) -> DataFrame:
-    """(key, columns of phrases): phrases (phrase, ...) whose words stand in a row's text, by an equi join on word n-grams."""
+def _phrases(rows: DataFrame, key: str, text: str, phrases: DataFrame, longest: int | None) -> DataFrame:
+    """(key, columns of phrases): phrases (phrase, ...) whose words stand in a row's text, by an equi join on word n-grams, up to the length
+    of the longest phrase of the table where none is given."""
+    if longest is None:
+        longest = phrases.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 1
     words = rows.select(key, F.filter(F.split(glossary_text(F.col(text)), "[^\\p{L}\\p{N}_]+"), lambda x: x != "").alias("w"))
     spans = [F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " ")) for n in range(1, longest + 1)]  # noqa: B023
     grams = F.concat(*[F.when(F.size("w") >= n, s).otherwise(F.array().cast("array<string>")) for n, s in enumerate(spans, 1)])
     return words.select(key, F.explode(F.array_distinct(grams)).alias("phrase")).join(phrases.where("phrase <> ''"), "phrase")
 
 
-def enrich_questions(questions: DataFrame, aliases: DataFrame, rules: DataFrame, key: str = "question_id", text: str = "question", longest: int = 4) -> DataFrame:
+def enrich_questions(questions: DataFrame, aliases: DataFrame, rules: DataFrame, key: str = "question_id", text: str = "question", longest: int | None = None) -> DataFrame:
     """(key, services, exact_terms, config_terms, anchors): what a glossary adds to each question; none without a match.
 
     aliases: (service_id, phrase); rules: (service_id, rule_id, ordinal, phrase, kind, term), kind exact, config or anchor, phrases of up to
-    `longest` words. A service is confirmed where an alias and a rule's phrase both stand in the question; of a rule's phrases the
+    `longest` words, or of any number. A service is confirmed where an alias and a rule's phrase both stand in the question; of a rule's phrases the
     first by ordinal counts.
     """
     named = _phrases(questions, key, text, aliases.select("service_id", glossary_text(F.col("phrase")).alias("phrase")), longest).select(key, "service_id").distinct()

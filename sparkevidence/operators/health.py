@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkevidence.operators.retrieval import small
+
 DEFAULT_DAYS = 30
 
 
@@ -20,7 +22,7 @@ def source_health(status: DataFrame, policy: DataFrame, now_s: int, default: int
     The first that fits: unknown (nothing is known of the source, or no threshold), inactive, failed (quality FAIL), warning
     (quality WARN), stale (older than the threshold), healthy; an active source without a time is unknown.
     """
-    rows = status.join(F.broadcast(policy), "source_name", "left").withColumn("threshold", F.coalesce("days", F.lit(default))).drop("days")
+    rows = status.join(small(policy), "source_name", "left").withColumn("threshold", F.coalesce("days", F.lit(default))).drop("days")
     rows = rows.withColumn("age_days", age_days(F.col("latest_s"), now_s))
     state = (
         F.when((F.coalesce("total", F.lit(0)) == 0) | F.col("threshold").isNull(), "unknown")
