@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from sparkevidence.sources.cuts import cut
+
 
 def _seconds(column: str) -> Column:
     """Wall-clock seconds since 1970, for time stamps with or without a zone."""
@@ -38,13 +40,13 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     q.awaitTermination()
 
 
-#: Parts of a stored table by hash of the key; a micro-batch reads and writes those that its keys fall into.
+#: Parts of a stored table by hash of the key, unless a job is told otherwise; a micro-batch reads and writes those that its keys fall into.
 PARTS = 64
 _STORED = "document_key string, version int, status string, content_hash string, signature string"
 
 
-def _part(key: str = "document_key") -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")
+def _part(parts: int, key: str = "document_key") -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
 
 
 def stored_versions(spark: SparkSession, target: str, before: int | None = None, parts: list[int] | None = None) -> DataFrame:
@@ -58,23 +60,38 @@ def stored_versions(spark: SparkSession, target: str, before: int | None = None,
     return rows.join(F.broadcast(last), ["part", "g"], "left_semi").drop("part", "g")  # one row a part
 
 
-def ingest_stream(pages: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+def _drop_superseded(spark: SparkSession, target: str, number: int, parts: list[int]) -> None:
+    """Deletes, of the parts that a batch wrote, the generations before the one that it was planned against, which stays in case it runs again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for part in parts:
+        at = path(f"{target}/part={part}")
+        files = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        found = sorted(int(x.getPath().getName()[2:]) for x in files.listStatus(at) if x.getPath().getName().startswith("g="))
+        earlier = [g for g in found if g < number]
+        for g in earlier[:-1]:
+            files.delete(path(f"{target}/part={part}/g={g}"), True)
+
+
+def ingest_stream(pages: DataFrame, target: str, checkpoint: str, parts: int = PARTS) -> StreamingQuery:
     """Pages (document_key, content_hash, signature) arrive; each micro-batch is planned against the stored versions of the parts that
     its keys fall into, and these parts are written as a new generation, numbered by batch. A batch that runs twice writes the same
-    generation again; parts without pages are neither read nor written."""
+    generation again; parts without pages are neither read nor written, and of each part two generations are kept at most.
+
+    parts: of the table, the same for all its life; some hundred thousand keys a part keep a batch of few keys small.
+    """
     from sparkevidence.operators.lifecycle import apply_ingest
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        incoming = batch.dropDuplicates(["document_key"]).persist()
-        parts = [r[0] for r in incoming.select(_part()).distinct().collect()]  # PARTS at most
-        if parts:
+        incoming = cut(batch.dropDuplicates(["document_key"]), "incoming")
+        touched = [r[0] for r in incoming.select(_part(parts)).distinct().collect()]  # numbers of parts
+        if touched:
             at = spark._jvm.org.apache.hadoop.fs.Path(target)
             known = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
-            stored = stored_versions(spark, target, number, parts) if known else spark.createDataFrame([], _STORED)
-            out = apply_ingest(stored, incoming).withColumns({"part": _part(), "g": F.lit(number)})
+            stored = stored_versions(spark, target, number, touched) if known else spark.createDataFrame([], _STORED)
+            out = apply_ingest(stored, incoming).withColumns({"part": _part(parts), "g": F.lit(number)})
             out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "g").parquet(target)
-        incoming.unpersist()
+            _drop_superseded(spark, target, number, touched)
 
     return pages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -45,3 +45,14 @@ def test_ingest_stream(spark, tmp_path):
     parts = {r["part"] for r in spark.read.parquet(str(tmp_path / "t")).where("g = 2").select("part").distinct().collect()}
     assert len(parts) == 1  # the others are neither read nor written
     assert len(jobs.stored_versions(spark, str(tmp_path / "t")).collect()) == 4
+
+
+def test_superseded_generations_go(spark, tmp_path):
+    kind = "document_key string, content_hash string, signature string"
+    source, target = str(tmp_path / "in"), tmp_path / "table"
+    for i in range(4):
+        spark.createDataFrame([("a", f"h{i}", "s"), (f"k{i}", "h", "s")], kind).coalesce(1).write.mode("append").parquet(source)
+        jobs.ingest_stream(spark.readStream.schema(kind).parquet(source), str(target), str(tmp_path / "checkpoint"), parts=3).awaitTermination()
+    assert all(len(list(p.glob("g=*"))) <= 2 for p in target.glob("part=*"))
+    got = {(r["document_key"], r["version"], r["status"]) for r in jobs.stored_versions(spark, str(target)).collect()}
+    assert got == {("a", 1, "archived"), ("a", 2, "archived"), ("a", 3, "archived"), ("a", 4, "active")} | {(f"k{i}", 1, "active") for i in range(4)}
