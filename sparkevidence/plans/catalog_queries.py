@@ -204,7 +204,7 @@ def embed_batch(spark, sf_dir):
     return C.with_embedding(d, v, 64).select("doc_id", F.col("v").isNotNull().alias("embedded"))
 
 
-_CARD_TYPES = "list_filter([" + ", ".join(f"CASE WHEN {_any('low', marks)} THEN '{name}' END" for name, marks in Q.CONTENT_TYPES) + "], lambda x: x IS NOT NULL)"
+_CARD_TYPES = "list_filter([" + ", ".join(f"CASE WHEN {_any('low', marks)} THEN '{name}' END" for name, marks in Q.DEFAULT.content.items()) + "], lambda x: x IS NOT NULL)"
 
 
 @query(f"SELECT doc_id, array_to_string(({_CARD_TYPES})[1:3], ',') AS content_types FROM (SELECT doc_id, lower(text) AS low FROM documents)")

@@ -29,35 +29,35 @@ def _root(word: str) -> str:
     return word[:7] if len(word) >= 8 else word[:5] if len(word) >= 6 else word
 
 
-_MARKS = sorted({m[:6] for m in Q.ENVIRONMENT + Q.CONSTRAINTS} | {m[:6] for m, _ in Q.ACTIONS})
+_MARKS = sorted({m[:6] for m in Q.DEFAULT.environment + Q.DEFAULT.constraint} | {m[:6] for m, _ in Q.DEFAULT.action})
 _PLATFORM = r"(regexp_matches(t, '[0-9]') AND regexp_matches(t, '\p{L}'))"
-_GENERIC = f"list_contains({_list(sorted({_root(w) for w in Q.GENERIC}))}, {_CUT})"
+_GENERIC = f"list_contains({_list(sorted({_root(w) for w in Q.DEFAULT.generic}))}, {_CUT})"
 _MARKED = "(" + " OR ".join(f"starts_with(t, '{m}')" for m in _MARKS) + ")"
-_TASK = "CASE " + " ".join(f"WHEN {_any('low', marks)} THEN '{name}'" for name, marks in Q.TASKS) + " ELSE 'general' END"
-_ACTION = "CASE " + " ".join(f"WHEN contains(low, '{m}') THEN '{n}'" for m, n in Q.ACTIONS) + " ELSE '' END"
-_WANTED = "list_filter([" + ", ".join(f"CASE WHEN {_any('low', marks)} THEN '{name}' END" for name, marks in Q.CONTENT_TYPES) + "], lambda x: x IS NOT NULL)"
-_BY_TASK = "CASE task_type " + " ".join(f"WHEN '{t}' THEN {_list(k)}" for t, k in Q.TASK_CONTENT.items()) + " ELSE ['unknown'] END"
+_TASK = "CASE " + " ".join(f"WHEN {_any('low', marks)} THEN '{name}'" for name, marks in Q.DEFAULT.task.items()) + " ELSE 'general' END"
+_ACTION = "CASE " + " ".join(f"WHEN contains(low, '{m}') THEN '{n}'" for m, n in Q.DEFAULT.action) + " ELSE '' END"
+_WANTED = "list_filter([" + ", ".join(f"CASE WHEN {_any('low', marks)} THEN '{name}' END" for name, marks in Q.DEFAULT.content.items()) + "], lambda x: x IS NOT NULL)"
+_BY_TASK = "CASE task_type " + " ".join(f"WHEN '{t}' THEN {_list(k)}" for t, k in Q.DEFAULT.task_content.items()) + " ELSE ['unknown'] END"
 _FIRST = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
 _EXACT = T.EXACT.replace("++", "+")
 
 
 def _analysis_sql(name: str, source: str) -> str:
     """CTEs that end in one of this name: the rows of source, which have a question, analysed."""
-    keys0 = f"list_filter(list_transform(regexp_extract_all(low, '{Q.TOKEN}'), lambda t: trim(t, '.,:;!?()[]{{}}')), lambda t: t <> '' AND NOT list_contains({_list(Q.STOPWORDS)}, t))"
+    keys0 = f"list_filter(list_transform(regexp_extract_all(low, '{Q.TOKEN}'), lambda t: trim(t, '.,:;!?()[]{{}}')), lambda t: t <> '' AND NOT list_contains({_list(Q.DEFAULT.stopword)}, t))"
     first = lambda c: _FIRST.format(c)
     return f"""{name}0 AS (SELECT *, lower(question) AS low FROM {source}), {name}1 AS (SELECT *, {keys0} AS k0, {_TASK} AS task_type, {_ACTION} AS action, regexp_extract_all(question, '{_EXACT}') AS e0 FROM {name}0),
     {name}2 AS (SELECT *, ({first("k0")})[1:24] AS keys, ({first("e0")})[1:12] AS exact FROM {name}1),
     {name}3 AS (SELECT *, list_filter(keys, lambda t: {_PLATFORM}) AS platform, list_filter(keys, lambda t: {_GENERIC}) AS generic, (list_filter(keys, lambda t: NOT {_PLATFORM} AND NOT {_GENERIC} AND NOT {_MARKED}))[1:8] AS objects,
-        list_filter({_list(Q.ENVIRONMENT)}, lambda m: contains(low, m)) AS environment, list_filter({_list(Q.CONSTRAINTS)}, lambda m: contains(low, m)) AS constraints, {_any("low", Q.FRESH)} AS fresh,
-        CASE WHEN task_type = 'debug' THEN regexp_extract_all(question, '{Q.QUOTED.replace("'", "''")}', 1) ELSE []::VARCHAR[] END AS symptoms, {_any("low", Q.OFFICIAL)} OR task_type = 'source_check' AS official FROM {name}2),
-    {name}4 AS (SELECT *, coalesce(objects[2], '') AS attribute, official OR fresh OR {_any("low", dict(Q.CONTENT_TYPES)["external_docs"])} AS needs_external,
+        list_filter({_list(Q.DEFAULT.environment)}, lambda m: contains(low, m)) AS environment, list_filter({_list(Q.DEFAULT.constraint)}, lambda m: contains(low, m)) AS constraints, {_any("low", Q.DEFAULT.fresh)} AS fresh,
+        CASE WHEN task_type = 'debug' THEN regexp_extract_all(question, '{Q.QUOTED.replace("'", "''")}', 1) ELSE []::VARCHAR[] END AS symptoms, {_any("low", Q.DEFAULT.official)} OR task_type = 'source_check' AS official FROM {name}2),
+    {name}4 AS (SELECT *, coalesce(objects[2], '') AS attribute, official OR fresh OR {_any("low", Q.DEFAULT.content["external_docs"])} AS needs_external,
         list_filter([CASE WHEN task_type = 'debug' AND len(symptoms) = 0 THEN 'error text' END, CASE WHEN task_type = 'visual' THEN 'image' END], lambda x: x IS NOT NULL) AS missing,
-        list_filter([CASE WHEN len(regexp_extract_all(low, '{Q.TOKEN}')) <= 3 AND len(objects) = 0 THEN 'too_short' END, CASE WHEN {_any("low", Q.DEICTIC)} THEN 'refers_to_context' END], lambda x: x IS NOT NULL) AS ambiguity FROM {name}3),
+        list_filter([CASE WHEN len(regexp_extract_all(low, '{Q.TOKEN}')) <= 3 AND len(objects) = 0 THEN 'too_short' END, CASE WHEN {_any("low", Q.DEFAULT.deictic)} THEN 'refers_to_context' END], lambda x: x IS NOT NULL) AS ambiguity FROM {name}3),
     {name}5 AS (SELECT *, list_concat({_WANTED}, CASE WHEN needs_external THEN ['official_docs', 'external_docs'] ELSE []::VARCHAR[] END) AS w0 FROM {name}4),
     {name} AS (SELECT *, (CASE WHEN len(w0) > 0 THEN {first("w0")} ELSE {_BY_TASK} END)[1:4] AS content_types FROM {name}5)"""
 
 
-_SOCIAL = f"len(regexp_extract_all(low, '{Q.TOKEN}')) BETWEEN 1 AND 3 AND len(list_filter(regexp_extract_all(low, '{Q.TOKEN}'), lambda t: NOT list_contains({_list(Q.SOCIAL)}, trim(t, '.,:;!?()[]{{}}')))) = 0"
+_SOCIAL = f"len(regexp_extract_all(low, '{Q.TOKEN}')) BETWEEN 1 AND 3 AND len(list_filter(regexp_extract_all(low, '{Q.TOKEN}'), lambda t: NOT list_contains({_list(Q.DEFAULT.social)}, trim(t, '.,:;!?()[]{{}}')))) = 0"
 _SHOWN = ("objects", "platform", "constraints", "environment", "exact", "content_types", "missing", "ambiguity")
 
 

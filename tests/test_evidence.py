@@ -13,7 +13,7 @@ def test_questions_are_analysed(spark):
     ]
     got = {r["question_id"]: r for r in questions.analyze(spark.createDataFrame(rows, "question_id long, question string")).collect()}
     a = got[1]
-    assert (a["task_type"], a["action"], a["platform"], a["constraints"]) == ("setup", "install", ["n8n"], ["only"]) and {"local", "docker"} <= set(a["environment"]) and not a["needs_external"]
+    assert (a["task_type"], a["action"], a["platform"], a["constraints"]) == ("setup", "установка", ["n8n"], ["only"]) and {"local", "docker"} <= set(a["environment"]) and not a["needs_external"]
     assert got[2]["task_type"] == "debug" and got[2]["symptoms"] == ["disk full"] and got[2]["missing"] == EMPTY and got[5]["missing"] == ["error text"]
     assert got[3]["social"] and not got[1]["social"] and not got[4]["social"] and got[4]["objects"] == EMPTY and got[4]["task_type"] == "general"
     assert got[6]["task_type"] == "compare" and got[6]["needs_external"] and got[6]["content_types"][:1] == ["official_docs"]
@@ -121,3 +121,15 @@ def test_answers_and_their_checks(spark):
     assert [r["source_only"] for r in answers.weak_answers(w).collect()] == [True, False, False]
     c = spark.createDataFrame([("It holds pages. Perhaps it does not. Here they are: Yes.",)], "a string")
     assert c.select(answers.claims(F.col("a"))).first()[0] == ["It holds pages.", "Here they are: Yes."]
+
+
+def test_marks_are_an_input(spark):
+    """Another table of marks reads questions in another language; its order decides."""
+    from sparkevidence.operators.marks import DEFAULT, Marks
+
+    table = spark.createDataFrame([(3, "task", "debug", "kaputt"), (1, "task", "setup", "einrichten"), (2, "action", "einrichtung", "einrichten"), (4, "constraint", "", "ohne"), (5, "content", "manual", "handbuch"), (6, "point", "debug", "ursache"), (7, "stopword", "", "wie")], "place int, role string, label string, marker string")
+    rows = spark.createDataFrame([(1, "wie einrichten, ohne handbuch? kaputt"), (2, "kaputt"), (3, None)], "question_id long, question string")
+    got = {r["question_id"]: r for r in questions.analyze(rows, marks=Marks.read(table)).collect()}
+    assert (got[1]["task_type"], got[1]["action"], got[1]["constraints"], got[1]["content_types"]) == ("setup", "einrichtung", ["ohne"], ["manual"])
+    assert got[2]["task_type"] == "debug" and got[2]["points"] == ["ursache"] and got[3]["task_type"] == "general" and got[2]["content_types"] == ["unknown"]
+    assert list(DEFAULT.task)[:2] == ["source_check", "debug"] and DEFAULT.action[0] == ("install", "установка")
