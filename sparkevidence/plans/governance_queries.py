@@ -43,6 +43,25 @@ def source_health(spark, sf_dir):
     return _health(spark, sf_dir)
 
 
+_LEVELS = """s AS (SELECT source_name, count(*) AS total, count_if(status = 'active') AS active, max(CASE WHEN status = 'active' THEN created_s END) AS latest_s, arg_max(course, document_id) AS service_id, CASE WHEN count(*) % 3 = 0 THEN (count(*) % 40)::INT END AS refresh_days FROM docs GROUP BY 1),
+    t AS (SELECT *, coalesce(CASE source_name WHEN 'src1' THEN 20 WHEN 'src2' THEN 60 END, CASE service_id WHEN 'de' THEN 35 WHEN 'fr' THEN 45 END, CASE WHEN refresh_days >= 1 THEN refresh_days END, 30) AS threshold, CASE WHEN latest_s IS NOT NULL THEN greatest((1707523200 - latest_s) // 86400, 0) END AS age_days FROM s)"""
+
+
+@query(with_sql("docs", then=f""", {_LEVELS} SELECT source_name, service_id, refresh_days, threshold, age_days, CASE WHEN total = 0 THEN 'unknown' WHEN active = 0 THEN 'inactive' WHEN age_days IS NULL THEN 'unknown' WHEN age_days > threshold THEN 'stale' ELSE 'healthy' END AS health FROM t"""))
+def health_by_levels(spark, sf_dir):
+    """Each source against its threshold: its own, its service's, how often it is fetched anew, or the default. The language of a source's
+    last document stands for its service here."""
+    d = corpus.documents(spark, sf_dir)
+    n = F.count(F.lit(1))
+    status = d.groupBy("source_name").agg(
+        n.alias("total"), F.count_if(F.col("status") == "active").alias("active"), F.max(F.when(F.col("status") == "active", F.col("created_s"))).alias("latest_s"), F.lit("PASS").alias("quality"),
+        F.max_by("course", "document_id").alias("service_id"), F.when(n % 3 == 0, (n % 40).cast("int")).alias("refresh_days"),
+    )
+    policy = spark.createDataFrame([("src1", 20), ("src2", 60)], "source_name string, days int")
+    services = spark.createDataFrame([("de", 35), ("fr", 45)], "service_id string, days int")
+    return health.source_health(status, policy, _NOW, services=services).select("source_name", "service_id", "refresh_days", "threshold", "age_days", "health")
+
+
 @query(with_sql("docs", then=f", {_HEALTH} SELECT health, count(*) AS sources FROM h GROUP BY 1"))
 def health_summary(spark, sf_dir):
     return _health(spark, sf_dir).groupBy("health").agg(F.count(F.lit(1)).alias("sources"))
