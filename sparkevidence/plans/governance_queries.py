@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkevidence.functions import text as T
-from sparkevidence.operators import health
+from sparkevidence.operators import health, suggestions
 from sparkevidence.plans import corpus
 from sparkevidence.plans.base import query
 from sparkevidence.plans.corpus import with_sql
@@ -152,6 +152,18 @@ def labelled_quality(spark, sf_dir):
     return out.withColumn("bad_share", F.round(F.col("bad") / F.col("documents"), 6))
 
 
+_SUGGESTED = r"""p AS (SELECT page_id, page_id * 3600 AS ts, regexp_replace(trim(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)), '[^a-z0-9]+', '_', 'g'), '_'), '_(docs|documentation)$', '') AS service_id, lower(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '')) AS url FROM pages),
+    o AS (SELECT * FROM p WHERE page_id % 5 = 0), n AS (SELECT service_id, url, count(*) AS suggestions, min(ts) AS first_s FROM p WHERE page_id % 5 <> 0 OR page_id % 15 = 0 GROUP BY ALL), l AS (SELECT service_id, max(ts) AS last FROM o GROUP BY 1),
+    m AS (SELECT n.*, last, EXISTS (SELECT 1 FROM o WHERE o.service_id = n.service_id AND o.url = n.url) AS held FROM n LEFT JOIN l USING (service_id)), f AS (SELECT *, row_number() OVER (PARTITION BY service_id, held ORDER BY first_s, url) AS r FROM m)"""
+
+
+@query(f"WITH {_SUGGESTED} SELECT service_id, url, suggestions, first_s, CASE WHEN held THEN 'reused' WHEN coalesce(first_s - last < 86400, false) OR r > 1 THEN 'cooling' ELSE 'pending' END AS outcome FROM f")
+def suggestion_upserts(spark, sf_dir):
+    """Suggestions against stored ones (every fifth page): reused, cooling for a day, or pending."""
+    p = corpus.table(spark, sf_dir, "pages").select("page_id", T.url_domain(F.col("url")).alias("service_id"), "url", (F.col("page_id") * 3600).alias("ts"))
+    return suggestions.upserted(p.where("page_id % 5 = 0"), p.where("page_id % 5 <> 0 or page_id % 15 = 0"), 86400)
+
+
 _KEY = "trim(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)), '[^a-z0-9]+', '_', 'g'), '_')"
 
 
