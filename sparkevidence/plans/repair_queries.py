@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparkevidence.functions import text as T
 from sparkevidence.operators import repair
 from sparkevidence.plans import corpus
 from sparkevidence.plans.base import query
@@ -69,3 +70,10 @@ def repair_glued_words(spark, sf_dir):
     """Whole texts with glued words taken apart; a test holds them against a loop."""
     fixed = repair.repair_glued_words(_glued_documents(spark, sf_dir), _dictionary(spark, sf_dir), "doc_id", "text")
     return fixed.select("doc_id", "n_glued", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(f"""SELECT doc_id, sha256(array_to_string(list_filter(string_split(text, chr(10)), lambda x: lower(trim(x)) NOT IN ({", ".join(f"'{b}'" for b in T.BOILERPLATE)})), chr(10))) AS text_sha256 FROM documents""")
+def without_boilerplate(spark, sf_dir):
+    """Whole texts without lines that are page furniture."""
+    d = corpus.table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.sha2(T.drop_boilerplate_lines(F.col("text")), 256).alias("text_sha256"))
