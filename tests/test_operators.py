@@ -169,6 +169,13 @@ def test_page_extraction(spark):
     assert r[1]["structured_text"] == ""
 
 
+def test_titles_that_were_cut_within_a_reference(spark):
+    titles = ["a &amp;&amp; b&amp", "x &lt;y&gt; &quot", "n\u00a0b &#x27;q&#x2", "&copy &am"]
+    d = spark.createDataFrame([(i, f"<html><head><title> {t}\n</title></head><body><p>A &amp B</p></body></html>") for i, t in enumerate(titles)], "page_id long, html string")
+    r = pages.extract_pages(d).orderBy("page_id").collect()
+    assert [x["title"] for x in r] == ["a && b&amp", "x <y> &quot", "n\u00a0b 'q&#x2", "&copy &am"] and r[0]["structured_text"] == "A & B"
+
+
 def test_url_screen(spark):
     rows = ["https://docs.x.org/guide", "https://x.org.evil.com/a", "ftp://x.org/a", "https://x.org/admin/a", "https://x.org/a.PNG", "http://x.org"]
     d = spark.createDataFrame([(u,) for u in rows], "url string")
