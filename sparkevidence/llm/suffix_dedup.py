@@ -4,7 +4,8 @@ Strings are judged in two alphabets: windows of `length` bytes, and passages of
 hashed gram of k symbols, the leftmost on ties. Equal windows have equal anchors at equal offsets, so only windows of one anchor can
 be equal. A run of windows that share an anchor occurrence is a context: the symbols from the first window's start to the last one's
 end. All windows of a context hold its anchor, so what repeats of it is one range. Copies of a context are told by a hash and stand
-in the suffix arrays once; a context that occurs twice is repeated as a whole.
+in the suffix arrays once; a context that occurs twice is repeated as a whole. In text that repeats itself one context holds several
+occurrences of its anchor, so its windows can be equal to each other: it is looked at even if its anchor has no other context.
 
 Contexts of an anchor with several different ones are dealt to shards of a fixed size. Each shard sorts the suffixes of its contexts by
 Larsson-Sadakane refinement, takes Kasai common prefixes and reports windows equal to a neighbour. Where an anchor has more contexts
@@ -92,9 +93,9 @@ def joined(anchor: np.ndarray, row: np.ndarray, place: np.ndarray, first: np.nda
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray, length: int, k: int, base: int = 0) -> tuple[np.ndarray, ...]:
-    """Of rows of symbols (bytes or codes): row, first window's start and last window's end within the row, and hashes of the anchor
-    and of the context."""
-    none = tuple(np.zeros(0, np.int64) for _ in range(5))
+    """Of rows of symbols (bytes or codes): row, first window's start and last window's end within the row, hashes of the anchor and of
+    the context, and whether the context holds its anchor several times."""
+    none = (*(np.zeros(0, np.int64) for _ in range(5)), np.zeros(0, bool))
     if len(data) < length:
         return none
     if len(data) > LONGEST:  # one long row: in pieces that share length - 1 symbols, so each window lies in one piece
@@ -114,13 +115,14 @@ def contexts(data: np.ndarray, offsets: np.ndarray, length: int, k: int, base: i
     new = np.flatnonzero(np.concatenate(([True], (where[1:] != where[:-1]) | (row[1:] != row[:-1]))))
     a, b = starts[new], np.concatenate((starts[new[1:] - 1], starts[-1:])) + length
     last = joined(g[where[new]], row[new], where[new], a, length - k)
-    a, b, new = a[np.concatenate(([0], last[:-1] + 1))], b[last], new[last]
+    first = np.concatenate(([0], last[:-1] + 1))
+    a, b, new, again = a[first], b[last], new[last], last > first
     at = row[new]
     kind = U(BASE if data.dtype == np.uint8 else BASE2)  # bytes and words never share an anchor
     with np.errstate(over="ignore"):
         # where the anchor lies in the context is part of what tells contexts apart
         h1 = mix(symbols.span(a, b) + mix((where[new] - a).astype(U) * U(BASE2) + (b - a).astype(U)))
-    return at, a - offsets[at] + base, b - offsets[at] + base, mix(g[where[new]] ^ kind).view(np.int64), h1.view(np.int64)
+    return at, a - offsets[at] + base, b - offsets[at] + base, mix(g[where[new]] ^ kind).view(np.int64), h1.view(np.int64), again
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
@@ -236,7 +238,7 @@ def shared_keys(runs: list[np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate(twice))
 
 
-_FOUND = "key binary, words boolean, lo int, hi int, anchor long, h1 long"
+_FOUND = "key binary, words boolean, lo int, hi int, anchor long, h1 long, again boolean"
 _SOLVED = "words boolean, anchor long, shard int, h1 long, a int, b int, part int, keys binary"
 _SOLVED_KINDS = [("words", pa.bool_()), ("anchor", pa.int64()), ("shard", pa.int32()), ("h1", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("part", pa.int32()), ("keys", pa.binary())]
 
@@ -253,9 +255,9 @@ def _anchored(length: int, gram: int, words: int, word_gram: int):
                 if words:
                     codes, first, _, _ = words_of(part, at)
                     found.append((True, contexts(codes, first, words, word_gram)))
-                for kind, (row, lo, hi, anchor, h1) in found:
+                for kind, (row, lo, hi, anchor, h1, again) in found:
                     if len(row):
-                        yield pa.RecordBatch.from_arrays([batch.column(0)[x:y].take(pa.array(row)), pa.array(np.full(len(row), kind)), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(anchor), pa.array(h1)], names=["key", "words", "lo", "hi", "anchor", "h1"])
+                        yield pa.RecordBatch.from_arrays([batch.column(0)[x:y].take(pa.array(row)), pa.array(np.full(len(row), kind)), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(anchor), pa.array(h1), pa.array(again)], names=["key", "words", "lo", "hi", "anchor", "h1", "again"])
 
     return run
 
@@ -377,10 +379,10 @@ def _returned(length: int, words: int):
 
 def _context_spans(length: int, words: int, texts: DataFrame, found: DataFrame) -> DataFrame:
     """(anchor, h1, a, b): the repeated range within each context that has one. texts: (key, text); found: its contexts."""
-    distinct = found.groupBy("anchor", "h1").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "words", "lo", "hi")).alias("at"))
+    distinct = found.groupBy("anchor", "h1").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "words", "lo", "hi")).alias("at"), F.max("again").alias("again"))
     distinct = saved(distinct, "contexts")
     whole = distinct.where("n > 1").select("anchor", "h1", F.lit(0).alias("a"), (F.col("at.hi") - F.col("at.lo")).alias("b"))
-    several = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("anchor").alias("__anchor"), F.ceil(F.col("m") / F.lit(SHARD_CONTEXTS)).cast("int").alias("parts"))
+    several = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.max(F.col("again") & (F.col("n") == 1)).alias("alone")).where("m > 1 or alone").select(F.col("anchor").alias("__anchor"), F.ceil(F.col("m") / F.lit(SHARD_CONTEXTS)).cast("int").alias("parts"))
     apart = distinct.join(saved(several, "several").hint("merge"), F.col("anchor") == F.col("__anchor"))
     shard = F.pmod("h1", F.col("parts")).cast("int")
     wanted = apart.groupBy(F.col("at.key").alias("__key")).agg(F.collect_list(F.struct("at.words", "at.lo", "at.hi", "anchor", shard.alias("shard"), "parts", "h1")).alias("wanted"))
@@ -399,8 +401,9 @@ def _context_spans(length: int, words: int, texts: DataFrame, found: DataFrame)
 
 
 def _candidates(found: DataFrame) -> DataFrame:
-    """The contexts whose anchor occurs more than once; only these can hold equal windows. found is a written table, and dropped."""
-    again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("anchor").alias("__anchor"))
+    """The contexts whose anchor occurs more than once, in several contexts or in one; only these can hold equal windows. found is a
+    written table, and dropped."""
+    again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).where("n > 1 or again").select(F.col("anchor").alias("__anchor"))
     # Written first, so that both sides of the join are plain exchanges and a hot anchor's rows can be split.
     again = saved(again, "repeated-anchors")
     out = saved(found.join(again.hint("merge"), F.col("anchor") == F.col("__anchor"), "left_semi"), "candidates")

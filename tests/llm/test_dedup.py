@@ -176,6 +176,15 @@ def test_stage_cuts_passages_of_over_50_words(docs, monkeypatch):
         assert all(got[i] == text[i] for i in (20, 21, 40, 41, 42))
 
 
+def test_text_that_repeats_only_itself(docs):
+    r = random.Random(3)
+    units = ["".join(r.choices("abcdefgh klm", k=p)) for p in (1, 2, 30, 30, 200, 200, 352, 352, 353, 399)]
+    texts = [f"{i} head " + (u * 500)[: len(u) + 399 + i % 3 * 25] + f" tail {i}" for i, u in enumerate(units)] + ["\0" * 401, "\1" * 400, "é" * 201]
+    words = " ".join(["one two three"] * 18)
+    got = sorted(suffix_dedup.dedup(docs([*enumerate(texts), (99, words)])).collect())
+    assert [tuple(x)[1:5] for x in got[:-1]] == brute_removal(texts, 400) and got[-1][5:] == (1, 54)
+
+
 def test_long_rows_are_anchored_in_pieces(monkeypatch):
     r = np.random.default_rng(2)
     data = r.integers(97, 123, 9000).astype(np.uint8)
