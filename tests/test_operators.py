@@ -74,6 +74,13 @@ def test_exact_and_approximate_search(spark):
     assert np.mean([len(set(near.get(i, [])) & set(want[i])) / 5 for i in want]) >= 0.95
 
 
+def test_approximate_search_shuffles_no_pairs(spark):
+    d = spark.createDataFrame([(i, [float(i % 7 == j) for j in range(7)]) for i in range(70)], "vec_id long, v array<double>")
+    found = retrieval.ann_topk(d, d.select(F.col("vec_id").alias("query_id"), "v"), 3)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["vec_id"], r["score"]) for r in found.where("query_id = 8").collect()) == [(1, 1.0), (15, 1.0), (22, 1.0)]
+
+
 def test_redundant_evidence_goes(spark):
     rows = [(1, 1, "a", ["x", "y", "z", "w"]), (1, 2, "b", ["x", "y", "z", "w"]), (1, 3, "c", ["q", "r"]), (2, 1, "d", ["x"])]
     d = spark.createDataFrame(rows, "question_id long, rank int, id string, roots array<string>")
