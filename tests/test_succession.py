@@ -57,3 +57,12 @@ def test_classes_and_blockers(spark):
     assert got["s/a"] == ("unchanged", None, []) and got["s/b"][0] == "changed" and got["s/old/c"] == ("replaced", "s/new/c", []) and got["s/d"] == ("missing", None, []) and got["s/fresh"][0] == "added"
     assert got["s/dup"][2] == ["duplicate_active_key"] and got["s/old/x"][2] == got["s/older/x"][2] == ["successor_wanted_twice"] and got["s/n"][2] == ["no_content_hash"]
     assert "key_collision" in got["s/Case"][2] and "key_collision" in got["s/case/"][2]
+
+
+def test_written_tables_are_not_sent_by_the_bytes_of_their_files(spark):
+    from pyspark.sql import functions as F
+
+    from sparkevidence.sources.cuts import cut
+
+    rows = cut(spark.range(20_000).select("id", F.repeat(F.lit("word "), 1000).alias("t")))
+    assert "Broadcast" not in rows.join(cut(spark.range(20_000)), "id")._jdf.queryExecution().executedPlan().toString()
