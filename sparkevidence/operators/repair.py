@@ -110,7 +110,8 @@ def segmented(words: DataFrame, dictionary: DataFrame, longest: int = LONGEST) -
     sizes = F.sequence(F.lit(2), F.least(F.lit(longest), F.length("word") - F.col("at") + 1))
     stretches = stretches.select("word", "at", F.explode(sizes).alias("n")).withColumn("piece", F.substring(low, F.col("at"), F.col("n")))
     known = dictionary.select(F.lower("word").alias("piece")).where(F.length("piece").between(2, longest)).distinct()
-    pieces = stretches.join(known, "piece").groupBy("word").agg(F.collect_list(F.struct((F.col("at") - 1).alias("at"), "n")).alias("pieces"))
+    # Stretches are many times the words whose size Spark knows, so they are never to be broadcast.
+    pieces = stretches.hint("merge").join(known, "piece").groupBy("word").agg(F.collect_list(F.struct((F.col("at") - 1).alias("at"), "n")).alias("pieces"))
     parts = pieces.select("word", F.length("word").alias("size"), "pieces").mapInArrow(_fewest, "word string, parts array<int>").where(F.size("parts") >= 2)
     before = lambda i: F.aggregate(F.slice("parts", F.lit(1), i), F.lit(0), lambda s, n: s + n)
     return parts.select("word", F.array_join(F.transform("parts", lambda n, i: F.substring("word", before(i) + 1, n)), " ").alias("repaired"))
