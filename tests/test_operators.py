@@ -87,6 +87,17 @@ def test_redundant_evidence_goes(spark):
     assert sorted(r["id"] for r in retrieval.without_redundant(d, "question_id").collect()) == ["a", "c", "d"]
 
 
+def test_mentions_shuffle_no_words(spark):
+    d = spark.createDataFrame([(1, "the end of the big tool"), (2, None), (3, ""), (4, "of the")], "k long, t string")
+    s = spark.createDataFrame([("bt", "big tool box"), ("bt", "big tool"), ("of", "of the"), ("none", "")], "service_id string, alias string")
+    found = retrieval.mentions(d, "k", "t", s)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["k"], r["alias"], r["word_at"]) for r in found.collect()) == [(1, "big tool", 4), (1, "of the", 2), (4, "of the", 0)]
+    # Words are found once, and meet aliases where they are.
+    assert "SortMergeJoin" not in plan
+    assert plan.count("regexp_extract_all") <= 2, plan
+
+
 def test_mentions_meet_whole_words(spark):
     d = spark.createDataFrame([(1, "Use the Big Tool now"), (2, "big toolbox"), (3, "tool and big  tool")], "k long, t string")
     s = spark.createDataFrame([("bt", "big tool"), ("bt", "tool")], "service_id string, alias string")
