@@ -2,6 +2,7 @@ import itertools
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,6 +195,17 @@ def test_titles_that_were_cut_within_a_reference(spark):
     assert [x["title"] for x in r] == ["a && b&amp", "x <y> &quot", "n\u00a0b 'q&#x2", "&copy &am"] and r[0]["structured_text"] == "A & B"
 
 
+def test_workers_get_few_pages_at_once(spark):
+    d = spark.range(0, 400, 1, 1).select(F.col("id").alias("page_id"), F.repeat(F.lit("<p>word</p>"), 10_000).alias("html"))
+    assert pages.extract_pages(d).where("length(structured_text) > 50000").count() == 400
+
+    @F.pandas_udf("long")
+    def at_once(x: pd.Series) -> pd.Series:
+        return pd.Series([len(x)] * len(x))
+
+    assert d.select(at_once("html").alias("n")).agg(F.max("n")).first()[0] <= 80
+
+
 def test_url_screen(spark):
     rows = ["https://docs.x.org/guide", "https://x.org.evil.com/a", "ftp://x.org/a", "https://x.org/admin/a", "https://x.org/a.PNG", "http://x.org"]
     d = spark.createDataFrame([(u,) for u in rows], "url string")
