@@ -133,3 +133,13 @@ def test_marks_are_an_input(spark):
     assert (got[1]["task_type"], got[1]["action"], got[1]["constraints"], got[1]["content_types"]) == ("setup", "einrichtung", ["ohne"], ["manual"])
     assert got[2]["task_type"] == "debug" and got[2]["points"] == ["ursache"] and got[3]["task_type"] == "general" and got[2]["content_types"] == ["unknown"]
     assert list(DEFAULT.task)[:2] == ["source_check", "debug"] and DEFAULT.action[0] == ("install", "установка")
+
+
+def test_terms_are_weighted_once_for_routing_and_scores(spark, monkeypatch):
+    import __spark_entry__
+    from sparkevidence.plans import retrieval_queries
+
+    calls, weigh = [], retrieval_queries.weighted_terms
+    monkeypatch.setattr(retrieval_queries, "weighted_terms", lambda *a: calls.append(1) or weigh(*a))
+    __spark_entry__.queries()["score_evidence"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
