@@ -114,9 +114,15 @@ def higher_scored(base: DataFrame, extra: DataFrame, keys: list[str], score: str
 
 def anchor_terms(text: Column, most: int = 30) -> Column:
     """array<struct<class, term>>: shaped and code-like terms, each once under the first shape that finds it."""
-    found = F.concat(*[F.transform(F.regexp_extract_all(text, F.lit(s), F.lit(0)), lambda t: F.struct(t.alias("term"), F.lit(k).alias("class"))) for k, s in ANCHOR_SHAPES], F.transform(T.exact_terms(text), lambda t: F.struct(t.alias("term"), F.lit("exact").alias("class"))))  # noqa: B023
-    names = F.transform(found, lambda x: x["term"])
-    return F.slice(F.filter(found, lambda x, i: F.array_position(names, x["term"]) == i + 1), 1, most)
+    found = F.array(*[F.regexp_extract_all(text, F.lit(s), F.lit(0)) for _, s in ANCHOR_SHAPES], T.exact_terms(text))
+    kinds = F.array(*[F.lit(k) for k, _ in ANCHOR_SHAPES], F.lit("exact"))
+
+    def first(each: Column) -> Column:
+        names = F.slice(F.array_distinct(F.flatten(each)), 1, most)
+        return F.transform(names, lambda t: F.struct(t.alias("term"), F.element_at(kinds, F.array_position(F.transform(each, lambda x: F.array_contains(x, t)), True).cast("int")).alias("class")))
+
+    # One list of one value, so that the text is searched once and not for each term found.
+    return F.get(F.transform(F.array(found), first), F.lit(0))
 
 
 def with_embedding(rows: DataFrame, vectors: DataFrame, size: int, text: str = "text") -> DataFrame:

@@ -126,8 +126,8 @@ def scope(spark, sf_dir):
     n AS (SELECT doc_id, f, list_transform(f, lambda x: x.term) AS names FROM s), k AS (SELECT doc_id, unnest((list_filter(f, lambda x, i: list_position(names, x.term) = i))[1:30]) AS a FROM n) SELECT doc_id, a.term AS term, a.class AS class FROM k""")
 def extract_anchor_terms(spark, sf_dir):
     """Shaped and code-like terms of each document, thirty at most."""
-    d = corpus.table(spark, sf_dir, "documents").select("doc_id", F.explode(C.anchor_terms(F.col("text"))).alias("a"))
-    return d.select("doc_id", "a.term", "a.class")
+    d = corpus.table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(C.anchor_terms(F.col("text"))).alias("a"))
+    return d.where("a is not null").select("doc_id", "a.term", "a.class")
 
 
 @query(with_sql("chunks", then=f""", tt AS (SELECT doc_id, unnest({_SIGNIFICANT.replace("content", "(split_part(text, chr(10), 1) || ' ' || text)")}) AS term FROM documents), df AS (SELECT term, count(*) AS document_frequency FROM tt GROUP BY 1), cc AS (SELECT term, count(*) AS chunk_frequency FROM (SELECT unnest({_SIGNIFICANT}) AS term FROM chunks) GROUP BY 1)
