@@ -18,6 +18,7 @@ from sparkevidence.plans.corpus_queries import _SIGNIFICANT, _STATS_CTE, _TERMS_
 from sparkevidence.plans.evidence_queries import _analysis_sql, _any
 from sparkevidence.plans.ingest_queries import _SNAPSHOTS
 from sparkevidence.plans.retrieval_queries import _match_sql
+from sparkevidence.sources.cuts import cut
 
 _HOST = "lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1))"
 _ID = lambda x: f"regexp_replace(trim(regexp_replace(lower({x}), '[^a-z0-9]+', '_', 'g'), '_'), '_(docs|documentation)$', '')"
@@ -190,9 +191,11 @@ def top_glossary_candidates(spark, sf_dir):
     SELECT question_id, document_id, max(score) AS score, max(CASE WHEN x = 1 THEN score END) > coalesce(max(CASE WHEN x = 0 THEN score END), -1) AS from_extra FROM s GROUP BY 1, 2""").replace("max(CASE WHEN x = 1 THEN score END) > coalesce(max(CASE WHEN x = 0 THEN score END), -1) AS from_extra", "coalesce(max(CASE WHEN x = 1 THEN score END), -2) > coalesce(max(CASE WHEN x = 0 THEN score END), -1) AS from_extra"))
 def merge_scoped_results(spark, sf_dir):
     """Routed documents and those of a search within one source, each with its higher score."""
-    base = retrieval_queries.top_documents(spark, sf_dir).select("question_id", "document_id", "score")
+    # Both searches keep of the same matches; those that neither takes are not written.
+    matches = cut(retrieval_queries._matches(spark, sf_dir).where("score >= 0.12"), "matches")
+    base = R.top_per(matches, "question_id", "score", "document_id", 5, 0.12).select("question_id", "document_id", "score")
     inside = corpus.table(spark, sf_dir, "documents").where("source = 'src1'").select(F.col("doc_id").alias("document_id"))
-    extra = retrieval_queries._matches(spark, sf_dir).where("score >= 0.2").join(inside, "document_id").select("question_id", "document_id", F.round(F.col("score") * 1.25, 6).alias("score"))
+    extra = matches.where("score >= 0.2").join(inside, "document_id").select("question_id", "document_id", F.round(F.col("score") * 1.25, 6).alias("score"))
     return C.higher_scored(base, extra, ["question_id", "document_id"])
 
 
