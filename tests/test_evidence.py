@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkevidence.operators import answers, catalog, evidence, questions, reviews
@@ -143,3 +144,17 @@ def test_terms_are_weighted_once_for_routing_and_scores(spark, monkeypatch):
     monkeypatch.setattr(retrieval_queries, "weighted_terms", lambda *a: calls.append(1) or weigh(*a))
     __spark_entry__.queries()["score_evidence"](spark, "/root/testdata/sf0.001")
     assert len(calls) == 1
+
+
+@pytest.mark.parametrize("name", ["merge_scoped_results", "retrieval_metrics"])
+def test_the_corpus_is_weighed_and_searched_once(spark, monkeypatch, name):
+    """What several parts of a query need of the corpus is made once: weights of terms, and matches of documents."""
+    import __spark_entry__
+    from sparkevidence.plans import retrieval_queries
+
+    weighed, searched = [], []
+    weigh, search = retrieval_queries.weighted_terms, retrieval_queries._matches
+    monkeypatch.setattr(retrieval_queries, "weighted_terms", lambda *a: weighed.append(1) or weigh(*a))
+    monkeypatch.setattr(retrieval_queries, "_matches", lambda *a: searched.append(1) or search(*a))
+    __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
+    assert (len(weighed), len(searched)) == (1, 1)
