@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from sparkevidence.operators import catalog
+from sparkevidence.operators import catalog, terms
 
 
 def test_anchor_terms_search_a_text_once(spark):
@@ -13,3 +13,11 @@ def test_anchor_terms_search_a_text_once(spark):
     assert got[2] is None and got[3] == [] and len(got[1]) == 30 == len({x["term"] for x in got[1]})
     first = [(x["term"], x["class"]) for x in got[1]][:9]
     assert first == [("MAX_SIZE", "config"), ("runFast", "function"), ("v1.2", "version"), ("/api/items", "endpoint"), ("--dry-run", "option"), ("max_size", "identifier"), ("MAX", "acronym"), ("SIZE", "acronym"), ("HTTP", "acronym")]
+
+
+def test_examples_look_for_no_shapes(spark):
+    chunks = spark.createDataFrame([(i, 0, "en", f"alpha MAX_SIZE w{i}") for i in range(5)] + [(9, 0, "en", None)], "document_id long, chunk_index int, course string, content string")
+    stats = spark.createDataFrame([("alpha",), ("w3",), ("none",)], "term string")
+    df = terms.with_examples(stats, chunks)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert {r["term"]: r["examples"] for r in df.collect()} == {"alpha": ["4", "3", "2"], "w3": ["3"], "none": None}
