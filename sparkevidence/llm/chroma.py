@@ -2,7 +2,7 @@
 
 Samples become pitch-class frames (windowed Fourier transform, energy by semitone class, unit length). Rectangle filters over an
 integral image of the frames are quantised to two bits each, and sixteen of them pack into one 32-bit integer per frame. Recordings
-are found by landmarks (pairs of codes, thinned by winnowing), aligned by a histogram of offsets and measured by bit errors.
+are found by landmarks (pairs of codes, thinned by winnowing), aligned by a histogram of offsets and measured by bit errors, in blocks.
 """
 
 from __future__ import annotations
@@ -218,39 +218,163 @@ def fingerprints(media: DataFrame, phases: int = 1) -> DataFrame:
 FEWEST = 25
 
 
-def _searched(media: DataFrame, every: int, error: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+#: Codes of recordings and of queries in one block, pairs of landmarks and compared codes that are worked on at once, recordings that make
+#: a block of their own, blocks that are made of few codes, and rows up to which hashes and ids are broadcast.
+R_BLOCK, Q_BLOCK, AT_ONCE, R_ROWS, R_BLOCKS, SENT = 1 << 21, 1 << 21, 1 << 21, 256, 24, 1_000_000
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= SENT else df
+
+
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column, and where each row's start (one more for the end)."""
+    a = column.combine_chunks()
+    size = a.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return a.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(size)))
+
+
+def _spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of n items each: every item's row and its number in it."""
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.arange(len(row)) - (np.cumsum(n) - n)[row]
+
+
+def _runs(n: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours whose n sum up to so much at most, a greater one alone."""
+    at, a = np.concatenate(([0], np.cumsum(n))), 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(at, at[a] + most, "right")) - 1)
+        yield a, b
+        a = b
+
+
+def _wrong(x: np.ndarray, x_at: np.ndarray, y: np.ndarray, y_at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Differing bits of n codes each, of x from x_at and of y from y_at."""
+    out = np.zeros(len(n), np.int64)
+    for a, b in _runs(n, AT_ONCE):
+        row, i = _spread(n[a:b])
+        out[a:b] = np.bincount(row, np.bitwise_count(x[x_at[a:b][row] + i] ^ y[y_at[a:b][row] + i]), b - a)
+    return out
+
+
+_MATCH = "q long, r long, votes long, offset int, error double"
+_BEST = "q long, n long, error double, votes long, r long, offset int"
+
+
+def _matched(error: float, best: bool):
+    """Of one block of queries and one of recordings: the matches, or each query's number of them and best one."""
+
+    def run(asked: pa.Table, media: pa.Table) -> pa.Table:
+        asked = asked.sort_by("q")
+        q, own, phase, r = (t[c].to_numpy() for t, c in ((asked, "q"), (asked, "own"), (asked, "phase"), (media, "r")))
+        (qc, qc_at), (qh, qh_at), (qp, _) = (_lists(asked[c]) for c in ("codes", "h", "at"))
+        (rc, rc_at), (rh, rh_at), (rp, _) = (_lists(media[c]) for c in ("codes", "h", "at"))
+        qc, rc, q_n, r_n = qc.view(np.uint32), rc.view(np.uint32), np.diff(qc_at), np.diff(rc_at)
+        order = np.argsort(rh, kind="stable")
+        rh, rp, r_of = rh[order], rp[order].astype(np.int64), np.repeat(np.arange(len(r)), np.diff(rh_at))[order]
+        low = np.searchsorted(rh, qh, "left")
+        many = np.searchsorted(rh, qh, "right") - low
+        q_of = np.repeat(np.arange(len(q)), np.diff(qh_at))
+        # All phases of a query are in one run, so that a pair of recordings is told once.
+        first = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else np.zeros(0, int)
+        ends = qh_at[np.append(first[1:], len(q))] if len(q) else first
+        sums = np.concatenate(([0], np.cumsum(many)))
+        parts = []
+        for a, b in _runs(np.diff(sums[np.concatenate(([0], ends))]), AT_ONCE):
+            s = slice(ends[a - 1] if a else 0, ends[b - 1])
+            mark, i = _spread(many[s])
+            at = low[s][mark] + i
+            x, y = q_of[s][mark], r_of[at]
+            step = rp[at] - qp[s][mark]
+            keep = own[x] != r[y]
+            pair, which = np.unique(x[keep] * len(r) + y[keep], return_inverse=True)
+            if not len(pair):
+                continue
+            low_step, span = step[keep].min(), step[keep].max() - step[keep].min() + 1
+            key, votes = np.unique(which * span + (step[keep] - low_step), return_counts=True)
+            x, y, step = pair[key // span] // len(r), pair[key // span] % len(r), key % span + low_step
+            q_from, r_from = np.maximum(-step, 0), np.maximum(step, 0)
+            n = np.minimum(q_n[x] - q_from, r_n[y] - r_from)
+            keep = votes * FEWEST >= n
+            x, y, step, votes, n, q_from, r_from = (v[keep] for v in (x, y, step, votes, n, q_from, r_from))
+            off = _wrong(qc, qc_at[x] + q_from, rc, rc_at[y] + r_from, n) / (32 * n)
+            keep = off <= error
+            x, y, votes, off = x[keep], y[keep], votes[keep], off[keep]
+            offset = step[keep] * HOP - phase[x]
+            x, y = q[x], r[y]
+            inner = np.lexsort((offset, -votes, off, y, x))
+            x, y, votes, offset, off = (v[inner] for v in (x, y, votes, offset, off))
+            new = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]))) if len(x) else np.zeros(0, bool)
+            x, y, votes, offset, off = (v[new] for v in (x, y, votes, offset, off))
+            if best:
+                inner = np.lexsort((offset, y, -votes, off, x))
+                x, y, votes, offset, off = (v[inner] for v in (x, y, votes, offset, off))
+                x, one, n = np.unique(x, return_index=True, return_counts=True)
+                parts.append((x, n, off[one], votes[one], y[one], offset[one]))
+            else:
+                parts.append((x, y, votes, offset, off))
+        names = ["q", "n", "error", "votes", "r", "offset"] if best else ["q", "r", "votes", "offset", "error"]
+        kinds = {"error": pa.float64(), "offset": pa.int32()}
+        return pa.table({c: pa.array(np.concatenate([p[k] for p in parts]) if parts else [], kinds.get(c, pa.int64())) for k, c in enumerate(names)})
+
+    return run
+
+
+def _searched(media: DataFrame, every: int, error: float, best: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fingerprints, classes and matches (q, r, votes, offset, error) of the queries among all classes but their own: of each pair the
-    offset with the fewest errors among all that have landmarks enough."""
+    offset with the fewest errors among all that have landmarks enough; or, of each block of recordings, each query's number of
+    matches and best one.
+
+    Hashes that a query shares with another class are told from one row for each hash. Only recordings and phases of queries that have
+    such a hash are compared, in blocks of both, each sent to the blocks that hold one of its hashes; no pair of landmarks or of
+    recordings is a row.
+    """
     prints = saved(fingerprints(media.where("doc_id is not null")).withColumn("n_codes", F.size("codes")), "prints")
     asking = F.pmod("doc_id", F.lit(every)) == 0
     classes = prints.groupBy("s1", "s2", "n_codes").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n"), F.min(F.when(asking, F.col("doc_id"))).alias("asker"))
     classes = saved(classes, "classes")
-    leads = classes.select(F.col("class_id").alias("doc_id"), "s1", "s2")
-    led = lambda *columns: prints.select("doc_id", "s1", "s2", *columns).join(leads, ["doc_id", "s1", "s2"]).withColumnRenamed("doc_id", "r")
-    askers = classes.where("asker is not null").select(F.col("asker").alias("doc_id"), F.col("class_id").alias("own"))
+    askers = classes.where("asker is not null").select(F.col("asker").alias("doc_id"), F.col("class_id").alias("own"), F.col("s1").alias("own_s1"))
     # A query takes HOP times as long as another recording, so queries are dealt out by number and not by bytes.
     asked = media.where(asking).join(askers.select("doc_id"), "doc_id", "left_semi").repartition(int(media.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     queries = fingerprints(asked, HOP).join(askers, "doc_id")
-    queries = saved(queries.select(F.col("doc_id").alias("q"), "own", "phase", "codes", "marks"), "queries")
-    all_marks = led("marks", "n_codes").select("r", "n_codes", F.explode("marks").alias("m")).select("r", F.col("n_codes").alias("r_n"), "m.h", F.col("m.at").alias("r_at"))
-    asked = queries.select("q", "own", "phase", F.size("codes").alias("q_n"), F.explode("marks").alias("m")).select("q", "own", "phase", "q_n", F.col("m.h").alias("h"), F.col("m.at").alias("q_at"))
-    step = F.col("r_at") - F.col("q_at")
-    overlap = F.least("q_n", F.col("r_n") - step) - F.greatest(-step, F.lit(0))
-    votes = asked.join(all_marks, "h").where("own <> r").groupBy("q", "r", (step * HOP - F.col("phase")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"), F.first(overlap).alias("n"))
-    aligned = votes.where(F.col("votes") * FEWEST >= F.col("n")).select("q", "r", "votes", "offset", F.pmod(-F.col("offset"), F.lit(HOP)).cast("int").alias("phase"))
-    pairs = aligned.join(queries.select("q", "phase", F.col("codes").alias("q_codes")), ["q", "phase"]).join(led("codes").select("r", "s1", "s2", F.col("codes").alias("r_codes")).dropDuplicates(["r", "s1", "s2"]), "r")
-    steps = ((F.col("offset") + F.col("phase")) / HOP).cast("int")
-    qa, ra = F.greatest(-steps, F.lit(0)), F.greatest(steps, F.lit(0))
-    n = F.least(F.size("q_codes") - qa, F.size("r_codes") - ra)
-    wrong = F.aggregate(F.zip_with(F.slice("q_codes", qa + 1, n), F.slice("r_codes", ra + 1, n), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    matched = pairs.select("q", "r", "votes", "offset", (wrong / (32 * n)).alias("error")).where(F.col("error") <= error)
-    matched = matched.groupBy("q", "r").agg(F.min(F.struct("error", (-F.col("votes")).alias("v"), "offset")).alias("m"))
-    return prints, classes, matched.select("q", "r", (-F.col("m.v")).alias("votes"), "m.offset", "m.error")
+    queries = saved(queries.select(F.col("doc_id").alias("q"), "own", "own_s1", "phase", "codes", "marks"), "queries")
+    ends = lambda df, c: df.select(F.explode("marks.h").alias("h"), F.col(c).alias("c")).groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    a, b = ends(prints, "s1").alias("a"), ends(queries, "own_s1").alias("b")
+    shared = a.join(b, "h").where("not (a.low = a.high and b.low = b.high and a.low = b.low)").select("h")
+    shared = _few(saved(shared, "shared"))
+
+    def having(df: DataFrame, *key: str) -> DataFrame:
+        """The rows of df, known by key, that have a shared hash."""
+        ids = saved(df.select(*key, F.explode("marks.h").alias("h")).join(shared, "h", "left_semi").select(*key).distinct(), "ids")
+        return df.join(_few(ids), list(key), "left_semi")
+
+    leads = classes.select(F.col("class_id").alias("doc_id"), "s1", "s2")
+    marks = [F.col("marks.h").alias("h"), F.col("marks.at").alias("at")]
+    right = having(prints, "doc_id", "s1", "s2").dropDuplicates(["doc_id", "s1", "s2"]).join(leads, ["doc_id", "s1", "s2"], "left_semi").select(F.col("doc_id").alias("r"), "codes", *marks)
+    left = having(queries, "q", "phase").select("q", "own", "phase", "codes", *marks)
+    right, left = saved(right, "media"), saved(left, "asked")
+    size = right.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("codes")), F.lit(0))).first()
+    n_r = max(1, -(-size[1] // R_BLOCK), min(R_BLOCKS, -(-size[0] // R_ROWS)))
+    n_q = max(1, -(-left.agg(F.coalesce(F.sum(F.size("codes")), F.lit(0))).first()[0] // Q_BLOCK))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left, right = left.withColumn("j", dealt("q", n_q)), right.withColumn("i", dealt("r", n_r))
+
+    def sent(df: DataFrame, key: list[str], other: DataFrame, block: str, n: int) -> DataFrame:
+        """df in each block of the other side that holds one of its shared hashes."""
+        if n == 1:
+            return df.withColumn(block, F.lit(0))
+        hashes = lambda t, *c: t.select(*c, F.explode("h").alias("h")).join(shared, "h", "left_semi")
+        held = saved(hashes(other, block).distinct(), "held")
+        return df.join(saved(hashes(df, *key).join(_few(held), "h").select(*key, block).distinct(), "sent"), key)
+
+    left, right = sent(left, ["q", "phase"], right, "i", n_r).groupBy("i", "j"), sent(right, ["r"], left, "j", n_q).groupBy("i", "j")
+    return prints, classes, left.cogroup(right).applyInArrow(_matched(error, best), _BEST if best else _MATCH)
 
 
 def matches(media: DataFrame, every: int = 50, error: float = 0.25) -> DataFrame:
     """(query, match, votes, offset, error): all matches of one query of each class, as search counts them; match is a class."""
-    return _searched(media, every, error)[2].withColumnsRenamed({"q": "query", "r": "match"})
+    return _searched(media, every, error, False)[2].withColumnsRenamed({"q": "query", "r": "match"})
 
 
 def search(media: DataFrame, every: int = 50, error: float = 0.25) -> DataFrame:
@@ -266,9 +390,9 @@ def search(media: DataFrame, every: int = 50, error: float = 0.25) -> DataFrame:
     found; rows that repeat a doc_id count as copies, as do all null, empty or broken files among themselves. Recordings of any length
     are searched whole. Empty tables give an empty result.
     """
-    prints, classes, matched = _searched(media, every, error)
+    prints, classes, matched = _searched(media, every, error, True)
     asking = F.pmod("doc_id", F.lit(every)) == 0
-    top = matched.groupBy("q").agg(F.count(F.lit(1)).alias("n_matches"), F.min(F.struct("error", (-F.col("votes")).alias("v"), "r", "offset")).alias("b"))
+    top = matched.groupBy("q").agg(F.sum("n").alias("n_matches"), F.min(F.struct("error", (-F.col("votes")).alias("v"), "r", "offset")).alias("b"))
     out = prints.where(asking).select("doc_id", "n_codes", "s1", "s2").join(classes, ["s1", "s2", "n_codes"]).join(top, F.col("asker") == F.col("q"), "left")
     return out.select(
         "doc_id", "n_codes", "class_id", (F.col("n") - 1).alias("n_copies"), F.coalesce("n_matches", F.lit(0)).alias("n_matches"),

@@ -320,6 +320,42 @@ def test_chroma_finds_all_wanted_pairs(docs):
     assert len(found & wanted) >= 0.9 * len(wanted) and found <= wanted
 
 
+def test_chroma_errors_and_blocks(docs, monkeypatch):
+    """Errors of matches against all 32 bits of each code, for groups of near copies; results are the same however blocks are cut."""
+    r = np.random.default_rng(12)
+    words = ["".join(chr(97 + c) for c in r.integers(0, 26, r.integers(2, 9))) for _ in range(3000)]
+    base, rows = list(r.choice(words, 120)), []
+    for i in range(1, 20):
+        near = list(base)
+        for at in r.integers(0, 120, 4):
+            near[at] = near[at][:-1] + "z"
+        rows.append((i if i < 12 else 50 * (i - 11), " ".join(near)))
+    rows += [(i, " ".join(r.choice(words, 90))) for i in range(20, 40)] + [(20, rows[0][1])]
+    found = {(x["query"], x["match"]): x for x in chroma.matches(chroma.recordings(docs(rows))).collect()}
+    texts, wanted = dict(rows), 0
+    marks = lambda c, t: dict(zip(*(v.tolist() for v in chroma.landmarks(c, np.array([0, len(c)]), np.array([len(t)]))[1:])))
+    for q, i in ((q, i) for q in texts if q >= 50 for i in texts if q != i and (i < 12 or i >= 50)):
+        a, b = prints_of(texts[q]), prints_of(texts[i])
+        votes, n = len(marks(a, texts[q]).items() & marks(b, texts[i]).items()), min(len(a), len(b))
+        off = np.bitwise_count(a[:n] ^ b[:n]).sum() / (32 * n)
+        least = min(k for k, t in texts.items() if prints_of(t).tolist() == b.tolist())  # equal codes are one class
+        if off <= 0.25 and votes * chroma.FEWEST >= n and i == least:
+            wanted += 1
+            assert found[q, i]["error"] <= off
+    assert wanted >= 20
+    for (q, i), x in found.items():
+        if i != 20:
+            step = -(-x["offset"] // 64)
+            a, b = prints_of(texts[q], -x["offset"] % 64)[max(0, -step) :], prints_of(texts[i])[max(0, step) :]
+            n = min(len(a), len(b))
+            assert x["error"] == np.bitwise_count(a[:n] ^ b[:n]).sum() / (32 * n)
+    key = lambda df: sorted(map(str, df.collect()))
+    whole = key(chroma.search(chroma.recordings(docs(rows))))
+    for name, value in (("R_BLOCK", 200), ("Q_BLOCK", 300), ("AT_ONCE", 50), ("R_ROWS", 3), ("SENT", 5)):
+        monkeypatch.setattr(chroma, name, value)
+    assert key(chroma.search(chroma.recordings(docs(rows)))) == whole
+
+
 def test_chroma_takes_hard_rows(docs, hard):
     got = chroma.search(chroma.recordings(docs([*hard, (50, hard[6][1]), (100, None), (150, "some other words of its own")]))).collect()
     assert {(x["doc_id"], x["class_id"], x["n_copies"]) for x in got} == {(50, 5, 2), (100, 2, 2), (150, 150, 0)}
