@@ -158,3 +158,14 @@ def test_the_corpus_is_weighed_and_searched_once(spark, monkeypatch, name):
     monkeypatch.setattr(retrieval_queries, "_matches", lambda *a: searched.append(1) or search(*a))
     __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
     assert (len(weighed), len(searched)) == (1, 1)
+
+
+def test_packs_go_to_the_texts(spark):
+    """The chunks of evidence packs are looked up where texts are read; neither texts nor chunks are sorted by their ids."""
+    from sparkevidence.plans import answer_queries
+    from sparkevidence.sources.cuts import cut
+
+    ids = [r["doc_id"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) > 300").orderBy("doc_id").limit(5).collect()]
+    packed = cut(spark.createDataFrame([(1, k + 1, (i, 0)) for k, i in enumerate(ids)], "question_id long, place int, id struct<document_id:long,chunk_index:int>"), "packed")
+    said = answer_queries._said(spark, "/root/testdata/sf0.001", packed)
+    assert "SortMergeJoin" not in said._jdf.queryExecution().executedPlan().toString() and said.count() > 0
