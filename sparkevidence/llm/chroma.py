@@ -218,13 +218,13 @@ def fingerprints(media: DataFrame, phases: int = 1) -> DataFrame:
 FEWEST = 25
 
 
-#: Codes of recordings and of queries in one block, pairs of landmarks and compared codes that are worked on at once, recordings that make
-#: a block of their own, blocks that are made of few codes, and rows up to which hashes and ids are broadcast.
-R_BLOCK, Q_BLOCK, AT_ONCE, R_ROWS, R_BLOCKS, SENT = 1 << 21, 1 << 21, 1 << 21, 256, 24, 1_000_000
+#: Codes of recordings (a block's share) and of queries in one block, pairs of landmarks and compared codes that are worked on at once,
+#: recordings that make a block of their own, blocks that are made of few codes, and rows up to which hashes and ids are broadcast.
+R_BLOCK, Q_BLOCK, AT_ONCE, R_ROWS, R_BLOCKS, SENT = 1 << 21, 1 << 21, 1 << 21, 256, 12, 1_000_000
 
 
 def _few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= SENT else df
+    return F.broadcast(df) if df.count() <= SENT else df.hint("merge")
 
 
 def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -321,55 +321,82 @@ def _matched(error: float, best: bool):
     return run
 
 
+def _near(places: DataFrame, *by: str) -> DataFrame:
+    """The nearest start and end that each hash has in places (row, n_codes, h, at), or in each part of them."""
+    return _few(places.groupBy("h", *by).agg(F.min("at").alias("start"), F.min(F.col("n_codes") - F.col("at")).alias("end")))
+
+
+def _overlap() -> Column:
+    """Codes that rows have in common at least if they meet at this place: as many before and after it as the nearer ends allow."""
+    return F.least("at", "start") + F.least(F.col("n_codes") - F.col("at"), F.col("end"))
+
+
+def _able(own: DataFrame, other: DataFrame) -> DataFrame:
+    """Places of rows of own that may have landmarks enough in common with a row of other: all that they share are enough for the
+    shortest overlap that one of them allows."""
+    rows = own.join(_near(other), "h").groupBy("row").agg(F.count(F.lit(1)).alias("most"), F.min(_overlap()).alias("least")).where(F.col("least") <= FEWEST * F.col("most"))
+    return saved(own.join(rows.select("row").hint("merge"), "row"), "able")
+
+
+def _homes(places: DataFrame) -> DataFrame:
+    """places (row, r, n_codes, h, at) with r's block i. Recordings go by the hash that most recordings have, so those that queries
+    reach by the same hashes are together; where more have it than a block's share, they are dealt to several blocks."""
+    count, size = places.select("row", "n_codes").distinct().agg(F.count(F.lit(1)), F.coalesce(F.sum("n_codes"), F.lit(0))).first()
+    n = max(1, -(-size // R_BLOCK), min(R_BLOCKS, -(-count // R_ROWS)))
+    often = places.groupBy("h").agg(F.count(F.lit(1)).alias("often"))
+    keys = places.join(_few(often), "h").groupBy("r").agg(F.max_by("h", F.struct("often", "h")).alias("key"), F.max("n_codes").alias("size"))
+    keys = saved(keys, "keys")
+    parts = keys.groupBy("key").agg(F.greatest(F.lit(1), F.least(F.lit(n), F.ceil(F.sum("size") / max(1, -(-size // n))))).alias("parts"))
+    block = F.pmod(F.pmod(F.xxhash64("key"), F.lit(n)) + F.pmod(F.xxhash64("r"), "parts"), F.lit(n)).cast("int")
+    return saved(places.join(keys.join(_few(parts), "key").select("r", block.alias("i")).hint("merge"), "r"), "homes")
+
+
 def _searched(media: DataFrame, every: int, error: float, best: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Fingerprints, classes and matches (q, r, votes, offset, error) of the queries among all classes but their own: of each pair the
     offset with the fewest errors among all that have landmarks enough; or, of each block of recordings, each query's number of
     matches and best one.
 
-    Hashes that a query shares with another class are told from one row for each hash. Only recordings and phases of queries that have
-    such a hash are compared, in blocks of both, each sent to the blocks that hold one of its hashes; no pair of landmarks or of
-    recordings is a row.
+    Hashes that a query shares with another class are told from one row for each hash. Only recordings and phases of queries whose
+    shared hashes may be enough are compared. Recordings that have their commonest shared hash in common are in one block, so that a
+    phase of a query goes to few blocks, with the landmarks that they hold; no pair of landmarks or of recordings is a row.
     """
-    prints = saved(fingerprints(media.where("doc_id is not null")).withColumn("n_codes", F.size("codes")), "prints")
+    prints = fingerprints(media.where("doc_id is not null")).withColumns({"n_codes": F.size("codes"), "row": F.monotonically_increasing_id()})
+    prints = saved(prints, "prints")
     asking = F.pmod("doc_id", F.lit(every)) == 0
-    classes = prints.groupBy("s1", "s2", "n_codes").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n"), F.min(F.when(asking, F.col("doc_id"))).alias("asker"))
+    classes = prints.groupBy("s1", "s2", "n_codes").agg(F.min("doc_id").alias("class_id"), F.min("row").alias("row"), F.count(F.lit(1)).alias("n"), F.min(F.when(asking, F.col("doc_id"))).alias("asker"))
     classes = saved(classes, "classes")
     askers = classes.where("asker is not null").select(F.col("asker").alias("doc_id"), F.col("class_id").alias("own"), F.col("s1").alias("own_s1"))
     # A query takes HOP times as long as another recording, so queries are dealt out by number and not by bytes.
     asked = media.where(asking).join(askers.select("doc_id"), "doc_id", "left_semi").repartition(int(media.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     queries = fingerprints(asked, HOP).join(askers, "doc_id")
-    queries = saved(queries.select(F.col("doc_id").alias("q"), "own", "own_s1", "phase", "codes", "marks"), "queries")
+    queries = queries.select(F.col("doc_id").alias("q"), "own", "own_s1", "phase", "codes", "marks", F.size("codes").alias("n_codes"), F.monotonically_increasing_id().alias("row"))
+    queries = saved(queries, "queries")
     ends = lambda df, c: df.select(F.explode("marks.h").alias("h"), F.col(c).alias("c")).groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high"))
     a, b = ends(prints, "s1").alias("a"), ends(queries, "own_s1").alias("b")
     shared = a.join(b, "h").where("not (a.low = a.high and b.low = b.high and a.low = b.low)").select("h")
     shared = _few(saved(shared, "shared"))
-
-    def having(df: DataFrame, *key: str) -> DataFrame:
-        """The rows of df, known by key, that have a shared hash."""
-        ids = saved(df.select(*key, F.explode("marks.h").alias("h")).join(shared, "h", "left_semi").select(*key).distinct(), "ids")
-        return df.join(_few(ids), list(key), "left_semi")
-
-    leads = classes.select(F.col("class_id").alias("doc_id"), "s1", "s2")
-    marks = [F.col("marks.h").alias("h"), F.col("marks.at").alias("at")]
-    right = having(prints, "doc_id", "s1", "s2").dropDuplicates(["doc_id", "s1", "s2"]).join(leads, ["doc_id", "s1", "s2"], "left_semi").select(F.col("doc_id").alias("r"), "codes", *marks)
-    left = having(queries, "q", "phase").select("q", "own", "phase", "codes", *marks)
-    right, left = saved(right, "media"), saved(left, "asked")
-    size = right.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("codes")), F.lit(0))).first()
-    n_r = max(1, -(-size[1] // R_BLOCK), min(R_BLOCKS, -(-size[0] // R_ROWS)))
-    n_q = max(1, -(-left.agg(F.coalesce(F.sum(F.size("codes")), F.lit(0))).first()[0] // Q_BLOCK))
-    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left, right = left.withColumn("j", dealt("q", n_q)), right.withColumn("i", dealt("r", n_r))
-
-    def sent(df: DataFrame, key: list[str], other: DataFrame, block: str, n: int) -> DataFrame:
-        """df in each block of the other side that holds one of its shared hashes."""
-        if n == 1:
-            return df.withColumn(block, F.lit(0))
-        hashes = lambda t, *c: t.select(*c, F.explode("h").alias("h")).join(shared, "h", "left_semi")
-        held = saved(hashes(other, block).distinct(), "held")
-        return df.join(saved(hashes(df, *key).join(_few(held), "h").select(*key, block).distinct(), "sent"), key)
-
-    left, right = sent(left, ["q", "phase"], right, "i", n_r).groupBy("i", "j"), sent(right, ["r"], left, "j", n_q).groupBy("i", "j")
-    return prints, classes, left.cogroup(right).applyInArrow(_matched(error, best), _BEST if best else _MATCH)
+    # Where shared hashes stand in queries, and in one recording of each class.
+    places = lambda df: df.select("row", "n_codes", F.explode("marks").alias("m")).select("row", "n_codes", "m.h", "m.at").join(shared, "h")
+    left = saved(places(queries), "places")
+    right = saved(places(prints).join(classes.select("row", F.col("class_id").alias("r")).hint("merge"), "row"), "places")
+    left = _able(left, right)
+    right = _able(right, left)
+    home = _homes(right)
+    held = F.collect_list(F.struct("h", "at")).alias("m")
+    sent = left.join(_near(home, "i"), "h").groupBy("row", "n_codes", "i").agg(held, F.min(_overlap()).alias("least"))
+    sent = saved(sent.where(F.col("least") <= FEWEST * F.size("m")), "sent")
+    deals = F.broadcast(sent.groupBy("i").agg(F.ceil(F.sum("n_codes") / Q_BLOCK).cast("int").alias("deals")))
+    marks = [F.col("m.h").alias("h"), F.col("m.at").alias("at")]
+    sent = sent.join(deals, "i").select("row", "i", "deals", *marks)
+    home = home.groupBy("row", "r", "i").agg(held).join(deals, "i").select("row", "r", "i", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("j"), *marks)
+
+    def coded(df: DataFrame, rows: DataFrame, to: DataFrame) -> DataFrame:
+        """to with the columns of df's rows; df's other rows are left out first."""
+        return df.join(_few(rows.select("row").distinct()), "row", "left_semi").join(to.hint("merge"), "row")
+
+    asked = coded(queries.select("row", "q", "own", "phase", "codes"), left, sent).withColumn("j", F.pmod(F.xxhash64("q"), "deals").cast("int"))
+    found = coded(prints.select("row", "codes"), right, home)
+    return prints, classes, asked.groupBy("i", "j").cogroup(found.groupBy("i", "j")).applyInArrow(_matched(error, best), _BEST if best else _MATCH)
 
 
 def matches(media: DataFrame, every: int = 50, error: float = 0.25) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from sparkevidence.llm import chroma, cotraining, kdtree, licenses, mixing, multiset_hash
 
@@ -356,6 +357,41 @@ def test_chroma_errors_and_blocks(docs, monkeypatch):
     assert key(chroma.search(chroma.recordings(docs(rows)))) == whole
 
 
+def test_chroma_sends_rows_to_few_blocks(docs, monkeypatch):
+    """Near copies are together however small blocks are, and rows that cannot have landmarks enough in common are not sent at all."""
+    r = np.random.default_rng(21)
+    words = ["".join(chr(97 + c) for c in r.integers(0, 26, r.integers(2, 9))) for _ in range(3000)]
+    rows, common = [], list(r.choice(words, 60))
+    for g in range(24):
+        base = list(r.choice(words, 500))
+        for k in range(10):
+            near = list(base)
+            at = int(r.integers(20, 480))
+            near[at] = near[at][:-1] + "z"
+            rows.append((len(rows) + 1, " ".join(near)))
+    many = lambda n: " ".join(r.choice(words, n))
+    long = [(1000 + 50 * k, " ".join([many(1500), *common, many(1500)])) for k in range(4)]  # a short passage far from both ends
+    key = lambda df: sorted(map(str, df.collect()))
+    found = key(chroma.matches(chroma.recordings(docs(rows + long))))
+    assert len(found) >= 20
+    for name, value in (("R_BLOCK", 1), ("R_ROWS", 1), ("R_BLOCKS", 24)):
+        monkeypatch.setattr(chroma, name, value)
+    assert key(chroma.matches(chroma.recordings(docs(rows + long)))) == found
+
+    def counted(error, best):  # a row for each row sent
+        def run(asked, media):
+            q, phase, i = (asked[c].to_numpy() for c in ("q", "phase", "i"))
+            return pa.table({"q": q, "r": q, "votes": phase.astype(np.int64), "offset": i, "error": i.astype(float)})
+
+        return run
+
+    monkeypatch.setattr(chroma, "_matched", counted)
+    sent = chroma.matches(chroma.recordings(docs(rows + long))).collect()
+    queries = {x["query"] for x in sent}
+    assert queries == {50, 100, 150, 200}
+    assert len(sent) <= 6 * len({(x["query"], x["votes"]) for x in sent})
+
+
 def test_chroma_takes_hard_rows(docs, hard):
     got = chroma.search(chroma.recordings(docs([*hard, (50, hard[6][1]), (100, None), (150, "some other words of its own")]))).collect()
     assert {(x["doc_id"], x["class_id"], x["n_copies"]) for x in got} == {(50, 5, 2), (100, 2, 2), (150, 150, 0)}
