@@ -49,6 +49,25 @@ def test_common_titles_stay_small(spark):
     assert len(got) == 1500 and got == plain(missing, discovered)
 
 
+def test_titles_and_tokens_do_not_go_with_pairs(spark):
+    text = " ".join(f"word{i}" for i in range(400))
+    missing, discovered = ([(f"{side}/{i}/index", f"{text} {i % 7}") for i in range(40)] for side in ("old", "new"))
+    got = succession.successor_candidates(spark.createDataFrame(missing, KIND), spark.createDataFrame(discovered, KIND))
+    assert "tokens" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in got.collect()} == plain(missing, discovered)
+
+
+def test_alike_titles_by_rare_tokens(spark, monkeypatch):
+    """The same rows whether all classes of a last part are compared or only those that share a rare token."""
+    r = random.Random(2)
+    title = lambda: " ".join(r.sample("a b c d e f g h i j".split(), r.randint(3, 8)))
+    missing, discovered = ([(f"{side}/{i}/{r.choice(['index', 'setup', i])}", title()) for i in range(80)] for side in ("old", "new"))
+    want = plain(missing, discovered)
+    assert candidates(spark, missing, discovered) == want and any(x[2] == 2 for x in want)
+    monkeypatch.setattr(succession, "FEW", 0)
+    assert candidates(spark, missing, discovered) == want
+
+
 def test_classes_and_blockers(spark):
     kind = KIND + ", content_hash string"
     active = [("s/a", "A", "1"), ("s/b", "B", "2"), ("s/old/c", "C page", "3"), ("s/d", "D", "4"), ("s/dup", "E", "5"), ("s/dup", "E", "5"), ("s/old/x", "Twice", "6"), ("s/older/x", "Twice", "7"), ("s/Case", "F", "8"), ("s/n", "N", None)]
