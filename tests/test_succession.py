@@ -68,6 +68,19 @@ def test_alike_titles_by_rare_tokens(spark, monkeypatch):
     assert candidates(spark, missing, discovered) == want
 
 
+def test_reconciliation_sends_titles_a_few_times_only(spark):
+    """Of long titles that many keys share, what is shuffled is a few times what they hold, though each key meets several others."""
+    r = random.Random(3)
+    texts = [" ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(4000)) for _ in range(4)]
+    kind = KIND + ", content_hash string"
+    active, found = ([(f"{side}/{i}/p{i}", texts[i % 4], str(i)) for i in range(120)] for side in ("old", "new"))
+    sent = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = sent()
+    got = succession.reconciliation(spark.createDataFrame(active, kind), spark.createDataFrame(found, kind)).collect()
+    assert sent() - before < 8 * sum(len(t) for side in (active, found) for _, t, _ in side)
+    assert {x["document_key"]: x["successor"] for x in got if x["class"] == "replaced"} == {f"old/{i}/p{i}": f"new/{i}/p{i}" for i in range(120)}
+
+
 def test_classes_and_blockers(spark):
     kind = KIND + ", content_hash string"
     active = [("s/a", "A", "1"), ("s/b", "B", "2"), ("s/old/c", "C page", "3"), ("s/d", "D", "4"), ("s/dup", "E", "5"), ("s/dup", "E", "5"), ("s/old/x", "Twice", "6"), ("s/older/x", "Twice", "7"), ("s/Case", "F", "8"), ("s/n", "N", None)]
